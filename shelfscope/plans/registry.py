@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from shelfscope.functions.numeric import SUM_SCALE
 from shelfscope.functions.text import truncate_label
-from shelfscope.operators import (bands, basket, catalog, category, finance, ingest,
-                                  metrics)
+from shelfscope.operators import (ask, bands, basket, catalog, category, charts, finance,
+                                  ingest, metrics, models, narrate)
 from shelfscope.sources.retail_view import RETAIL_SQL, draw_key, retail_view, table, with_expenditure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -385,6 +385,290 @@ def q_association_meta(spark, sf):
     return basket.association_meta(_v(spark, sf))
 
 
+# Catalogue, charts and cards ---------------------------------------------------
+
+_PL = f"""{_MODE_SQL.strip()},
+g AS (SELECT TRIM(product_name) AS product_name, {_mean('price')} AS price,
+  {_sum('review_count')} AS sales, {_mean('rating')} AS rating,
+  {_mean('discount_percentage')} AS discount_percentage
+  FROM retail WHERE product_name IS NOT NULL GROUP BY 1),
+pl AS (SELECT g.product_name, g.price, g.sales, modes.category, g.rating, g.discount_percentage
+  FROM g LEFT JOIN modes ON g.product_name = modes.product_name)"""
+
+
+def _products(spark, sf):
+    return catalog.product_list(_v(spark, sf))
+
+
+@register("catalog_search", f"""
+WITH {_PL} SELECT * FROM pl WHERE contains(lower(product_name), 'ring')""")
+def q_catalog_search(spark, sf):
+    """F8: literal, case-insensitive search over the product list."""
+    return catalog.search(_products(spark, sf), "RING")
+
+
+@register("catalog_search_regex", f"""
+WITH {_PL} SELECT * FROM pl WHERE regexp_matches(lower(product_name), '^(red|blue) b')""")
+def q_catalog_search_regex(spark, sf):
+    """the query as a regular expression on the lower-cased name."""
+    return catalog.search(_products(spark, sf), "^(RED|blue) b", mode="regex")
+
+
+@register("catalog_filter", f"""
+WITH {_PL} SELECT * FROM pl WHERE category = 'Brand#1'""")
+def q_catalog_filter(spark, sf):
+    return catalog.filter_category(_products(spark, sf), "Brand#1")
+
+
+@register("catalog_sort", f"""
+WITH {_PL} SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY price DESC NULLS LAST, product_name) AS INT)
+  AS position FROM pl ORDER BY price DESC NULLS LAST, product_name LIMIT 20""")
+def q_catalog_sort(spark, sf):
+    """T2: 'price high' page of 20."""
+    return catalog.catalog_page(_products(spark, sf), "price_high", 20)
+
+
+@register("catalog_sort_js", f"""
+WITH {_PL} SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY rating ASC NULLS FIRST, product_name) AS INT)
+  AS position FROM pl WHERE contains(lower(product_name), 'e')
+  ORDER BY rating ASC NULLS FIRST, product_name LIMIT 15""")
+def q_catalog_sort_js(spark, sf):
+    """T2: 'rating low' with missing values first (browser order), searched."""
+    return catalog.catalog_page(_products(spark, sf), "rating_low", 15, nulls="js", query="E")
+
+
+@register("chart_top_products", f"""
+SELECT CASE WHEN length(product_name) > 8 THEN substr(product_name, 1, 8) || '…'
+  ELSE product_name END AS label, value FROM (
+  SELECT TRIM(product_name) AS product_name, {_sum('review_count')} AS value FROM retail
+  WHERE product_name IS NOT NULL GROUP BY 1 ORDER BY value DESC, product_name LIMIT 20)""")
+def q_chart_top_products(spark, sf):
+    """C1 (+N11): 20 products by sales with labels cut at 8 characters."""
+    return charts.top_products(_v(spark, sf), 20, label_width=8)
+
+
+@register("chart_category_distribution", f"""
+WITH {_PL} SELECT category, COUNT(*) AS n FROM pl
+  WHERE category IS NOT NULL AND category <> '' GROUP BY category""")
+def q_chart_category_distribution(spark, sf):
+    return charts.category_distribution(_products(spark, sf))
+
+
+@register("chart_price_rating", f"""
+WITH {_PL} SELECT price AS x, rating AS y FROM pl WHERE price IS NOT NULL AND rating IS NOT NULL""")
+def q_chart_price_rating(spark, sf):
+    return charts.xy_trend(_products(spark, sf), "price")
+
+
+@register("chart_discount_rating", f"""
+WITH {_PL} SELECT discount_percentage AS x, rating AS y FROM pl
+  WHERE discount_percentage IS NOT NULL AND rating IS NOT NULL""")
+def q_chart_discount_rating(spark, sf):
+    return charts.xy_trend(_products(spark, sf), "discount_percentage")
+
+
+@register("chart_rating_distribution", f"""
+WITH {_PL} SELECT rating, COUNT(*) AS n FROM pl WHERE rating IS NOT NULL GROUP BY rating""")
+def q_chart_rating_distribution(spark, sf):
+    return charts.rating_distribution(_products(spark, sf))
+
+
+@register("chart_rating_distribution_1dp", f"""
+WITH {_PL} SELECT format('{{:.1f}}', rating) AS rating, COUNT(*) AS n FROM pl
+  WHERE rating IS NOT NULL GROUP BY 1""")
+def q_chart_rating_distribution_1dp(spark, sf):
+    return charts.rating_distribution(_products(spark, sf), one_decimal=True)
+
+
+@register("bought_together_cards", f"""
+WITH r AS ({_RULES}),
+t AS (SELECT COUNT(DISTINCT txn) AS total FROM ({_BASKETS})),
+rc AS (SELECT 'rule' AS kind,
+  CAST(ROW_NUMBER() OVER (ORDER BY count DESC, support DESC, product_a, product_b) AS INT) AS position,
+  product_a || ' ↔ ' || product_b AS title,
+  'When customers purchase ' || product_a || ', they also purchase ' || product_b || ' in ' ||
+  CAST(count AS VARCHAR) || ' out of ' || CAST(t.total AS VARCHAR) || ' transactions. This happens ' ||
+  format('{{:.1f}}', confidence_a_to_b * 100) || '% of the time.' AS body,
+  'Support: ' || format('{{:.1f}}', support * 100) || '% | Confidence: ' ||
+  format('{{:.1f}}', confidence_a_to_b * 100) || '%' AS stats
+  FROM r, t ORDER BY count DESC, support DESC, product_a, product_b LIMIT 8),
+b AS (SELECT product_a AS product, product_b AS partner, count, support FROM r
+      UNION ALL SELECT product_b, product_a, count, support FROM r),
+rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY product ORDER BY count DESC, support DESC, partner)
+  AS rank FROM b),
+pp AS (SELECT product, COUNT(*) AS n_partners,
+  string_agg(CASE WHEN rank <= 3 THEN partner || ' (' || CAST(count AS VARCHAR) || 'x)' END, ', '
+    ORDER BY rank) AS listed,
+  MAX(CASE WHEN rank = 1 THEN partner END) AS top_partner,
+  MAX(CASE WHEN rank = 1 THEN count END) AS top_count FROM rk GROUP BY product
+  ORDER BY product LIMIT 12),
+pc AS (SELECT 'product' AS kind, CAST(ROW_NUMBER() OVER (ORDER BY product) AS INT) AS position,
+  product AS title,
+  'Often bought with: ' || listed || '. When customers buy ' || product ||
+  ', they frequently also purchase ' || top_partner || '. This occurs in ' ||
+  CAST(top_count AS VARCHAR) || ' transactions.' AS body,
+  CAST(n_partners AS VARCHAR) || ' complementary products identified' AS stats FROM pp)
+SELECT * FROM rc UNION ALL SELECT * FROM pc""")
+def q_bought_together_cards(spark, sf):
+    return basket.bought_together_cards(_v(spark, sf))
+
+
+# Models -----------------------------------------------------------------------
+
+_U = ("CAST(CAST('0x' || substr(md5(CAST(order_id AS VARCHAR) || ':' || CAST(line_no AS VARCHAR) "
+      "|| ':' || CAST(part_key AS VARCHAR) || ':' || CAST(supp_key AS VARCHAR)), 1, 8) AS BIGINT) "
+      "AS DOUBLE) / 4294967296.0e0")
+KEY = ["order_id", "line_no", "part_key", "supp_key"]
+
+
+@register("category_codes", """
+SELECT category, CAST(DENSE_RANK() OVER (ORDER BY category) - 1 AS DOUBLE) AS code
+FROM (SELECT DISTINCT category FROM retail WHERE category IS NOT NULL)""")
+def q_category_codes(spark, sf):
+    return models.category_codes(_v(spark, sf))
+
+
+@register("train_test_split", f"""
+SELECT CASE WHEN {_U} < 0.2 THEN 'test' ELSE 'train' END AS split, COUNT(*) AS n
+FROM retail GROUP BY 1""")
+def q_train_test_split(spark, sf):
+    return (models.with_split(_v(spark, sf), KEY).groupBy("split")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("synthetic_sales", f"""
+SELECT order_id, line_no, CAST(TRUNC(rating * (500.0e0 + 1500.0e0 * ({_U}))
+  * (1.0e0 + discount_percentage / 100.0e0)
+  * CASE WHEN price < 1000 THEN 2 ELSE 1 END) AS BIGINT) AS sales_volume
+FROM retail WHERE rating IS NOT NULL AND discount_percentage IS NOT NULL""")
+def q_synthetic_sales(spark, sf):
+    """M5 over every rated line (the whole-table step needs every row rated)."""
+    rated = _v(spark, sf).where(F.col("rating").isNotNull() & F.col("discount_percentage").isNotNull())
+    return models.with_synthetic_sales(rated, KEY, strict=False) \
+        .select("order_id", "line_no", "sales_volume")
+
+
+@register("rating_model")
+def q_rating_model(spark, sf):
+    """M4 (rows-only check): 20 trees of depth 5 keep the registered run short."""
+    return models.rating_model(_v(spark, sf), num_trees=20, max_depth=5, key_cols=KEY).metrics
+
+
+@register("sales_model")
+def q_sales_model(spark, sf):
+    """M6 (rows-only check) on the synthetic volume of rated lines."""
+    rated = _v(spark, sf).where(F.col("rating").isNotNull())
+    data = models.with_synthetic_sales(rated, KEY, strict=False)
+    return models.sales_model(data, num_trees=20, max_depth=5, key_cols=KEY).metrics
+
+
+# Text ---------------------------------------------------------------------------
+
+def _fmt0(x: str) -> str:
+    return f"'₹' || format('{{:,.0f}}', {x})"
+
+
+def _fmt1(x: str) -> str:
+    return f"format('{{:.1f}}', {x})"
+
+
+_METRICS = f"""SELECT COUNT(*) AS n_rows, COUNT(DISTINCT category) AS n_categories,
+  {_mean('price')} AS avg_price, CAST(MIN(price) AS DOUBLE) AS min_price,
+  CAST(MAX(price) AS DOUBLE) AS max_price, {_mean('rating')} AS avg_rating,
+  {_mean('discount_percentage')} AS avg_discount,
+  COUNT(*) FILTER (WHERE rating < 3.0) AS n_low,
+  COUNT(*) FILTER (WHERE discount_percentage > 30 AND rating < 3.5) AS n_gap,
+  COUNT(*) FILTER (WHERE rating >= 4.0) AS n_high,
+  COUNT(*) FILTER (WHERE rating IS NULL OR discount_percentage IS NULL) AS n_incomplete
+  FROM retail"""
+_BW = f"""SELECT category, {_mean('rating')} AS m FROM retail WHERE category IS NOT NULL
+  GROUP BY category HAVING {_mean('rating')} IS NOT NULL"""
+
+
+@register("recommendations", f"""
+WITH m AS ({_METRICS}), bw AS ({_BW}),
+l AS (SELECT 1 AS k, CASE WHEN n_low > 0 THEN CAST(n_low AS VARCHAR) ||
+    ' products have low ratings (<3.0). Improve quality, listings, or consider discontinuation.' END AS line FROM m
+  UNION ALL SELECT 2, CASE WHEN n_gap > 0 THEN CAST(n_gap AS VARCHAR) ||
+    ' products have high discount but low rating. Review quality or positioning.' END FROM m
+  UNION ALL SELECT 3, CASE WHEN n_high > 0 THEN 'Price anchor: high-rated products cluster around ' ||
+    {_fmt0(_median('price', 'rating >= 4.0'))} || '. Keep new launches near this band.' END FROM m
+  UNION ALL SELECT 4, 'Best performing category: ' || (SELECT category FROM bw ORDER BY m DESC, category LIMIT 1)
+  UNION ALL SELECT 5, 'Category needing improvement: ' || (SELECT category FROM bw ORDER BY m, category LIMIT 1)
+  UNION ALL SELECT 6, 'Top sellers are based on ' ||
+    CASE WHEN n_incomplete = 0 THEN 'sales_volume' ELSE 'review_count' END ||
+    '. Use these items for bundles, ads, and cross-sell placement.' FROM m)
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY k) AS INT) AS position, line FROM l WHERE line IS NOT NULL""")
+def q_recommendations(spark, sf):
+    return narrate.recommendations(_v(spark, sf))
+
+
+@register("insights_explanation", """
+WITH m AS (SELECT COUNT(*) FILTER (WHERE rating IS NULL OR discount_percentage IS NULL) AS n_incomplete
+  FROM retail)
+SELECT * FROM (VALUES
+ (1, 'How suggestions are generated:'),
+ (2, '• Ratings: We flag low-rated products (<3.0) because they usually drive returns or poor reviews.'),
+ (3, '• Discounts vs Ratings: High discounts with low ratings often indicate quality or expectation gaps.'),
+ (4, '• Price Anchor: We find the median price of high-rated products to suggest a strong pricing band.'),
+ (5, '• Category Performance: We compare average ratings per category to spot winners and underperformers.'))
+ t(position, line)
+UNION ALL SELECT 6, CASE WHEN n_incomplete = 0
+  THEN '• Top sellers are derived from the synthetic sales volume model based on rating, price, and discount.'
+  ELSE '• Top sellers are inferred from review counts (as a proxy for demand).' END FROM m""")
+def q_insights_explanation(spark, sf):
+    return narrate.insights_explanation(_v(spark, sf))
+
+
+_OVERVIEW = f"""SELECT 'Data Overview: ' || CAST(n_rows AS VARCHAR) || ' products analyzed' || chr(10) ||
+  'Categories: ' || CAST(n_categories AS VARCHAR) || ' unique categories' || chr(10) ||
+  'Price Range: ' || {_fmt0('min_price')} || ' - ' || {_fmt0('max_price')} || chr(10) ||
+  'Average Price: ' || {_fmt0('avg_price')} || chr(10) ||
+  'Average Rating: ' || {_fmt1('avg_rating')} || '/5' || chr(10) ||
+  'Average Discount: ' || {_fmt1('avg_discount')} || '%' AS text FROM m"""
+
+
+@register("general_insights", f"""
+WITH m AS ({_METRICS}) {_OVERVIEW}""")
+def q_general_insights(spark, sf):
+    return narrate.general_insights(_v(spark, sf))
+
+
+def _user_turns(spark, sf):
+    """Questions: every user turn of the conversations table, whole text."""
+    conv = table(spark, sf, "conversations")
+    return conv.where(F.col("role") == "user").select(
+        "conv_id", "turn", F.col("text").alias("question"))
+
+
+def _intent_sql(q: str) -> str:
+    parts = [f"WHEN regexp_replace(COALESCE({q}, ''), '^\\s+|\\s+$', '', 'g') = '' THEN 'empty'"]
+    for intent, phrase, _ in ask.CONCEPTS:
+        parts.append(f"WHEN contains(lower({q}), '{phrase}') THEN '{intent}'")
+    for intent, words in ask.ROUTES:
+        cond = " OR ".join(f"contains(lower({q}), '{w}')" for w in words)
+        parts.append(f"WHEN {cond} THEN '{intent}'")
+    return "CASE " + " ".join(parts) + " ELSE 'overview' END"
+
+
+@register("question_intents", f"""
+SELECT conv_id, turn, {_intent_sql('text')} AS intent FROM conversations WHERE role = 'user'""")
+def q_question_intents(spark, sf):
+    """Q1 over every user turn of the conversations table."""
+    turns = _user_turns(spark, sf)
+    return turns.select("conv_id", "turn", ask.intent_of(F.col("question")).alias("intent"))
+
+
+@register("answer_questions")
+def q_answer_questions(spark, sf):
+    """Q2: each user turn answered from the retail view (rows-only check)."""
+    turns = _user_turns(spark, sf)
+    answers = ask.answer_table(_v(spark, sf))
+    return (turns.withColumn("intent", ask.intent_of(F.col("question")))
+            .join(F.broadcast(answers), "intent", "left")
+            .select("conv_id", "turn", "intent", "answer"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

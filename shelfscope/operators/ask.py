@@ -152,7 +152,7 @@ def answer_table(df: DataFrame) -> DataFrame:
     else:
         answers.append(("price", F.lit(NOT_AVAILABLE["price"])))
     answers.append(("associations", _association_answer(df)))
-    answers.append(("overview", narrate.overview_text(df)))
+    answers.append(("overview", narrate.overview_column(cols)))  # same metrics row, no rescan
     answers.append(("empty", F.lit(EMPTY_ANSWER)))
     packed = F.array(*[F.struct(F.lit(k).alias("intent"), v.alias("answer")) for k, v in answers])
     return m.select(F.explode(packed).alias("a")).select("a.intent", "a.answer")

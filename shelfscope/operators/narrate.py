@@ -93,25 +93,28 @@ def insights_explanation(df: DataFrame) -> DataFrame:
     return _lines(row, [F.lit(x) for x in EXPLANATION_HEAD] + [basis_line], None)
 
 
-def general_insights(df: DataFrame) -> DataFrame:
-    """The overview text (one row, ``text``); lines for missing roles are left out."""
-    cols = df.columns
-    m = metrics.metrics_row(df)
+def overview_column(columns: list[str]) -> Column:
+    """R3 text from a ``metrics_row`` frame of a table with these columns."""
     lines = [F.concat(F.lit("Data Overview: "), F.col("n_rows").cast("string"),
                       F.lit(" products analyzed"))]
-    if "category" in cols:
+    if "category" in columns:
         lines.append(F.concat(F.lit("Categories: "), F.col("n_categories").cast("string"),
                               F.lit(" unique categories")))
-    if schema.resolve(df, schema.PRICE):
+    if schema.resolve(columns, schema.PRICE):
         lines.append(F.concat(F.lit("Price Range: "), money(F.col("min_price")), F.lit(" - "),
                               money(F.col("max_price"))))
         lines.append(F.concat(F.lit("Average Price: "), money(F.col("avg_price"))))
-    if "rating" in cols:
+    if "rating" in columns:
         lines.append(F.concat(F.lit("Average Rating: "), fmt_plain(F.col("avg_rating"), 1), F.lit("/5")))
-    if "discount_percentage" in cols:
+    if "discount_percentage" in columns:
         lines.append(F.concat(F.lit("Average Discount: "), fmt_plain(F.col("avg_discount"), 1),
                               F.lit("%")))
-    return m.select(F.concat_ws("\n", *lines).alias("text"))
+    return F.concat_ws("\n", *lines)
+
+
+def general_insights(df: DataFrame) -> DataFrame:
+    """The overview text (one row, ``text``); lines for missing roles are left out."""
+    return metrics.metrics_row(df).select(overview_column(df.columns).alias("text"))
 
 
 def overview_text(df: DataFrame) -> Column:

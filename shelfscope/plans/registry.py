@@ -659,9 +659,71 @@ def q_question_intents(spark, sf):
     return turns.select("conv_id", "turn", ask.intent_of(F.col("question")).alias("intent"))
 
 
-@register("answer_questions")
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _answers_sql() -> str:
+    concept_rows = " UNION ALL ".join(
+        f"SELECT {_lit(i)} AS intent, {_lit(t)} AS answer" for i, _, t in ask.CONCEPTS if t)
+    nl = "chr(10)"
+    return f"""
+am AS (SELECT COUNT(*) AS n_rows, COUNT(DISTINCT category) AS n_categories,
+  {_mean('price')} AS avg_price, CAST(MIN(price) AS DOUBLE) AS min_price,
+  CAST(MAX(price) AS DOUBLE) AS max_price, {_mean('rating')} AS avg_rating,
+  CAST(MIN(rating) AS DOUBLE) AS min_rating, CAST(MAX(rating) AS DOUBLE) AS max_rating,
+  {_mean('discount_percentage')} AS avg_discount,
+  CAST(MIN(discount_percentage) AS DOUBLE) AS min_discount,
+  CAST(MAX(discount_percentage) AS DOUBLE) AS max_discount FROM retail),
+m AS (SELECT * FROM am),
+t5 AS (SELECT substr(product_name, 1, 50) AS product_name, CAST(price AS DOUBLE) AS price, category
+  FROM retail WHERE price IS NOT NULL ORDER BY price DESC, product_name, category NULLS LAST LIMIT 5),
+c3 AS (SELECT category, {_mean('rating')} AS avg_rating, COUNT(*) AS n FROM retail
+  WHERE category IS NOT NULL GROUP BY category ORDER BY avg_rating DESC NULLS LAST, category LIMIT 3),
+r3 AS (SELECT category, {_sum('price')} AS revenue FROM retail WHERE category IS NOT NULL
+  GROUP BY category ORDER BY revenue DESC, category LIMIT 3),
+ru AS (SELECT * FROM ({_RULES}) ORDER BY count DESC, support DESC, product_a, product_b LIMIT 10),
+answers AS (
+  {concept_rows}
+  UNION ALL SELECT 'concept_average_price', 'Average price is ' || {_fmt0('avg_price')} || '.' FROM am
+  UNION ALL SELECT 'top_products', {_lit('Top 5 Products by Price:' + chr(10) * 2)} ||
+    (SELECT string_agg('• ' || product_name || {nl} || '  Price: ' || {_fmt0('price')} || ' | Category: '
+      || COALESCE(category, 'None') || {nl} || {nl}, '' ORDER BY price DESC, product_name,
+      category NULLS LAST) FROM t5)
+  UNION ALL SELECT 'category_rating', {_lit('Best Performing Categories:' + chr(10) * 2)} ||
+    (SELECT string_agg('• ' || category || ': ' || {_fmt1('avg_rating')} || ' stars ('
+      || CAST(n AS VARCHAR) || ' products)' || {nl}, '' ORDER BY avg_rating DESC NULLS LAST, category)
+     FROM c3)
+  UNION ALL SELECT 'revenue', {_lit('Top Revenue Categories:' + chr(10) * 2)} ||
+    (SELECT string_agg('• ' || category || ': ' || {_fmt0('revenue')} || {nl}, ''
+      ORDER BY revenue DESC, category) FROM r3)
+  UNION ALL SELECT 'discount', {_lit('Discount Insights:' + chr(10) * 2 + '• Average Discount: ')} ||
+    {_fmt1('avg_discount')} || '%' || {nl} || '• Maximum Discount: ' || {_fmt1('max_discount')} || '%'
+    || {nl} || '• Minimum Discount: ' || {_fmt1('min_discount')} || '%' FROM am
+  UNION ALL SELECT 'rating', {_lit('Rating Insights:' + chr(10) * 2 + '• Average Rating: ')} ||
+    {_fmt1('avg_rating')} || '/5' || {nl} || '• Best Rating: ' || {_fmt1('max_rating')} || '/5'
+    || {nl} || '• Lowest Rating: ' || {_fmt1('min_rating')} || '/5' FROM am
+  UNION ALL SELECT 'count', 'Total Products: ' || format('{{:,}}', n_rows) FROM am
+  UNION ALL SELECT 'price', {_lit('Price Insights:' + chr(10) * 2 + '• Average Price: ')} ||
+    {_fmt0('avg_price')} || {nl} || '• Median Price: ' || {_fmt0(_median('price'))} || {nl} ||
+    '• Price Range: ' || {_fmt0('min_price')} || ' - ' || {_fmt0('max_price')} FROM am
+  UNION ALL SELECT 'associations', COALESCE(
+    {_lit('Top Product Pairs (sold together):' + chr(10) * 2)} ||
+    (SELECT string_agg('• ' || product_a || ' + ' || product_b || ' (Count: ' || CAST(count AS VARCHAR)
+      || ', Support: ' || format('{{:.2f}}', support * 100) || '%)' || {nl}, ''
+      ORDER BY count DESC, support DESC, product_a, product_b) FROM ru),
+    {_lit('Product Associations:' + chr(10) * 2 + basket.NO_DATA)})
+  UNION ALL SELECT 'overview', text FROM ({_OVERVIEW})
+  UNION ALL SELECT 'empty', {_lit(ask.EMPTY_ANSWER)})"""
+
+
+@register("answer_questions", f"""
+WITH {_answers_sql().strip()}
+SELECT conv_id, turn, q.intent, answers.answer FROM
+  (SELECT conv_id, turn, {_intent_sql('text')} AS intent FROM conversations WHERE role = 'user') q
+  LEFT JOIN answers ON q.intent = answers.intent""")
 def q_answer_questions(spark, sf):
-    """Q2: each user turn answered from the retail view (rows-only check)."""
+    """Q2: each user turn answered from the retail view."""
     turns = _user_turns(spark, sf)
     answers = ask.answer_table(_v(spark, sf))
     return (turns.withColumn("intent", ask.intent_of(F.col("question")))
@@ -669,6 +731,14 @@ def q_answer_questions(spark, sf):
             .select("conv_id", "turn", "intent", "answer"))
 
 
+@register("answer_table", f"""
+WITH {_answers_sql().strip()}
+SELECT intent, answer FROM answers""")
+def q_answer_table(spark, sf):
+    """Q2: the answer of every intent, from the whole retail view."""
+    return ask.answer_table(_v(spark, sf))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -2,22 +2,20 @@
 
 ``median``/``percentile`` keep a value->count map per group and merge all maps
 of a global aggregate in one final task, so their memory grows with the number
-of distinct values. Here the distinct values are range-partitioned, each range
-is ranked on its own, and only per-range totals (one row per range) meet in one
-place. The result equals the interpolated median (pandas ``median``, Spark
-``percentile(x, 0.5)``): the mean of the two middle values for an even count.
+of distinct values. Here the distinct values (with multiplicity) are ranked
+across ranges (``ranking.range_ranked``) and only the rows holding the two
+middle ranks are kept. The result equals the interpolated median (pandas
+``median``, Spark ``percentile(x, 0.5)``): lo + (hi - lo) * 0.5 over the two
+middle values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.functions.numeric import nan_to_null
-
-
-def _range_count(df: DataFrame) -> int:
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+from shelfscope.functions.ranking import range_ranked
 
 
 def median_frame(df: DataFrame, value: Column | str, ranges: int | None = None,
@@ -27,21 +25,7 @@ def median_frame(df: DataFrame, value: Column | str, ranges: int | None = None,
     values = df.select(nan_to_null(col.cast("double")).alias("v")).where(F.col("v").isNotNull())
     # Distinct values with multiplicity: partial aggregation keeps hot values cheap.
     counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    n_ranges = ranges or _range_count(df)
-    ranged = counted.repartitionByRange(n_ranges, "v").withColumn("r", F.spark_partition_id())
-    # One row per range (bounded by configuration, not by data): total rows,
-    # rank offset of the range's first value, and the overall count.
-    per_range = ranged.groupBy("r").agg(F.sum("c").alias("rc"))
-    before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = per_range.select(
-        "r",
-        F.coalesce(F.sum("rc").over(before), F.lit(0)).alias("off"),
-        F.sum("rc").over(every).alias("n"))
-    upto = Window.partitionBy("r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (ranged.join(F.broadcast(offsets), "r")
-              .withColumn("end", F.col("off") + F.sum("c").over(upto))
-              .withColumn("start", F.col("end") - F.col("c"))
+    ranked = (range_ranked(counted, "v", F.col("c"), ranges)
               .withColumn("k_lo", F.floor((F.col("n") - 1) / 2))
               .withColumn("k_hi", F.ceil((F.col("n") - 1) / 2)))
     hit_lo = (F.col("start") <= F.col("k_lo")) & (F.col("k_lo") < F.col("end"))

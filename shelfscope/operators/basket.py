@@ -14,6 +14,8 @@ Plan shape (all DataFrame operators, no arrays of pairs, no Python):
    bucket_b). Every pair still meets exactly once; its work is spread over
    buckets^2 tasks. The hint table holds only baskets above ``hot_fraction`` of
    the sample, so it has at most 1/hot_fraction rows and is safe to broadcast.
+   The sample is a hash of row content, so both join sides (and any retried
+   task) derive the same hints.
 3. ``association_rules``: pair counts joined with item counts (AQE picks
    broadcast only if the measured item table is small), total transactions as
    a scalar subquery, ratios rounded half-up in integer arithmetic.
@@ -70,10 +72,20 @@ def item_counts(df: DataFrame) -> DataFrame:
     return baskets(df).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _row_unit(*cols) -> "F.Column":
+    """A value in [0, 1) fixed by the row's content."""
+    scale = 1 << 30
+    return F.pmod(F.xxhash64(*cols), F.lit(scale)).cast("double") / F.lit(float(scale))
+
+
 def _hot_baskets(b: DataFrame, sample_fraction: float, hot_fraction: float,
                  chunk: int, max_split: int) -> DataFrame:
-    """Split factor per hot basket, estimated from a sample (bounded size)."""
-    sample = b.select("txn").sample(fraction=sample_fraction, seed=7)
+    """Split factor per hot basket, estimated from a sample (bounded size).
+
+    The sample keeps a row when a hash of the row falls under the fraction, so
+    it does not depend on row order: the hint table is identical wherever and
+    however often it is computed (both join sides, task retries)."""
+    sample = b.where(_row_unit(F.col("txn"), F.col("item")) < F.lit(sample_fraction)).select("txn")
     per_txn = sample.groupBy("txn").agg(F.count(F.lit(1)).alias("k"))
     total = sample.agg(F.count(F.lit(1)).alias("m")).scalar()
     est_items = F.col("k") / F.lit(sample_fraction)

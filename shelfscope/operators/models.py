@@ -11,12 +11,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.functions.numeric import exact_mean, unit_draw
+from shelfscope.functions.ranking import dense_codes
 from shelfscope.operators import schema
 
 TEST_FRACTION = 0.2
@@ -39,17 +40,20 @@ def with_split(df: DataFrame, key_cols: list[str] | None = None,
     return df.withColumn("split", F.when(u < test_fraction, F.lit("test")).otherwise(F.lit("train")))
 
 
-def category_indexer() -> StringIndexer:
-    """M1: sorted distinct categories -> 0..k-1 (NULL/unseen -> k)."""
-    return StringIndexer(inputCol="category", outputCol="category_idx",
-                         stringOrderType="alphabetAsc", handleInvalid="keep")
+def category_codes(df: DataFrame) -> DataFrame:
+    """M1: sorted distinct categories -> 0..k-1 (double). Computed as a
+    distributed dense rank; no label list passes through the driver."""
+    return dense_codes(df, "category", "code")
 
 
-def category_codes(df: DataFrame) -> DataFrame:
-    """M1 as a table: category, code (double)."""
-    cats = df.select("category").where(F.col("category").isNotNull()).distinct()
-    model = category_indexer().fit(cats)
-    return model.transform(cats).select("category", F.col("category_idx").alias("code"))
+def with_category_code(df: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """Attach ``category_code``; NULL or unknown categories get k (the
+    number of known categories), like a string index that keeps invalid values.
+    The codes table has one row per category; AQE broadcasts it when small."""
+    codes = codes if codes is not None else category_codes(df)
+    k = codes.agg(F.count(F.lit(1)).cast("double")).scalar()
+    return (df.join(codes.withColumnRenamed("code", "category_code"), "category", "left")
+            .withColumn("category_code", F.coalesce(F.col("category_code"), k)))
 
 
 def synthetic_sales(df: DataFrame, key_cols: list[str] | None = None) -> Column:
@@ -91,6 +95,7 @@ class ModelResult:
     metrics: DataFrame
     model: PipelineModel
     features: list[str]
+    codes: DataFrame | None = None  # category -> code table used for the category feature
 
 
 def _regression_metrics(pred: DataFrame, label: str, with_accuracy: bool) -> DataFrame:
@@ -109,26 +114,23 @@ def _regression_metrics(pred: DataFrame, label: str, with_accuracy: bool) -> Dat
 
 
 def _fit(df: DataFrame, features: list[str], label: str, use_category: bool,
-         num_trees: int, max_depth: int, key_cols: list[str] | None) -> tuple[DataFrame, PipelineModel, list[str]]:
-    stages = []
+         num_trees: int, max_depth: int, key_cols: list[str] | None):
+    data = _mean_filled(df, features)
     names = list(features)
+    codes = None
     if use_category:
-        stages.append(category_indexer())
+        codes = category_codes(df)
+        data = with_category_code(data, codes)
         names.append("category_code")
-    data = _mean_filled(df, features)
-    if use_category:
-        data = data.withColumn("category", F.col("category").cast("string"))
     data = with_split(data, key_cols)
-    assembler_in = list(features) + (["category_idx"] if use_category else [])
-    stages.append(VectorAssembler(inputCols=assembler_in, outputCol="features",
-                                  handleInvalid="keep"))
-    stages.append(RandomForestRegressor(featuresCol="features", labelCol=label,
-                                        numTrees=num_trees, maxDepth=max_depth,
-                                        featureSubsetStrategy="all", seed=SEED))
+    stages = [VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"),
+              RandomForestRegressor(featuresCol="features", labelCol=label,
+                                    numTrees=num_trees, maxDepth=max_depth,
+                                    featureSubsetStrategy="all", seed=SEED)]
     train = data.where(F.col("split") == "train")
     test = data.where(F.col("split") == "test")
     model = Pipeline(stages=stages).fit(train)
-    return model.transform(test), model, names
+    return model.transform(test), model, names, codes
 
 
 def rating_model(df: DataFrame, num_trees: int = 100, max_depth: int = 10,
@@ -141,8 +143,8 @@ def rating_model(df: DataFrame, num_trees: int = 100, max_depth: int = 10,
     use_cat = "category" in df.columns
     cols = [price, "discount_percentage"]
     data = _mean_filled(df, ["rating"])
-    pred, model, names = _fit(data, cols, "rating", use_cat, num_trees, max_depth, key_cols)
-    return ModelResult(_regression_metrics(pred, "rating", True), model, names)
+    pred, model, names, codes = _fit(data, cols, "rating", use_cat, num_trees, max_depth, key_cols)
+    return ModelResult(_regression_metrics(pred, "rating", True), model, names, codes)
 
 
 def sales_model(df: DataFrame, num_trees: int = 100, max_depth: int = 10,
@@ -155,6 +157,6 @@ def sales_model(df: DataFrame, num_trees: int = 100, max_depth: int = 10,
     use_cat = "category" in df.columns
     data = df.where(F.col("sales_volume").isNotNull()) \
         .withColumn("sales_volume", F.col("sales_volume").cast("double"))
-    pred, model, names = _fit(data, [price, "discount_percentage", "rating"], "sales_volume",
-                              use_cat, num_trees, max_depth, key_cols)
-    return ModelResult(_regression_metrics(pred, "sales_volume", False), model, names)
+    pred, model, names, codes = _fit(data, [price, "discount_percentage", "rating"],
+                                     "sales_volume", use_cat, num_trees, max_depth, key_cols)
+    return ModelResult(_regression_metrics(pred, "sales_volume", False), model, names, codes)

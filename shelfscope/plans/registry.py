@@ -437,6 +437,26 @@ def q_catalog_sort_js(spark, sf):
     return catalog.catalog_page(_products(spark, sf), "rating_low", 15, nulls="js", query="E")
 
 
+def _register_sort_mode(mode: str) -> None:
+    column, desc = catalog.SORTS[mode]
+    if column == "product_name":
+        order = "product_name"
+    else:
+        order = f"{column} {'DESC' if desc else 'ASC'} NULLS LAST, product_name"
+
+    def run(spark, sf):
+        return catalog.catalog_page(_products(spark, sf), mode, 25)
+
+    run.__doc__ = f"T2: catalogue page of 25 in '{mode}' order."
+    register(f"catalog_sort_{mode}", f"""
+WITH {_PL} SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY {order}) AS INT) AS position
+FROM pl ORDER BY {order} LIMIT 25""")(run)
+
+
+for _mode in catalog.SORTS:
+    _register_sort_mode(_mode)
+
+
 @register("chart_top_products", f"""
 SELECT CASE WHEN length(product_name) > 8 THEN substr(product_name, 1, 8) || '…'
   ELSE product_name END AS label, value FROM (

@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfscope.functions.numeric import exact_mean, exact_sum
 from shelfscope.functions.text import fmt_grouped, fmt_plain, money, percent
-from shelfscope.functions.quantile import median_frame
-from shelfscope.operators import basket, catalog, category, metrics, narrate
+from shelfscope.operators import basket, catalog, metrics, narrate
 
 # Routing rules in order (first hit wins) and concept answers.
 CONCEPTS = [
@@ -80,6 +80,7 @@ def question_intents(questions: DataFrame, text_col: str = "question") -> DataFr
 def _bullets(frame: DataFrame, order: list[Column], line: Column, n: int) -> Column:
     """Scalar: the first n rows of ``frame`` in ``order`` rendered and joined."""
     top = frame.orderBy(*order).limit(n)
+    # numbered after the limit: the window sees at most n rows
     ranked = top.select(F.row_number().over(Window.orderBy(*order)).alias("i"), line.alias("t"))
     return ranked.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "t"))),
                                                lambda e: e["t"]), "")).scalar()
@@ -113,18 +114,25 @@ def answer_table(df: DataFrame) -> DataFrame:
             F.lit("\nAverage Price: "), money(F.col("avg_price")))))
     else:
         answers.append(("top_products", F.lit(NOT_AVAILABLE["top_products"])))
-    if "category" in cols and "rating" in cols:
-        top3 = category.category_top_rating_with_count(df, 3)
+    # One per-category aggregate feeds both category answers (its exchange is reused).
+    per_cat = None
+    if "category" in cols and ("rating" in cols or has_price_col):
+        per_cat = df.where(F.col("category").isNotNull()).groupBy("category").agg(
+            (exact_mean(F.col("rating")) if "rating" in cols else F.lit(None).cast("double"))
+            .alias("avg_rating"),
+            F.count(F.lit(1)).alias("n"),
+            (F.coalesce(exact_sum(F.col("price")), F.lit(0)).cast("double") if has_price_col
+             else F.lit(None).cast("double")).alias("revenue"))
+    if per_cat is not None and "rating" in cols:
         line = F.concat(F.lit("• "), F.col("category"), F.lit(": "), fmt_plain(F.col("avg_rating"), 1),
                         F.lit(" stars ("), F.col("n").cast("string"), F.lit(" products)\n"))
-        body = _bullets(top3, [F.col("avg_rating").desc_nulls_last(), F.col("category")], line, 3)
+        body = _bullets(per_cat, [F.col("avg_rating").desc_nulls_last(), F.col("category")], line, 3)
         answers.append(("category_rating", F.concat(F.lit("Best Performing Categories:\n\n"), body)))
     else:
         answers.append(("category_rating", F.lit(NOT_AVAILABLE["category_rating"])))
-    if "category" in cols and has_price_col:
-        rev = category.category_top_revenue(df, 3)
+    if per_cat is not None and has_price_col:
         line = F.concat(F.lit("• "), F.col("category"), F.lit(": "), money(F.col("revenue")), F.lit("\n"))
-        body = _bullets(rev, [F.col("revenue").desc(), F.col("category")], line, 3)
+        body = _bullets(per_cat, [F.col("revenue").desc(), F.col("category")], line, 3)
         answers.append(("revenue", F.concat(F.lit("Top Revenue Categories:\n\n"), body)))
     else:
         answers.append(("revenue", F.lit(NOT_AVAILABLE["revenue"])))
@@ -182,4 +190,4 @@ def answer_questions(df: DataFrame, questions: DataFrame, text_col: str = "quest
         .select("question", "intent", "answer")
 
 
-__all__ = ["intent_of", "question_intents", "answer_table", "answer_questions", "median_frame"]
+__all__ = ["intent_of", "question_intents", "answer_table", "answer_questions"]

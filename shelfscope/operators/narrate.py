@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.functions.text import fmt_grouped, fmt_plain, money
+from shelfscope.functions.text import fmt_plain, money
 from shelfscope.operators import category, metrics, schema
 
 # Text templates.
@@ -123,4 +123,4 @@ def overview_text(df: DataFrame) -> Column:
 
 
 __all__ = ["recommendations", "insights_explanation", "general_insights", "overview_text",
-           "fmt_grouped"]
+           "overview_column", "basis_column"]

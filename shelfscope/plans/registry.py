@@ -13,10 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscope.functions.numeric import SUM_SCALE
-from shelfscope.functions.text import truncate_label
 from shelfscope.operators import (ask, bands, basket, catalog, category, charts, finance,
                                   ingest, metrics, models, narrate)
-from shelfscope.sources.retail_view import RETAIL_SQL, draw_key, retail_view, table, with_expenditure
+from shelfscope.sources.retail_view import RETAIL_SQL, retail_view, table, with_expenditure
 
 Query = Callable[[SparkSession, str], DataFrame]
 

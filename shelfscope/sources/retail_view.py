@@ -63,12 +63,6 @@ def with_expenditure(df: DataFrame) -> DataFrame:
     return df.withColumn("expenditure", F.col("cost_price") * F.col("quantity"))
 
 
-def draw_key(df: DataFrame):
-    """Row key for hash draws: order_id:line_no:part_key:supp_key."""
-    return F.concat_ws(":", *[F.col(c).cast("string")
-                              for c in ("order_id", "line_no", "part_key", "supp_key")])
-
-
 # The oracle's definition of the same view (DuckDB dialect, also valid Spark SQL).
 RETAIL_SQL = """
 SELECT

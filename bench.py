@@ -8,7 +8,7 @@ Runs the registered headline queries on ``$BENCH_SF_DIR`` (default
 Each query is timed from plan to result on the driver (Arrow transfer), with
 the view recomputed from Parquet every time (no cache), after one untimed
 warm-up pass over the view. Every query runs ``$BENCH_RUNS`` times (default
-2): ``queries`` holds the best run (code generated for that query already
+3): ``queries`` holds the best run (code generated for that query already
 compiled), ``cold_first_run`` the first run, which includes that compilation.
 """
 
@@ -26,7 +26,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from shelfscope.plans import registry  # noqa: E402
 from shelfscope.session import get_session  # noqa: E402
 
-RUNS = int(os.environ.get("BENCH_RUNS", "2"))
+RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 HEADLINE = [
     "kpis",                       # A1

@@ -39,3 +39,34 @@ def median_frame(df: DataFrame, value: Column | str, ranges: int | None = None,
 def median_scalar(df: DataFrame, value: Column | str, ranges: int | None = None) -> Column:
     """The exact median as a scalar-subquery Column usable in any expression."""
     return median_frame(df, value, ranges).scalar()
+
+
+def medians_frame(df: DataFrame, value: Column | str, subsets: dict[str, Column],
+                  ranges: int | None = None) -> DataFrame:
+    """One row with the exact median of ``value`` over each row subset
+    (``{alias: boolean column}``), all from one count-and-rank pass."""
+    col = F.col(value) if isinstance(value, str) else value
+    flags = {name: F.coalesce(cond, F.lit(False)) for name, cond in subsets.items()}
+    values = df.select(nan_to_null(col.cast("double")).alias("v"),
+                       *[c.alias(f"_in_{k}") for k, c in flags.items()]).where(F.col("v").isNotNull())
+    counted = values.groupBy("v").agg(*[F.count_if(F.col(f"_in_{k}")).alias(f"c_{k}") for k in subsets])
+    ranked = range_ranked(counted, "v", ranges=ranges,
+                          weights={k: F.col(f"c_{k}") for k in subsets})
+    aggs, hits = [], []
+    for k in subsets:
+        k_lo = F.floor((F.col(f"n_{k}") - 1) / 2)
+        k_hi = F.ceil((F.col(f"n_{k}") - 1) / 2)
+        # a value with no rows in the subset covers no position (start == end)
+        lo = (F.col(f"start_{k}") <= k_lo) & (k_lo < F.col(f"end_{k}"))
+        hi = (F.col(f"start_{k}") <= k_hi) & (k_hi < F.col(f"end_{k}"))
+        hits.append(F.struct(lo.alias("lo"), hi.alias("hi")).alias(f"h_{k}"))
+        aggs += [F.max(F.when(F.col(f"h_{k}.lo"), F.col("v"))).alias(f"lo_{k}"),
+                 F.max(F.when(F.col(f"h_{k}.hi"), F.col("v"))).alias(f"hi_{k}")]
+    marked = ranked.select("v", *hits)
+    keep = None
+    for k in subsets:
+        cond = F.col(f"h_{k}.lo") | F.col(f"h_{k}.hi")
+        keep = cond if keep is None else keep | cond
+    mid = marked.where(keep).agg(*aggs)
+    return mid.select(*[(F.col(f"lo_{k}") + (F.col(f"hi_{k}") - F.col(f"lo_{k}")) * F.lit(0.5)).alias(k)
+                        for k in subsets])

@@ -18,31 +18,41 @@ def range_count(df: DataFrame) -> int:
 
 
 def range_ranked(df: DataFrame, key: str, weight: Column | None = None,
-                 ranges: int | None = None) -> DataFrame:
+                 ranges: int | None = None, weights: dict[str, Column] | None = None) -> DataFrame:
     """Rows of ``df`` (one per distinct ``key`` expected) with ``start``/``end``:
     the global positions, in ``key`` order, covered by the row's ``weight``
     (default 1), plus ``n``, the total weight. Positions are 0-based, ``end``
     exclusive.
 
+    With ``weights={name: column}`` several independent rankings share the one
+    range pass: columns ``start_<name>``, ``end_<name>`` and ``n_<name>``.
+
     The range exchange feeds both the per-range totals and the ranked rows;
     Spark reuses that one exchange, so both see the same range bounds.
     """
-    w = weight if weight is not None else F.lit(1).cast("long")
+    named = weights if weights is not None else {
+        "": weight if weight is not None else F.lit(1).cast("long")}
+    tag = {k: (f"_{k}" if k else "") for k in named}
     n_ranges = ranges or range_count(df)
-    ranged = (df.withColumn("_w", w).repartitionByRange(n_ranges, key)
+    ranged = (df.withColumns({f"_w{tag[k]}": w for k, w in named.items()})
+              .repartitionByRange(n_ranges, key)
               .withColumn("_r", F.spark_partition_id()))
-    per_range = ranged.groupBy("_r").agg(F.sum("_w").alias("_rw"))
+    per_range = ranged.groupBy("_r").agg(*[F.sum(f"_w{tag[k]}").alias(f"_rw{tag[k]}") for k in named])
     before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = per_range.select(
-        "_r",
-        F.coalesce(F.sum("_rw").over(before), F.lit(0)).alias("_off"),
-        F.sum("_rw").over(every).alias("n"))
+    offset_cols = []
+    for k in named:
+        t = tag[k]
+        offset_cols.append(F.coalesce(F.sum(f"_rw{t}").over(before), F.lit(0)).alias(f"_off{t}"))
+        offset_cols.append(F.sum(f"_rw{t}").over(every).alias(f"n{t}"))
+    offsets = per_range.select("_r", *offset_cols)
     upto = Window.partitionBy("_r").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    return (ranged.join(F.broadcast(offsets), "_r")  # one row per range: bounded
-            .withColumn("end", F.col("_off") + F.sum("_w").over(upto))
-            .withColumn("start", F.col("end") - F.col("_w"))
-            .drop("_r", "_off", "_w"))
+    out = ranged.join(F.broadcast(offsets), "_r")  # one row per range: bounded
+    for k in named:
+        t = tag[k]
+        out = (out.withColumn(f"end{t}", F.col(f"_off{t}") + F.sum(f"_w{t}").over(upto))
+               .withColumn(f"start{t}", F.col(f"end{t}") - F.col(f"_w{t}")))
+    return out.drop("_r", *[f"_off{tag[k]}" for k in named], *[f"_w{tag[k]}" for k in named])
 
 
 def dense_codes(df: DataFrame, column: str, alias: str = "code") -> DataFrame:

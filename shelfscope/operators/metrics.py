@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.functions.numeric import exact_mean
-from shelfscope.functions.quantile import median_frame
+from shelfscope.functions.quantile import median_frame, medians_frame
 from shelfscope.operators import schema
 
 LOW_RATING = 3.0
@@ -118,12 +118,13 @@ def metrics_row(df: DataFrame) -> DataFrame:
              "has_discount": F.lit(has_disc), "has_category": F.lit(has_cat),
              "price_is_price": F.lit(price == "price")}
     if price:
-        flags["median_price"] = median_frame(df, price).scalar()
+        # both medians come from one count-and-rank pass over the price values
+        subsets = {"median_price": F.lit(True)}
         if has_rating:
-            flags["price_anchor"] = median_frame(df.where(F.col("rating") >= HIGH_RATING),
-                                                 price).scalar()
-        else:
-            flags["price_anchor"] = none
+            subsets["price_anchor"] = F.col("rating") >= HIGH_RATING
+        meds = medians_frame(df, price, subsets)
+        flags["median_price"] = meds.select("median_price").scalar()
+        flags["price_anchor"] = meds.select("price_anchor").scalar() if has_rating else none
     else:
         flags["median_price"] = none
         flags["price_anchor"] = none

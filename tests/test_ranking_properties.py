@@ -47,3 +47,19 @@ def test_hot_value_median(spark):
     df = spark.range(0, 10001).select(
         F.when(F.col("id") < 7000, F.lit(5.0)).otherwise(F.col("id").cast("double")).alias("x"))
     assert median_frame(df, "x", ranges=4).first()[0] == 5.0
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 30).map(float)), st.booleans()),
+                max_size=50), st.integers(1, 4))
+def test_medians_frame_matches_brute_force(spark, pairs, ranges):
+    from shelfscope.functions.quantile import medians_frame
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame(pairs or [(None, False)], "x double, flag boolean")
+    got = medians_frame(df, "x", {"all": F.lit(True), "flagged": F.col("flag")}, ranges=ranges).first()
+
+    def brute(xs):
+        return statistics.median(xs) if xs else None
+
+    assert got["all"] == brute([x for x, _ in pairs if x is not None])
+    assert got["flagged"] == brute([x for x, f in pairs if x is not None and f])

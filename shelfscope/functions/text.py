@@ -10,10 +10,18 @@ CURRENCY = "₹"
 ELLIPSIS = "…"
 
 
+# The characters Python's ``str.strip()`` removes (``str.isspace``).
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003"
+              "\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_strip(c: Column) -> Column:
     """Python ``str.strip()``: removes leading/trailing whitespace of every kind
-    (Spark's ``trim`` removes spaces only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    (Spark's ``trim`` removes spaces only). Most values need no change, so the
+    trim runs only when the first or last character is whitespace."""
+    ws = list(WHITESPACE)
+    edge = F.substring(c, 1, 1).isin(ws) | F.substring(c, -1, 1).isin(ws)
+    return F.when(edge, F.btrim(c, F.lit(WHITESPACE))).otherwise(c)
 
 
 def clean_item(c: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope.functions.numeric import exact_mean, exact_sum
-from shelfscope.functions.text import fmt_grouped, fmt_plain, money, percent
+from shelfscope.functions.text import fmt_grouped, fmt_plain, money, percent, py_strip
 from shelfscope.operators import basket, catalog, metrics, narrate
 
 # Routing rules in order (first hit wins) and concept answers.
@@ -60,8 +60,7 @@ NOT_AVAILABLE = {
 def intent_of(question: Column) -> Column:
     """Q1 (+Q3): the routed intent of a question text."""
     q = F.lower(question)
-    expr = F.when(F.regexp_replace(F.coalesce(question, F.lit("")), r"^\s+|\s+$", "") == "",
-                  F.lit("empty"))
+    expr = F.when(py_strip(F.coalesce(question, F.lit(""))) == "", F.lit("empty"))
     for intent, phrase, _ in CONCEPTS:
         expr = expr.when(q.contains(phrase), F.lit(intent))
     for intent, words in ROUTES:

@@ -170,12 +170,11 @@ def _association_answer(df: DataFrame) -> Column:
         basket.basket_roles(df)
     except basket.BasketRolesMissing as missing:
         return F.lit(f"Product Associations:\n\n{missing.note}")
-    rules = basket.association_rules(df)
+    rules = basket.rules_table(df)
     line = F.concat(F.lit("• "), F.col("product_a"), F.lit(" + "), F.col("product_b"),
                     F.lit(" (Count: "), F.col("count").cast("string"), F.lit(", Support: "),
                     percent(F.col("support"), 2), F.lit(")\n"))
-    body = _bullets(rules, [F.col("count").desc(), F.col("support").desc(), F.col("product_a"),
-                            F.col("product_b")], line, 10)
+    body = _bullets(rules, basket.rule_order(), line, 10)
     return F.when(body.isNull() | (body == ""),
                   F.lit(f"Product Associations:\n\n{basket.NO_DATA}")) \
         .otherwise(F.concat(F.lit("Top Product Pairs (sold together):\n\n"), body))

@@ -120,9 +120,10 @@ def total_transactions(b: DataFrame) -> DataFrame:
     return b.agg(F.countDistinct("txn").alias("total_transactions"))
 
 
-def association_rules(df: DataFrame, **split) -> DataFrame:
-    """B4 (+J3, T4): support and both confidences, rounded to 4 places.
-    No minimum support and no lift. Ordered by count, support, product_a, product_b."""
+def rules_table(df: DataFrame, **split) -> DataFrame:
+    """B4 (+J3): support and both confidences, rounded to 4 places; no minimum
+    support and no lift. Unordered: consumers that rank or take the top rows
+    order it themselves, so no global sort is paid for nothing."""
     b = baskets(df)
     counts = b.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     total = total_transactions(b).scalar()
@@ -133,15 +134,24 @@ def association_rules(df: DataFrame, **split) -> DataFrame:
             .select("product_a", "product_b", "count",
                     half_up_ratio(F.col("count"), total).alias("support"),
                     half_up_ratio(F.col("count"), F.col("n_a")).alias("confidence_a_to_b"),
-                    half_up_ratio(F.col("count"), F.col("n_b")).alias("confidence_b_to_a"))
-            .orderBy(F.col("count").desc(), F.col("support").desc(), "product_a", "product_b"))
+                    half_up_ratio(F.col("count"), F.col("n_b")).alias("confidence_b_to_a")))
+
+
+def rule_order() -> list:
+    """T4: count desc, support desc, product_a, then product_b for a total order."""
+    return [F.col("count").desc(), F.col("support").desc(), F.col("product_a"), F.col("product_b")]
+
+
+def association_rules(df: DataFrame, **split) -> DataFrame:
+    """B4 + T4: the rules in their reporting order."""
+    return rules_table(df, **split).orderBy(*rule_order())
 
 
 def partners_by_product(df: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """B5 (+T5): every rule listed under both of its items, ranked per product by
     count desc, support desc, partner. Ranking is per product, so a window
     partition holds at most one row per other product."""
-    rules = rules if rules is not None else association_rules(df)
+    rules = rules if rules is not None else rules_table(df)
     both = rules.select(F.explode(F.array(
         F.struct(F.col("product_a").alias("product"), F.col("product_b").alias("partner"),
                  "count", "support"),
@@ -171,15 +181,15 @@ def bought_together_cards(df: DataFrame, n_rules: int = 8, n_products: int = 12,
     """B8 (+T6): plain-text cards. ``rule`` cards for the first n_rules rules;
     ``product`` cards for the first n_products products by name, each with its
     top n_partners partners and the number of partners."""
-    rules = association_rules(df)
+    rules = rules_table(df)
     total = total_transactions(baskets(df)).scalar()
-    top_rules = rules.limit(n_rules)
+    top_rules = rules.orderBy(*rule_order()).limit(n_rules)  # top-k per task, then merged
     conf = fmt_plain(F.col("confidence_a_to_b") * 100, 1)
     supp = fmt_plain(F.col("support") * 100, 1)
     rule_cards = top_rules.select(
         F.lit("rule").alias("kind"),
-        F.row_number().over(Window.orderBy(F.col("count").desc(), F.col("support").desc(),
-                                           "product_a", "product_b")).alias("position"),
+        # numbered after the limit: the window sees at most n_rules rows
+        F.row_number().over(Window.orderBy(*rule_order())).alias("position"),
         F.concat_ws(" ↔ ", "product_a", "product_b").alias("title"),
         F.concat(F.lit("When customers purchase "), F.col("product_a"),
                  F.lit(", they also purchase "), F.col("product_b"), F.lit(" in "),
@@ -192,7 +202,7 @@ def bought_together_cards(df: DataFrame, n_rules: int = 8, n_products: int = 12,
         F.count(F.lit(1)).alias("n_partners"),
         F.sort_array(F.collect_list(F.when(F.col("rank") <= n_partners,
                                            F.struct("rank", "partner", "count")))).alias("top"))
-    firsts = per_product.orderBy("product").limit(n_products)
+    firsts = per_product.orderBy("product").limit(n_products)  # window below sees <= n rows
     listed = F.array_join(F.transform(
         "top", lambda e: F.concat(e["partner"], F.lit(" ("), e["count"].cast("string"), F.lit("x)"))),
         ", ")

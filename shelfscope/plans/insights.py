@@ -62,9 +62,8 @@ def insights(df: DataFrame, key_cols: list[str] | None = None, persist: bool = T
     out["association_meta"] = basket.association_meta(enriched)
     try:
         basket.basket_roles(enriched)
-        rules = basket.association_rules(enriched)
-        out["association_rules"] = rules
-        out["association_by_product"] = basket.partners_by_product(enriched, rules)
+        out["association_rules"] = basket.association_rules(enriched)
+        out["association_by_product"] = basket.partners_by_product(enriched, basket.rules_table(enriched))
     except basket.BasketRolesMissing:
         pass
     if "product_list" in out:

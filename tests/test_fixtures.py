@@ -132,3 +132,16 @@ def test_kpis_and_profiles(spark):
     bw = category.best_worst_category(df).first()
     assert (bw.best_category, bw.worst_category) == ("a", "a")
     assert metrics.price_anchor(df).first()[0] == 75.0
+
+
+def test_hot_basket_is_detected(spark):
+    # basket 0 holds 3,000 distinct items, the other 500 baskets hold 2 each
+    from pyspark.sql import functions as F
+    hot = spark.range(0, 3000).select(F.lit(0).cast("long").alias("txn"),
+                                      F.col("id").cast("string").alias("item"))
+    cold = spark.range(0, 1000).select((F.col("id") % 500 + 1).alias("txn"),
+                                       (F.col("id") % 2).cast("string").alias("item"))
+    b = hot.unionByName(cold)
+    hints = {r.txn: r.s for r in basket._hot_baskets(b, 0.5, 0.001, 100, 64).collect()}
+    assert set(hints) == {0}
+    assert 10 <= hints[0] <= 64

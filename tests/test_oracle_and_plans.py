@@ -117,3 +117,15 @@ def test_model_learns_step_function(spark):
         F.col("id").alias("k"))
     res = models.rating_model(df, num_trees=10, max_depth=4, key_cols=["k"])
     assert res.metrics.first().r2 > 0.8
+
+
+def test_profit_identity(spark):
+    r = registry.QUERIES["profit_loss"](spark, SF_SMALL).first()
+    assert math.isclose(r.total_profit - r.total_loss, r.net_profit, rel_tol=1e-12)
+    assert r.total_profit >= 0 and r.total_loss >= 0
+
+
+def test_model_reproducible(spark):
+    a = registry.QUERIES["rating_model"](spark, SF_SMALL).first()
+    b = registry.QUERIES["rating_model"](spark, SF_SMALL).first()
+    assert (a.rmse, a.r2) == (b.rmse, b.r2)

@@ -19,7 +19,10 @@ from shelfscope.operators import (bands, basket, catalog, category, charts, fina
 
 
 def insights(df: DataFrame, key_cols: list[str] | None = None, persist: bool = True,
-             fit_models: bool = True, num_trees: int = 100, max_depth: int = 10) -> dict[str, DataFrame]:
+             fit_models: bool = True, num_trees: int = 100, max_depth: int = 10,
+             synthetic_sales: bool = True) -> dict[str, DataFrame]:
+    """All insights of ``df``. ``synthetic_sales=False`` keeps an input
+    ``sales_volume`` as it is instead of replacing it with the synthetic one."""
     base = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
     out: dict[str, DataFrame] = {"kpis": metrics.kpis(base)}
     price = schema.resolve(base, schema.PRICE)
@@ -44,7 +47,7 @@ def insights(df: DataFrame, key_cols: list[str] | None = None, persist: bool = T
         if rating is not None:
             out["rating_model"] = rating.metrics
     # the synthetic volume is added before the product views, as in the original flow
-    enriched = models.with_synthetic_sales(base, key_cols)
+    enriched = models.with_synthetic_sales(base, key_cols) if synthetic_sales else base
     if fit_models and "sales_volume" in enriched.columns:
         sales = models.sales_model(enriched, num_trees, max_depth, key_cols)
         if sales is not None:

@@ -57,7 +57,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
     spark = get_session(f"local[{cpus}]", app_name="shelfscope-bench", conf={
-        "spark.sql.shuffle.partitions": str(max(int(cpus) * 2, 8)),
+        "spark.sql.shuffle.partitions": os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(max(int(cpus) * 2, 8))),
         "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g"),
     })
     # Warm-up, untimed: one pass over the retail view compiles the scan, join

@@ -45,3 +45,19 @@ def test_questions_stream(spark):
     assert got["count"] == f"Total Products: {view.count():,}"
     assert got["price"].startswith("Price Insights:")
     assert got["overview"].startswith("Data Overview:")
+
+
+def test_questions_stream_to_files(spark):
+    view = retail_view(spark, SF_SMALL)
+    root = tempfile.mkdtemp(prefix="shelfscope-stream-")
+    src, sink, ckpt = (os.path.join(root, d) for d in ("in", "out", "ckpt"))
+    spark.createDataFrame([("What is rating?",), ("Which category is best?",)],
+                          qstream.QUESTION_SCHEMA).write.json(src)
+    query = qstream.start(spark, view, src, sink, ckpt)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    got = {r.intent: r.answer for r in spark.read.json(sink).collect()}
+    assert got["concept_rating"].startswith("Rating is the average score")
+    assert got["category_rating"].startswith("Best Performing Categories:")

@@ -53,8 +53,9 @@ def with_price_band(df: DataFrame) -> DataFrame:
 def price_bands(df: DataFrame) -> DataFrame:
     """Rows per band, all six bands listed (zero counts included), count desc.
 
-    The data side is a 6-group aggregate; the band list is a constant 6-row
-    dimension, so the join is a broadcast of a bounded table.
+    The data side is a 6-group aggregate (partial aggregation before its one
+    shuffle); the band list is a constant 6-row dimension; the join broadcasts
+    the aggregated counts, which are bounded by the number of bands.
     """
     price = schema.resolve(df, schema.PRICE)
     spark = df.sparkSession
@@ -63,7 +64,8 @@ def price_bands(df: DataFrame) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("n")))
     dim = spark.createDataFrame([(o, label) for o, label, _, _ in BANDS],
                                 "band_order int, price_band string")
-    return (counts.join(F.broadcast(dim), "band_order", "right")
+    # counts has at most six rows (one per band), so it is the side to broadcast
+    return (dim.join(F.broadcast(counts), "band_order", "left")
             .select("band_order", "price_band", F.coalesce("n", F.lit(0)).alias("n"))
             .orderBy(F.col("n").desc(), "band_order"))
 

@@ -114,3 +114,18 @@ def test_catalog_views(spark):
     assert page == [("ring", 1), ("Red Ring", 2), ("blue bolt", 3)]
     js = rows(catalog.catalog_page(products, "rating_low", 3, nulls="js"), "product_name")
     assert js[0] == ("Red Ring",)
+
+
+def test_csv_folder_of_parts(spark):
+    folder = tempfile.mkdtemp(prefix="shelfscope-parts-")
+    for i, rows_ in enumerate([["tea,10,4.0", "cup,30,2.0"], ["jam,20,3.0"]]):
+        with open(os.path.join(folder, f"part-{i}.csv"), "w") as fh:
+            fh.write("Name,Price,Rating\n" + "\n".join(rows_) + "\n")
+    df = files.read_table(spark, folder)
+    assert df.columns == ["product_name", "price", "rating"]
+    assert sorted(rows(df)) == [("cup", 30.0, 2.0), ("jam", 20.0, 3.0), ("tea", 10.0, 4.0)]
+    dup = os.path.join(tempfile.mkdtemp(prefix="shelfscope-dup-"), "dup.csv")
+    with open(dup, "w") as fh:
+        fh.write("price,Price \n1,2\n")
+    with pytest.raises(schema.HeaderCollision):
+        files.read_table(spark, dup)

@@ -29,7 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     scans the files.
     """
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # e.g. a Spark Connect session: no driver context to key on
+        return spark.read.parquet(path)
+    key = (app, path)
     if key not in _TABLES:
         _TABLES[key] = spark.read.parquet(path)
     return _TABLES[key]

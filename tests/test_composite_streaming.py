@@ -61,3 +61,19 @@ def test_questions_stream_to_files(spark):
     got = {r.intent: r.answer for r in spark.read.json(sink).collect()}
     assert got["concept_rating"].startswith("Rating is the average score")
     assert got["category_rating"].startswith("Best Performing Categories:")
+
+
+def test_command_line(spark, capsys):
+    from shelfscope.__main__ import main
+    folder = tempfile.mkdtemp(prefix="shelfscope-cli-")
+    path = os.path.join(folder, "shop.csv")
+    with open(path, "w") as fh:
+        fh.write("Transaction_ID,ProductName,Categories,MRP,User_Rating,Discount\n")
+        fh.write("t1,tea,drinks,10,4.5,40\nt1,cup,kitchen,30,2.0,10\nt2,tea,drinks,12,4.0,0\n")
+    assert main(["ask", path, "How many products?", "Which products are bought together?"]) == 0
+    printed = capsys.readouterr().out
+    assert "Total Products: 3" in printed
+    assert "• cup + tea (Count: 1, Support: 50.00%)" in printed
+    out_dir = os.path.join(folder, "out")
+    assert main(["analyze", path, out_dir, "--no-models"]) == 0
+    assert spark.read.json(os.path.join(out_dir, "kpis")).first().total_products == 3

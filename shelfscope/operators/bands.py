@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfscope.functions.quantile import median_frame
 from shelfscope.operators import schema
+from shelfscope.operators.schema import requires
 
 # Right-closed price bins (lower, upper] and their labels.
 BANDS = [
@@ -50,6 +51,7 @@ def with_price_band(df: DataFrame) -> DataFrame:
     return df.withColumn("price_band", band_label(F.col(price)))
 
 
+@requires("band_order int, price_band string, n long", schema.PRICE)
 def price_bands(df: DataFrame) -> DataFrame:
     """Rows per band, all six bands listed (zero counts included), count desc.
 
@@ -70,6 +72,7 @@ def price_bands(df: DataFrame) -> DataFrame:
             .orderBy(F.col("n").desc(), "band_order"))
 
 
+@requires("segment string, n long", "rating", schema.PRICE)
 def segmentation(df: DataFrame) -> DataFrame:
     """Four segments by rating (>=4 high, <3 low) and price against the exact
     median (> high, <= low). Always four rows."""

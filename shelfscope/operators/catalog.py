@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfscope.functions.numeric import exact_mean, exact_sum
 from shelfscope.functions.text import clean_item
 from shelfscope.operators import schema
+from shelfscope.operators.schema import requires
 
 
 def sales_basis(df: DataFrame) -> str:
@@ -53,6 +54,7 @@ def product_list(df: DataFrame) -> DataFrame:
     return base.groupBy("product_name").agg(*aggs).orderBy("product_name")
 
 
+@requires("product_name string, category string", schema.PRODUCT, "category")
 def product_category_mode(df: DataFrame) -> DataFrame:
     """A10: most frequent non-null category per product (ties -> smallest; all NULL -> NULL)."""
     product = schema.resolve(df, schema.PRODUCT)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfscope.functions.numeric import exact_mean, exact_sum
 from shelfscope.operators import schema
+from shelfscope.operators.schema import requires
 
 
 def _by_category(df: DataFrame) -> DataFrame:
@@ -20,6 +21,7 @@ def _by_category(df: DataFrame) -> DataFrame:
     return df.where(F.col("category").isNotNull()).groupBy("category")
 
 
+@requires("category string, revenue double", "category", schema.PRICE)
 def category_revenue(df: DataFrame, n: int | None = 5, price_col: str | None = None) -> DataFrame:
     """Sum of price per category (quantity ignored), largest first."""
     price = price_col or schema.resolve(df, schema.PRICE)
@@ -29,6 +31,7 @@ def category_revenue(df: DataFrame, n: int | None = 5, price_col: str | None = N
     return out.limit(n) if n else out
 
 
+@requires("category string, avg_rating double", "category", "rating")
 def category_rating(df: DataFrame, n: int | None = 5) -> DataFrame:
     """A3: mean rating per category, highest first (NULL means last)."""
     out = _by_category(df).agg(exact_mean(F.col("rating")).alias("avg_rating"))
@@ -42,14 +45,17 @@ def category_mean_by_name(df: DataFrame, column: str, alias: str, n: int | None
     return out.limit(n) if n else out
 
 
+@requires("category string, avg_price double", "category", schema.PRICE)
 def avg_price_by_category(df: DataFrame, n: int | None = 10) -> DataFrame:
     return category_mean_by_name(df, schema.resolve(df, schema.PRICE), "avg_price", n)
 
 
+@requires("category string, avg_discount double", "category", "discount_percentage")
 def avg_discount_by_category(df: DataFrame, n: int | None = 10) -> DataFrame:
     return category_mean_by_name(df, "discount_percentage", "avg_discount", n)
 
 
+@requires("best_category string, worst_category string", "category", "rating")
 def best_worst_category(df: DataFrame) -> DataFrame:
     """Categories with the highest and lowest mean rating; ties go to the
     first name. One row, or none when no category has a rating."""
@@ -62,6 +68,7 @@ def best_worst_category(df: DataFrame) -> DataFrame:
                                         F.col("worst.category").alias("worst_category"))
 
 
+@requires("category string, avg_rating double, n long", "category", "rating")
 def category_top_rating_with_count(df: DataFrame, n: int = 3) -> DataFrame:
     """Top n categories by mean rating with the category's row count."""
     out = _by_category(df).agg(exact_mean(F.col("rating")).alias("avg_rating"),
@@ -69,11 +76,13 @@ def category_top_rating_with_count(df: DataFrame, n: int = 3) -> DataFrame:
     return out.orderBy(F.col("avg_rating").desc_nulls_last(), F.col("category")).limit(n)
 
 
+@requires("category string, revenue double", "category", "price")
 def category_top_revenue(df: DataFrame, n: int = 3) -> DataFrame:
     """As A2 with n rows, on the ``price`` column only."""
     return category_revenue(df, n, price_col="price")
 
 
+@requires("category string", "category")
 def category_list(df: DataFrame) -> DataFrame:
     """distinct non-empty categories, sorted."""
     c = F.col("category")

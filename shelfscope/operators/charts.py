@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfscope.functions.text import truncate_label
 from shelfscope.operators import catalog
+from shelfscope.operators.schema import requires
 
 
 def top_products(df: DataFrame, n: int = 20, label_width: int = 22) -> DataFrame:
@@ -26,6 +27,7 @@ def top_products(df: DataFrame, n: int = 20, label_width: int = 22) -> DataFrame
         truncate_label(F.col("product_name"), label_width).alias("label"), "value")
 
 
+@requires("category string, n long", "category")
 def category_distribution(products: DataFrame, skip_empty: bool = True) -> DataFrame:
     """Products per category over a product list, count desc."""
     c = F.col("category")
@@ -36,9 +38,12 @@ def category_distribution(products: DataFrame, skip_empty: bool = True) -> DataF
 
 def xy_trend(products: DataFrame, x: str, y: str = "rating") -> DataFrame:
     """(x, y) pairs with both present, ordered by x."""
+    if x not in products.columns or y not in products.columns:
+        return products.sparkSession.createDataFrame([], "x double, y double")
     return products.select(F.col(x).alias("x"), F.col(y).alias("y")).dropna().orderBy("x", "y")
 
 
+@requires("rating double, n long", "rating")
 def rating_distribution(products: DataFrame, one_decimal: bool = False) -> DataFrame:
     """Products per rating value; ``one_decimal`` groups on the rating
     rounded for display to one decimal (as text)."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shelfscope.functions.numeric import exact_mean
 from shelfscope.functions.quantile import median_frame, medians_frame
 from shelfscope.operators import schema
+from shelfscope.operators.schema import requires
 
 LOW_RATING = 3.0
 HIGH_RATING = 4.0
@@ -38,16 +39,19 @@ def kpis(df: DataFrame) -> DataFrame:
     )
 
 
+@requires(None, "rating")
 def low_rated(df: DataFrame) -> DataFrame:
     """F1: rows rated below 3.0."""
     return df.where(F.col("rating") < LOW_RATING)
 
 
+@requires(None, "discount_percentage", "rating")
 def discount_rating_gap(df: DataFrame) -> DataFrame:
     """discount above 30 and rating below 3.5."""
     return df.where((F.col("discount_percentage") > HIGH_DISCOUNT) & (F.col("rating") < GAP_RATING))
 
 
+@requires("high_discount_avg_rating double", "discount_percentage", "rating")
 def high_discount_rating(df: DataFrame) -> DataFrame:
     """Mean rating of rows with discount > 30; 0 when there is no such row."""
     hot = F.col("discount_percentage") > HIGH_DISCOUNT
@@ -57,12 +61,14 @@ def high_discount_rating(df: DataFrame) -> DataFrame:
          .alias("high_discount_avg_rating"))
 
 
+@requires("price_anchor double", schema.PRICE, "rating")
 def price_anchor(df: DataFrame) -> DataFrame:
     """Exact median price of rows rated 4.0 or more (NULL when none)."""
     price = schema.resolve(df, schema.PRICE)
     return median_frame(df.where(F.col("rating") >= HIGH_RATING), price, alias="price_anchor")
 
 
+@requires("avg_discount double, max_discount double, min_discount double", "discount_percentage")
 def discount_profile(df: DataFrame) -> DataFrame:
     """A16."""
     d = F.col("discount_percentage")
@@ -70,6 +76,7 @@ def discount_profile(df: DataFrame) -> DataFrame:
                   _dbl(F.min(d)).alias("min_discount"))
 
 
+@requires("avg_rating double, best_rating double, worst_rating double", "rating")
 def rating_profile(df: DataFrame) -> DataFrame:
     """A17."""
     r = F.col("rating")
@@ -77,6 +84,7 @@ def rating_profile(df: DataFrame) -> DataFrame:
                   _dbl(F.min(r)).alias("worst_rating"))
 
 
+@requires("avg_price double, median_price double, min_price double, max_price double", schema.PRICE)
 def price_profile(df: DataFrame) -> DataFrame:
     """Mean, exact median, min and max of the price role."""
     price = schema.resolve(df, schema.PRICE)

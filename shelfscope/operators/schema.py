@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
 # These must equal the behaviour being reproduced.
@@ -93,3 +95,21 @@ def resolve(df_or_columns, candidates: list[str]) -> str | None:
         if name in columns:
             return name
     return None
+
+
+def requires(empty_schema: str | None, *needs):
+    """Decorator: when a needed column or role (a name or a candidate list) is
+    missing, return an empty result instead of failing, as the original does
+    ({} / [] rather than an error). ``empty_schema=None`` keeps the input's
+    columns with no rows (for row filters)."""
+    def wrap(fn):
+        @functools.wraps(fn)
+        def run(df: DataFrame, *args, **kwargs):
+            for need in needs:
+                if resolve(df, need if isinstance(need, list) else [need]) is None:
+                    if empty_schema is None:
+                        return df.where(F.lit(False))
+                    return df.sparkSession.createDataFrame([], empty_schema)
+            return fn(df, *args, **kwargs)
+        return run
+    return wrap

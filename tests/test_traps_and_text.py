@@ -129,3 +129,29 @@ def test_csv_folder_of_parts(spark):
         fh.write("price,Price \n1,2\n")
     with pytest.raises(schema.HeaderCollision):
         files.read_table(spark, dup)
+
+
+def test_missing_roles_give_empty_results(spark):
+    from shelfscope.operators import (bands, basket, category, charts, finance, metrics,
+                                      models)
+    only_names = spark.createDataFrame([("tea",), ("cup",)], "product_name string")
+    empty_ops = [category.category_revenue, category.category_rating, category.avg_price_by_category,
+                 category.avg_discount_by_category, category.best_worst_category,
+                 category.category_top_rating_with_count, category.category_top_revenue,
+                 category.category_list, bands.price_bands, bands.segmentation,
+                 metrics.low_rated, metrics.discount_rating_gap, metrics.high_discount_rating,
+                 metrics.price_anchor, metrics.discount_profile, metrics.rating_profile,
+                 metrics.price_profile, catalog.product_category_mode, catalog.product_sales,
+                 catalog.top_selling_products, catalog.top_by_price, finance.annual_expenditure,
+                 charts.category_distribution, charts.rating_distribution]
+    for op in empty_ops:
+        assert op(only_names).count() == 0, op.__name__
+    assert rows(catalog.product_list(only_names)) == [("cup",), ("tea",)]
+    assert metrics.kpis(only_names).first().total_categories == 0
+    assert finance.profit_loss(only_names).first().available is False
+    assert models.rating_model(only_names) is None
+    assert basket.association_meta(only_names).first().note.startswith("Transaction ID")
+    assert narrate.general_insights(only_names).first().text == "Data Overview: 2 products analyzed"
+    no_product = spark.createDataFrame([(1.0,)], "price double")
+    assert catalog.product_list(no_product).count() == 0
+    assert charts.top_products(no_product).count() == 0

@@ -8,6 +8,8 @@ fixed bound) and broadcast-joined to the questions.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,21 +87,31 @@ def _bullets(frame: DataFrame, order: list[Column], line: Column, n: int) -> Col
                                                lambda e: e["t"]), "")).scalar()
 
 
-def answer_table(df: DataFrame) -> DataFrame:
-    """Q2: one row per intent with its answer text, computed from ``df``."""
-    spark = df.sparkSession
+def answer_table(df: DataFrame, intents: Iterable[str] | None = None) -> DataFrame:
+    """Q2: one row per intent with its answer text, computed from ``df``.
+
+    With ``intents`` only those answers are built (and only the scans they need
+    run), as each question is answered on demand in the original."""
     cols = df.columns
-    m = metrics.metrics_row(df)
+    asked = None if intents is None else set(intents)
+
+    def want(intent: str) -> bool:
+        return asked is None or intent in asked
+
+    m = metrics.metrics_row(df, with_medians=want("price"))
     has_price_col = "price" in cols
     answers: list[tuple[str, Column]] = []
     for intent, _, text in CONCEPTS:
-        if text is not None:
+        if text is not None and want(intent):
             answers.append((intent, F.lit(text)))
-    answers.append(("concept_average_price",
-                    F.concat(F.lit("Average price is "), money(F.col("avg_price")), F.lit("."))
-                    if has_price_col else F.lit(NOT_AVAILABLE["concept_average_price"])))
+    if want("concept_average_price"):
+        answers.append(("concept_average_price",
+                        F.concat(F.lit("Average price is "), money(F.col("avg_price")), F.lit("."))
+                        if has_price_col else F.lit(NOT_AVAILABLE["concept_average_price"])))
     # top products by price (the 'price' column only)
-    if has_price_col and "product_name" in cols:
+    if not want("top_products"):
+        pass
+    elif has_price_col and "product_name" in cols:
         top = catalog.top_by_price(df, 5)
         line = F.concat(F.lit("• "), F.col("product_name"), F.lit("\n  Price: "), money(F.col("price")),
                         F.lit(" | Category: "), F.coalesce(F.col("category"), F.lit("None")),
@@ -115,42 +127,54 @@ def answer_table(df: DataFrame) -> DataFrame:
         answers.append(("top_products", F.lit(NOT_AVAILABLE["top_products"])))
     # One per-category aggregate feeds both category answers (its exchange is reused).
     per_cat = None
-    if "category" in cols and ("rating" in cols or has_price_col):
+    if "category" in cols and ("rating" in cols or has_price_col) and (
+            want("category_rating") or want("revenue")):
         per_cat = df.where(F.col("category").isNotNull()).groupBy("category").agg(
             (exact_mean(F.col("rating")) if "rating" in cols else F.lit(None).cast("double"))
             .alias("avg_rating"),
             F.count(F.lit(1)).alias("n"),
             (F.coalesce(exact_sum(F.col("price")), F.lit(0)).cast("double") if has_price_col
              else F.lit(None).cast("double")).alias("revenue"))
-    if per_cat is not None and "rating" in cols:
+    if not want("category_rating"):
+        pass
+    elif per_cat is not None and "rating" in cols:
         line = F.concat(F.lit("• "), F.col("category"), F.lit(": "), fmt_plain(F.col("avg_rating"), 1),
                         F.lit(" stars ("), F.col("n").cast("string"), F.lit(" products)\n"))
         body = _bullets(per_cat, [F.col("avg_rating").desc_nulls_last(), F.col("category")], line, 3)
         answers.append(("category_rating", F.concat(F.lit("Best Performing Categories:\n\n"), body)))
     else:
         answers.append(("category_rating", F.lit(NOT_AVAILABLE["category_rating"])))
-    if per_cat is not None and has_price_col:
+    if not want("revenue"):
+        pass
+    elif per_cat is not None and has_price_col:
         line = F.concat(F.lit("• "), F.col("category"), F.lit(": "), money(F.col("revenue")), F.lit("\n"))
         body = _bullets(per_cat, [F.col("revenue").desc(), F.col("category")], line, 3)
         answers.append(("revenue", F.concat(F.lit("Top Revenue Categories:\n\n"), body)))
     else:
         answers.append(("revenue", F.lit(NOT_AVAILABLE["revenue"])))
-    if "discount_percentage" in cols:
+    if not want("discount"):
+        pass
+    elif "discount_percentage" in cols:
         answers.append(("discount", F.concat(
             F.lit("Discount Insights:\n\n• Average Discount: "), fmt_plain(F.col("avg_discount"), 1),
             F.lit("%\n• Maximum Discount: "), fmt_plain(F.col("max_discount"), 1),
             F.lit("%\n• Minimum Discount: "), fmt_plain(F.col("min_discount"), 1), F.lit("%"))))
     else:
         answers.append(("discount", F.lit(NOT_AVAILABLE["discount"])))
-    if "rating" in cols:
+    if not want("rating"):
+        pass
+    elif "rating" in cols:
         answers.append(("rating", F.concat(
             F.lit("Rating Insights:\n\n• Average Rating: "), fmt_plain(F.col("avg_rating"), 1),
             F.lit("/5\n• Best Rating: "), fmt_plain(F.col("max_rating"), 1),
             F.lit("/5\n• Lowest Rating: "), fmt_plain(F.col("min_rating"), 1), F.lit("/5"))))
     else:
         answers.append(("rating", F.lit(NOT_AVAILABLE["rating"])))
-    answers.append(("count", F.concat(F.lit("Total Products: "), fmt_grouped(F.col("n_rows"), 0))))
-    if "price" in cols or "selling_price" in cols:
+    if want("count"):
+        answers.append(("count", F.concat(F.lit("Total Products: "), fmt_grouped(F.col("n_rows"), 0))))
+    if not want("price"):
+        pass
+    elif "price" in cols or "selling_price" in cols:
         answers.append(("price", F.concat(
             F.lit("Price Insights:\n\n• Average Price: "), money(F.col("avg_price")),
             F.lit("\n• Median Price: "), money(F.col("median_price")),
@@ -158,9 +182,14 @@ def answer_table(df: DataFrame) -> DataFrame:
             money(F.col("max_price")))))
     else:
         answers.append(("price", F.lit(NOT_AVAILABLE["price"])))
-    answers.append(("associations", _association_answer(df)))
-    answers.append(("overview", narrate.overview_column(cols)))  # same metrics row, no rescan
-    answers.append(("empty", F.lit(EMPTY_ANSWER)))
+    if want("associations"):
+        answers.append(("associations", _association_answer(df)))
+    if want("overview"):
+        answers.append(("overview", narrate.overview_column(cols)))  # same metrics row, no rescan
+    if want("empty"):
+        answers.append(("empty", F.lit(EMPTY_ANSWER)))
+    if not answers:
+        return df.sparkSession.createDataFrame([], "intent string, answer string")
     packed = F.array(*[F.struct(F.lit(k).alias("intent"), v.alias("answer")) for k, v in answers])
     return m.select(F.explode(packed).alias("a")).select("a.intent", "a.answer")
 
@@ -180,12 +209,22 @@ def _association_answer(df: DataFrame) -> Column:
         .otherwise(F.concat(F.lit("Top Product Pairs (sold together):\n\n"), body))
 
 
-def answer_questions(df: DataFrame, questions: DataFrame, text_col: str = "question") -> DataFrame:
+def asked_intents(routed: DataFrame) -> list[str]:
+    """The distinct intents among routed questions: at most one value per
+    routing rule (about 20), the only thing that reaches the driver."""
+    return [r.intent for r in routed.select("intent").distinct().collect()]
+
+
+def answer_questions(df: DataFrame, questions: DataFrame, text_col: str = "question",
+                     asked_only: bool = True) -> DataFrame:
     """Q2: question, intent, answer. The answer table has one row per intent
-    (a fixed bound), so it is broadcast and the questions are never shuffled."""
+    (a fixed bound), so it is broadcast and the questions are never shuffled.
+    With ``asked_only`` one small action first finds the intents asked, and
+    only their answers are computed."""
     routed = question_intents(questions, text_col)
-    return routed.join(F.broadcast(answer_table(df)), "intent", "left") \
+    intents = asked_intents(routed) if asked_only else None
+    return routed.join(F.broadcast(answer_table(df, intents)), "intent", "left") \
         .select("question", "intent", "answer")
 
 
-__all__ = ["intent_of", "question_intents", "answer_table", "answer_questions"]
+__all__ = ["intent_of", "question_intents", "answer_table", "answer_questions", "asked_intents"]

@@ -95,10 +95,11 @@ def price_profile(df: DataFrame) -> DataFrame:
         .select("avg_price", med.alias("median_price"), "min_price", "max_price")
 
 
-def metrics_row(df: DataFrame) -> DataFrame:
+def metrics_row(df: DataFrame, with_medians: bool = True) -> DataFrame:
     """One scan, one row: every table-wide figure used by narration and answers.
 
     Missing columns give NULL figures; ``has_*`` flags say which roles exist.
+    ``with_medians=False`` leaves the two medians NULL and skips their pass.
     """
     cols = df.columns
     price = schema.resolve(df, schema.PRICE)
@@ -125,7 +126,7 @@ def metrics_row(df: DataFrame) -> DataFrame:
     flags = {"has_price": F.lit(price is not None), "has_rating": F.lit(has_rating),
              "has_discount": F.lit(has_disc), "has_category": F.lit(has_cat),
              "price_is_price": F.lit(price == "price")}
-    if price:
+    if price and with_medians:
         # both medians come from one count-and-rank pass over the price values
         subsets = {"median_price": F.lit(True)}
         if has_rating:

@@ -743,10 +743,9 @@ SELECT conv_id, turn, q.intent, answers.answer FROM
   LEFT JOIN answers ON q.intent = answers.intent""")
 def q_answer_questions(spark, sf):
     """Q2: each user turn answered from the retail view."""
-    turns = _user_turns(spark, sf)
-    answers = ask.answer_table(_v(spark, sf))
-    return (turns.withColumn("intent", ask.intent_of(F.col("question")))
-            .join(F.broadcast(answers), "intent", "left")
+    routed = _user_turns(spark, sf).withColumn("intent", ask.intent_of(F.col("question")))
+    answers = ask.answer_table(_v(spark, sf), ask.asked_intents(routed))
+    return (routed.join(F.broadcast(answers), "intent", "left")
             .select("conv_id", "turn", "intent", "answer"))
 
 

@@ -121,6 +121,8 @@ def metrics_row(df: DataFrame, with_medians: bool = True) -> DataFrame:
         F.count_if(r < LOW_RATING).alias("n_low_rated"),
         F.count_if((d > HIGH_DISCOUNT) & (r < GAP_RATING)).alias("n_discount_gap"),
         F.count_if(r >= HIGH_RATING).alias("n_high_rated"),
+        # rows that stop the synthetic sales volume (decides the sales basis)
+        F.count_if(r.isNull() | d.isNull()).alias("n_incomplete"),
     ]
     row = df.agg(*aggs)
     flags = {"has_price": F.lit(price is not None), "has_rating": F.lit(has_rating),

@@ -29,21 +29,29 @@ EXPLANATION_BASIS = {
 }
 
 
-def basis_column(df: DataFrame) -> Column:
-    """M7 as data: ``sales_volume`` when the synthetic volume can be built for
-    every row (or the column exists), else ``review_count``, else ``unavailable``.
-    Must be used on a one-row aggregate of ``df`` (it aggregates)."""
-    cols = df.columns
-    fallback = F.lit("review_count" if "review_count" in cols else "unavailable")
-    if "sales_volume" in cols:
+def _basis(columns: list[str], incomplete: Column) -> Column:
+    """M7 as data: ``sales_volume`` when the input has it or the synthetic volume
+    can be built for every row (``incomplete`` == 0), else ``review_count``,
+    else ``unavailable``."""
+    fallback = F.lit("review_count" if "review_count" in columns else "unavailable")
+    if "sales_volume" in columns:
         return F.lit("sales_volume")
-    price = schema.resolve(df, schema.PRICE)
-    if price and "rating" in cols and "discount_percentage" in cols:
-        complete = F.count_if(F.col("rating").isNull() | F.col("discount_percentage").isNull()) == 0
-        return F.when(complete, F.lit("sales_volume")).otherwise(fallback)
+    price = schema.resolve(columns, schema.PRICE)
+    if price and "rating" in columns and "discount_percentage" in columns:
+        return F.when(incomplete == 0, F.lit("sales_volume")).otherwise(fallback)
     return fallback
 
 
+def basis_column(df: DataFrame) -> Column:
+    """The sales basis as an aggregate expression over ``df`` (one-row result)."""
+    cols = df.columns
+    if "rating" in cols and "discount_percentage" in cols:
+        incomplete = F.count_if(F.col("rating").isNull() | F.col("discount_percentage").isNull())
+    else:
+        incomplete = F.lit(1)
+    return _basis(cols, incomplete)
+
+
 def _lines(row: DataFrame, lines: list[Column], fallback: str | None) -> DataFrame:
     # lines become plain columns first: subqueries may not sit inside a lambda
     named = row.select(*[line.alias(f"l{i}") for i, line in enumerate(lines)])
@@ -58,8 +66,8 @@ def recommendations(df: DataFrame, basis: str | None = None) -> DataFrame:
     """Ordered recommendation lines (position, line)."""
     cols = df.columns
     m = metrics.metrics_row(df)
-    basis_value = df.agg(basis_column(df)).scalar() if basis is None else F.lit(basis)
-    m = m.withColumn("basis", basis_value)
+    # the basis comes from the same metrics row: no extra scan
+    m = m.withColumn("basis", _basis(cols, F.col("n_incomplete")) if basis is None else F.lit(basis))
     has_r, has_d = "rating" in cols, "discount_percentage" in cols
     lines = []
     if has_r:

@@ -48,6 +48,7 @@ ROUTES = [
     ("associations", ["association", "sold with", "bought with", "together"]),
 ]
 EMPTY_ANSWER = "No question provided"
+INTENTS = ([i for i, _, _ in CONCEPTS] + [i for i, _ in ROUTES] + ["overview", "empty"])
 NOT_AVAILABLE = {
     "concept_average_price": "Average price is not available.",
     "top_products": "Price data not available.",
@@ -93,104 +94,91 @@ def answer_table(df: DataFrame, intents: Iterable[str] | None = None) -> DataFra
     With ``intents`` only those answers are built (and only the scans they need
     run), as each question is answered on demand in the original."""
     cols = df.columns
+    has_price_col = "price" in cols
     asked = None if intents is None else set(intents)
+    wanted = [k for k in INTENTS if asked is None or k in asked]
+    if not wanted:
+        return df.sparkSession.createDataFrame([], "intent string, answer string")
+    m = metrics.metrics_row(df, with_medians="price" in wanted)
 
-    def want(intent: str) -> bool:
-        return asked is None or intent in asked
-
-    m = metrics.metrics_row(df, with_medians=want("price"))
-    has_price_col = "price" in cols
-    answers: list[tuple[str, Column]] = []
-    for intent, _, text in CONCEPTS:
-        if text is not None and want(intent):
-            answers.append((intent, F.lit(text)))
-    if want("concept_average_price"):
-        answers.append(("concept_average_price",
-                        F.concat(F.lit("Average price is "), money(F.col("avg_price")), F.lit("."))
-                        if has_price_col else F.lit(NOT_AVAILABLE["concept_average_price"])))
-    # top products by price (the 'price' column only)
-    if not want("top_products"):
-        pass
-    elif has_price_col and "product_name" in cols:
-        top = catalog.top_by_price(df, 5)
-        line = F.concat(F.lit("• "), F.col("product_name"), F.lit("\n  Price: "), money(F.col("price")),
-                        F.lit(" | Category: "), F.coalesce(F.col("category"), F.lit("None")),
-                        F.lit("\n\n"))
-        body = _bullets(top, [F.col("price").desc(), F.col("product_name"),
-                              F.col("category").asc_nulls_last()], line, 5)
-        answers.append(("top_products", F.concat(F.lit("Top 5 Products by Price:\n\n"), body)))
-    elif has_price_col:
-        answers.append(("top_products", F.concat(
-            F.lit("Price range: "), money(F.col("min_price")), F.lit(" - "), money(F.col("max_price")),
-            F.lit("\nAverage Price: "), money(F.col("avg_price")))))
-    else:
-        answers.append(("top_products", F.lit(NOT_AVAILABLE["top_products"])))
-    # One per-category aggregate feeds both category answers (its exchange is reused).
-    per_cat = None
-    if "category" in cols and ("rating" in cols or has_price_col) and (
-            want("category_rating") or want("revenue")):
-        per_cat = df.where(F.col("category").isNotNull()).groupBy("category").agg(
+    def per_category() -> DataFrame:
+        # one per-category aggregate feeds both category answers (its exchange is reused)
+        return df.where(F.col("category").isNotNull()).groupBy("category").agg(
             (exact_mean(F.col("rating")) if "rating" in cols else F.lit(None).cast("double"))
             .alias("avg_rating"),
             F.count(F.lit(1)).alias("n"),
             (F.coalesce(exact_sum(F.col("price")), F.lit(0)).cast("double") if has_price_col
              else F.lit(None).cast("double")).alias("revenue"))
-    if not want("category_rating"):
-        pass
-    elif per_cat is not None and "rating" in cols:
+
+    def top_products() -> Column:
+        if has_price_col and "product_name" in cols:
+            line = F.concat(F.lit("• "), F.col("product_name"), F.lit("\n  Price: "),
+                            money(F.col("price")), F.lit(" | Category: "),
+                            F.coalesce(F.col("category"), F.lit("None")), F.lit("\n\n"))
+            body = _bullets(catalog.top_by_price(df, 5), [F.col("price").desc(), F.col("product_name"),
+                                                         F.col("category").asc_nulls_last()], line, 5)
+            return F.concat(F.lit("Top 5 Products by Price:\n\n"), body)
+        if has_price_col:
+            return F.concat(F.lit("Price range: "), money(F.col("min_price")), F.lit(" - "),
+                            money(F.col("max_price")), F.lit("\nAverage Price: "),
+                            money(F.col("avg_price")))
+        return F.lit(NOT_AVAILABLE["top_products"])
+
+    def category_rating() -> Column:
+        if "category" not in cols or "rating" not in cols:
+            return F.lit(NOT_AVAILABLE["category_rating"])
         line = F.concat(F.lit("• "), F.col("category"), F.lit(": "), fmt_plain(F.col("avg_rating"), 1),
                         F.lit(" stars ("), F.col("n").cast("string"), F.lit(" products)\n"))
-        body = _bullets(per_cat, [F.col("avg_rating").desc_nulls_last(), F.col("category")], line, 3)
-        answers.append(("category_rating", F.concat(F.lit("Best Performing Categories:\n\n"), body)))
-    else:
-        answers.append(("category_rating", F.lit(NOT_AVAILABLE["category_rating"])))
-    if not want("revenue"):
-        pass
-    elif per_cat is not None and has_price_col:
+        body = _bullets(per_category(), [F.col("avg_rating").desc_nulls_last(), F.col("category")],
+                        line, 3)
+        return F.concat(F.lit("Best Performing Categories:\n\n"), body)
+
+    def revenue() -> Column:
+        if "category" not in cols or not has_price_col:
+            return F.lit(NOT_AVAILABLE["revenue"])
         line = F.concat(F.lit("• "), F.col("category"), F.lit(": "), money(F.col("revenue")), F.lit("\n"))
-        body = _bullets(per_cat, [F.col("revenue").desc(), F.col("category")], line, 3)
-        answers.append(("revenue", F.concat(F.lit("Top Revenue Categories:\n\n"), body)))
-    else:
-        answers.append(("revenue", F.lit(NOT_AVAILABLE["revenue"])))
-    if not want("discount"):
-        pass
-    elif "discount_percentage" in cols:
-        answers.append(("discount", F.concat(
-            F.lit("Discount Insights:\n\n• Average Discount: "), fmt_plain(F.col("avg_discount"), 1),
-            F.lit("%\n• Maximum Discount: "), fmt_plain(F.col("max_discount"), 1),
-            F.lit("%\n• Minimum Discount: "), fmt_plain(F.col("min_discount"), 1), F.lit("%"))))
-    else:
-        answers.append(("discount", F.lit(NOT_AVAILABLE["discount"])))
-    if not want("rating"):
-        pass
-    elif "rating" in cols:
-        answers.append(("rating", F.concat(
-            F.lit("Rating Insights:\n\n• Average Rating: "), fmt_plain(F.col("avg_rating"), 1),
-            F.lit("/5\n• Best Rating: "), fmt_plain(F.col("max_rating"), 1),
-            F.lit("/5\n• Lowest Rating: "), fmt_plain(F.col("min_rating"), 1), F.lit("/5"))))
-    else:
-        answers.append(("rating", F.lit(NOT_AVAILABLE["rating"])))
-    if want("count"):
-        answers.append(("count", F.concat(F.lit("Total Products: "), fmt_grouped(F.col("n_rows"), 0))))
-    if not want("price"):
-        pass
-    elif "price" in cols or "selling_price" in cols:
-        answers.append(("price", F.concat(
+        body = _bullets(per_category(), [F.col("revenue").desc(), F.col("category")], line, 3)
+        return F.concat(F.lit("Top Revenue Categories:\n\n"), body)
+
+    def profile(intent: str, column: str, head: str, rows: list[tuple[str, str, str]]) -> Column:
+        if column not in cols:
+            return F.lit(NOT_AVAILABLE[intent])
+        parts: list[Column] = [F.lit(head)]
+        for i, (label, metric, unit) in enumerate(rows):
+            parts += [F.lit(("\n" if i else "") + f"• {label}: "), fmt_plain(F.col(metric), 1), F.lit(unit)]
+        return F.concat(*parts)
+
+    def price() -> Column:
+        if "price" not in cols and "selling_price" not in cols:
+            return F.lit(NOT_AVAILABLE["price"])
+        return F.concat(
             F.lit("Price Insights:\n\n• Average Price: "), money(F.col("avg_price")),
             F.lit("\n• Median Price: "), money(F.col("median_price")),
             F.lit("\n• Price Range: "), money(F.col("min_price")), F.lit(" - "),
-            money(F.col("max_price")))))
-    else:
-        answers.append(("price", F.lit(NOT_AVAILABLE["price"])))
-    if want("associations"):
-        answers.append(("associations", _association_answer(df)))
-    if want("overview"):
-        answers.append(("overview", narrate.overview_column(cols)))  # same metrics row, no rescan
-    if want("empty"):
-        answers.append(("empty", F.lit(EMPTY_ANSWER)))
-    if not answers:
-        return df.sparkSession.createDataFrame([], "intent string, answer string")
-    packed = F.array(*[F.struct(F.lit(k).alias("intent"), v.alias("answer")) for k, v in answers])
+            money(F.col("max_price")))
+
+    builders = {intent: (lambda t=text: F.lit(t)) for intent, _, text in CONCEPTS if text}
+    builders.update({
+        "concept_average_price": lambda: (
+            F.concat(F.lit("Average price is "), money(F.col("avg_price")), F.lit("."))
+            if has_price_col else F.lit(NOT_AVAILABLE["concept_average_price"])),
+        "top_products": top_products,
+        "category_rating": category_rating,
+        "revenue": revenue,
+        "discount": lambda: profile("discount", "discount_percentage", "Discount Insights:\n\n", [
+            ("Average Discount", "avg_discount", "%"), ("Maximum Discount", "max_discount", "%"),
+            ("Minimum Discount", "min_discount", "%")]),
+        "rating": lambda: profile("rating", "rating", "Rating Insights:\n\n", [
+            ("Average Rating", "avg_rating", "/5"), ("Best Rating", "max_rating", "/5"),
+            ("Lowest Rating", "min_rating", "/5")]),
+        "count": lambda: F.concat(F.lit("Total Products: "), fmt_grouped(F.col("n_rows"), 0)),
+        "price": price,
+        "associations": lambda: _association_answer(df),
+        "overview": lambda: narrate.overview_column(cols),  # same metrics row, no rescan
+        "empty": lambda: F.lit(EMPTY_ANSWER),
+    })
+    packed = F.array(*[F.struct(F.lit(k).alias("intent"), builders[k]().alias("answer"))
+                       for k in wanted])
     return m.select(F.explode(packed).alias("a")).select("a.intent", "a.answer")
 
 

@@ -18,12 +18,29 @@ from shelfscope.operators import (bands, basket, catalog, category, charts, fina
                                   models, narrate, schema)
 
 
+def _shared_base(df: DataFrame, mode: str) -> DataFrame:
+    """``persist``: cached, lost blocks recomputed from lineage. ``checkpoint``:
+    written once to the cluster's shared ``spark.checkpoint.dir`` (lineage cut;
+    falls back to persist when the session names no such folder). ``none``."""
+    if mode == "checkpoint":
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder:
+            df.sparkSession.sparkContext.setCheckpointDir(folder)
+            return df.checkpoint(eager=True)
+        mode = "persist"
+    if mode == "persist":
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df
+
+
 def insights(df: DataFrame, key_cols: list[str] | None = None, persist: bool = True,
              fit_models: bool = True, num_trees: int = 100, max_depth: int = 10,
-             synthetic_sales: bool = True) -> dict[str, DataFrame]:
+             synthetic_sales: bool = True, base: str | None = None) -> dict[str, DataFrame]:
     """All insights of ``df``. ``synthetic_sales=False`` keeps an input
-    ``sales_volume`` as it is instead of replacing it with the synthetic one."""
-    base = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
+    ``sales_volume`` as it is instead of replacing it with the synthetic one.
+    ``base`` picks how the shared input is kept: ``persist`` (default when
+    ``persist`` is true), ``checkpoint`` or ``none``."""
+    base = _shared_base(df, base or ("persist" if persist else "none"))
     out: dict[str, DataFrame] = {"kpis": metrics.kpis(base)}
     price = schema.resolve(base, schema.PRICE)
     cols = base.columns

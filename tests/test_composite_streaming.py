@@ -77,3 +77,10 @@ def test_command_line(spark, capsys):
     out_dir = os.path.join(folder, "out")
     assert main(["analyze", path, out_dir, "--no-models"]) == 0
     assert spark.read.json(os.path.join(out_dir, "kpis")).first().total_products == 3
+
+
+def test_insights_with_checkpointed_base(spark):
+    view = retail_view(spark, SF_SMALL)
+    out = insights(view, key_cols=["order_id", "line_no", "part_key", "supp_key"],
+                   fit_models=False, base="checkpoint")
+    assert out["kpis"].first().total_products == view.count()

@@ -145,3 +145,25 @@ def test_hot_basket_is_detected(spark):
     hints = {r.txn: r.s for r in basket._hot_baskets(b, 0.5, 0.001, 100, 64).collect()}
     assert set(hints) == {0}
     assert 10 <= hints[0] <= 64
+
+
+def test_cards_text(spark):
+    data = [("o1", "tea"), ("o1", "cup"), ("o2", "tea"), ("o2", "cup"), ("o2", "jam"), ("o3", "jam")]
+    df = spark.createDataFrame(data, "order_id string, product_name string")
+    cards = {(r.kind, r.position): r for r in basket.bought_together_cards(df).collect()}
+    first = cards[("rule", 1)]
+    assert first.title == "cup ↔ tea"
+    assert first.body == ("When customers purchase cup, they also purchase tea in 2 out of 3 "
+                          "transactions. This happens 100.0% of the time.")
+    assert first.stats == "Support: 66.7% | Confidence: 100.0%"
+    tea = [r for (k, _), r in cards.items() if k == "product" and r.title == "tea"][0]
+    assert tea.body.startswith("Often bought with: cup (2x), jam (1x). When customers buy tea")
+    assert tea.stats == "2 complementary products identified"
+
+
+def test_chart_fallback_without_sales(spark):
+    from shelfscope.operators import charts
+    df = spark.createDataFrame([("b-long-product-name", 10.0), ("a", 30.0), ("a", 10.0)],
+                               "product_name string, price double")
+    got = rows(charts.top_products(df, 20, label_width=4))
+    assert got == [("a", 20.0), ("b-lo…", 10.0)]

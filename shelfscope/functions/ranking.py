@@ -9,6 +9,7 @@ data). Used for exact medians and for dense codes of sorted distinct values.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,10 @@ def range_ranked(df: DataFrame, key: str, weight: Column | None = None,
     ranged = (df.withColumns({f"_w{tag[k]}": w for k, w in named.items()})
               .repartitionByRange(n_ranges, key)
               .withColumn("_r", F.spark_partition_id()))
+    if df.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() == "false":
+        # without exchange reuse each branch would sample its own range bounds;
+        # a shared cached relation gives both branches the same partitions
+        ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
     per_range = ranged.groupBy("_r").agg(*[F.sum(f"_w{tag[k]}").alias(f"_rw{tag[k]}") for k in named])
     before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

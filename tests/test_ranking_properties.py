@@ -63,3 +63,14 @@ def test_medians_frame_matches_brute_force(spark, pairs, ranges):
 
     assert got["all"] == brute([x for x, _ in pairs if x is not None])
     assert got["flagged"] == brute([x for x, f in pairs if x is not None and f])
+
+
+def test_median_without_exchange_reuse(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(0, 2001).select((F.col("id") * 7 % 2001).cast("double").alias("x"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = median_frame(df, "x", ranges=5).first()[0]
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+    assert got == 1000.0

@@ -19,10 +19,17 @@ from shelfscope.functions.ranking import range_ranked
 
 
 def median_frame(df: DataFrame, value: Column | str, ranges: int | None = None,
-                 alias: str = "median") -> DataFrame:
-    """One-row DataFrame ``[alias]``: exact median of the non-null values (NULL if none)."""
+                 alias: str = "median", approx: bool = False,
+                 accuracy: int = 10000) -> DataFrame:
+    """One-row DataFrame ``[alias]``: exact median of the non-null values (NULL if none).
+
+    ``approx=True`` opts into ``percentile_approx`` (a value of the data within
+    rank error n/accuracy, no interpolation): one pass, fixed memory per task.
+    """
     col = F.col(value) if isinstance(value, str) else value
     values = df.select(nan_to_null(col.cast("double")).alias("v")).where(F.col("v").isNotNull())
+    if approx:
+        return values.agg(F.percentile_approx("v", 0.5, accuracy).alias(alias))
     # Distinct values with multiplicity: partial aggregation keeps hot values cheap.
     counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
     ranked = (range_ranked(counted, "v", F.col("c"), ranges)

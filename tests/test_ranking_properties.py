@@ -74,3 +74,9 @@ def test_median_without_exchange_reuse(spark):
     finally:
         spark.conf.set("spark.sql.exchange.reuse", "true")
     assert got == 1000.0
+
+
+def test_approx_median_option(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(0, 1001).select(F.col("id").cast("double").alias("x"))
+    assert median_frame(df, "x", approx=True).first()[0] == 500.0

@@ -43,11 +43,6 @@ def median_frame(df: DataFrame, value: Column | str, ranges: int | None = None,
     return mid.select((F.col("lo") + (F.col("hi") - F.col("lo")) * F.lit(0.5)).alias(alias))
 
 
-def median_scalar(df: DataFrame, value: Column | str, ranges: int | None = None) -> Column:
-    """The exact median as a scalar-subquery Column usable in any expression."""
-    return median_frame(df, value, ranges).scalar()
-
-
 def medians_frame(df: DataFrame, value: Column | str, subsets: dict[str, Column],
                   ranges: int | None = None) -> DataFrame:
     """One row with the exact median of ``value`` over each row subset

@@ -35,7 +35,8 @@ NO_PRODUCT = "Product name column not found."
 NO_TRANSACTION = ("Transaction ID column not found. Add an order/transaction/basket ID "
                   "column to compute product pairs.")
 NO_DATA = "No transaction data available to compute product pairs."
-NO_VALID = "No valid transactions found."
+# (A fourth note, "No valid transactions found.", cannot occur: once rows missing a
+# transaction or product are dropped, every remaining row belongs to a transaction.)
 
 
 class BasketRolesMissing(ValueError):

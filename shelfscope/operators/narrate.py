@@ -125,10 +125,5 @@ def general_insights(df: DataFrame) -> DataFrame:
     return metrics.metrics_row(df).select(overview_column(df.columns).alias("text"))
 
 
-def overview_text(df: DataFrame) -> Column:
-    """R3 as a scalar subquery column."""
-    return general_insights(df).select("text").scalar()
-
-
-__all__ = ["recommendations", "insights_explanation", "general_insights", "overview_text",
-           "overview_column", "basis_column"]
+__all__ = ["recommendations", "insights_explanation", "general_insights", "overview_column",
+           "basis_column"]

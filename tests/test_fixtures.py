@@ -167,3 +167,9 @@ def test_chart_fallback_without_sales(spark):
                                "product_name string, price double")
     got = rows(charts.top_products(df, 20, label_width=4))
     assert got == [("a", 20.0), ("b-lo…", 10.0)]
+
+
+def test_with_price_band(spark):
+    df = spark.createDataFrame([(100.0,), (750.0,), (0.0,), (None,)], "price double")
+    got = [r.price_band for r in bands.with_price_band(df).collect()]
+    assert got == ["Budget (<500)", "Economy (500-1000)", None, None]

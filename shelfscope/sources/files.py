@@ -14,6 +14,8 @@ NA_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan"
             "nan", "null"]
 
 UNSUPPORTED = "Please upload a CSV or Excel file."
+EXCEL = ("Excel workbooks are not decoded on the cluster; save the sheet as CSV (or Parquet) "
+         "and read that.")
 
 
 def check_format(path: str) -> str:
@@ -23,6 +25,8 @@ def check_format(path: str) -> str:
         return "csv"
     if path.endswith((".parquet",)):
         return "parquet"
+    if path.endswith((".xlsx", ".xls")):
+        raise ValueError(EXCEL)
     raise ValueError(UNSUPPORTED)
 
 

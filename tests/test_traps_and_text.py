@@ -90,8 +90,10 @@ def test_csv_source_traps(spark):
     assert got["cup"] == (15.0, 4.0, None)
     assert got["pen"] == (15.0, 4.0, 10.0)
     assert got["jam"] == (20.0, 3.5, 5.0)
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="CSV or Excel"):
         files.check_format(os.path.join(folder, "shop.txt"))
+    with pytest.raises(ValueError, match="save the sheet as CSV"):
+        files.check_format(os.path.join(folder, "shop.xlsx"))
 
 
 def test_nan_is_null_and_null_keys(spark):

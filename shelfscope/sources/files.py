@@ -18,23 +18,34 @@ EXCEL = ("Excel workbooks are not decoded on the cluster; save the sheet as CSV
          "and read that.")
 
 
-def check_format(path: str) -> str:
-    """A single file must end in ``.csv`` (case-sensitive); a folder of CSV
-    parts is accepted. Excel is not decoded here: convert it first."""
-    if os.path.isdir(path) or path.endswith(".csv"):
+def check_format(path: str, fmt: str | None = None) -> str:
+    """``csv`` or ``parquet`` for a path. A single file must end in ``.csv``
+    (case-sensitive) or ``.parquet``; a folder (local or remote, e.g. ``s3a://``)
+    holds CSV parts unless it holds Parquet files. Excel is not decoded here:
+    convert it first. ``fmt`` overrides the inference."""
+    if fmt is not None:
+        if fmt not in ("csv", "parquet"):
+            raise ValueError(UNSUPPORTED)
+        return fmt
+    last = path.rstrip("/").rsplit("/", 1)[-1]
+    if path.endswith(".csv"):
         return "csv"
-    if path.endswith((".parquet",)):
+    if path.endswith(".parquet"):
         return "parquet"
     if path.endswith((".xlsx", ".xls")):
         raise ValueError(EXCEL)
+    if os.path.isdir(path):
+        return "parquet" if any(f.endswith(".parquet") for f in os.listdir(path)) else "csv"
+    if path.endswith("/") or "." not in last:
+        return "csv"  # a folder of CSV parts (remote folders are not listed here)
     raise ValueError(UNSUPPORTED)
 
 
 def read_table(spark: SparkSession, path: str, strict: bool = True, impute: bool = True,
-               all_null_fill: float | None = None) -> DataFrame:
+               all_null_fill: float | None = None, fmt: str | None = None) -> DataFrame:
     """Read a CSV file or folder (every column as text), null the NA words,
     then normalise (fold, alias, coerce, impute). Parquet keeps its types."""
-    fmt = check_format(path)
+    fmt = check_format(path, fmt)
     if fmt == "parquet":
         return ingest.normalize(spark.read.parquet(path), strict, impute, all_null_fill)
     # Header cells as written, so that folded duplicates are caught before

@@ -94,6 +94,13 @@ def test_csv_source_traps(spark):
         files.check_format(os.path.join(folder, "shop.txt"))
     with pytest.raises(ValueError, match="save the sheet as CSV"):
         files.check_format(os.path.join(folder, "shop.xlsx"))
+    assert files.check_format("s3a://bucket/shop/") == "csv"
+    assert files.check_format("s3a://bucket/shop", fmt="parquet") == "parquet"
+    assert files.check_format(folder) == "csv"
+    pq_dir = tempfile.mkdtemp(prefix="shelfscope-pq-")
+    spark.createDataFrame([("tea", 1.0)], "name string, price double").write.mode("overwrite").parquet(pq_dir)
+    assert files.check_format(pq_dir) == "parquet"
+    assert files.read_table(spark, pq_dir).columns == ["product_name", "price"]
 
 
 def test_nan_is_null_and_null_keys(spark):

@@ -6,8 +6,9 @@ Runs the registered headline queries on ``$BENCH_SF_DIR`` (default
  "queries": {name: seconds}, "sf": <scale>}.
 
 Each query is timed from plan to result on the driver (Arrow transfer), with
-the view recomputed from Parquet every time (no cache), after one untimed
-warm-up pass over the view. Every query runs ``$BENCH_RUNS`` times (default
+the view recomputed from Parquet every time (no data cache; only the tables'
+file listings and schemas are kept), after one untimed warm-up pass over the
+view. Every query runs ``$BENCH_RUNS`` times (default
 3): ``queries`` holds the best run (code generated for that query already
 compiled), ``cold_first_run`` the first run, which includes that compilation.
 """

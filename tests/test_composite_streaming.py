@@ -84,3 +84,17 @@ def test_insights_with_checkpointed_base(spark):
     out = insights(view, key_cols=["order_id", "line_no", "part_key", "supp_key"],
                    fit_models=False, base="checkpoint")
     assert out["kpis"].first().total_products == view.count()
+
+
+def test_materialized_view_matches(spark):
+    from shelfscope.operators import basket
+    from shelfscope.sources.retail_view import materialize_view, read_materialized
+    target = os.path.join(tempfile.mkdtemp(prefix="shelfscope-view-"), "retail")
+    materialize_view(spark, SF_SMALL, target)
+    stored = read_materialized(spark, target)
+    live = retail_view(spark, SF_SMALL)
+    assert stored.schema.simpleString() == live.schema.simpleString()
+    assert stored.count() == live.count()
+    a = sorted(tuple(r) for r in basket.association_rules(stored).collect())
+    b = sorted(tuple(r) for r in basket.association_rules(live).collect())
+    assert a == b

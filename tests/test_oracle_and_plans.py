@@ -1,6 +1,7 @@
 """Registered queries against DuckDB, properties, and plan shape checks."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -132,3 +133,22 @@ def test_model_reproducible(spark):
     a = registry.QUERIES["rating_model"](spark, SF_SMALL).first()
     b = registry.QUERIES["rating_model"](spark, SF_SMALL).first()
     assert (a.rmse, a.r2) == (b.rmse, b.r2)
+
+
+def test_pairs_are_counted_map_side(spark):
+    view = retail_view(spark, SF_SMALL)
+    df = basket.item_pairs(view)
+    df.collect()
+    plan = _plan(df)
+    # a partial count sits right after the pair join, before the pair shuffle
+    assert "partial_count" in plan
+    assert re.search(r"HashAggregate\(keys=\[product_a#\d+, product_b#\d+\], functions=\[partial_count", plan)
+
+
+def test_median_range_exchange_is_reused(spark):
+    from shelfscope.functions.quantile import median_frame
+    df = median_frame(retail_view(spark, SF_SMALL), "price")
+    df.collect()
+    plan = _plan(df)
+    assert plan.count("Exchange rangepartitioning") >= 1
+    assert "ReusedExchange" in plan and "rangepartitioning" in plan.split("ReusedExchange", 1)[1]

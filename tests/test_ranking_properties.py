@@ -80,3 +80,20 @@ def test_approx_median_option(spark):
     from pyspark.sql import functions as F
     df = spark.range(0, 1001).select(F.col("id").cast("double").alias("x"))
     assert median_frame(df, "x", approx=True).first()[0] == 500.0
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=300))
+def test_hot_basket_hints_are_bounded(spark, sizes):
+    # whatever the basket sizes, at most 1/hot_fraction baskets can be hinted
+    from pyspark.sql import functions as F
+    from shelfscope.operators import basket
+    rows_ = [(t, f"i{j}") for t, k in enumerate(sizes) for j in range(k)]
+    b = spark.createDataFrame(rows_, "txn long, item string")
+    hot_fraction = 0.02
+    hints = basket._hot_baskets(b, 1.0, hot_fraction, 1, 64)  # chunk 1: every hot basket splits
+    n = hints.count()
+    assert n <= int(1 / hot_fraction)
+    total = sum(sizes)
+    expected = sum(1 for k in sizes if k > total * hot_fraction and k > 1)
+    assert n == expected

@@ -113,8 +113,10 @@ def _regression_metrics(pred: DataFrame, label: str, with_accuracy: bool) -> Dat
     return stats.select(F.sqrt("mse").alias("rmse"), F.col("mae"), r2.alias("r2"))
 
 
-def _fit(df: DataFrame, features: list[str], label: str, use_category: bool,
-         num_trees: int, max_depth: int, key_cols: list[str] | None):
+def model_features(df: DataFrame, features: list[str], use_category: bool,
+                   key_cols: list[str] | None):
+    """M1-M3 for a model: mean-filled features, the category code (when used)
+    and the train/test split. Returns (data, feature names, codes table)."""
     data = _mean_filled(df, features)
     names = list(features)
     codes = None
@@ -122,7 +124,20 @@ def _fit(df: DataFrame, features: list[str], label: str, use_category: bool,
         codes = category_codes(df)
         data = with_category_code(data, codes)
         names.append("category_code")
-    data = with_split(data, key_cols)
+    return with_split(data, key_cols), names, codes
+
+
+def rating_features(df: DataFrame, key_cols: list[str] | None = None) -> DataFrame:
+    """The exact table the rating model trains and tests on (label mean-filled)."""
+    price = schema.resolve(df, schema.PRICE)
+    data, _, _ = model_features(_mean_filled(df, ["rating"]), [price, "discount_percentage"],
+                                "category" in df.columns, key_cols)
+    return data
+
+
+def _fit(df: DataFrame, features: list[str], label: str, use_category: bool,
+         num_trees: int, max_depth: int, key_cols: list[str] | None):
+    data, names, codes = model_features(df, features, use_category, key_cols)
     stages = [VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"),
               RandomForestRegressor(featuresCol="features", labelCol=label,
                                     numTrees=num_trees, maxDepth=max_depth,

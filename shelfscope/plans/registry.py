@@ -567,6 +567,23 @@ def q_synthetic_sales(spark, sf):
         .select("order_id", "line_no", "sales_volume")
 
 
+@register("model_features", f"""
+WITH m AS (SELECT {_mean('rating')} AS mr, {_mean('price')} AS mp,
+  {_mean('discount_percentage')} AS md FROM retail),
+codes AS (SELECT category, CAST(DENSE_RANK() OVER (ORDER BY category) - 1 AS DOUBLE) AS code
+  FROM (SELECT DISTINCT category FROM retail WHERE category IS NOT NULL)),
+k AS (SELECT CAST(COUNT(*) AS DOUBLE) AS k FROM codes)
+SELECT r.order_id, r.line_no, COALESCE(CAST(r.price AS DOUBLE), m.mp) AS price,
+  COALESCE(r.discount_percentage, m.md) AS discount_percentage,
+  COALESCE(codes.code, k.k) AS category_code, COALESCE(r.rating, m.mr) AS rating,
+  CASE WHEN {_U} < 0.2 THEN 'test' ELSE 'train' END AS split
+FROM retail r CROSS JOIN m CROSS JOIN k LEFT JOIN codes ON r.category = codes.category""")
+def q_model_features(spark, sf):
+    """M1-M3: the feature table the rating model trains on (mean fills, codes, split)."""
+    return models.rating_features(_v(spark, sf), KEY).select(
+        "order_id", "line_no", "price", "discount_percentage", "category_code", "rating", "split")
+
+
 @register("rating_model")
 def q_rating_model(spark, sf):
     """M4 (rows-only check): 20 trees of depth 5 keep the registered run short."""

@@ -13,7 +13,8 @@ from shelfscope.operators import basket, bands
 
 FAST = ["kpis", "top_categories_by_revenue", "price_bands", "segmentation", "product_list",
         "profit_loss", "avg_annual_expenditure", "association_rules", "synthetic_sales",
-        "recommendations", "question_intents", "bought_together_cards", "impute_median"]
+        "recommendations", "question_intents", "bought_together_cards", "impute_median",
+        "model_features", "answer_questions"]
 
 
 def _norm(rows, cols):

@@ -95,6 +95,7 @@ def q_impute_median(spark, sf):
 @register("low_rated", """
 SELECT order_id, line_no, product_name, rating FROM retail WHERE rating < 3.0""")
 def q_low_rated(spark, sf):
+    """F1: rows rated below 3.0."""
     return metrics.low_rated(_v(spark, sf)).select("order_id", "line_no", "product_name", "rating")
 
 
@@ -102,6 +103,7 @@ def q_low_rated(spark, sf):
 SELECT order_id, line_no, product_name, discount_percentage, rating FROM retail
 WHERE discount_percentage > 30 AND rating < 3.5""")
 def q_discount_rating_gap(spark, sf):
+    """discount above 30 with rating below 3.5."""
     return metrics.discount_rating_gap(_v(spark, sf)).select(
         "order_id", "line_no", "product_name", "discount_percentage", "rating")
 
@@ -114,6 +116,7 @@ SELECT COUNT(*) AS total_products, COUNT(DISTINCT category) AS total_categories,
   {_mean('rating')} AS avg_rating
 FROM retail""")
 def q_kpis(spark, sf):
+    """A1: row count, distinct categories, mean price, discount and rating."""
     return metrics.kpis(_v(spark, sf))
 
 
@@ -121,6 +124,7 @@ def q_kpis(spark, sf):
 SELECT category, {_sum('price')} AS revenue FROM retail WHERE category IS NOT NULL
 GROUP BY category ORDER BY revenue DESC, category LIMIT 5""")
 def q_top_categories_by_revenue(spark, sf):
+    """A2: five categories with the largest price total."""
     return category.category_revenue(_v(spark, sf), 5)
 
 
@@ -128,6 +132,7 @@ def q_top_categories_by_revenue(spark, sf):
 SELECT category, {_mean('rating')} AS avg_rating FROM retail WHERE category IS NOT NULL
 GROUP BY category ORDER BY avg_rating DESC NULLS LAST, category LIMIT 5""")
 def q_top_categories_by_rating(spark, sf):
+    """A3: five categories with the highest mean rating."""
     return category.category_rating(_v(spark, sf), 5)
 
 
@@ -135,6 +140,7 @@ def q_top_categories_by_rating(spark, sf):
 SELECT category, {_mean('price')} AS avg_price FROM retail WHERE category IS NOT NULL
 GROUP BY category ORDER BY category LIMIT 10""")
 def q_avg_price_by_category(spark, sf):
+    """A4: mean price of the first ten categories by name."""
     return category.avg_price_by_category(_v(spark, sf), 10)
 
 
@@ -142,6 +148,7 @@ def q_avg_price_by_category(spark, sf):
 SELECT category, {_mean('discount_percentage')} AS avg_discount FROM retail
 WHERE category IS NOT NULL GROUP BY category ORDER BY category LIMIT 10""")
 def q_avg_discount_by_category(spark, sf):
+    """A5: mean discount of the first ten categories by name."""
     return category.avg_discount_by_category(_v(spark, sf), 10)
 
 
@@ -160,6 +167,7 @@ SELECT CAST(dim.band_order AS INT) AS band_order, dim.price_band,
 FROM dim LEFT JOIN (SELECT band_order, COUNT(*) AS n FROM b WHERE band_order IS NOT NULL
   GROUP BY band_order) c ON dim.band_order = c.band_order""")
 def q_price_bands(spark, sf):
+    """Rows per price band, all six bands listed."""
     return bands.price_bands(_v(spark, sf))
 
 
@@ -168,6 +176,7 @@ SELECT CASE WHEN COUNT(*) FILTER (WHERE discount_percentage > 30) = 0 THEN 0.0e0
   ELSE {_mean('CASE WHEN discount_percentage > 30 THEN rating END')} END
   AS high_discount_avg_rating FROM retail""")
 def q_high_discount_rating(spark, sf):
+    """Mean rating of rows with discount above 30."""
     return metrics.high_discount_rating(_v(spark, sf))
 
 
@@ -181,6 +190,7 @@ SELECT * FROM (VALUES
  ('Declining Products (Low Rating, High Price)', (SELECT COUNT(*) FROM f WHERE lr AND hp)),
  ('Dead Weight (Low Rating, Low Price)', (SELECT COUNT(*) FROM f WHERE lr AND lp))) t(segment, n)""")
 def q_segmentation(spark, sf):
+    """Four segments by rating and price against the exact median."""
     return bands.segmentation(_v(spark, sf))
 
 
@@ -201,6 +211,7 @@ g AS (SELECT TRIM(product_name) AS product_name, {_mean('price')} AS price,
 SELECT g.product_name, g.price, g.sales, modes.category, g.rating, g.discount_percentage
 FROM g LEFT JOIN modes ON g.product_name = modes.product_name""")
 def q_product_list(spark, sf):
+    """A9 + A10 + J1: one row per product."""
     return catalog.product_list(_v(spark, sf))
 
 
@@ -210,6 +221,7 @@ SELECT p.product_name, modes.category FROM
   (SELECT DISTINCT TRIM(product_name) AS product_name FROM retail WHERE product_name IS NOT NULL) p
   LEFT JOIN modes ON p.product_name = modes.product_name""")
 def q_product_category_mode(spark, sf):
+    """A10: most frequent category per product."""
     return catalog.product_category_mode(_v(spark, sf))
 
 
@@ -217,6 +229,7 @@ def q_product_category_mode(spark, sf):
 SELECT TRIM(product_name) AS product_name, {_sum('review_count')} AS value FROM retail
 WHERE product_name IS NOT NULL GROUP BY 1""")
 def q_product_sales(spark, sf):
+    """Sales basis total per product."""
     return catalog.product_sales(_v(spark, sf))
 
 
@@ -224,6 +237,7 @@ def q_product_sales(spark, sf):
 SELECT TRIM(product_name) AS product_name, {_sum('review_count')} AS sales FROM retail
 WHERE product_name IS NOT NULL GROUP BY 1 ORDER BY sales DESC, product_name LIMIT 10""")
 def q_top_selling_products(spark, sf):
+    """Ten products with the largest sales total."""
     return catalog.top_selling_products(_v(spark, sf), 10)
 
 
@@ -237,6 +251,7 @@ SELECT TRUE AS available,
   'Computed from price - cost_price x quantity' AS basis, CAST(NULL AS VARCHAR) AS note
 FROM v""")
 def q_profit_loss(spark, sf):
+    """Profit, loss and net over (sell - cost) x quantity."""
     return finance.profit_loss(_v(spark, sf))
 
 
@@ -248,6 +263,7 @@ _YEARS = """SELECT CAST(year(order_date) AS INT) AS year,
 @register("annual_expenditure", f"""
 SELECT year, CAST(e AS DOUBLE) AS expenditure FROM ({_YEARS})""")
 def q_annual_expenditure(spark, sf):
+    """Spend per year (cost_price x quantity)."""
     return finance.annual_expenditure_table(with_expenditure(_v(spark, sf)))
 
 
@@ -258,6 +274,7 @@ SELECT COUNT(*) > 0 AS available,
   CASE WHEN COUNT(*) = 0 THEN 'No valid yearly expenditure data found.' END AS note
 FROM ({_YEARS})""")
 def q_avg_annual_expenditure(spark, sf):
+    """Mean of the yearly sums with the year list."""
     return finance.avg_annual_expenditure(with_expenditure(_v(spark, sf)))
 
 
@@ -268,12 +285,14 @@ SELECT (SELECT category FROM m ORDER BY m DESC, category LIMIT 1) AS best_catego
        (SELECT category FROM m ORDER BY m ASC, category LIMIT 1) AS worst_category
 WHERE EXISTS (SELECT 1 FROM m)""")
 def q_best_worst_category(spark, sf):
+    """Best and worst category by mean rating."""
     return category.best_worst_category(_v(spark, sf))
 
 
 @register("price_anchor", f"""
 SELECT {_median('price', 'rating >= 4.0')} AS price_anchor""")
 def q_price_anchor(spark, sf):
+    """Exact median price of rows rated 4 or more."""
     return metrics.price_anchor(_v(spark, sf))
 
 
@@ -282,6 +301,7 @@ SELECT {_mean('discount_percentage')} AS avg_discount,
   CAST(MAX(discount_percentage) AS DOUBLE) AS max_discount,
   CAST(MIN(discount_percentage) AS DOUBLE) AS min_discount FROM retail""")
 def q_discount_profile(spark, sf):
+    """Mean, max and min discount."""
     return metrics.discount_profile(_v(spark, sf))
 
 
@@ -289,6 +309,7 @@ def q_discount_profile(spark, sf):
 SELECT {_mean('rating')} AS avg_rating, CAST(MAX(rating) AS DOUBLE) AS best_rating,
   CAST(MIN(rating) AS DOUBLE) AS worst_rating FROM retail""")
 def q_rating_profile(spark, sf):
+    """Mean, max and min rating."""
     return metrics.rating_profile(_v(spark, sf))
 
 
@@ -296,6 +317,7 @@ def q_rating_profile(spark, sf):
 SELECT {_mean('price')} AS avg_price, {_median('price')} AS median_price,
   CAST(MIN(price) AS DOUBLE) AS min_price, CAST(MAX(price) AS DOUBLE) AS max_price FROM retail""")
 def q_price_profile(spark, sf):
+    """Mean, exact median, min and max price."""
     return metrics.price_profile(_v(spark, sf))
 
 
@@ -304,6 +326,7 @@ SELECT category, {_mean('rating')} AS avg_rating, COUNT(*) AS n FROM retail
 WHERE category IS NOT NULL GROUP BY category
 ORDER BY avg_rating DESC NULLS LAST, category LIMIT 3""")
 def q_category_top3_rating(spark, sf):
+    """Three best-rated categories with their row counts."""
     return category.category_top_rating_with_count(_v(spark, sf), 3)
 
 
@@ -311,12 +334,14 @@ def q_category_top3_rating(spark, sf):
 SELECT category, {_sum('price')} AS revenue FROM retail WHERE category IS NOT NULL
 GROUP BY category ORDER BY revenue DESC, category LIMIT 3""")
 def q_category_top3_revenue(spark, sf):
+    """Three categories with the largest price total."""
     return category.category_top_revenue(_v(spark, sf), 3)
 
 
 @register("category_list", """
 SELECT DISTINCT category FROM retail WHERE category IS NOT NULL AND category <> ''""")
 def q_category_list(spark, sf):
+    """distinct non-empty categories."""
     return category.category_list(_v(spark, sf))
 
 
@@ -325,6 +350,7 @@ SELECT substr(product_name, 1, 50) AS product_name, CAST(price AS DOUBLE) AS pri
 FROM retail WHERE price IS NOT NULL
 ORDER BY price DESC, product_name, category NULLS LAST LIMIT 5""")
 def q_top5_by_price(spark, sf):
+    """The five highest-priced rows."""
     return catalog.top_by_price(_v(spark, sf), 5)
 
 
@@ -347,21 +373,25 @@ _RULES = f"""SELECT p.product_a, p.product_b, p.count,
 @register("baskets", f"""
 SELECT txn, COUNT(*) AS n_items FROM ({_BASKETS}) GROUP BY txn""")
 def q_baskets(spark, sf):
+    """B1: distinct items per basket."""
     return basket.basket_sizes(_v(spark, sf))
 
 
 @register("item_counts", _COUNTS)
 def q_item_counts(spark, sf):
+    """B2: baskets holding each item."""
     return basket.item_counts(_v(spark, sf))
 
 
 @register("item_pairs", _PAIRS)
 def q_item_pairs(spark, sf):
+    """B3 + J2: baskets holding both items of each pair."""
     return basket.item_pairs(_v(spark, sf))
 
 
 @register("association_rules", _RULES)
 def q_association_rules(spark, sf):
+    """B4 + J3 + T4: support and confidences of every pair."""
     return basket.association_rules(_v(spark, sf))
 
 
@@ -373,6 +403,7 @@ SELECT product, partner, count, support,
   CAST(ROW_NUMBER() OVER (PARTITION BY product ORDER BY count DESC, support DESC, partner) AS INT)
   AS rank FROM b""")
 def q_partners_by_product(spark, sf):
+    """B5 + T5: ranked partners of each product."""
     return basket.partners_by_product(_v(spark, sf))
 
 
@@ -381,6 +412,7 @@ SELECT COUNT(DISTINCT txn) AS total_transactions, COUNT(DISTINCT item) AS unique
   CASE WHEN COUNT(DISTINCT txn) = 0 THEN 'No transaction data available to compute product pairs.'
   ELSE '' END AS note FROM ({_BASKETS})""")
 def q_association_meta(spark, sf):
+    """Transactions, distinct products and note."""
     return basket.association_meta(_v(spark, sf))
 
 
@@ -416,6 +448,7 @@ def q_catalog_search_regex(spark, sf):
 @register("catalog_filter", f"""
 WITH {_PL} SELECT * FROM pl WHERE category = 'Brand#1'""")
 def q_catalog_filter(spark, sf):
+    """products of one category."""
     return catalog.filter_category(_products(spark, sf), "Brand#1")
 
 
@@ -470,12 +503,14 @@ def q_chart_top_products(spark, sf):
 WITH {_PL} SELECT category, COUNT(*) AS n FROM pl
   WHERE category IS NOT NULL AND category <> '' GROUP BY category""")
 def q_chart_category_distribution(spark, sf):
+    """Products per category."""
     return charts.category_distribution(_products(spark, sf))
 
 
 @register("chart_price_rating", f"""
 WITH {_PL} SELECT price AS x, rating AS y FROM pl WHERE price IS NOT NULL AND rating IS NOT NULL""")
 def q_chart_price_rating(spark, sf):
+    """(price, rating) points of the product list."""
     return charts.xy_trend(_products(spark, sf), "price")
 
 
@@ -483,12 +518,14 @@ def q_chart_price_rating(spark, sf):
 WITH {_PL} SELECT discount_percentage AS x, rating AS y FROM pl
   WHERE discount_percentage IS NOT NULL AND rating IS NOT NULL""")
 def q_chart_discount_rating(spark, sf):
+    """C4: (discount, rating) points of the product list."""
     return charts.xy_trend(_products(spark, sf), "discount_percentage")
 
 
 @register("chart_rating_distribution", f"""
 WITH {_PL} SELECT rating, COUNT(*) AS n FROM pl WHERE rating IS NOT NULL GROUP BY rating""")
 def q_chart_rating_distribution(spark, sf):
+    """Products per exact rating."""
     return charts.rating_distribution(_products(spark, sf))
 
 
@@ -496,6 +533,7 @@ def q_chart_rating_distribution(spark, sf):
 WITH {_PL} SELECT format('{{:.1f}}', rating) AS rating, COUNT(*) AS n FROM pl
   WHERE rating IS NOT NULL GROUP BY 1""")
 def q_chart_rating_distribution_1dp(spark, sf):
+    """Products per rating shown to one decimal."""
     return charts.rating_distribution(_products(spark, sf), one_decimal=True)
 
 
@@ -529,6 +567,7 @@ pc AS (SELECT 'product' AS kind, CAST(ROW_NUMBER() OVER (ORDER BY product) AS IN
   CAST(n_partners AS VARCHAR) || ' complementary products identified' AS stats FROM pp)
 SELECT * FROM rc UNION ALL SELECT * FROM pc""")
 def q_bought_together_cards(spark, sf):
+    """B8 + T6: rule cards and product cards as text."""
     return basket.bought_together_cards(_v(spark, sf))
 
 
@@ -544,6 +583,7 @@ KEY = ["order_id", "line_no", "part_key", "supp_key"]
 SELECT category, CAST(DENSE_RANK() OVER (ORDER BY category) - 1 AS DOUBLE) AS code
 FROM (SELECT DISTINCT category FROM retail WHERE category IS NOT NULL)""")
 def q_category_codes(spark, sf):
+    """M1: category codes by sorted order."""
     return models.category_codes(_v(spark, sf))
 
 
@@ -551,6 +591,7 @@ def q_category_codes(spark, sf):
 SELECT CASE WHEN {_U} < 0.2 THEN 'test' ELSE 'train' END AS split, COUNT(*) AS n
 FROM retail GROUP BY 1""")
 def q_train_test_split(spark, sf):
+    """M3: rows per side of the 80/20 split."""
     return (models.with_split(_v(spark, sf), KEY).groupBy("split")
             .agg(F.count(F.lit(1)).alias("n")))
 
@@ -636,6 +677,7 @@ l AS (SELECT 1 AS k, CASE WHEN n_low > 0 THEN CAST(n_low AS VARCHAR) ||
     '. Use these items for bundles, ads, and cross-sell placement.' FROM m)
 SELECT CAST(ROW_NUMBER() OVER (ORDER BY k) AS INT) AS position, line FROM l WHERE line IS NOT NULL""")
 def q_recommendations(spark, sf):
+    """Ordered recommendation lines."""
     return narrate.recommendations(_v(spark, sf))
 
 
@@ -653,6 +695,7 @@ UNION ALL SELECT 6, CASE WHEN n_incomplete = 0
   THEN '• Top sellers are derived from the synthetic sales volume model based on rating, price, and discount.'
   ELSE '• Top sellers are inferred from review counts (as a proxy for demand).' END FROM m""")
 def q_insights_explanation(spark, sf):
+    """R2: the explanation lines for the table's sales basis."""
     return narrate.insights_explanation(_v(spark, sf))
 
 
@@ -667,6 +710,7 @@ _OVERVIEW = f"""SELECT 'Data Overview: ' || CAST(n_rows AS VARCHAR) || ' product
 @register("general_insights", f"""
 WITH m AS ({_METRICS}) {_OVERVIEW}""")
 def q_general_insights(spark, sf):
+    """The data overview text."""
     return narrate.general_insights(_v(spark, sf))
 
 

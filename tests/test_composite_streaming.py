@@ -98,3 +98,12 @@ def test_materialized_view_matches(spark):
     a = sorted(tuple(r) for r in basket.association_rules(stored).collect())
     b = sorted(tuple(r) for r in basket.association_rules(live).collect())
     assert a == b
+
+
+def test_checkpoint_dir_rule(spark):
+    from shelfscope.session import checkpoint_dir
+    current = spark.conf.get("spark.checkpoint.dir")  # set by the test fixture
+    other = tempfile.mkdtemp(prefix="shelfscope-other-")
+    # an existing setting wins over any fallback
+    assert checkpoint_dir(spark, other) == current
+    assert spark.conf.get("spark.checkpoint.dir") == current

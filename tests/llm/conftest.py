@@ -1,0 +1,16 @@
+import pytest
+from pyspark.sql import types as T
+
+DOCS = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
+    T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
+    T.StructField("n_chars", T.LongType())])
+
+
+@pytest.fixture
+def make_docs(spark):
+    """Documents from (doc_id, text[, lang]) tuples, over three partitions."""
+    def make(rows):
+        full = [(r[0], r[1], r[2] if len(r) > 2 else "en", "src0", len(r[1] or "")) for r in rows]
+        return spark.createDataFrame(full, DOCS).repartition(3)
+    return make

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfscope.llm import bpe
+from shelfscope.llm import bpe, secrets, simhash
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -14,12 +14,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_report(_table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op2_bpe": op2_bpe,
+    "op9_simhash": op9_simhash,
 }
 
-ORACLE: dict[str, str] = {}
+# op1: each kind's matches and the pieces between them give the places; the
+# expressions are spelled out here, in another dialect, on purpose.
+_OP1 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+k(no, kind, pat, least, grp) AS (VALUES
+  (0, 'assign', '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']? *[:=] *["'']?[A-Za-z0-9+/_.=-]+', 12, true),
+  (1, 'access', 'AKIA[A-Z0-9]+', 18, false),
+  (2, 'hex', '[0-9a-f]{16,}', 16, false),
+  (3, 'pem', '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----', 0, false),
+  (4, 'github', 'gh[pousr]_[A-Za-z0-9]{36,}', 0, false),
+  (5, 'slack', 'xox[abprs]-[A-Za-z0-9-]{10,}', 0, false),
+  (6, 'jwt', 'eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}', 0, false)),
+m AS (SELECT doc_id, no, kind, least, grp, regexp_extract_all(t, pat) AS ms, string_split_regex(t, pat) AS ps
+      FROM d, k WHERE regexp_matches(t, pat)),
+s AS (SELECT doc_id, no, kind, least, grp, ms[i] AS v,
+        list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS b
+      FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m)),
+f AS (SELECT doc_id, no, kind, b, kind || ':' || CAST(b AS BIGINT) || ':' || CAST(b + length(v) AS BIGINT) AS span
+      FROM s WHERE CASE WHEN grp THEN length(regexp_extract(v, '^.*?[A-Za-z]["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= least
+                        ELSE length(v) >= least END),
+g AS (SELECT doc_id, count(*) FILTER (no = 0) AS a, count(*) FILTER (no = 1) AS c, count(*) FILTER (no = 2) AS h,
+        string_agg(span, ',' ORDER BY b, no) FILTER (no < 3) AS base, string_agg(span, ',' ORDER BY b, no) AS every
+      FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_secrets": _OP1,
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfscope.llm import bpe, quality, secrets, simhash, suffixes
+from shelfscope.llm import bpe, privacy, quality, secrets, simhash, suffixes
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -22,6 +22,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op4_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.privacy_report(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_bpe": op2_bpe,
+    "op4_privacy": op4_privacy,
     "op7_quality": op7_quality,
     "op8_suffixes": op8_suffixes,
     "op9_simhash": op9_simhash,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfscope.llm import bpe, privacy, quality, secrets, simhash, suffixes
+from shelfscope.llm import bpe, privacy, quality, secrets, simhash, suffixes, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -26,6 +26,10 @@ def op4_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.privacy_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_bpe": op2_bpe,
     "op4_privacy": op4_privacy,
+    "op5_toxicity": op5_toxicity,
     "op7_quality": op7_quality,
     "op8_suffixes": op8_suffixes,
     "op9_simhash": op9_simhash,

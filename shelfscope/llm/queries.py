@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfscope.llm import bpe, privacy, quality, secrets, simhash, suffixes, toxicity
+from shelfscope.llm import bpe, privacy, quality, secrets, simhash, suffixes, tiling, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -30,6 +30,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.leak_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_privacy": op4_privacy,
     "op5_toxicity": op5_toxicity,
+    "op6_tiling": op6_tiling,
     "op7_quality": op7_quality,
     "op8_suffixes": op8_suffixes,
     "op9_simhash": op9_simhash,

@@ -2,8 +2,8 @@
 
     P(grade > k) = sigmoid(w . x + b_k),  b_0 >= b_1 >= ...
 
-One weight vector w is shared by all thresholds. x tells which words of a
-vocabulary a text holds. The model is fitted in its binary form: each labelled
+One weight vector w is shared by all thresholds. x tells which words, and which
+word beginnings, of a vocabulary a text holds. The model is fitted in its binary form: each labelled
 text becomes one row per threshold k with the target "grade > k", and MLlib's
 logistic regression fits w (sparse, by an L1 penalty) and the b_k together. The
 expected severity is the sum over k of P(grade > k).
@@ -32,13 +32,15 @@ from pyspark.sql import functions as F
 from shelfscope.llm.common import map_batches, string_list, whole_text
 
 #: Bounds of the fit: labelled rows, words of the vocabulary.
-SAMPLE_ROWS, VOCABULARY = 12_000, 1 << 16
+SAMPLE_ROWS, VOCABULARY = 20_000, 1 << 16
 LEAST_TEXTS = 5
-PENALTY, ITERATIONS = 5e-4, 60
+PENALTY, ITERATIONS = 3e-4, 60
 #: Threshold columns are this large, so that the penalty hardly moves them.
 THRESHOLD_SCALE = 50.0
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Lengths of word beginnings that are features beside the words.
+BEGINNINGS = (5, 6, 7, 8)
 
 
 @dataclass(frozen=True)
@@ -53,7 +55,9 @@ class Model:
 
 
 def words_of(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    """Words of a text and, marked by a dash, the beginnings of the longer ones."""
+    words = set(_WORD.findall(text.lower()))
+    return words.union(*({w[:n] + "-" for w in words if len(w) > n} for n in BEGINNINGS))
 
 
 def grade_of_labels(labels: DataFrame) -> DataFrame:

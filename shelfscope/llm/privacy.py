@@ -157,13 +157,17 @@ def _corpus_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def revealing_terms(docs: DataFrame, found: DataFrame, occurrences: DataFrame, terms: DataFrame,
                     support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(entity, term, pmi, information) of the terms that reveal too much."""
+    total = found.select("text_hash").distinct().agg(F.count("*").cast("double")).scalar()
     together = terms.select("entity", "term", "text_hash").distinct().groupBy("entity", "term").agg(
         F.count("*").alias("both")).where(F.col("both") >= support)
-    together = materialise(together, "together")
     alone = occurrences.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("entities"))
-    total = found.select("text_hash").distinct().agg(F.count("*").cast("double")).scalar()
-    counts = _corpus_counts(docs, together.select("term").distinct())
-    scored = together.join(alone, "entity").join(counts, "term").select(
+    # a term is in at least the texts where it stands beside some identifier; by that alone
+    # most common words cannot reach the threshold, and the corpus need not be searched for them
+    seen = terms.select("term", "text_hash").distinct().groupBy("term").agg(F.count("*").alias("seen"))
+    most = F.col("both") * F.pow(total / F.col("entities"), F.lit(1 - disclosure)) * (1 + 1e-9)
+    candidates = materialise(together.join(alone, "entity").join(seen, "term").where(F.col("seen") <= most), "candidates")
+    counts = _corpus_counts(docs, candidates.select("term").distinct())
+    scored = candidates.join(counts, "term").select(
         "entity", "term",
         F.log(total * F.col("both") / (F.col("texts") * F.col("entities"))).alias("pmi"),
         F.log(total / F.col("entities")).alias("information"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfscope.llm import bpe, privacy, quality, secrets, simhash, suffixes, tiling, toxicity
+from shelfscope.llm import bpe, conversations, privacy, quality, secrets, simhash, suffixes, tiling, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -46,6 +46,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(_table(spark, sf_dir, "documents"))
 
 
+def op10_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.render(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_bpe": op2_bpe,
@@ -55,6 +59,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_suffixes": op8_suffixes,
     "op9_simhash": op9_simhash,
+    "op10_conversations": op10_conversations,
 }
 
 # op1: each kind's matches and the pieces between them give the places; the
@@ -104,7 +109,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
+# op10: whole prefixes as texts, no hashes; separators that no text holds.
+_OP10 = r"""
+WITH t AS (SELECT conv_id, coalesce(role, chr(1)) || chr(2) || coalesce(text, chr(1)) || chr(3) AS piece,
+    '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS shown,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM conversations),
+p AS (SELECT conv_id, n, string_agg(piece, '') OVER (PARTITION BY conv_id ORDER BY n) AS prefix,
+    string_agg(shown, '') OVER (PARTITION BY conv_id ORDER BY n) AS shown, count(*) OVER (PARTITION BY conv_id) AS total FROM t),
+w AS (SELECT prefix, min(conv_id) AS conv_id, any_value(shown) AS shown, any_value(total) AS total FROM p WHERE n = total GROUP BY prefix)
+SELECT conv_id, CAST(total AS BIGINT) AS n_turns, shown AS text FROM w
+WHERE prefix NOT IN (SELECT prefix FROM p WHERE n < total)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_secrets": _OP1,
     "op7_quality": _OP7,
+    "op10_conversations": _OP10,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfscope.llm import bpe, conversations, privacy, quality, secrets, simhash, suffixes, tiling, toxicity
+from shelfscope.llm import bpe, conversations, language, privacy, quality, secrets, simhash, suffixes, tiling, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -22,6 +22,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(_table(spark, sf_dir, "documents"))
+
+
 def op4_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.privacy_report(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_bpe": op2_bpe,
+    "op3_language": op3_language,
     "op4_privacy": op4_privacy,
     "op5_toxicity": op5_toxicity,
     "op6_tiling": op6_tiling,

@@ -1,15 +1,17 @@
 """Severity of toxic text by cumulative-link ordinal regression.
 
-    P(grade > k) = sigmoid(w . x + b_k),  b_0 >= b_1 >= ...
+    P(grade <= k) = sigmoid(t_k - w . x),  t_0 < t_1 < ...
 
-One weight vector w is shared by all thresholds. x tells which words, and which
-word beginnings, of a vocabulary a text holds. The model is fitted in its binary form: each labelled
-text becomes one row per threshold k with the target "grade > k", and MLlib's
-logistic regression fits w (sparse, by an L1 penalty) and the b_k together. The
-expected severity is the sum over k of P(grade > k).
+One weight vector w is shared by all thresholds t_k, which are kept in order by
+fitting the logarithms of their distances. x tells which words, and which word
+beginnings, of a vocabulary a text holds. The expected severity is the sum over k
+of P(grade > k).
 
 The fit takes a bounded sample of labelled rows (``SAMPLE_ROWS``, by a hash of the
-id); every document is scored over its whole text.
+id). Spark counts their features and keeps the ``VOCABULARY`` that differ most
+between grades; the rows, cut to that vocabulary, are few and short, and the
+likelihood is maximised by a single process. Every document is scored over its
+whole text.
 
 Cases: null text counts as empty and, like a text without known words, gets the
 thresholds' own severity; without labelled rows, or with one grade only, all
@@ -25,18 +27,17 @@ import math
 import re
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.llm.common import map_batches, string_list, whole_text
 
-#: Bounds of the fit: labelled rows, words of the vocabulary.
-SAMPLE_ROWS, VOCABULARY = 20_000, 1 << 16
+#: Bounds of the fit: labelled rows, features of the vocabulary.
+SAMPLE_ROWS, VOCABULARY = 20_000, 4096
 LEAST_TEXTS = 5
-PENALTY, ITERATIONS = 3e-4, 60
-#: Threshold columns are this large, so that the penalty hardly moves them.
-THRESHOLD_SCALE = 50.0
+PENALTY, STEPS = 3e-4, 500
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are features beside the words.
@@ -46,12 +47,12 @@ BEGINNINGS = (5, 6, 7, 8)
 @dataclass(frozen=True)
 class Model:
     weights: dict[str, float]
-    thresholds: tuple[float, ...]  # b_k, not increasing
+    thresholds: tuple[float, ...]  # t_k, in order
 
     def above(self, words: set[str]) -> list[float]:
         """P(grade > k) for each k."""
-        score = sum(self.weights[w] for w in words & self.weights.keys())
-        return [1 / (1 + math.exp(-max(-500.0, min(500.0, score + b)))) for b in self.thresholds]
+        score = sum(self.weights[w] for w in sorted(words & self.weights.keys()))
+        return [1 / (1 + math.exp(max(-500.0, min(500.0, t - score)))) for t in self.thresholds]
 
 
 def words_of(text: str) -> set[str]:
@@ -80,35 +81,90 @@ def _sample(docs: DataFrame, grades: DataFrame, rows: int) -> DataFrame:
     return map_batches(texts.select("grade", "text"), per_batch, "grade int, words array<string>")
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
+def cumulative_link(starts: np.ndarray, at: np.ndarray, grades: np.ndarray, width: int, top: int,
+                    steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of the most likely model with an absolute penalty on the weights.
+
+    Accelerated proximal gradient steps, so most weights end at zero. Row i has the features ``at[starts[i]:starts[i + 1]]`` and a grade from 0 to ``top``.
+    """
+    n = len(grades)
+    row = np.repeat(np.arange(n), np.diff(starts))
+    share = np.bincount(grades, minlength=top + 1).cumsum()[:-1] / n
+    begin = np.log(share) - np.log1p(-share)
+    # parameters: weights, first threshold, logarithms of the distances to the next ones
+    value = np.concatenate([np.zeros(width), begin[:1], np.log(np.diff(begin) + 1e-3)])
+    # the largest curvature bounds the step
+    v = np.ones(width + 1)
+    for _ in range(20):
+        product = np.bincount(row, weights=v[at], minlength=n) + v[width]
+        v = np.append(np.bincount(at, weights=product[row], minlength=width), product.sum()) / n
+        curve = np.linalg.norm(v)
+        v /= curve
+    rate = 1 / (0.3 * curve + 0.5)
+    ahead, momentum = value, 1.0
+    for _ in range(steps):
+        w, gaps = ahead[:width], np.exp(ahead[width + 1:])
+        cuts = np.concatenate([[-np.inf], ahead[width] + np.concatenate([[0.0], np.cumsum(gaps)]), [np.inf]])
+        s = np.bincount(row, weights=w[at], minlength=n)
+        low, high = _sigmoid(cuts[grades] - s), _sigmoid(cuts[grades + 1] - s)
+        p = np.maximum(high - low, 1e-12)
+        down = np.zeros_like(value)  # gradient of the mean negative log likelihood
+        down[:width] = np.bincount(at, weights=((1 - high - low) / n)[row], minlength=width)
+        by_cut = (np.bincount(grades, weights=-high * (1 - high) / p, minlength=top + 1)[:top]
+                  + np.bincount(grades, weights=low * (1 - low) / p, minlength=top + 1)[1:]) / n
+        from_here = by_cut[::-1].cumsum()[::-1]  # a distance moves all later thresholds
+        down[width] = from_here[0]
+        down[width + 1:] = from_here[1:] * gaps
+        following = ahead - rate * down
+        following[:width] = np.sign(following[:width]) * np.maximum(np.abs(following[:width]) - rate * PENALTY, 0)
+        if (ahead - following) @ (following - value) > 0:
+            momentum = 1.0  # the momentum points uphill: start it anew
+        longer = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
+        ahead = following + (momentum - 1) / longer * (following - value)
+        value, momentum = following, longer
+    gaps = np.exp(value[width + 1:])
+    return value[:width], value[width] + np.concatenate([[0.0], np.cumsum(gaps)])
+
+
 def fit(docs: DataFrame, grades: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Fit on the documents that ``grades`` (doc_id, grade from 0 up) names."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizer, VectorAssembler
-    from pyspark.ml.functions import array_to_vector
-
     sample = _sample(docs, grades, rows).persist()
     try:
-        present = sorted(r.grade for r in sample.select("grade").distinct().collect())
+        counts = {r["grade"]: r["count"] for r in sample.groupBy("grade").count().collect()}
+        present = sorted(counts)
         if len(present) < 2:
-            return Model({}, (500.0,) * (present[0] if present else 0))
-        # a grade that no row has gets no threshold of its own
-        cuts = present[:-1]
-        vectors = CountVectorizer(inputCol="words", outputCol="x", binary=True, minDF=float(min(LEAST_TEXTS, rows)),
-                                  vocabSize=VOCABULARY).fit(sample)
-        rows_of = vectors.transform(sample).select("x", "grade", F.explode(F.array(*(F.lit(c) for c in cuts))).alias("cut"))
-        marks = [F.when(F.col("cut") == c, THRESHOLD_SCALE).otherwise(0.0) for c in cuts]
-        rows_of = rows_of.select("x", array_to_vector(F.array(*marks)).alias("marks"),
-                                 (F.col("grade") > F.col("cut")).cast("double").alias("label"))
-        data = VectorAssembler(inputCols=["x", "marks"], outputCol="features").transform(rows_of)
-        found = LogisticRegression(maxIter=ITERATIONS, regParam=PENALTY, elasticNetParam=1.0, standardization=False,
-                                   fitIntercept=False).fit(data)
-        w = found.coefficients.toArray()
-        weights = {word: float(c) for word, c in zip(vectors.vocabulary, w) if c}
-        own = sorted((float(c) * THRESHOLD_SCALE for c in w[len(vectors.vocabulary):]), reverse=True)
-        by_cut = dict(zip(cuts, own))
-        thresholds, last = [], 500.0
+            return Model({}, (-500.0,) * (present[0] if present else 0))
+        rank = {g: k for k, g in enumerate(present)}  # a grade that no row has gets no threshold of its own
+        total = sum(counts.values())
+        mean = sum(rank[g] * c for g, c in counts.items()) / total
+        ranked = F.create_map(*(F.lit(x) for pair in rank.items() for x in pair))[F.col("grade")]
+        # how far the mean grade of the texts with a feature is from the mean of all, in standard errors
+        strength = F.abs(F.col("sum") - mean * F.col("n")) / F.sqrt(F.col("n"))
+        known = sample.select(ranked.alias("rank"), F.explode("words").alias("word")).groupBy("word").agg(
+            F.count("*").alias("n"), F.sum("rank").alias("sum")).where(F.col("n") >= min(LEAST_TEXTS, total)).orderBy(
+            strength.desc(), "word").limit(VOCABULARY).select("word")
+        words = [r.word for r in known.collect()]
+        place = sample.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(words)})
+
+        def per_batch(batch: pa.RecordBatch) -> dict:
+            find = place.value
+            return {"grade": batch.column("grade"),
+                    "at": [[find[w] for w in x if w in find] for x in batch.column("words").to_pylist()]}
+
+        short = map_batches(sample, per_batch, "grade int, at array<int>").toArrow().combine_chunks()
+        lists = sorted(zip(short.column("grade").to_pylist(), short.column("at").to_pylist(), strict=True))
+        starts = np.concatenate([[0], np.cumsum([len(x) for _, x in lists])])
+        at = np.array([k for _, x in lists for k in x], dtype=np.int64)
+        w, cuts = cumulative_link(starts, at, np.array([rank[g] for g, _ in lists]), len(words), len(present) - 1)
+        weights = {word: float(c) for word, c in zip(words, w, strict=True)}
+        by_grade = dict(zip(present[:-1], cuts.tolist(), strict=True))
+        thresholds, last = [], -500.0
         for k in range(present[-1]):  # grades below the least one, or missing in between, share a bound
-            last = by_cut.get(k, last)
+            last = by_grade.get(k, last)
             thresholds.append(last)
         return Model(weights, tuple(thresholds))
     finally:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from shelfscope.llm import toxicity
@@ -24,7 +25,7 @@ def corpus(n=600, seed=1):
 def test_held_out_grades(spark, make_docs):
     rows, grades = corpus()
     model = toxicity.fit(make_docs(rows), spark.createDataFrame(grades[:400], "doc_id long, grade int"))
-    assert len(model.thresholds) == 2 and model.thresholds[0] > model.thresholds[1]
+    assert len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1]
     got = {r.doc_id: r for r in toxicity.score(make_docs(rows[400:]), model).collect()}
     right = sum(got[i].grade == g for i, g in grades[400:])
     assert right / 200 > 0.9
@@ -64,3 +65,28 @@ def test_sample_is_bounded(spark, make_docs):
     sample = toxicity._sample(make_docs(rows + rows), spark.createDataFrame(grades + grades, "doc_id long, grade int"), 50)
     assert sample.count() == 50
     assert sample.where(F.size("words") == 0).count() == 0
+
+
+def test_gradient_and_likelihood():
+    rng = np.random.default_rng(3)
+    n, width = 800, 6
+    x = rng.random((n, width)) < 0.4
+    true_w, true_cuts = np.array([2.0, -1.0, 0.5, 0.0, 1.0, -2.0]), np.array([0.5, 2.0])
+    latent = x @ true_w + rng.logistic(size=n)
+    grades = (latent[:, None] > true_cuts).sum(axis=1)
+    starts = np.concatenate([[0], np.cumsum(x.sum(axis=1))])
+    w, cuts = toxicity.cumulative_link(starts, np.nonzero(x)[1], grades, width, 2)
+    assert np.abs(w - true_w).max() < 0.5 and np.abs(cuts - true_cuts).max() < 0.5
+
+    def loss(w, cuts):
+        s, edge = x @ w, np.concatenate([[-np.inf], cuts, [np.inf]])
+        p = toxicity._sigmoid(edge[grades + 1] - s) - toxicity._sigmoid(edge[grades] - s)
+        return -np.log(p).mean() + toxicity.PENALTY * np.abs(w).sum()
+
+    best = loss(w, cuts)
+    for k in range(width):
+        for d in (-0.05, 0.05):
+            assert loss(w + d * (np.arange(width) == k), cuts) > best
+    for k in range(2):
+        for d in (-0.05, 0.05):
+            assert loss(w, cuts + d * (np.arange(2) == k)) > best

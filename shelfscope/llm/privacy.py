@@ -46,7 +46,6 @@ REACH = 64
 SUPPORT, DISCLOSURE = 3, 0.9
 #: Hash buckets that tell which words of the corpus may be candidates.
 BUCKETS = 1 << 16
-LABELS = {k: f"[{k.upper()}]" for k in (*KINDS, TERM)}
 
 
 # Identifiers -------------------------------------------------------------------
@@ -221,16 +220,19 @@ def privacy_report(docs: DataFrame, support: int = SUPPORT, disclosure: float =
 def sanitise(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """``docs`` with each span of their text replaced by its kind in brackets."""
     _, spans = find_spans(docs, support, disclosure)
-    # united: a span that begins inside an earlier one goes with it
+    texts = spans.select(F.col("text_hash").alias("_p_hash"), F.col("spans").alias("_p_spans"))
+    joined = docs.join(texts, F.md5(whole_text()) == F.col("_p_hash"), "left")
+    text = F.col("text")
+
+    def part(begin: Column, end: Column) -> Column:
+        return F.substring(text, begin + 1, end - begin)
+
+    # a span that begins inside an earlier one goes with it
     pieces = F.aggregate(
-        "spans", F.struct(F.lit(0).alias("done"), F.lit("").alias("out")),
-        lambda a, s: F.when(s["start"] >= a["done"], F.struct(
-            s["end"].alias("done"),
-            F.concat(a["out"], F.substring(F.col("d.text"), a["done"] + 1, s["start"] - a["done"]),
-                     F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("out")))
+        "_p_spans", F.struct(F.lit(0).alias("done"), F.lit("").alias("out")),
+        lambda a, s: F.when(s["start"] >= a["done"], F.struct(s["end"].alias("done"), F.concat(
+            a["out"], part(a["done"], s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out")))
         .otherwise(F.struct(F.greatest(a["done"], s["end"]).alias("done"), a["out"].alias("out"))),
-        lambda a: F.concat(a["out"], F.substring(F.col("d.text"), a["done"] + 1, F.length("d.text") - a["done"])))
-    joined = docs.alias("d").join(spans.select(F.col("text_hash").alias("_p_hash"), F.col("spans").alias("spans")).alias("s"),
-                                  F.md5(F.coalesce(F.col("d.text"), F.lit(""))) == F.col("_p_hash"), "left")
-    text = F.when(F.col("s.spans").isNull(), F.col("d.text")).otherwise(pieces.substr(F.lit(1), F.lit(2**31 - 1)))
-    return joined.select(*(text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns))
+        lambda a: F.concat(a["out"], part(a["done"], F.length(text))))
+    clean = F.when(F.col("_p_spans").isNull(), text).otherwise(pieces)
+    return joined.select(*(clean.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))

@@ -258,14 +258,14 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE)
     groups = materialise(near_duplicates(docs, shingle, distance), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
     leaders = groups.groupBy("component").agg(first).select(
-        F.col("first.doc_id").alias("leader"), F.col("first.text_hash").alias("leader_hash"))
+        F.col("first.doc_id").alias("_s_leader"), F.col("first.text_hash").alias("_s_hash"))
     repeated = groups.groupBy("doc_id", "text_hash").count().where("count > 1").select(
-        F.col("doc_id").alias("again"), F.col("text_hash").alias("again_hash"), F.lit(True).alias("repeated"))
+        "doc_id", "text_hash", F.lit(True).alias("repeated"))
     leaders = materialise(leaders.join(
-        repeated, (F.col("leader_hash") == F.col("again_hash")) & F.col("leader").eqNullSafe(F.col("again")), "left")
-        .select("leader", "leader_hash", F.coalesce("repeated", F.lit(False)).alias("repeated")), "leaders")
-    rows = docs.alias("d").join(
-        leaders, (text_hash() == F.col("leader_hash")) & F.col("d.doc_id").eqNullSafe(F.col("leader")))
-    single = rows.where(~F.col("repeated")).select("d.*")
-    many = rows.where("repeated").dropDuplicates(["leader", "leader_hash"]).select("d.*")
+        repeated, (F.col("_s_hash") == F.col("text_hash")) & F.col("_s_leader").eqNullSafe(F.col("doc_id")), "left")
+        .select("_s_leader", "_s_hash", F.coalesce("repeated", F.lit(False)).alias("_s_repeated")), "leaders")
+    rows = docs.join(leaders, (text_hash() == F.col("_s_hash")) & F.col("doc_id").eqNullSafe(F.col("_s_leader")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    single = rows.where(~F.col("_s_repeated")).select(columns)
+    many = rows.where("_s_repeated").dropDuplicates(["_s_leader", "_s_hash"]).select(columns)
     return single.unionByName(many)

@@ -28,14 +28,19 @@ def range_ranked(df: DataFrame, key: str, weight: Column | None = None,
     With ``weights={name: column}`` several independent rankings share the one
     range pass: columns ``start_<name>``, ``end_<name>`` and ``n_<name>``.
 
-    The range exchange feeds both the per-range totals and the ranked rows;
-    Spark reuses that one exchange, so both see the same range bounds.
+    The range exchange feeds both the per-range totals and the ranked rows, which
+    need the same columns of it; Spark reuses that one exchange, so both see the same
+    range bounds. Columns beside the key are joined back afterwards.
     """
     named = weights if weights is not None else {
         "": weight if weight is not None else F.lit(1).cast("long")}
     tag = {k: (f"_{k}" if k else "") for k in named}
     n_ranges = ranges or range_count(df)
-    ranged = (df.withColumns({f"_w{tag[k]}": w for k, w in named.items()})
+    payload = [c for c in df.columns if c != key]
+    weighted = df.withColumns({f"_w{tag[k]}": w for k, w in named.items()})
+    # only the key and its weights are ranked, so that both readers of the ranges want the
+    # same columns and share one exchange; other columns come back by a join on the key
+    ranged = (weighted.select(key, *[f"_w{tag[k]}" for k in named])
               .repartitionByRange(n_ranges, key)
               .withColumn("_r", F.spark_partition_id()))
     if df.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() == "false":
@@ -57,7 +62,8 @@ def range_ranked(df: DataFrame, key: str, weight: Column | None = None,
         t = tag[k]
         out = (out.withColumn(f"end{t}", F.col(f"_off{t}") + F.sum(f"_w{t}").over(upto))
                .withColumn(f"start{t}", F.col(f"end{t}") - F.col(f"_w{t}")))
-    return out.drop("_r", *[f"_off{tag[k]}" for k in named], *[f"_w{tag[k]}" for k in named])
+    out = out.drop("_r", *[f"_off{tag[k]}" for k in named], *[f"_w{tag[k]}" for k in named])
+    return df.join(out, key) if payload else out
 
 
 def dense_codes(df: DataFrame, column: str, alias: str = "code") -> DataFrame:

@@ -8,14 +8,12 @@ Plan shape (all DataFrame operators, no arrays of pairs, no Python):
    ``a < b``, followed at once by a partial ``count`` per (a, b), so each task
    ships at most one row per pair it saw.
    A basket may be very large (one order holding a third of all lines). Its
-   pair work would land in one task, so baskets that are hot in a sample are
-   split: each side gets a hash bucket of the item and is replicated over the
-   other side's buckets, and the join key becomes (transaction, bucket_a,
-   bucket_b). Every pair still meets exactly once; its work is spread over
-   buckets^2 tasks. The hint table holds only baskets above ``hot_fraction`` of
-   the sample, so it has at most 1/hot_fraction rows and is safe to broadcast.
-   The sample is a hash of row content, so both join sides (and any retried
-   task) derive the same hints.
+   pair work would land in one task, so every basket of more than ``chunk`` items
+   (counted exactly) is split: each side gets a hash bucket of the item and is
+   replicated over the other side's buckets, and the join key becomes (transaction,
+   bucket_a, bucket_b). Every pair still meets exactly once; its work is spread
+   over buckets^2 tasks, with no upper bound on the number of buckets. The table
+   of factors is joined without a hint, so its size does not matter.
 3. ``association_rules``: pair counts joined with item counts (AQE picks
    broadcast only if the measured item table is small), total transactions as
    a scalar subquery, ratios rounded half-up in integer arithmetic.
@@ -73,38 +71,21 @@ def item_counts(df: DataFrame) -> DataFrame:
     return baskets(df).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _row_unit(*cols) -> "F.Column":
-    """A value in [0, 1) fixed by the row's content."""
-    scale = 1 << 30
-    return F.pmod(F.xxhash64(*cols), F.lit(scale)).cast("double") / F.lit(float(scale))
+def split_factors(b: DataFrame, chunk: int) -> DataFrame:
+    """(txn, s) of every basket with more than ``chunk`` items: s = ceil(items / chunk)."""
+    sizes = b.groupBy("txn").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.where(F.col("n") > chunk).select("txn", F.ceil(F.col("n") / F.lit(chunk)).cast("int").alias("s"))
 
 
-def _hot_baskets(b: DataFrame, sample_fraction: float, hot_fraction: float,
-                 chunk: int, max_split: int) -> DataFrame:
-    """Split factor per hot basket, estimated from a sample (bounded size).
-
-    The sample keeps a row when a hash of the row falls under the fraction, so
-    it does not depend on row order: the hint table is identical wherever and
-    however often it is computed (both join sides, task retries)."""
-    sample = b.where(_row_unit(F.col("txn"), F.col("item")) < F.lit(sample_fraction)).select("txn")
-    per_txn = sample.groupBy("txn").agg(F.count(F.lit(1)).alias("k"))
-    total = sample.agg(F.count(F.lit(1)).alias("m")).scalar()
-    est_items = F.col("k") / F.lit(sample_fraction)
-    split = F.least(F.lit(max_split), F.ceil(est_items / F.lit(chunk))).cast("int")
-    return (per_txn.where(F.col("k") > total * F.lit(hot_fraction))
-            .select("txn", split.alias("s")).where("s > 1"))
-
-
-def item_pairs(df: DataFrame, sample_fraction: float = 0.01, hot_fraction: float = 0.001,
-               chunk: int = 2000, max_split: int = 64) -> DataFrame:
+def item_pairs(df: DataFrame, chunk: int = 2000, min_count: int = 1) -> DataFrame:
     """Baskets holding both a and b, for every a < b (code-point order).
 
-    Baskets under two items produce nothing. ``chunk`` is the item count above
-    which a sampled-hot basket is split; results never depend on the sample.
+    Baskets under two items produce nothing. A basket of more than ``chunk`` items
+    is split, so that a task pairs at most about chunk x chunk of its items; the
+    result does not depend on it. ``min_count`` (off by default) leaves out rarer pairs.
     """
     b = baskets(df)
-    hints = _hot_baskets(b, sample_fraction, hot_fraction, chunk, max_split)
-    salted = (b.join(F.broadcast(hints), "txn", "left")
+    salted = (b.join(split_factors(b, chunk), "txn", "left")
               .withColumn("s", F.coalesce(F.col("s"), F.lit(1)))
               .withColumn("own", F.pmod(F.xxhash64("item"), F.col("s")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1))))
@@ -112,9 +93,10 @@ def item_pairs(df: DataFrame, sample_fraction: float = 0.01, hot_fraction: float
                          F.col("own").alias("ba"), F.col("other").alias("bb"))
     right = salted.select("txn", F.col("item").alias("product_b"),
                           F.col("other").alias("ba"), F.col("own").alias("bb"))
-    return (left.join(right, ["txn", "ba", "bb"])
-            .where(F.col("product_a") < F.col("product_b"))
-            .groupBy("product_a", "product_b").agg(F.count(F.lit(1)).alias("count")))
+    pairs = (left.join(right, ["txn", "ba", "bb"])
+             .where(F.col("product_a") < F.col("product_b"))
+             .groupBy("product_a", "product_b").agg(F.count(F.lit(1)).alias("count")))
+    return pairs.where(F.col("count") >= min_count) if min_count > 1 else pairs
 
 
 def total_transactions(b: DataFrame) -> DataFrame:

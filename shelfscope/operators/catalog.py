@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfscope.functions.numeric import exact_mean, exact_sum
+from shelfscope.functions.numeric import exact_sum, merged_mean, merged_sum, sum_parts
+from shelfscope.functions.ranking import range_ranked
 from shelfscope.functions.text import clean_item
 from shelfscope.operators import schema
 from shelfscope.operators.schema import requires
 
 
 def sales_basis(df: DataFrame) -> str:
-    """M7: ``sales_volume``, else ``review_count``, else ``unavailable``."""
+    """M7: ``sales_volume``, else ``review_count``, else ``unavailable``; without a
+    product column there are no sellers to rank, so it is ``unavailable`` too."""
+    if schema.resolve(df, schema.PRODUCT) is None:
+        return "unavailable"
     return schema.resolve(df, schema.SALES) or "unavailable"
 
 
@@ -27,39 +31,51 @@ def product_list(df: DataFrame) -> DataFrame:
 
     Columns: product_name, then whichever of price (mean), sales (sum of the
     sales basis), category (most frequent; ties -> smallest), rating (mean),
-    discount_percentage (mean) the input supports. The category mode is folded
-    into the same aggregate (``mode`` merges partial value counts), so there is
-    one shuffle on product and no join back.
+    discount_percentage (mean) the input supports. Rows are first aggregated by
+    (product, category), where all buffers are fixed-size, and those few rows are
+    merged per product.
     """
     product = schema.resolve(df, schema.PRODUCT)
     if product is None:
         return df.sparkSession.createDataFrame([], "product_name string")
-    price = schema.resolve(df, schema.PRICE)
-    sales = schema.resolve(df, schema.SALES)
-    cols = df.columns
-    aggs: list[Column] = []
+    price, sales = schema.resolve(df, schema.PRICE), schema.resolve(df, schema.SALES)
+    has_category = "category" in df.columns
+    parts: list[Column] = []
+    merged: list[Column] = []
     if price:
-        aggs.append(exact_mean(F.col(price)).alias("price"))
+        parts += sum_parts(F.col(price), "p")
+        merged.append(merged_mean("p").alias("price"))
     if sales:
-        aggs.append(F.coalesce(exact_sum(F.col(sales)), F.lit(0)).cast("double").alias("sales"))
-    if "category" in cols:
-        aggs.append(F.mode(F.col("category"), deterministic=True).alias("category"))
-    if "rating" in cols:
-        aggs.append(exact_mean(F.col("rating")).alias("rating"))
-    if "discount_percentage" in cols:
-        aggs.append(exact_mean(F.col("discount_percentage")).alias("discount_percentage"))
+        parts += sum_parts(F.col(sales), "s")
+        merged.append(F.coalesce(merged_sum("s"), F.lit(0.0)).alias("sales"))
+    if has_category:
+        merged.append(_most_frequent())
+    if "rating" in df.columns:
+        parts += sum_parts(F.col("rating"), "r")
+        merged.append(merged_mean("r").alias("rating"))
+    if "discount_percentage" in df.columns:
+        parts += sum_parts(F.col("discount_percentage"), "d")
+        merged.append(merged_mean("d").alias("discount_percentage"))
     base = _products(df, product)
-    if not aggs:
+    if not merged:
         return base.select("product_name").distinct().orderBy("product_name")
-    return base.groupBy("product_name").agg(*aggs).orderBy("product_name")
+    keys = ["product_name", "category"] if has_category else ["product_name"]
+    return (base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *parts)
+            .groupBy("product_name").agg(*merged).orderBy("product_name"))
+
+
+def _most_frequent() -> Column:
+    """Category with the most rows from rows (category, n); ties -> smallest, NULL only if all are."""
+    ranked = F.struct((-F.col("n")).alias("k"), F.col("category").alias("category"))
+    return F.min(F.when(F.col("category").isNotNull(), ranked))["category"].alias("category")
 
 
 @requires("product_name string, category string", schema.PRODUCT, "category")
 def product_category_mode(df: DataFrame) -> DataFrame:
     """A10: most frequent non-null category per product (ties -> smallest; all NULL -> NULL)."""
     product = schema.resolve(df, schema.PRODUCT)
-    return (_products(df, product).groupBy("product_name")
-            .agg(F.mode(F.col("category"), deterministic=True).alias("category")))
+    return (_products(df, product).groupBy("product_name", "category").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("product_name").agg(_most_frequent()))
 
 
 def product_sales(df: DataFrame) -> DataFrame:
@@ -149,3 +165,30 @@ def catalog_page(products: DataFrame, mode: str = "name", n: int = 20, nulls: st
     top = view.orderBy(*keys).limit(n)
     # numbering happens after the limit: at most n rows meet in one task
     return top.withColumn("position", F.row_number().over(Window.orderBy(*keys)))
+
+
+def catalog_positions(products: DataFrame, mode: str = "name", nulls: str = "last") -> DataFrame:
+    """Every product with its place (from 1) in the order of a mode.
+
+    Names are distinct, so (key, name) is a total order. Rows are ranked over ranges
+    of one sortable text, not in one task.
+    """
+    column, desc = SORTS.get(mode, SORTS["name"])
+    if column not in products.columns:
+        column, desc = "product_name", False
+    if column == "product_name":
+        ranked = range_ranked(products, "product_name")
+    else:
+        # per distinct value: how many products have it; the place inside is by name
+        sizes = products.groupBy(column).agg(F.count(F.lit(1)).alias("_size"))
+        known = sizes.where(F.col(column).isNotNull()).withColumn("_k", -F.col(column) if desc else F.col(column))
+        places = range_ranked(known, "_k", F.col("_size")).select(column, F.col("start").alias("_before"))
+        unknown = F.coalesce(sizes.where(F.col(column).isNull()).agg(F.sum("_size")).scalar(), F.lit(0))
+        first = nulls == "js" and not desc
+        total = known.agg(F.coalesce(F.sum("_size"), F.lit(0))).scalar()
+        before = F.when(F.col(column).isNull(), F.lit(0) if first else total).otherwise(
+            F.col("_before") + (unknown if first else F.lit(0)))
+        inside = F.row_number().over(Window.partitionBy(column).orderBy("product_name"))
+        return (products.join(places, column, "left").withColumn("position", (before + inside).cast("long"))
+                .drop("_before"))
+    return ranked.withColumn("position", (F.col("start") + 1).cast("long")).drop("start", "end", "n")

@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (DateType, StringType, TimestampNTZType, TimestampType)
 
-from shelfscope.functions.numeric import SUM_SCALE, is_exact, to_number
+from shelfscope.functions.numeric import exact_sum, is_exact, to_number
 from shelfscope.operators import schema
 
-# Notes and date formats tried in order (ISO first).
+# Notes.
 NO_COST_SELL = "Cost and selling price columns not found."
 NO_EXPENDITURE = "No expenditure column found."
 NO_DATE = "No date/year column found."
 NO_YEARS = "No valid yearly expenditure data found."
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy",
-                "yyyy-MM-dd'T'HH:mm:ss"]
+#: Date formats tried in order: ISO forms first, then month before day, then day before
+#: month (so 05/12/2021 is in May and 25/12/2021 in December), then month names.
+DATE_FORMATS = (
+    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]", "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S][XXX]", "yyyy/M/d", "yyyy/M/d HH:mm:ss",
+    "M/d/yyyy", "M/d/yyyy HH:mm:ss", "M/d/yyyy HH:mm", "d/M/yyyy", "d/M/yyyy HH:mm:ss", "d-M-yyyy", "M-d-yyyy", "d.M.yyyy",
+    "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d-MMM-yyyy", "yyyyMMdd",
+)
 
 
 def _number(df: DataFrame, name: str) -> Column:
     return to_number(F.col(name), df.schema[name].dataType)
 
 
-def _exact_or_decimal(df: DataFrame, name: str, c: Column) -> Column:
-    # exact inputs stay exact; doubles are summed through decimals
-    return c if is_exact(df.schema[name].dataType) else c.cast(f"decimal(38,{SUM_SCALE})")
+def _measure(df: DataFrame, name: str, c: Column) -> Column:
+    # exact inputs stay exact, all others are doubles
+    return c if is_exact(df.schema[name].dataType) else c.cast("double")
 
 
 def profit_loss(df: DataFrame) -> DataFrame:
@@ -41,65 +49,87 @@ def profit_loss(df: DataFrame) -> DataFrame:
     c = F.coalesce(_number(df, cost), F.lit(0))
     s = F.coalesce(_number(df, sell), F.lit(0))
     if qty:
-        q = _exact_or_decimal(df, qty, F.coalesce(_number(df, qty), F.lit(1)))
+        q = _measure(df, qty, F.coalesce(_number(df, qty), F.lit(1)))
     else:
         q = F.lit(1)
-    value = (_exact_or_decimal(df, sell, s) - _exact_or_decimal(df, cost, c)) * q
+    value = (_measure(df, sell, s) - _measure(df, cost, c)) * q
     basis = f"Computed from {sell} - {cost} x {qty or '_qty'}"
     lines = df.select(value.alias("v"))
     return lines.agg(
-        F.coalesce(F.sum(F.when(F.col("v") > 0, F.col("v"))), F.lit(0)).cast("double")
+        F.coalesce(exact_sum(F.when(F.col("v") > 0, F.col("v"))), F.lit(0.0))
          .alias("total_profit"),
-        F.coalesce(F.sum(F.when(F.col("v") < 0, -F.col("v"))), F.lit(0)).cast("double")
+        F.coalesce(exact_sum(F.when(F.col("v") < 0, -F.col("v"))), F.lit(0.0))
          .alias("total_loss"),
-        F.coalesce(F.sum("v"), F.lit(0)).cast("double").alias("net_profit"),
+        F.coalesce(exact_sum(F.col("v")), F.lit(0.0)).alias("net_profit"),
     ).select(F.lit(True).alias("available"), "total_profit", "total_loss", "net_profit",
              F.lit(basis).alias("basis"), F.lit(None).cast("string").alias("note"))
 
 
-def year_of(df: DataFrame, name: str) -> Column:
-    """Year of a date role: numeric coercion for ``year``, parsing otherwise."""
+def year_of(df: DataFrame, name: str, date_formats: Sequence[str] = DATE_FORMATS) -> Column:
+    """Year of a date role: numeric coercion for ``year``, parsing otherwise.
+
+    Numbers in a date column are no dates here (a reader would have to guess their
+    unit), so they raise ``NumericDates``.
+    """
     dtype = df.schema[name].dataType
     c = F.col(name)
     if name == "year":
         return F.floor(_number(df, name)).cast("int")
     if isinstance(dtype, (DateType, TimestampType, TimestampNTZType)):
         return F.year(c)
-    text = c.cast("string") if not isinstance(dtype, StringType) else c
-    return F.year(F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]))
+    if not isinstance(dtype, StringType):
+        raise NumericDates(f"{name} holds {dtype.simpleString()}, not dates; rename it to year or convert it")
+    text = F.trim(c)
+    return F.year(F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in date_formats]))
+
+
+class NumericDates(ValueError):
+    pass
 
 
-def annual_expenditure(df: DataFrame) -> DataFrame:
+def annual_expenditure(df: DataFrame, date_formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
     """A13 first level: expenditure summed per year (NULL spend counts 0)."""
     exp = schema.resolve(df, schema.EXPENDITURE)
     date = schema.resolve(df, schema.DATE)
     if exp is None or date is None:
         return df.sparkSession.createDataFrame([], "year int, expenditure double")
-    spend = _exact_or_decimal(df, exp, F.coalesce(_number(df, exp), F.lit(0)))
-    return (df.select(year_of(df, date).alias("year"), spend.alias("e"))
+    spend = _measure(df, exp, F.coalesce(_number(df, exp), F.lit(0)))
+    return (df.select(year_of(df, date, date_formats).alias("year"), spend.alias("e"))
             .where(F.col("year").isNotNull())
-            .groupBy("year").agg(F.sum("e").alias("e")))
+            .groupBy("year").agg((F.sum("e") if is_exact(df.schema[exp].dataType) else exact_sum(F.col("e"))).alias("e")))
+
+
+def unparsed_dates(df: DataFrame, date_formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+    """One row: dates that are there but fit none of the formats (their spend is in no year)."""
+    date = schema.resolve(df, schema.DATE)
+    if date is None:
+        return df.sparkSession.createDataFrame([(0,)], "unparsed_dates long")
+    missed = F.col(date).isNotNull() & year_of(df, date, date_formats).isNull()
+    return df.agg(F.count_if(missed).alias("unparsed_dates"))
 
 
-def avg_annual_expenditure(df: DataFrame) -> DataFrame:
-    """Mean of the per-year sums, with the ascending year list as text."""
+def avg_annual_expenditure(df: DataFrame, date_formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+    """Mean of the per-year sums, with the ascending year list as text. The note
+    counts dates that fit none of the formats."""
     spark = df.sparkSession
     out_schema = "available boolean, average_annual_expenditure double, years string, note string"
     if schema.resolve(df, schema.EXPENDITURE) is None:
         return spark.createDataFrame([(False, None, None, NO_EXPENDITURE)], out_schema)
     if schema.resolve(df, schema.DATE) is None:
         return spark.createDataFrame([(False, None, None, NO_DATE)], out_schema)
-    per_year = annual_expenditure(df)
+    per_year = annual_expenditure(df, date_formats)
+    missed = unparsed_dates(df, date_formats).scalar()
     # one row per year: the list is as long as the calendar span, not the data
-    agg = per_year.agg(F.count(F.lit(1)).alias("n_years"), F.sum("e").alias("total"),
+    agg = per_year.agg(F.count(F.lit(1)).alias("n_years"), (F.sum("e") if is_exact(per_year.schema["e"].dataType) else exact_sum(F.col("e"))).alias("total"),
                        F.sort_array(F.collect_list("year")).alias("ys"))
     ok = F.col("n_years") > 0
     return agg.select(
         ok.alias("available"),
         F.when(ok, F.col("total").cast("double") / F.col("n_years")).alias("average_annual_expenditure"),
         F.when(ok, F.array_join(F.col("ys").cast("array<string>"), ",")).alias("years"),
-        F.when(~ok, F.lit(NO_YEARS)).alias("note"))
+        F.when(~ok, F.lit(NO_YEARS)).when(missed > 0, F.concat(
+            missed.cast("string"), F.lit(" dates could not be read."))).alias("note"))
 
 
-def annual_expenditure_table(df: DataFrame) -> DataFrame:
-    return annual_expenditure(df).select("year", F.col("e").cast("double").alias("expenditure"))
+def annual_expenditure_table(df: DataFrame, date_formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+    return annual_expenditure(df, date_formats).select("year", F.col("e").cast("double").alias("expenditure"))

@@ -33,6 +33,8 @@ def _basis(columns: list[str], incomplete: Column) -> Column:
     """M7 as data: ``sales_volume`` when the input has it or the synthetic volume
     can be built for every row (``incomplete`` == 0), else ``review_count``,
     else ``unavailable``."""
+    if schema.resolve(columns, schema.PRODUCT) is None:
+        return F.lit("unavailable")  # no product column, so no sellers to rank
     fallback = F.lit("review_count" if "review_count" in columns else "unavailable")
     if "sales_volume" in columns:
         return F.lit("sales_volume")

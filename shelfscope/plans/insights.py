@@ -20,14 +20,14 @@ from shelfscope.operators import (bands, basket, catalog, category, charts, fina
 
 def _shared_base(df: DataFrame, mode: str) -> DataFrame:
     """``persist``: cached, lost blocks recomputed from lineage. ``checkpoint``:
-    written once to the cluster's shared ``spark.checkpoint.dir`` (lineage cut;
-    falls back to persist when the session names no such folder). ``none``."""
+    written once to the cluster's shared ``spark.checkpoint.dir`` (lineage cut);
+    raises when the session names no such folder. ``none``."""
     if mode == "checkpoint":
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder:
-            df.sparkSession.sparkContext.setCheckpointDir(folder)
-            return df.checkpoint(eager=True)
-        mode = "persist"
+        if not folder:
+            raise ValueError("spark.checkpoint.dir is not set")
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
+        return df.checkpoint(eager=True)
     if mode == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     return df
@@ -40,6 +40,7 @@ def insights(df: DataFrame, key_cols: list[str] | None = None, persist: bool = T
     ``sales_volume`` as it is instead of replacing it with the synthetic one.
     ``base`` picks how the shared input is kept: ``persist`` (default when
     ``persist`` is true), ``checkpoint`` or ``none``."""
+    keep = (base or ("persist" if persist else "none")) != "none"
     base = _shared_base(df, base or ("persist" if persist else "none"))
     out: dict[str, DataFrame] = {"kpis": metrics.kpis(base)}
     price = schema.resolve(base, schema.PRICE)
@@ -65,7 +66,10 @@ def insights(df: DataFrame, key_cols: list[str] | None = None, persist: bool = T
             out["rating_model"] = rating.metrics
     # the synthetic volume is added before the product views, as in the original flow
     enriched = models.with_synthetic_sales(base, key_cols) if synthetic_sales else base
-    if fit_models and "sales_volume" in enriched.columns:
+    # where the synthetic step cannot be done for every row, there is no sales model either,
+    # even if the input brought a volume of its own
+    sales_step = enriched is not base or not synthetic_sales
+    if fit_models and sales_step and "sales_volume" in enriched.columns:
         sales = models.sales_model(enriched, num_trees, max_depth, key_cols)
         if sales is not None:
             out["sales_model"] = sales.metrics
@@ -75,6 +79,7 @@ def insights(df: DataFrame, key_cols: list[str] | None = None, persist: bool = T
             out["top_selling_products"] = catalog.top_selling_products(enriched, 10)
             out["product_sales"] = catalog.product_sales(enriched)
     basis = catalog.sales_basis(enriched)
+    out["sales_basis"] = df.sparkSession.createDataFrame([(basis,)], "sales_basis string")
     out["recommendations"] = narrate.recommendations(enriched, basis=basis)
     out["insights_explanation"] = narrate.insights_explanation(enriched)
     out["profit_loss"] = finance.profit_loss(enriched)
@@ -82,8 +87,11 @@ def insights(df: DataFrame, key_cols: list[str] | None = None, persist: bool = T
     out["association_meta"] = basket.association_meta(enriched)
     try:
         basket.basket_roles(enriched)
-        out["association_rules"] = basket.association_rules(enriched)
-        out["association_by_product"] = basket.partners_by_product(enriched, basket.rules_table(enriched))
+        rules = basket.rules_table(enriched)
+        if keep:
+            rules = rules.persist(StorageLevel.MEMORY_AND_DISK)
+        out["association_rules"] = rules.orderBy(*basket.rule_order())
+        out["association_by_product"] = basket.partners_by_product(enriched, rules)
     except basket.BasketRolesMissing:
         pass
     if "product_list" in out:

@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.functions.numeric import SUM_SCALE
 from shelfscope.operators import (ask, bands, basket, catalog, category, charts, finance,
                                   ingest, metrics, models, narrate)
 from shelfscope.sources.retail_view import RETAIL_SQL, retail_view, table, with_expenditure
@@ -39,12 +38,12 @@ def register(name: str, sql: str | None = None):
 # SQL spellings of the Spark helpers -------------------------------------------
 
 def _mean(x: str) -> str:
-    return (f"CAST(SUM(CAST({x} AS DECIMAL(38,{SUM_SCALE}))) AS DOUBLE) "
+    return (f"CAST(SUM(CAST({x} AS DECIMAL(38,6))) AS DOUBLE) "
             f"/ NULLIF(COUNT({x}), 0)")
 
 
 def _sum(x: str) -> str:
-    return f"CAST(COALESCE(SUM(CAST({x} AS DECIMAL(38,{SUM_SCALE}))), 0) AS DOUBLE)"
+    return f"CAST(COALESCE(SUM(CAST({x} AS DECIMAL(38,6))), 0) AS DOUBLE)"
 
 
 def _median(x: str, where: str = "TRUE") -> str:
@@ -267,6 +266,17 @@ def q_annual_expenditure(spark, sf):
     return finance.annual_expenditure_table(with_expenditure(_v(spark, sf)))
 
 
+@register("annual_expenditure_text_dates", """
+SELECT CAST(year(order_date) AS INT) AS year,
+  CAST(SUM(CAST(cost_price * quantity AS DECIMAL(38,6))) AS DOUBLE) AS expenditure FROM retail GROUP BY 1""")
+def q_annual_expenditure_text_dates(spark, sf):
+    """A13 on dates written in several ways, one way per line."""
+    forms = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss.S", "yyyy-MM-dd'T'HH:mm:ss'Z'", "MM/dd/yyyy", "d MMM yyyy", "yyyyMMdd"]
+    way = F.pmod(F.col("line_no") + F.col("order_id"), F.lit(len(forms)))
+    text = F.coalesce(*(F.when(way == k, F.date_format("order_date", f)) for k, f in enumerate(forms)))
+    return finance.annual_expenditure_table(with_expenditure(_v(spark, sf)).withColumn("order_date", text))
+
+
 @register("avg_annual_expenditure", f"""
 SELECT COUNT(*) > 0 AS available,
   CASE WHEN COUNT(*) > 0 THEN CAST(SUM(e) AS DOUBLE) / COUNT(*) END AS average_annual_expenditure,
@@ -452,12 +462,11 @@ def q_catalog_filter(spark, sf):
     return catalog.filter_category(_products(spark, sf), "Brand#1")
 
 
-@register("catalog_sort", f"""
-WITH {_PL} SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY price DESC NULLS LAST, product_name) AS INT)
-  AS position FROM pl ORDER BY price DESC NULLS LAST, product_name LIMIT 20""")
-def q_catalog_sort(spark, sf):
-    """T2: 'price high' page of 20."""
-    return catalog.catalog_page(_products(spark, sf), "price_high", 20)
+@register("catalog_order", f"""
+WITH {_PL} SELECT product_name, price, CAST(ROW_NUMBER() OVER (ORDER BY price DESC NULLS LAST, product_name) AS BIGINT) AS position FROM pl""")
+def q_catalog_order(spark, sf):
+    """The place of every product in the 'price high' order."""
+    return catalog.catalog_positions(_products(spark, sf), "price_high").select("product_name", "price", "position")
 
 
 @register("catalog_sort_js", f"""
@@ -596,16 +605,23 @@ def q_train_test_split(spark, sf):
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+# the rows after median imputation, as an upload is cleaned before anything is computed
+_IMPUTED_SQL = f"""
+filled AS (SELECT * REPLACE (COALESCE(rating, {_median('rating')}) AS rating) FROM retail)"""
+
+
+def _imputed(spark, sf):
+    return ingest.impute_median(_v(spark, sf), ["rating"])
+
+
 @register("synthetic_sales", f"""
+WITH {_IMPUTED_SQL}
 SELECT order_id, line_no, CAST(TRUNC(rating * (500.0e0 + 1500.0e0 * ({_U}))
   * (1.0e0 + discount_percentage / 100.0e0)
-  * CASE WHEN price < 1000 THEN 2 ELSE 1 END) AS BIGINT) AS sales_volume
-FROM retail WHERE rating IS NOT NULL AND discount_percentage IS NOT NULL""")
+  * CASE WHEN price < 1000 THEN 2 ELSE 1 END) AS BIGINT) AS sales_volume FROM filled""")
 def q_synthetic_sales(spark, sf):
-    """M5 over every rated line (the whole-table step needs every row rated)."""
-    rated = _v(spark, sf).where(F.col("rating").isNotNull() & F.col("discount_percentage").isNotNull())
-    return models.with_synthetic_sales(rated, KEY, strict=False) \
-        .select("order_id", "line_no", "sales_volume")
+    """M5 over every line, ratings imputed first as the whole-table step needs."""
+    return models.with_synthetic_sales(_imputed(spark, sf), KEY).select("order_id", "line_no", "sales_volume")
 
 
 @register("model_features", f"""
@@ -625,18 +641,41 @@ def q_model_features(spark, sf):
         "order_id", "line_no", "price", "discount_percentage", "category_code", "rating", "split")
 
 
+#: The forests of the registered runs: as many trees as the original grows. The depth bounds
+#: the size of a tree (at most 2**depth leaves), since MLlib keeps whole levels on the driver.
+MODEL_TREES, MODEL_DEPTH = 100, 8
+
+
 @register("rating_model")
 def q_rating_model(spark, sf):
-    """M4 (rows-only check): 20 trees of depth 5 keep the registered run short."""
-    return models.rating_model(_v(spark, sf), num_trees=20, max_depth=5, key_cols=KEY).metrics
+    """M4 over every line (scores of a trained model: rows-only check)."""
+    return models.rating_model(_v(spark, sf), MODEL_TREES, MODEL_DEPTH, KEY).metrics
 
 
 @register("sales_model")
 def q_sales_model(spark, sf):
-    """M6 (rows-only check) on the synthetic volume of rated lines."""
-    rated = _v(spark, sf).where(F.col("rating").isNotNull())
-    data = models.with_synthetic_sales(rated, KEY, strict=False)
-    return models.sales_model(data, num_trees=20, max_depth=5, key_cols=KEY).metrics
+    """M6 on the synthetic volume of every line (rows-only check)."""
+    data = models.with_synthetic_sales(_imputed(spark, sf), KEY)
+    return models.sales_model(data, MODEL_TREES, MODEL_DEPTH, KEY).metrics
+
+
+def _checked(metrics):
+    """Whether a model's scores keep the bounds that any model must keep."""
+    cols = metrics.columns
+    low = F.col("mae") <= F.col("rmse") + 1e-12 if "mae" in cols else F.lit(True)
+    return metrics.select((F.col("rmse") >= 0).alias("rmse_ok"), low.alias("mae_ok"), (F.col("r2") <= 1).alias("r2_ok"))
+
+
+_TEST_ROWS = f"SELECT COUNT(*) FROM retail WHERE {_U} < 0.2"
+
+
+@register("rating_model_bounds", f"""
+SELECT TRUE AS rmse_ok, TRUE AS mae_ok, TRUE AS r2_ok, ({_TEST_ROWS}) AS test_rows""")
+def q_rating_model_bounds(spark, sf):
+    """M3, M4: size of the test part, and bounds that the scores keep."""
+    data = _v(spark, sf)
+    rows = models.with_split(data, KEY).where("split = 'test'").agg(F.count(F.lit(1))).scalar()
+    return _checked(models.rating_model(data, 20, 5, KEY).metrics).withColumn("test_rows", rows)
 
 
 # Text ---------------------------------------------------------------------------

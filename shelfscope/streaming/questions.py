@@ -9,7 +9,6 @@ needs no watermark and recovers from its checkpoint location after a failure.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,19 +19,20 @@ QUESTION_SCHEMA = "question string"
 
 
 def frozen_answers(df: DataFrame) -> DataFrame:
-    """The per-intent answer table, materialised once (a handful of rows)."""
+    """The per-intent answer table, written once to ``spark.checkpoint.dir`` (a handful of rows)."""
     answers = ask.answer_table(df)
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-        return answers.checkpoint(eager=True)
-    return answers.persist(StorageLevel.MEMORY_AND_DISK)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir is not set")
+    spark.sparkContext.setCheckpointDir(folder)
+    return answers.checkpoint(eager=True)
 
 
 def answer_stream(questions: DataFrame, answers: DataFrame, text_col: str = "question") -> DataFrame:
     """Streaming (or batch) questions -> question, intent, answer."""
     routed = questions.withColumn("intent", ask.intent_of(F.col(text_col)))
-    return routed.join(F.broadcast(answers), "intent", "left") \
+    return routed.join(answers, "intent", "left") \
         .select(F.col(text_col).alias("question"), "intent", "answer")
 
 

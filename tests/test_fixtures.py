@@ -48,8 +48,8 @@ def test_hot_basket_split_gives_same_pairs(spark):
     base = spark.range(0, 300).select(
         F.when(F.col("id") < 200, F.lit(0)).otherwise(F.col("id") % 20).alias("order_id"),
         (F.col("id") % 60).cast("string").alias("product_name"))
-    plain = sorted(rows(basket.item_pairs(base, sample_fraction=1.0, hot_fraction=1.0)))
-    split = sorted(rows(basket.item_pairs(base, sample_fraction=1.0, hot_fraction=0.01, chunk=5)))
+    plain = sorted(rows(basket.item_pairs(base)))
+    split = sorted(rows(basket.item_pairs(base, chunk=5)))
     assert plain == split
     assert len(plain) >= 60 * 59 // 2 - 1
 
@@ -134,17 +134,37 @@ def test_kpis_and_profiles(spark):
     assert metrics.price_anchor(df).first()[0] == 75.0
 
 
-def test_hot_basket_is_detected(spark):
-    # basket 0 holds 3,000 distinct items, the other 500 baskets hold 2 each
+def test_many_equal_large_baskets_are_all_split(spark):
+    # none of them is a large share of all lines
     from pyspark.sql import functions as F
-    hot = spark.range(0, 3000).select(F.lit(0).cast("long").alias("txn"),
-                                      F.col("id").cast("string").alias("item"))
-    cold = spark.range(0, 1000).select((F.col("id") % 500 + 1).alias("txn"),
-                                       (F.col("id") % 2).cast("string").alias("item"))
-    b = hot.unionByName(cold)
-    hints = {r.txn: r.s for r in basket._hot_baskets(b, 0.5, 0.001, 100, 64).collect()}
-    assert set(hints) == {0}
-    assert 10 <= hints[0] <= 64
+    b = spark.range(0, 1000 * 30).select((F.col("id") % 1000).alias("txn"), (F.col("id") / 1000).cast("int").cast("string").alias("item"))
+    assert {r.s for r in basket.split_factors(b, 10).collect()} == {3}
+    assert basket.split_factors(b, 10).count() == 1000
+    assert basket.split_factors(b, 30).count() == 0
+
+
+def test_text_dates(spark):
+    from shelfscope.operators import finance
+    data = [("25/12/2021", 10.0), ("05/12/2021", 1.0), ("2021-03-04T10:00:00Z", 5.0), ("2021-03-04 10:00:00.5", 5.0),
+            ("4 Mar 2021", 2.0), ("bad", 100.0), (None, 50.0), ("2020/1/2", 7.0)]
+    df = spark.createDataFrame(data, "date string, expenditure double")
+    assert {r.year: r.expenditure for r in finance.annual_expenditure_table(df).collect()} == {2021: 23.0, 2020: 7.0}
+    row = finance.avg_annual_expenditure(df).first()
+    assert row.average_annual_expenditure == 15.0 and row.note == "1 dates could not be read."
+    only = {r.year for r in finance.annual_expenditure_table(df, ["dd/MM/yyyy"]).collect()}
+    assert only == {2021}
+    numbers = spark.createDataFrame([(20210304, 1.0)], "date int, expenditure double")
+    with pytest.raises(finance.NumericDates):
+        finance.annual_expenditure(numbers)
+
+
+def test_sales_basis_needs_a_product(spark):
+    from shelfscope.operators import catalog, narrate
+    for columns, basis in (("sales_volume long", "sales_volume"), ("review_count long", "review_count"), ("x long", "unavailable")):
+        df = spark.createDataFrame([(1, "a")], columns + ", product_name string")
+        assert catalog.sales_basis(df) == basis == df.agg(narrate.basis_column(df)).first()[0]
+        bare = df.drop("product_name")
+        assert catalog.sales_basis(bare) == "unavailable" == bare.agg(narrate.basis_column(bare)).first()[0]
 
 
 def test_cards_text(spark):

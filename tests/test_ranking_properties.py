@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from shelfscope.functions.quantile import median_frame
-from shelfscope.functions.ranking import dense_codes
+from shelfscope.functions.ranking import dense_codes, range_ranked
 
 values = st.lists(st.one_of(st.none(), st.integers(-50, 50).map(lambda x: x / 4)),
                   min_size=0, max_size=60)
@@ -83,17 +83,35 @@ def test_approx_median_option(spark):
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.integers(1, 40), min_size=1, max_size=300))
-def test_hot_basket_hints_are_bounded(spark, sizes):
-    # whatever the basket sizes, at most 1/hot_fraction baskets can be hinted
-    from pyspark.sql import functions as F
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=300), st.integers(1, 20))
+def test_every_large_basket_is_split_by_its_size(spark, sizes, chunk):
     from shelfscope.operators import basket
     rows_ = [(t, f"i{j}") for t, k in enumerate(sizes) for j in range(k)]
     b = spark.createDataFrame(rows_, "txn long, item string")
-    hot_fraction = 0.02
-    hints = basket._hot_baskets(b, 1.0, hot_fraction, 1, 64)  # chunk 1: every hot basket splits
-    n = hints.count()
-    assert n <= int(1 / hot_fraction)
-    total = sum(sizes)
-    expected = sum(1 for k in sizes if k > total * hot_fraction and k > 1)
-    assert n == expected
+    got = {r.txn: r.s for r in basket.split_factors(b, chunk).collect()}
+    assert got == {t: -(-k // chunk) for t, k in enumerate(sizes) if k > chunk}
+
+
+def test_payload_columns_do_not_disturb_positions(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(0, 20000, 1, 7).select(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("x"), F.col("id").alias("payload"))
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        try:
+            got = [(r.x, r.payload, r.start) for r in range_ranked(df, "x").collect()]
+        finally:
+            spark.conf.set("spark.sql.exchange.reuse", "true")
+        assert [s for *_, s in sorted(got)] == list(range(len(got))) and len(got) == 20000
+
+
+def test_sums_keep_small_and_large_doubles(spark):
+    from pyspark.sql import functions as F
+    from shelfscope.functions.numeric import exact_mean, exact_sum
+    small = spark.createDataFrame([(4e-7,), (2e-7,), (None,)], "x double")
+    assert abs(small.agg(exact_mean(F.col("x"))).first()[0] - 3e-7) < 1e-20
+    large = spark.createDataFrame([(1e33,), (2.0,)], "x double")
+    assert large.agg(exact_sum(F.col("x"))).first()[0] == 1e33
+    whole = spark.createDataFrame([(3,), (4,)], "x long")
+    assert whole.agg(exact_sum(F.col("x"))).first()[0] == 7.0
+    none = spark.createDataFrame([(None,)], "x double")
+    assert none.agg(exact_sum(F.col("x")), exact_mean(F.col("x"))).first() == (None, None)

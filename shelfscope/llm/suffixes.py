@@ -117,15 +117,23 @@ def _entries(texts: list[bytes], keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sorted(entries: np.ndarray) -> np.ndarray:
+    return entries[np.lexsort((entries["at"], entries["text"], entries["segment"], entries["anchor"]))]
+
+
 def _chunk_rows(texts: list[bytes], keys: np.ndarray, parts: int) -> Iterator[tuple]:
     """(part, settled, bytes of entries) of a chunk, each distinct segment once.
 
     Of a segment that is met again in the chunk, further places are sent as they
     are (part of their text, flagged), since they repeat in any case.
     """
-    found = np.unique(_entries(texts, keys))  # sorted; rows of the same text count once
+    found = _sorted(_entries(texts, keys))
     if not len(found):
         return
+    again = np.zeros(len(found), bool)  # rows of the same text count once
+    again[1:] = ((found["anchor"][1:] == found["anchor"][:-1]) & (found["text"][1:] == found["text"][:-1])
+                 & (found["at"][1:] == found["at"][:-1]))
+    found = found[~again]
     same = np.zeros(len(found), bool)
     same[1:] = (found["anchor"][1:] == found["anchor"][:-1]) & (found["segment"][1:] == found["segment"][:-1])
     first = found[~same].copy()
@@ -175,7 +183,7 @@ def _anchor_rows(keyed: DataFrame, parts: int, chunk: int) -> DataFrame:
 
 def _judge(entries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Entries of whole anchors -> those that matter and what for."""
-    entries = np.sort(entries, order=["anchor", "segment", "text", "at"])
+    entries = _sorted(entries)
     new_segment = np.r_[True, (entries["anchor"][1:] != entries["anchor"][:-1])
                         | (entries["segment"][1:] != entries["segment"][:-1])]
     new_anchor = np.r_[True, entries["anchor"][1:] != entries["anchor"][:-1]]
@@ -301,8 +309,39 @@ def suffix_array(text: str) -> list[int]:
     return order
 
 
+def _shared(sides: list[bytes]) -> list[int]:
+    """For each text the longest beginning that it has in common with another one."""
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    found = [0] * len(sides)
+    for i, j in zip(order[:-1], order[1:]):  # the longest is that with a neighbour in sorted order
+        a, b = sides[i], sides[j]
+        n = min(len(a), len(b))
+        differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+        common = n - (differ.bit_length() + 7) // 8
+        found[i], found[j] = max(found[i], common), max(found[j], common)
+    return found
+
+
 def repeated_windows(segments: list[tuple[bytes, bytes]]) -> list[list[int]]:
-    """For distinct (left, right) surroundings of one anchor, the offsets in left where a repeat starts."""
+    """For distinct (left, right) surroundings of one anchor, the offsets in left where a repeat starts.
+
+    What no other segment has in common with one, on either side of the anchor, is
+    cut off first, and segments left too short for a string are passed over.
+    """
+    lefts = _shared([left[::-1] for left, _ in segments])
+    rights = _shared([right for _, right in segments])
+    use = [k for k, (a, b) in enumerate(zip(lefts, rights, strict=True)) if a + b >= LENGTH - ANCHOR]
+    out: list[list[int]] = [[] for _ in segments]
+    if len(use) > 1:
+        cut = [len(segments[k][0]) - lefts[k] for k in use]
+        parts = [(segments[k][0][c:], segments[k][1][:rights[k]]) for k, c in zip(use, cut, strict=True)]
+        for k, c, offsets in zip(use, cut, _windows_in_order(parts), strict=True):
+            out[k] = [c + o for o in offsets]
+    return out
+
+
+def _windows_in_order(segments: list[tuple[bytes, bytes]]) -> list[list[int]]:
+    """As ``repeated_windows``, from the order of all suffixes of the segments."""
     width = LENGTH - ANCHOR + 1  # symbols of a string that holds the anchor
     text, starts = [], []
     place = 0

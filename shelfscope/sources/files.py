@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import csv
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from shelfscope.operators import ingest, schema
 
@@ -13,53 +14,116 @@ NA_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan"
             "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
             "nan", "null"]
 
-UNSUPPORTED = "Please upload a CSV or Excel file."
+UNSUPPORTED = "This input is neither CSV nor Parquet; name the format if the path does not tell it."
 EXCEL = ("Excel workbooks are not decoded on the cluster; save the sheet as CSV (or Parquet) "
          "and read that.")
 
 
-def check_format(path: str, fmt: str | None = None) -> str:
+def _data_files(spark: SparkSession, path: str) -> list[str]:
+    """Data files of a path or folder, through the file system that Spark itself uses.
+
+    Hidden and marker files (``_SUCCESS``, ``.crc``) do not count. Only the listing
+    reaches the driver, as it does for any Spark read.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        raise FileNotFoundError(path)
+    if not fs.getFileStatus(root).isDirectory():
+        return [str(fs.getFileStatus(root).getPath().toString())]
+    found, listing = [], fs.listFiles(root, True)
+    base = fs.getFileStatus(root).getPath().toString()
+    while listing.hasNext():
+        status = listing.next()
+        name = status.getPath().toString()
+        inner = name[len(base):].strip("/").split("/")
+        if status.getLen() and not any(part.startswith(("_", ".")) for part in inner):
+            found.append(name)
+    return sorted(found)
+
+
+def check_format(path: str, fmt: str | None = None, spark: SparkSession | None = None) -> str:
     """``csv`` or ``parquet`` for a path. A single file must end in ``.csv``
-    (case-sensitive) or ``.parquet``; a folder (local or remote, e.g. ``s3a://``)
-    holds CSV parts unless it holds Parquet files. Excel is not decoded here:
-    convert it first. ``fmt`` overrides the inference."""
+    (case-sensitive) or ``.parquet``; a folder (local or remote) is what all its data
+    files are, which takes a session to list them. ``fmt`` overrides the inference.
+    Excel is not decoded here: convert it first."""
     if fmt is not None:
         if fmt not in ("csv", "parquet"):
             raise ValueError(UNSUPPORTED)
         return fmt
-    last = path.rstrip("/").rsplit("/", 1)[-1]
-    if path.endswith(".csv"):
-        return "csv"
-    if path.endswith(".parquet"):
-        return "parquet"
     if path.endswith((".xlsx", ".xls")):
         raise ValueError(EXCEL)
-    if os.path.isdir(path):
-        return "parquet" if any(f.endswith(".parquet") for f in os.listdir(path)) else "csv"
-    if path.endswith("/") or "." not in last:
-        return "csv"  # a folder of CSV parts (remote folders are not listed here)
-    raise ValueError(UNSUPPORTED)
+    for ending in ("csv", "parquet"):
+        if path.endswith(f".{ending}"):
+            return ending
+    if spark is None:
+        raise ValueError(UNSUPPORTED)
+    # a file within a folder may be compressed
+    kinds = {next((k for k in ("csv", "parquet") if f".{k}" in name.rsplit("/", 1)[-1]), None)
+             for name in _data_files(spark, path)}
+    if len(kinds) != 1 or None in kinds:
+        raise ValueError(UNSUPPORTED)
+    return kinds.pop()
+
+
+def _header(spark: SparkSession, name: str) -> list[str]:
+    """Header cells of a CSV file: its first record, opened on the driver."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(name)
+    stream = place.getFileSystem(conf).open(place)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+    try:
+        raw = codec.createInputStream(stream) if codec is not None else stream
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(raw, "UTF-8"))
+        record = reader.readLine() or ""
+        while record.count('"') % 2 and (more := reader.readLine()) is not None:  # a line break within quotes
+            record += "\n" + more
+    finally:
+        stream.close()
+    return next(csv.reader([record.removeprefix("\ufeff")]), [])
+
+
+def read_csv(spark: SparkSession, path: str, strict: bool = True, multi_line: bool = True) -> DataFrame:
+    """CSV files as text columns under folded header names.
+
+    Doubled quotes and quoted line breaks are read as they are meant. Files of a folder
+    may order or choose their columns differently: they are read by their own headers and
+    united by name. A row that does not have its header's number of cells fails the read.
+    ``multi_line=False`` lets Spark split large files; then no cell may hold a line break.
+    """
+    options = {"quote": '"', "escape": '"', "multiLine": str(multi_line).lower(), "inferSchema": "false",
+               "encoding": "UTF-8"}
+    files = _data_files(spark, path)
+    if not files:
+        raise ValueError("empty input: no header row")
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for name in files:
+        by_header.setdefault(tuple(_header(spark, name)), []).append(name)
+    parts = []
+    for header, names in sorted(by_header.items()):
+        if not header:
+            raise ValueError("empty input: no header row")
+        folded = [schema.fold_name(h, strict) for h in header]
+        if len(set(folded)) != len(folded):
+            raise schema.HeaderCollision(f"headers fold to duplicates: {list(header)}")
+        wanted = T.StructType([T.StructField(name, T.StringType()) for name in folded])
+        parts.append(spark.read.options(**options).option("header", True).option("enforceSchema", True)
+                     .option("mode", "FAILFAST").schema(wanted).csv(names))
+    df = parts[0]
+    for other in parts[1:]:
+        df = df.unionByName(other, allowMissingColumns=True)
+    return df
 
 
 def read_table(spark: SparkSession, path: str, strict: bool = True, impute: bool = True,
-               all_null_fill: float | None = None, fmt: str | None = None) -> DataFrame:
+               all_null_fill: float | None = None, fmt: str | None = None,
+               multi_line: bool = True) -> DataFrame:
     """Read a CSV file or folder (every column as text), null the NA words,
     then normalise (fold, alias, coerce, impute). Parquet keeps its types."""
-    fmt = check_format(path, fmt)
-    if fmt == "parquet":
+    if check_format(path, fmt, spark) == "parquet":
         return ingest.normalize(spark.read.parquet(path), strict, impute, all_null_fill)
-    # Header cells as written, so that folded duplicates are caught before
-    # Spark renames them (one row, read once).
-    header = spark.read.option("header", False).csv(path).first()
-    if header is None:
-        raise ValueError("empty input: no header row")
-    raw_names = [h if h is not None else "" for h in header]
-    folded = [schema.fold_name(h, strict) for h in raw_names]
-    if len(set(folded)) != len(folded):
-        raise schema.HeaderCollision(f"headers fold to duplicates: {raw_names}")
-    df = (spark.read.option("header", True).option("inferSchema", False)
-          .option("mode", "PERMISSIVE").csv(path))
-    df = ingest.null_na_words(df.toDF(*folded), NA_WORDS)
+    df = ingest.null_na_words(read_csv(spark, path, strict, multi_line), NA_WORDS)
     return ingest.normalize(df, strict=True, impute=impute, all_null_fill=all_null_fill)
 
 
@@ -68,6 +132,9 @@ def write_insights(insights: dict[str, DataFrame], out_dir: str, fmt: str = "jso
     written = []
     for name, df in insights.items():
         target = f"{out_dir.rstrip('/')}/{name}"
-        df.write.mode("overwrite").format(fmt).save(target)
+        writer = df.write.mode("overwrite").format(fmt)
+        if fmt == "json":
+            writer = writer.option("ignoreNullFields", False)
+        writer.save(target)
         written.append(target)
     return written

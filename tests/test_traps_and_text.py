@@ -94,16 +94,17 @@ def test_csv_source_traps(spark):
     assert got["cup"] == (15.0, 4.0, None)
     assert got["pen"] == (15.0, 4.0, 10.0)
     assert got["jam"] == (20.0, 3.5, 5.0)
-    with pytest.raises(ValueError, match="CSV or Excel"):
+    with pytest.raises(ValueError, match="neither CSV nor Parquet"):
         files.check_format(os.path.join(folder, "shop.txt"))
     with pytest.raises(ValueError, match="save the sheet as CSV"):
         files.check_format(os.path.join(folder, "shop.xlsx"))
-    assert files.check_format("s3a://bucket/shop/") == "csv"
+    with pytest.raises(ValueError):  # a remote folder is listed, never guessed
+        files.check_format("s3a://bucket/shop/")
     assert files.check_format("s3a://bucket/shop", fmt="parquet") == "parquet"
-    assert files.check_format(folder) == "csv"
+    assert files.check_format(folder, spark=spark) == "csv"
     pq_dir = tempfile.mkdtemp(prefix="shelfscope-pq-")
     spark.createDataFrame([("tea", 1.0)], "name string, price double").write.mode("overwrite").parquet(pq_dir)
-    assert files.check_format(pq_dir) == "parquet"
+    assert files.check_format(pq_dir, spark=spark) == "parquet"
     assert files.read_table(spark, pq_dir).columns == ["product_name", "price"]
 
 
@@ -168,3 +169,55 @@ def test_missing_roles_give_empty_results(spark):
     no_product = spark.createDataFrame([(1.0,)], "price double")
     assert catalog.product_list(no_product).count() == 0
     assert charts.top_products(no_product).count() == 0
+
+
+def _written(folder, **texts):
+    os.makedirs(folder, exist_ok=True)
+    for name, text in texts.items():
+        with open(os.path.join(folder, f"{name}.csv"), "w", encoding="utf8", newline="") as f:
+            f.write(text)
+    return folder
+
+
+def test_csv_quotes_and_line_breaks(spark, tmp_path):
+    folder = _written(f"{tmp_path}/q", a='product_name,price,category\n"12"" pan, steel",10.5,kitchen\n"two\nlines",3,"a,b"\n')
+    got = {tuple(r) for r in files.read_table(spark, folder).select("product_name", "price", "category").collect()}
+    assert got == {('12" pan, steel', 10.5, "kitchen"), ("two\nlines", 3.0, "a,b")}
+
+
+def test_csv_folder_with_differing_columns(spark, tmp_path):
+    folder = _written(f"{tmp_path}/d", a="product_name,price,rating\ntea,20,4\n", b="price,product_name,rating\n10,cup,3\n",
+                      c="product_name,price\njam,5\n")
+    open(f"{folder}/_SUCCESS", "w").close()
+    got = {tuple(r) for r in files.read_table(spark, folder, impute=False).select("product_name", "price", "rating").collect()}
+    assert got == {("tea", 20.0, 4.0), ("cup", 10.0, 3.0), ("jam", 5.0, None)}
+
+
+def test_csv_rows_of_another_width_fail(spark, tmp_path):
+    folder = _written(f"{tmp_path}/w", a="product_name,price\ntea,20,4\n")
+    with pytest.raises(Exception, match="(?i)malformed|failfast"):
+        files.read_table(spark, folder).collect()
+
+
+def test_partitioned_parquet_folder(spark, tmp_path):
+    spark.createDataFrame([("tea", 1.0, 7), ("cup", 2.0, 8)], "name string, price double, day int").write.partitionBy("day").parquet(f"{tmp_path}/p")
+    df = files.read_table(spark, f"{tmp_path}/p")
+    assert sorted(df.columns) == ["day", "price", "product_name"] and df.count() == 2
+
+
+def test_view_survives_csv(spark, tmp_path):
+    from conftest import SF_SMALL
+    from shelfscope.sources.retail_view import retail_view
+    view = retail_view(spark, SF_SMALL).select("order_id", "product_name", "category", "price", "rating", "quantity")
+    view.write.option("header", True).option("escape", '"').csv(f"{tmp_path}/v")
+    back = files.read_csv(spark, f"{tmp_path}/v")
+    same = back.select(*[back[f.name].cast(f.dataType).alias(f.name) for f in view.schema])
+    assert same.exceptAll(view).count() == 0 and view.exceptAll(same).count() == 0
+
+
+def test_json_sink_keeps_null_fields(spark, tmp_path):
+    import json
+    df = spark.createDataFrame([(None, 1)], "note string, n int")
+    (folder,) = files.write_insights({"x": df}, str(tmp_path))
+    lines = [line for name in os.listdir(folder) if name.endswith(".json") for line in open(os.path.join(folder, name))]
+    assert json.loads(lines[0]) == {"note": None, "n": 1}

@@ -110,7 +110,8 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, column: str = "text",
         import pandas as pd
 
         enc = encoding(data.value, pattern)
-        return pd.Series([encode_text(enc, x or "") for x in texts])
+        # arrays, not lists: a batch of ids as Python numbers takes ten times the memory
+        return pd.Series([np.asarray(encode_text(enc, x or ""), dtype=np.int32) for x in texts], dtype=object)
 
     return docs.withColumn(output, ids(whole_text(column)))
 
@@ -125,7 +126,7 @@ def decode(tokens: DataFrame, rank_path: str, pattern: str, column: str = "ids",
         import pandas as pd
 
         enc = encoding(data.value, pattern)
-        return pd.Series([enc.decode_bytes([int(i) for i in x] if x is not None else []) for x in rows])
+        return pd.Series([enc.decode_bytes(np.asarray(x).tolist() if x is not None else []) for x in rows], dtype=object)
 
     return tokens.withColumn(output, raw(F.col(column)))
 

@@ -57,8 +57,19 @@ def string_list(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+#: Bytes of a batch that are turned into Python objects at once.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``SLICE_BYTES``, one row at least."""
+    rows = max(1, int(batch.num_rows * SLICE_BYTES / max(batch.nbytes, 1)))
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
 def map_batches(df: DataFrame, per_batch: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """Apply ``per_batch`` to each Arrow batch; it returns columns by name."""
+    """Apply ``per_batch`` to Arrow batches of bounded size; it returns columns by name."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -66,8 +77,8 @@ def map_batches(df: DataFrame, per_batch: Callable[[pa.RecordBatch], dict], sche
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = per_batch(batch)
+            for part in slices(batch):
+                out = per_batch(part)
                 yield pa.RecordBatch.from_arrays(
                     [x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in arrow],
                     schema=arrow)

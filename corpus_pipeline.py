@@ -47,9 +47,8 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with token_ids and n_tokens; text is what the ids decode to (operator 2)."""
-    ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, output="token_ids")
-    ids = bpe.decode(ids, RANKS, public_tokenizers.PATTERN, column="token_ids", output="decoded_bytes")
-    return (ids.withColumn("text", F.col("decoded_bytes").cast("string")).drop("decoded_bytes")
+    both = bpe.encode_and_decode(docs, RANKS, public_tokenizers.PATTERN, ids="token_ids", decoded="_decoded")
+    return (both.withColumn("text", F.col("_decoded").cast("string")).drop("_decoded")
             .withColumn("n_tokens", F.size("token_ids").cast("long")))
 
 

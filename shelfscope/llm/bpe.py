@@ -131,6 +131,28 @@ def decode(tokens: DataFrame, rank_path: str, pattern: str, column: str = "ids",
     return tokens.withColumn(output, raw(F.col(column)))
 
 
+def encode_and_decode(docs: DataFrame, rank_path: str, pattern: str, column: str = "text",
+                      ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with the ids of ``column`` and the raw bytes they decode to, by one Python step."""
+    data = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
+
+    @F.pandas_udf("ids array<int>, decoded binary")
+    def both(texts):
+        import pandas as pd
+
+        enc = encoding(data.value, pattern)
+        found, raw = [], []
+        for text in texts:
+            each = encode_text(enc, text or "")
+            found.append(np.asarray(each, dtype=np.int32))
+            raw.append(enc.decode_bytes(each))
+        return pd.DataFrame({"ids": pd.Series(found, dtype=object), "decoded": pd.Series(raw, dtype=object)})
+
+    name = "_bpe_both"
+    return docs.withColumn(name, both(whole_text(column))).withColumns(
+        {ids: F.col(f"{name}.ids"), decoded: F.col(f"{name}.decoded")}).drop(name)
+
+
 def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """Per document: number of ids and digests of the ids and the decoded bytes.
 

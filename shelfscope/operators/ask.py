@@ -49,6 +49,8 @@ ROUTES = [
 ]
 EMPTY_ANSWER = "No question provided"
 INTENTS = ([i for i, _, _ in CONCEPTS] + [i for i, _ in ROUTES] + ["overview", "empty"])
+MISSING_TEXT = "nan"
+NO_VALUES = "No values to answer this from."
 NOT_AVAILABLE = {
     "concept_average_price": "Average price is not available.",
     "top_products": "Price data not available.",
@@ -88,6 +90,16 @@ def _bullets(frame: DataFrame, order: list[Column], line: Column, n: int) -> Col
                                                lambda e: e["t"]), "")).scalar()
 
 
+def _shown(column: str) -> Column:
+    """Text of a cell; a missing one as the original prints it."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(MISSING_TEXT))
+
+
+def _told(answer: Column, intent: str) -> Column:
+    """An answer is always text: a figure of a column without values is not available."""
+    return F.coalesce(answer, F.lit(NOT_AVAILABLE.get(intent, NO_VALUES)))
+
+
 def answer_table(df: DataFrame, intents: Iterable[str] | None = None) -> DataFrame:
     """Q2: one row per intent with its answer text, computed from ``df``.
 
@@ -112,9 +124,9 @@ def answer_table(df: DataFrame, intents: Iterable[str] | None = None) -> DataFra
 
     def top_products() -> Column:
         if has_price_col and "product_name" in cols:
-            line = F.concat(F.lit("• "), F.col("product_name"), F.lit("\n  Price: "),
+            line = F.concat(F.lit("• "), _shown("product_name"), F.lit("\n  Price: "),
                             money(F.col("price")), F.lit(" | Category: "),
-                            F.coalesce(F.col("category"), F.lit("None")), F.lit("\n\n"))
+                            _shown("category"), F.lit("\n\n"))
             body = _bullets(catalog.top_by_price(df, 5), [F.col("price").desc(), F.col("product_name"),
                                                          F.col("category").asc_nulls_last()], line, 5)
             return F.concat(F.lit("Top 5 Products by Price:\n\n"), body)
@@ -177,7 +189,7 @@ def answer_table(df: DataFrame, intents: Iterable[str] | None = None) -> DataFra
         "overview": lambda: narrate.overview_column(cols),  # same metrics row, no rescan
         "empty": lambda: F.lit(EMPTY_ANSWER),
     })
-    packed = F.array(*[F.struct(F.lit(k).alias("intent"), builders[k]().alias("answer"))
+    packed = F.array(*[F.struct(F.lit(k).alias("intent"), _told(builders[k](), k).alias("answer"))
                        for k in wanted])
     return m.select(F.explode(packed).alias("a")).select("a.intent", "a.answer")
 

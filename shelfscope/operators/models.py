@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope.functions.numeric import exact_mean, unit_draw
@@ -21,23 +21,40 @@ from shelfscope.functions.ranking import dense_codes
 from shelfscope.operators import schema
 
 TEST_FRACTION = 0.2
+#: Groups among which equal rows without a key are dealt, and names of the helper columns.
+DRAW_PARTS = 64
+PART, NUMBER, UNIT = "_draw_part", "_draw_number", "_draw_unit"
 SEED = 42
 
 
 def row_key(df: DataFrame, key_cols: list[str] | None = None) -> Column:
-    """Key for hash draws: the given columns joined by ':'. Without key columns
-    every column is used, so identical rows share a draw (they are
-    interchangeable, and the result stays a deterministic multiset)."""
+    """Key for hash draws: the given columns joined by ':', or every column. Rows that are
+    equal in it share a draw; ``keyed`` tells such rows apart where no key is known."""
     cols = key_cols or df.columns
     return F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
 
 
+def keyed(df: DataFrame, key_cols: list[str] | None = None) -> tuple[DataFrame, list[str] | None]:
+    """``df`` with the columns of its draws. Without a key, equal rows are numbered among
+    themselves; they are interchangeable, so any order gives the same table. They are dealt
+    in ``DRAW_PARTS`` groups of their own partitions' making, so many equal rows need no one task."""
+    if key_cols:
+        return df, key_cols
+    dealt = df.withColumn(PART, F.pmod(F.monotonically_increasing_id(), F.lit(DRAW_PARTS)))
+    order = Window.partitionBy(*df.columns, PART).orderBy(PART)
+    return dealt.withColumn(NUMBER, F.row_number().over(order)), [*df.columns, PART, NUMBER]
+
+
 def with_split(df: DataFrame, key_cols: list[str] | None = None,
                test_fraction: float = TEST_FRACTION) -> DataFrame:
     """M3: ``split`` = test when the md5 draw of the row key is below the fraction.
-    Stable under repartitioning and task retries, unlike ``randomSplit``."""
+    With key columns stable under repartitioning and task retries, unlike ``randomSplit``."""
+    df, key_cols = keyed(df, key_cols)
     u = unit_draw(row_key(df, key_cols))
-    return df.withColumn("split", F.when(u < test_fraction, F.lit("test")).otherwise(F.lit("train")))
+    df = df.withColumn(UNIT, u).drop(PART, NUMBER)
+    u = F.col(UNIT)
+    df = df.withColumn("split", F.when(u < test_fraction, F.lit("test")).otherwise(F.lit("train")))
+    return df.drop(UNIT)
 
 
 def category_codes(df: DataFrame) -> DataFrame:
@@ -80,7 +97,8 @@ def with_synthetic_sales(df: DataFrame, key_cols: list[str] | None = None,
                                     | F.col("discount_percentage").isNull()).alias("m")).first()["m"]
         if missing:
             return df
-    return df.withColumn("sales_volume", synthetic_sales(df, key_cols))
+    dealt, keys = keyed(df, key_cols)
+    return dealt.withColumn("sales_volume", synthetic_sales(dealt, keys)).drop(PART, NUMBER)
 
 
 def _mean_filled(df: DataFrame, cols: list[str]) -> DataFrame:

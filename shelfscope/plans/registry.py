@@ -624,6 +624,54 @@ def q_synthetic_sales(spark, sf):
     return models.with_synthetic_sales(_imputed(spark, sf), KEY).select("order_id", "line_no", "sales_volume")
 
 
+def _uploaded(spark, sf):
+    """The view as a user would upload it (other headers, numbers as text), cleaned."""
+    view = _v(spark, sf)
+    text = view.withColumns({c: F.col(c).cast("string") for c in ("price", "rating", "discount_percentage")})
+    raw = text.withColumnsRenamed({"price": " PRICE", "rating": "Rating ", "product_name": "ProductName"})
+    return ingest.normalize(raw, strict=True, impute=True)
+
+
+_VOLUME_SQL = f"""{_IMPUTED_SQL},
+sold AS (SELECT *, CAST(TRUNC(rating * (500.0e0 + 1500.0e0 * ({_U})) * (1.0e0 + discount_percentage / 100.0e0)
+  * CASE WHEN price < 1000 THEN 2 ELSE 1 END) AS BIGINT) AS sales_volume FROM filled)"""
+
+
+@register("normalized_kpis", f"""
+WITH {_IMPUTED_SQL} SELECT COUNT(*) AS total_products, COUNT(DISTINCT category) AS total_categories,
+  {_mean('price')} AS avg_price, {_mean('discount_percentage')} AS avg_discount, {_mean('rating')} AS avg_rating FROM filled""")
+def q_normalized_kpis(spark, sf):
+    """An upload is folded, aliased, coerced and imputed, then summarised."""
+    return metrics.kpis(_uploaded(spark, sf))
+
+
+@register("normalized_product_list", f"""
+WITH {_VOLUME_SQL},
+counted AS (SELECT TRIM(product_name) AS product_name, category, COUNT(*) AS n FROM sold WHERE category IS NOT NULL GROUP BY 1, 2),
+best AS (SELECT product_name, category FROM counted
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY product_name ORDER BY n DESC, category) = 1),
+g AS (SELECT TRIM(product_name) AS product_name, {_mean('price')} AS price, CAST(SUM(sales_volume) AS DOUBLE) AS sales,
+  {_mean('rating')} AS rating, {_mean('discount_percentage')} AS discount_percentage FROM sold GROUP BY 1)
+SELECT g.product_name, price, sales, category, rating, discount_percentage FROM g LEFT JOIN best USING (product_name)""")
+def q_normalized_product_list(spark, sf):
+    """The catalogue of a cleaned upload, with the synthetic volume as its sales."""
+    return catalog.product_list(models.with_synthetic_sales(_uploaded(spark, sf), KEY))
+
+
+@register("normalized_explanation", """
+SELECT * FROM (VALUES
+ (1, 'How suggestions are generated:'),
+ (2, '• Ratings: We flag low-rated products (<3.0) because they usually drive returns or poor reviews.'),
+ (3, '• Discounts vs Ratings: High discounts with low ratings often indicate quality or expectation gaps.'),
+ (4, '• Price Anchor: We find the median price of high-rated products to suggest a strong pricing band.'),
+ (5, '• Category Performance: We compare average ratings per category to spot winners and underperformers.'),
+ (6, '• Top sellers are derived from the synthetic sales volume model based on rating, price, and discount.'))
+ t(position, line)""")
+def q_normalized_explanation(spark, sf):
+    """R2, M7: after imputation the basis is the synthetic volume."""
+    return narrate.insights_explanation(_uploaded(spark, sf))
+
+
 @register("model_features", f"""
 WITH m AS (SELECT {_mean('rating')} AS mr, {_mean('price')} AS mp,
   {_mean('discount_percentage')} AS md FROM retail),
@@ -807,7 +855,7 @@ answers AS (
   UNION ALL SELECT 'concept_average_price', 'Average price is ' || {_fmt0('avg_price')} || '.' FROM am
   UNION ALL SELECT 'top_products', {_lit('Top 5 Products by Price:' + chr(10) * 2)} ||
     (SELECT string_agg('• ' || product_name || {nl} || '  Price: ' || {_fmt0('price')} || ' | Category: '
-      || COALESCE(category, 'None') || {nl} || {nl}, '' ORDER BY price DESC, product_name,
+      || COALESCE(category, 'nan') || {nl} || {nl}, '' ORDER BY price DESC, product_name,
       category NULLS LAST) FROM t5)
   UNION ALL SELECT 'category_rating', {_lit('Best Performing Categories:' + chr(10) * 2)} ||
     (SELECT string_agg('• ' || category || ': ' || {_fmt1('avg_rating')} || ' stars ('

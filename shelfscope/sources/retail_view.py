@@ -18,25 +18,9 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations"]
 
 
-_TABLES: dict[tuple[str, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table as a lazy DataFrame.
-
-    The DataFrame (file listing and Parquet schema, i.e. metadata) is kept per
-    application and path, as a registered table would be; every action still
-    scans the files.
-    """
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # e.g. a Spark Connect session: no driver context to key on
-        return spark.read.parquet(path)
-    key = (app, path)
-    if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(path)
-    return _TABLES[key]
+    """A driver table as a lazy DataFrame of this session."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def retail_view(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,3 +193,22 @@ def test_with_price_band(spark):
     df = spark.createDataFrame([(100.0,), (750.0,), (0.0,), (None,)], "price double")
     got = [r.price_band for r in bands.with_price_band(df).collect()]
     assert got == ["Budget (<500)", "Economy (500-1000)", None, None]
+
+
+def test_equal_rows_without_a_key_are_split(spark):
+    from shelfscope.operators import models
+    df = spark.createDataFrame([("a", 100.0, 10.0, 4.0)] * 1000, "product_name string, price double, discount_percentage double, rating double")
+    parts = {r.split: r["count"] for r in models.with_split(df).groupBy("split").count().collect()}
+    assert models.with_split(df).columns == [*df.columns, "split"]
+    assert 120 < parts["test"] < 280 and sum(parts.values()) == 1000
+    volumes = models.with_synthetic_sales(df)
+    assert volumes.columns == [*df.columns, "sales_volume"] and volumes.select("sales_volume").distinct().count() > 500
+
+
+def test_answers_with_missing_text(spark):
+    from shelfscope.operators import ask
+    df = spark.createDataFrame([(None, 5.0, None, None), ("tea", 4.0, "x", None)],
+                               "product_name string, price double, category string, rating double")
+    got = {r.intent: r.answer for r in ask.answer_table(df, ["top_products", "rating"]).collect()}
+    assert got["top_products"].startswith("Top 5 Products by Price:\n\n• nan\n  Price: ") and "Category: nan" in got["top_products"]
+    assert "tea" in got["top_products"] and got["rating"]

@@ -3,13 +3,12 @@
 Usage: python scripts/plan_report.py [sf_dir] > PLANS.md
 
 Each query is executed once so that the adaptive plan is final, then its plan
-tree (subqueries included) is scanned for shuffles, broadcasts, reused
-exchanges and join strategies.
+tree (subqueries included) is walked node by node and shuffles, broadcasts, reused
+exchanges and join strategies are counted.
 """
 
 from __future__ import annotations
 
-import re
 import sys
 from collections import Counter
 from pathlib import Path
@@ -19,40 +18,42 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from shelfscope.plans import registry  # noqa: E402
 from shelfscope.session import get_session  # noqa: E402
 
-SKIP = {"rating_model", "sales_model"}  # model fits: MLlib jobs, not a single plan
+SKIP = {"rating_model", "sales_model", "rating_model_bounds"}  # model fits: MLlib jobs, not a single plan
 
 
-def _indent(line: str) -> int:
-    m = re.search(r"[A-Za-z=*(]", line)
-    return m.start() if m else len(line)
+def _parts(node) -> list:
+    """What runs below a plan node: final plans of adaptive parts, not their initial ones."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return [node.executedPlan()]
+    if kind.endswith("QueryStageExec"):
+        return [node.plan()]
+    if kind == "InMemoryTableScanExec":
+        return [node.relation().cachedPlan()]
+    return _items(node.children()) + _items(node.subqueries())
 
 
-def final_lines(plan: str) -> list[str]:
-    """Plan lines without the ``== Initial Plan ==`` sections of adaptive plans."""
-    kept, skip_at = [], None
-    for line in plan.splitlines():
-        if skip_at is not None:
-            if _indent(line) > skip_at:
-                continue
-            skip_at = None
-        if "== Initial Plan ==" in line:
-            skip_at = line.index("+- ==")  # the section is everything deeper than this branch
-            continue
-        kept.append(line)
-    return kept
-
-
-def summarise(plan: str) -> dict[str, int | str]:
-    lines = final_lines(plan)
-    shuffles = sum(1 for ln in lines if re.search(r"\bExchange (hashpartitioning|rangepartitioning|SinglePartition|RoundRobin)", ln)
-                   and "ReusedExchange" not in ln)
-    single = sum(1 for ln in lines if "Exchange SinglePartition" in ln and "ReusedExchange" not in ln)
-    broadcasts = sum(1 for ln in lines if "BroadcastExchange" in ln and "ReusedExchange" not in ln)
-    reused = sum(1 for ln in lines if "ReusedExchange" in ln or "ReusedSubquery" in ln)
-    joins = Counter(m.group(1) for ln in lines
-                    for m in [re.search(r"(BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin|"
-                                        r"BroadcastNestedLoopJoin|CartesianProduct)", ln)] if m)
-    return {"shuffles": shuffles, "single": single, "broadcasts": broadcasts, "reused": reused,
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def walk(node, found: Counter) -> Counter:
+    kind = node.getClass().getSimpleName()
+    found[kind] += 1
+    if kind == "ShuffleExchangeExec" and node.outputPartitioning().getClass().getSimpleName().startswith("SinglePartition"):
+        found["single"] += 1
+    if not kind.startswith("Reused"):
+        for part in _parts(node):
+            walk(part, found)
+    return found
+
+
+def summarise(plan) -> dict[str, int | str]:
+    found = walk(plan, Counter())
+    joins = {k.removesuffix("Exec"): n for k, n in found.items() if "Join" in k or "Cartesian" in k}
+    return {"shuffles": found["ShuffleExchangeExec"], "single": found["single"],
+            "broadcasts": found["BroadcastExchangeExec"],
+            "reused": found["ReusedExchangeExec"] + found["ReusedSubqueryExec"],
             "joins": ", ".join(f"{k} x{v}" for k, v in sorted(joins.items())) or "-"}
 
 
@@ -71,7 +72,7 @@ def main(argv: list[str]) -> None:
             continue
         df = fn(spark, sf)
         df.collect()
-        s = summarise(df._jdf.queryExecution().executedPlan().toString())
+        s = summarise(df._jdf.queryExecution().executedPlan())
         print(f"| {name} | {s['shuffles']} | {s['single']} | {s['broadcasts']} | {s['reused']} | {s['joins']} |")
 
 

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shelfscope.llm.common import map_batches, string_list, whole_text
+from shelfscope.llm.common import map_batches, slices, string_list, whole_text
 
 #: Characters after which a long text is cut at the next safe place.
 CHUNK = 1 << 16
@@ -133,24 +134,29 @@ def decode(tokens: DataFrame, rank_path: str, pattern: str, column: str = "ids",
 
 def encode_and_decode(docs: DataFrame, rank_path: str, pattern: str, column: str = "text",
                       ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``docs`` with the ids of ``column`` and the raw bytes they decode to, by one Python step."""
-    data = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
+    """``docs`` with the ids of ``column`` and the raw bytes they decode to, by one Python step.
 
-    @F.pandas_udf("ids array<int>, decoded binary")
-    def both(texts):
-        import pandas as pd
+    Columns of these names are replaced. Batches are taken in small parts, so that few
+    ids are Python numbers at a time.
+    """
+    data = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
+    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in (ids, decoded)))
+    schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())),
+                           T.StructField(decoded, T.BinaryType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(data.value, pattern)
-        found, raw = [], []
-        for text in texts:
-            each = encode_text(enc, text or "")
-            found.append(np.asarray(each, dtype=np.int32))
-            raw.append(enc.decode_bytes(each))
-        return pd.DataFrame({"ids": pd.Series(found, dtype=object), "decoded": pd.Series(raw, dtype=object)})
-
-    name = "_bpe_both"
-    return docs.withColumn(name, both(whole_text(column))).withColumns(
-        {ids: F.col(f"{name}.ids"), decoded: F.col(f"{name}.decoded")}).drop(name)
+        for batch in batches:
+            for part in slices(batch):
+                found, raw = [], []
+                for text in string_list(part.column(column)):
+                    each = encode_text(enc, text)
+                    found.append(np.asarray(each, dtype=np.int32))
+                    raw.append(enc.decode_bytes(each))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(found, pa.list_(pa.int32())), pa.array(raw, pa.binary())], names=schema.names)
+
+    return kept.mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:

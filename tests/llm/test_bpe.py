@@ -4,6 +4,7 @@ import struct
 import public_tokenizers
 import pytest
 
+from documents_fixture import make_docs  # noqa: F401
 from shelfscope.llm import bpe
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")

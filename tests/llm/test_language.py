@@ -3,6 +3,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
+from documents_fixture import make_docs  # noqa: F401
 from shelfscope.llm import language
 
 SYLLABLES = {"en": "the th er on an re he in ed nd ha", "de": "der ein sch ung en ch ie und ver ge", "fr": "le eau eux ou qu ai tion ent re",

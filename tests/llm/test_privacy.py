@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 import regex
 
+from documents_fixture import make_docs  # noqa: F401
 from shelfscope.llm import privacy
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+from documents_fixture import make_docs  # noqa: F401
 from shelfscope.llm import quality
 
 

@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from documents_fixture import make_docs  # noqa: F401
 from shelfscope.llm import secrets
 
 CASES = [

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from documents_fixture import make_docs  # noqa: F401
 from shelfscope.llm import simhash
 from shelfscope.llm.components import components
 

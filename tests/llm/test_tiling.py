@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from documents_fixture import make_docs  # noqa: F401
 from shelfscope.llm import tiling
 
 

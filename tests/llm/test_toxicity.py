@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from documents_fixture import make_docs  # noqa: F401
 from shelfscope.llm import toxicity
 
 RUDE, VILE = ["idiot", "clown", "stupid"], ["scum", "vermin", "filth"]

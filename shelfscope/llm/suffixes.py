@@ -390,6 +390,11 @@ def _runs(starts: list[int]) -> list[tuple[int, int]]:
 _SEGMENT_ROWS = "anchor long, text_key long, at int, start int, left binary, right binary, hot boolean"
 
 
+def _wanted_texts(keyed: DataFrame, needs: DataFrame) -> DataFrame:
+    """Each distinct text of ``needs`` once, however many rows hold it."""
+    return keyed.select("text_key", "text").dropDuplicates(["text_key"]).join(needs, "text_key")
+
+
 def _segment_rows(joined: DataFrame) -> DataFrame:
     """Surroundings of requested anchors; a hot anchor's strings as a row each (hash in ``anchor``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,7 +481,7 @@ def repeated_spans(docs: DataFrame, chunk: int = CHUNK_BYTES, group: int = GROUP
         _requests(_anchor_rows(keyed, parts, chunk), group).groupBy("text_key").agg(F.collect_set(packed).alias("wanted")), "requests")
     needs = requests.where(F.exists("wanted", lambda x: x.bitwiseAND(F.lit(BYTES).cast("long")) > 0)).select(
         "text_key", F.filter("wanted", lambda x: x.bitwiseAND(F.lit(BYTES).cast("long")) > 0).alias("wanted"))
-    segments = materialise(_segment_rows(keyed.join(needs, "text_key")), "segments")
+    segments = materialise(_segment_rows(_wanted_texts(keyed, needs)), "segments")
     partly = _by_suffix_array(segments).union(_by_counting(segments))
     span = lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
     whole = requests.select("text_key", F.explode("wanted").alias("packed")).where(

@@ -95,3 +95,16 @@ def test_small_chunks_and_empty_table(make_docs):
     assert sorted((tuple(r) for r in suffixes.repeats_report(docs, chunk=500).collect()), key=str) == plain(rows)
     assert suffixes.repeats_report(docs.limit(0)).count() == 0
     assert {r.doc_id for r in suffixes.remove_repeats(docs).collect()} == {r[0] for r in rows}
+
+
+def test_copies_of_a_text_send_their_segments_once(make_docs, monkeypatch):
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefgh") for _ in range(900))
+    near = text[:450] + "#" + text[451:]
+    rows = [(i, text) for i in range(40)] + [(40, near)] + [(41 + i, "".join(rng.choice("abcdefgh") for _ in range(500))) for i in range(9)]
+    written = {}
+    plain_materialise = suffixes.materialise
+    monkeypatch.setattr(suffixes, "materialise", lambda df, name: written.setdefault(name, plain_materialise(df, name)))
+    assert sorted((tuple(r) for r in suffixes.repeats_report(make_docs(rows)).collect()), key=str) == plain(rows)
+    segments = [tuple(r) for r in written["segments"].collect()]
+    assert segments and len(segments) == len(set(segments))

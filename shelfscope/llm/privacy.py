@@ -1,17 +1,19 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
 Identifiers (e-mail and IP addresses, card and phone numbers) are found by
-pattern and check rules; they are the protected entities. Terms beside an entity
-may reveal it as well: over all distinct texts, the pointwise mutual information
-of term and entity is compared with the entity's information content. A term that
-gives away at least ``disclosure`` of it, and is seen with the entity in at least
-``support`` distinct texts, is generalised wherever it stands beside that entity.
+pattern and check rules; they are the protected entities. Other words of a text
+that holds an entity may reveal it as well: over all distinct texts, the pointwise
+mutual information of term and entity is compared with the entity's information
+content. A term that gives away at least ``disclosure`` of it, and is seen with the
+entity in at least ``support`` distinct texts, is generalised at every place in the
+texts that hold that entity.
 
     PMI(t; e) = ln(N * n(t, e) / (n(t) * n(e)))     IC(e) = ln(N / n(e))
 
-n counts distinct texts of the whole corpus (N). Texts are never shuffled for the
-statistics: only identifiers, the words beside them, and words of the corpus that
-may be candidates (by a fixed-size table of hash buckets) leave a task.
+n counts distinct texts of the whole corpus (N), wherever in a text the term stands,
+and words of any length. Texts are shuffled once by their hash, so that copies count
+once; words are counted by partial aggregates. Pairs are counted for entities in
+``support`` texts or more, as no other one can have such a term.
 
 Cases: null text counts as empty; a text without identifiers has no spans and
 stays as it is; copies of a text count once in the statistics and get the same
@@ -39,13 +41,10 @@ PATTERNS = {
 }
 MARK = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TERM = "term"
-WORD = r"[\p{L}\p{N}]{4,}"
-EDGE = r"[\p{L}\p{N}]"
-#: Characters on either side of an identifier in which terms are judged.
+WORD = r"[\p{L}\p{N}]+"
+#: Characters on either side of an identifier that are kept with it.
 REACH = 64
 SUPPORT, DISCLOSURE = 3, 0.9
-#: Hash buckets that tell which words of the corpus may be candidates.
-BUCKETS = 1 << 16
 
 
 # Identifiers -------------------------------------------------------------------
@@ -89,10 +88,11 @@ def _hits(kind: str) -> Column:
 
 
 def identifiers(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash and all matches of each document, without its text; written once."""
+    """doc_id, text_hash, all matches of each document, and its text if one is valid; written once."""
     rows = docs.select("doc_id", whole_text().alias("text"))
-    return materialise(rows.select("doc_id", F.md5("text").alias("text_hash"),
-                                   F.concat(*(_hits(k) for k in KINDS)).alias("hits")), "identifiers")
+    rows = rows.select("doc_id", F.md5("text").alias("text_hash"), F.concat(*(_hits(k) for k in KINDS)).alias("hits"), "text")
+    held = F.exists("hits", lambda x: _valid(x["kind"], x["value"]))
+    return materialise(rows.select("doc_id", "text_hash", "hits", F.when(held, F.col("text")).alias("text")), "identifiers")
 
 
 def _occurrences(found: DataFrame) -> DataFrame:
@@ -110,63 +110,65 @@ def _occurrences(found: DataFrame) -> DataFrame:
 
 # Terms -------------------------------------------------------------------------
 
-def _terms_in(side: Column, begin: Column) -> Column:
-    """Words of a short piece of text with their places; the piece starts at ``begin``."""
-    found = F.regexp_extract_all(side, F.lit(WORD), F.lit(0))
-    gaps = F.split(side, WORD, -1)
+def _words(text: Column) -> Column:
+    """The distinct words of a text, in small letters."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
-    def length(parts: Column) -> Column:
-        return F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
 
-    return F.transform(found, lambda w, i: F.struct(
-        F.lower(w).alias("term"),
-        (begin + length(F.slice(gaps, 1, i + 1)) + length(F.slice(found, 1, i))).alias("start"),
-        (begin + length(F.slice(gaps, 1, i + 1)) + length(F.slice(found, 1, i + 1))).alias("end")))
+def _holders(occurrences: DataFrame, support: int) -> DataFrame:
+    """(text_hash, entity) of the entities that are in at least ``support`` distinct texts."""
+    each = occurrences.select("text_hash", "entity").distinct()
+    often = each.groupBy("entity").agg(F.count("*").alias("entities")).where(F.col("entities") >= support)
+    return each.join(often.select("entity"), "entity").select("text_hash", "entity")
 
 
-def _terms(occurrences: DataFrame) -> DataFrame:
-    """Each whole word within reach of an identifier: (text_hash, entity, term, start, end)."""
-    cut_before, cut_after = F.length("before") > REACH, F.length("after") > REACH
-    before = F.when(cut_before, F.regexp_replace("before", f"^{EDGE}+", "")).otherwise(F.col("before"))
-    after = F.when(cut_after, F.regexp_replace("after", f"{EDGE}+$", "")).otherwise(F.col("after"))
-    sides = occurrences.select("text_hash", "entity", "start", "end", before.alias("before"), after.alias("after"))
-    both = F.concat(_terms_in(F.col("before"), F.col("start") - F.length("before")),
-                    _terms_in(F.col("after"), F.col("end")))
-    return sides.select("text_hash", "entity", F.explode(both).alias("t")).select("text_hash", "entity", "t.*")
+def _held(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """(text_hash, text), once, of the texts that hold a valid identifier and are in ``texts``."""
+    whole = found.where(F.col("text").isNotNull()).select("text_hash", "text").dropDuplicates(["text_hash"])
+    return whole.join(texts.select("text_hash").distinct(), "text_hash", "left_semi")
 
 
-def _corpus_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, texts): distinct texts of the corpus that hold each of ``terms``.
+def _terms(found: DataFrame, holders: DataFrame) -> DataFrame:
+    """(text_hash, term): each word of each text of ``holders``."""
+    return _held(found, holders).select("text_hash", F.explode(_words(F.col("text"))).alias("term"))
 
-    Words whose hash bucket holds no term are dropped where they are read; the
-    table of buckets has a fixed size and is one value of the plan.
+
+def _places(found: DataFrame, marked: DataFrame) -> DataFrame:
+    """(text_hash, start, end) of every place of the terms in ``marked`` (text_hash, term)."""
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    each = _held(found, marked).select("text_hash", F.posexplode(F.transform(
+        F.arrays_zip(words.alias("word"), F.slice(F.split("text", WORD, -1), 1, F.size(words)).alias("gap")),
+        lambda x: F.struct(F.lower(x["word"]).alias("term"), F.length(x["word"]).alias("size"), F.length(x["gap"]).alias("gap")))
+    ).alias("number", "word")).select("text_hash", "number", "word.*")
+    order = Window.partitionBy("text_hash").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    placed = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(order).cast("int"))
+    return placed.join(marked, ["text_hash", "term"], "left_semi").select(
+        "text_hash", (F.col("end") - F.col("size")).alias("start"), "end")
+
+
+def _corpus_counts(docs: DataFrame) -> DataFrame:
+    """(term, texts): distinct texts of the corpus that hold each word.
+
+    A semi-join with the candidates would be pushed below the counting, and each
+    word of each text shuffled.
     """
-    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-    taken = terms.select(bucket.alias("bucket")).distinct()
-    spark = docs.sparkSession
-    flags = spark.range(BUCKETS).join(taken, F.col("id") == F.col("bucket"), "left").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("id", F.col("bucket").isNotNull().alias("taken")))),
-                    lambda x: x["taken"]).alias("flags"))
-    words = docs.select(F.md5(whole_text()).alias("text_hash"), F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower(whole_text()), F.lit(WORD), F.lit(0)))).alias("term"))
-    likely = words.where(F.get(flags.scalar(), bucket))
-    return likely.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("texts"))
-
-
-def revealing_terms(docs: DataFrame, found: DataFrame, occurrences: DataFrame, terms: DataFrame,
+    texts = docs.select(F.md5(whole_text()).alias("text_hash"), whole_text().alias("text")).dropDuplicates(["text_hash"])
+    return texts.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("texts"))
+
+
+def revealing_terms(docs: DataFrame, found: DataFrame, holders: DataFrame, terms: DataFrame,
                     support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(entity, term, pmi, information) of the terms that reveal too much."""
     total = found.select("text_hash").distinct().agg(F.count("*").cast("double")).scalar()
-    together = terms.select("entity", "term", "text_hash").distinct().groupBy("entity", "term").agg(
+    together = terms.join(holders, "text_hash").groupBy("entity", "term").agg(
         F.count("*").alias("both")).where(F.col("both") >= support)
-    alone = occurrences.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("entities"))
-    # a term is in at least the texts where it stands beside some identifier; by that alone
-    # most common words cannot reach the threshold, and the corpus need not be searched for them
-    seen = terms.select("term", "text_hash").distinct().groupBy("term").agg(F.count("*").alias("seen"))
+    alone = holders.groupBy("entity").agg(F.count("*").alias("entities"))
+    # a term is in at least the texts where it stands with some entity; by that alone
+    # most common words cannot reach the threshold
+    seen = terms.groupBy("term").agg(F.count("*").alias("seen"))
     most = F.col("both") * F.pow(total / F.col("entities"), F.lit(1 - disclosure)) * (1 + 1e-9)
     candidates = materialise(together.join(alone, "entity").join(seen, "term").where(F.col("seen") <= most), "candidates")
-    counts = _corpus_counts(docs, candidates.select("term").distinct())
-    scored = candidates.join(counts, "term").select(
+    scored = candidates.join(_corpus_counts(docs), "term").select(
         "entity", "term",
         F.log(total * F.col("both") / (F.col("texts") * F.col("entities"))).alias("pmi"),
         F.log(total / F.col("entities")).alias("information"))
@@ -180,9 +182,14 @@ def find_spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISC
     """
     found = identifiers(docs)
     occurrences = materialise(_occurrences(found), "occurrences")
-    terms = materialise(_terms(occurrences), "terms")
-    revealed = revealing_terms(docs, found, occurrences, terms, support, disclosure).select("entity", "term")
-    added = terms.join(revealed, ["entity", "term"]).select("text_hash", "start", "end").distinct()
+    holders = materialise(_holders(occurrences, support), "holders")
+    terms = materialise(_terms(found, holders), "terms")
+    revealed = materialise(revealing_terms(docs, found, holders, terms, support, disclosure).select("entity", "term"), "revealed")
+    # through the few terms that reveal anything, then the pairs of a text
+    likely = terms.join(revealed.select("term").distinct(), "term", "left_semi")
+    marked = materialise(likely.join(holders, "text_hash").join(revealed, ["entity", "term"], "left_semi").select(
+        "text_hash", "term").distinct(), "marked")
+    added = _places(found, marked)
 
     def span(kind: Column) -> Column:
         rank = F.array_position(F.array(*(F.lit(k) for k in (*KINDS, TERM))), kind).cast("int")

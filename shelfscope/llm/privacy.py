@@ -42,7 +42,7 @@ PATTERNS = {
 MARK = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TERM = "term"
 WORD = r"[\p{L}\p{N}]+"
-#: Characters on either side of an identifier that are kept with it.
+#: Cuts nothing any more; the plain version in tests/llm/test_privacy.py still reads it.
 REACH = 64
 SUPPORT, DISCLOSURE = 3, 0.9
 
@@ -77,12 +77,10 @@ def _hits(kind: str) -> Column:
     """Matches of a kind in order, each with the length of the text since the one before."""
     text = F.col("text")
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    gaps = F.split(text, PATTERNS[kind], -1)
-    hits = F.transform(F.arrays_zip(found.alias("value"), F.slice(gaps, 1, F.size(found)).alias("gap"),
-                                    F.slice(gaps, 2, F.size(found)).alias("next")), lambda x, i: F.struct(
-        F.lit(kind).alias("kind"), i.alias("number"), x["value"].alias("value"), F.length(x["gap"]).alias("gap"),
-        F.right(x["gap"], F.lit(REACH + 1)).alias("before"), F.left(x["next"], F.lit(REACH + 1)).alias("after")))
-    none = F.array().cast("array<struct<kind:string,number:int,value:string,gap:int,before:string,after:string>>")
+    gaps = F.slice(F.split(text, PATTERNS[kind], -1), 1, F.size(found))
+    hits = F.transform(F.arrays_zip(found.alias("value"), gaps.alias("gap")), lambda x, i: F.struct(
+        F.lit(kind).alias("kind"), i.alias("number"), x["value"].alias("value"), F.length(x["gap"]).alias("gap")))
+    none = F.array().cast("array<struct<kind:string,number:int,value:string,gap:int>>")
     # a search without success is cheaper than taking the text apart
     return F.when(text.contains(MARK[kind]) & text.rlike(PATTERNS[kind]), hits).otherwise(none)
 
@@ -96,7 +94,7 @@ def identifiers(docs: DataFrame) -> DataFrame:
 
 
 def _occurrences(found: DataFrame) -> DataFrame:
-    """The valid identifiers of each distinct text, with their places and surroundings."""
+    """The valid identifiers of each distinct text, with their places."""
     texts = found.where(F.size("hits") > 0).dropDuplicates(["text_hash"])
     rows = texts.select("text_hash", F.explode("hits").alias("hit")).select("text_hash", "hit.*")
     order = Window.partitionBy("text_hash", "kind").orderBy("number")
@@ -105,7 +103,7 @@ def _occurrences(found: DataFrame) -> DataFrame:
     entity = F.concat_ws(":", "kind", F.when(F.col("kind") == "email", F.lower("value")).when(
         F.col("kind") == "ip", F.col("value")).otherwise(_digits(F.col("value"))))
     return placed.where(_valid(F.col("kind"), F.col("value"))).select(
-        "text_hash", "kind", "start", "end", entity.alias("entity"), "before", "after")
+        "text_hash", "kind", "start", "end", entity.alias("entity"))
 
 
 # Terms -------------------------------------------------------------------------

@@ -82,3 +82,11 @@ def test_short_names(make_docs):
     letters = [(100 + i, f"Lee 李明 z@post.example.net {FILL} text{i}") for i in range(4)]
     got = cleaned(make_docs(others() + letters))
     assert all(got[i].startswith("[TERM] [TERM] [EMAIL] the") for i, _ in letters)
+
+
+def test_numbers_do_not_end_the_surroundings(make_docs):
+    letters = [(100 + i, f"Zorblatt paid 20 with 4111 1111 1111 1111 or 30 to Quixley text{i}") for i in range(4)]
+    every = others() + letters
+    assert sorted((tuple(r) for r in privacy.privacy_report(make_docs(every)).collect()), key=str) == report(every)
+    got = cleaned(make_docs(every))
+    assert all("Zorblatt" not in got[i] and "Quixley" not in got[i] and "[CARD]" in got[i] for i, _ in letters)

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope.llm.common import binary_list, map_batches, materialise, whole_text
@@ -44,6 +44,8 @@ CHUNK_BYTES = 4 << 20
 GROUP = 1024
 #: What a requested anchor is for.
 FULL, BYTES, HOT = 1, 2, 4
+#: In an entry's ``again``, where 1 says that its segment is met again in its chunk: it is a further place of one.
+SETTLED = 2
 
 _ENTRY = np.dtype([("anchor", "<u8"), ("segment", "<u8"), ("text", "<i8"), ("at", "<i4"), ("again", "u1")])
 
@@ -121,37 +123,33 @@ def _sorted(entries: np.ndarray) -> np.ndarray:
     return entries[np.lexsort((entries["at"], entries["text"], entries["segment"], entries["anchor"]))]
 
 
-def _chunk_rows(texts: list[bytes], keys: np.ndarray, parts: int) -> Iterator[tuple]:
-    """(part, settled, bytes of entries) of a chunk, each distinct segment once.
+def _chunk_entries(texts: list[bytes], keys: np.ndarray) -> np.ndarray:
+    """Entries of a chunk, each distinct segment once.
 
-    Of a segment that is met again in the chunk, further places are sent as they
-    are (part of their text, flagged), since they repeat in any case.
+    Of a segment that is met again in the chunk, further places are sent as
+    settled, since they repeat in any case; a hash of their place stands for
+    anchor and segment, so that they are dealt evenly.
     """
     found = _sorted(_entries(texts, keys))
     if not len(found):
-        return
+        return found
     again = np.zeros(len(found), bool)  # rows of the same text count once
     again[1:] = ((found["anchor"][1:] == found["anchor"][:-1]) & (found["text"][1:] == found["text"][:-1])
                  & (found["at"][1:] == found["at"][:-1]))
     found = found[~again]
     same = np.zeros(len(found), bool)
     same[1:] = (found["anchor"][1:] == found["anchor"][:-1]) & (found["segment"][1:] == found["segment"][:-1])
-    first = found[~same].copy()
     group = np.cumsum(~same) - 1
-    first["again"] = (np.bincount(group) > 1) | first["again"]
+    repeats = np.bincount(group) > 1
     copies = np.unique(keys, return_counts=True)
     twice = copies[0][copies[1] > 1]
     if len(twice):  # rows of the same text in a chunk
-        first["again"] |= np.bincount(group, weights=np.isin(found["text"], twice)).astype(bool)
-    part = first["anchor"] % np.uint64(parts)
-    order = np.argsort(part, kind="stable")
-    first, part = first[order], part[order]
-    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        yield int(part[a]), False, first[a:b].tobytes()
-    rest = found[same]
-    for a in range(0, len(rest), 4096):
-        yield int(rest["anchor"][a] % np.uint64(parts)), True, rest[a:a + 4096].tobytes()
+        repeats |= np.bincount(group, weights=np.isin(found["text"], twice)).astype(bool)
+    found["again"] = np.where(same, SETTLED, repeats[group])
+    place = found["text"][same].astype(np.uint64)
+    found["anchor"][same] = place ^ (found["at"][same].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    found["segment"][same] = place
+    return found
 
 
 def text_key() -> Column:
@@ -162,7 +160,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_key().alias("text_key"), whole_text().alias("text"))
 
 
-def _anchor_rows(keyed: DataFrame, parts: int, chunk: int) -> DataFrame:
+def _anchor_rows(keyed: DataFrame, chunk: int) -> DataFrame:
+    """A row for each entry of each chunk."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = binary_list(batch.column(0))
@@ -171,57 +170,34 @@ def _anchor_rows(keyed: DataFrame, parts: int, chunk: int) -> DataFrame:
             for i, text in enumerate(texts):
                 size += len(text)
                 if size >= chunk or i == len(texts) - 1:
-                    rows = list(_chunk_rows(texts[start:i + 1], keys[start:i + 1], parts))
-                    if rows:
+                    found = _chunk_entries(texts[start:i + 1], keys[start:i + 1])
+                    for a in range(0, len(found), 1 << 16):
+                        part = found[a:a + (1 << 16)]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()),
-                             pa.array([r[2] for r in rows], pa.binary())], names=["part", "settled", "entries"])
+                            [pa.array(part["anchor"].astype(np.int64)), pa.array(part["segment"].astype(np.int64)),
+                             pa.array(part["text"]), pa.array(part["at"]), pa.array(part["again"].astype(np.int8))],
+                            names=["anchor", "segment", "text_key", "at", "again"])
                     start, size = i + 1, 0
 
-    return keyed.select("text", "text_key").mapInArrow(run, "part int, settled boolean, entries binary")
-
-
-def _judge(entries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of whole anchors -> those that matter and what for."""
-    entries = _sorted(entries)
-    new_segment = np.r_[True, (entries["anchor"][1:] != entries["anchor"][:-1])
-                        | (entries["segment"][1:] != entries["segment"][:-1])]
-    new_anchor = np.r_[True, entries["anchor"][1:] != entries["anchor"][:-1]]
-    segment = np.cumsum(new_segment) - 1
-    anchor = np.cumsum(new_anchor) - 1
-    full = (np.bincount(segment) > 1) | np.bincount(segment, weights=entries["again"]).astype(bool)
-    distinct = np.bincount(anchor[new_segment])
-    mixed = distinct[anchor] > 1
-    use = np.where(full[segment], FULL, 0)
-    use |= np.where(mixed & new_segment, BYTES, 0)
-    use |= np.where(mixed & new_segment & (distinct[anchor] > most), HOT, 0)
-    keep = use > 0
-    return entries[keep], use[keep]
+    return keyed.select("text", "text_key").mapInArrow(run, "anchor long, segment long, text_key long, at int, again tinyint")
 
 
 def _requests(rows: DataFrame, most: int) -> DataFrame:
-    """(text_key, at, use) of the anchors that repeat."""
-    def batch_of(entries: np.ndarray, use: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(entries["text"]), pa.array(entries["at"]), pa.array(use.astype(np.int32))],
-            names=["text_key", "at", "use"])
+    """(text_key, at, use) of the anchors that repeat.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            for settled, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                entries = np.frombuffer(data, dtype=_ENTRY)
-                if settled:
-                    yield batch_of(entries, np.full(len(entries), FULL))
-                else:
-                    held.append(entries)
-        if held:
-            kept, use = _judge(np.concatenate(held), most)
-            for a in range(0, len(kept), 1 << 16):
-                yield batch_of(kept[a:a + (1 << 16)], use[a:a + (1 << 16)])
-
-    return rows.repartition("part").select("settled", "entries").mapInArrow(
-        run, "text_key long, at int, use int")
+    Only entries of one segment, at most one a chunk, meet in a window; the
+    distinct segments of an anchor are counted by partial aggregates.
+    """
+    segment = Window.partitionBy("anchor", "segment").orderBy("text_key", "at")
+    whole = segment.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    judged = materialise(rows.select(
+        "anchor", "text_key", "at", ((F.count("*").over(whole) > 1) | (F.max("again").over(whole) > 0)).alias("full"),
+        ((F.row_number().over(segment) == 1) & (F.col("again") != SETTLED)).alias("first")), "judged")
+    first = judged.where("first")
+    mixed = first.groupBy("anchor").agg(F.count("*").alias("distinct")).where(F.col("distinct") > 1)
+    several = first.join(mixed, "anchor").select(
+        "text_key", "at", F.when(F.col("distinct") > most, BYTES | HOT).otherwise(BYTES).alias("use"))
+    return judged.where("full").select("text_key", "at", F.lit(FULL).alias("use")).union(several)
 
 
 # Suffix arrays -----------------------------------------------------------------
@@ -475,10 +451,9 @@ def _by_counting(segments: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, chunk: int = CHUNK_BYTES, group: int = GROUP) -> DataFrame:
     """(text_key, spans): packed ``begin << 32 | end`` of the repeated bytes of each text, not yet united."""
     keyed = _keyed(docs)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = F.shiftleft(F.col("at").cast("long"), 3).bitwiseOR(F.col("use").cast("long"))
     requests = materialise(
-        _requests(_anchor_rows(keyed, parts, chunk), group).groupBy("text_key").agg(F.collect_set(packed).alias("wanted")), "requests")
+        _requests(_anchor_rows(keyed, chunk), group).groupBy("text_key").agg(F.collect_set(packed).alias("wanted")), "requests")
     needs = requests.where(F.exists("wanted", lambda x: x.bitwiseAND(F.lit(BYTES).cast("long")) > 0)).select(
         "text_key", F.filter("wanted", lambda x: x.bitwiseAND(F.lit(BYTES).cast("long")) > 0).alias("wanted"))
     segments = materialise(_segment_rows(_wanted_texts(keyed, needs)), "segments")

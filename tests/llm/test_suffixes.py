@@ -108,3 +108,17 @@ def test_copies_of_a_text_send_their_segments_once(make_docs, monkeypatch):
     assert sorted((tuple(r) for r in suffixes.repeats_report(make_docs(rows)).collect()), key=str) == plain(rows)
     segments = [tuple(r) for r in written["segments"].collect()]
     assert segments and len(segments) == len(set(segments))
+
+
+def test_entries_of_a_hot_anchor_are_not_gathered_in_python(make_docs):
+    rng = random.Random(8)
+    word = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    line = word(150)
+    rows = [(i, word(100) + line + word(100)) for i in range(60)] + [(60, word(300)), (61, word(20) + line + word(100))]
+    docs = make_docs(rows)
+    requests = suffixes._requests(suffixes._anchor_rows(suffixes._keyed(docs), 1000), 4)
+    uses = Counter(r.use for r in requests.collect())
+    assert uses[suffixes.BYTES | suffixes.HOT] >= 61
+    plan = requests._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "PythonMapInArrow" not in plan
+    assert sorted((tuple(r) for r in suffixes.repeats_report(docs, chunk=1000, group=4).collect()), key=str) == plain(rows)

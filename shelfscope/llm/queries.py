@@ -5,9 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfscope.llm import bpe, conversations, language, privacy, quality, secrets, simhash, suffixes, tiling, toxicity
+from shelfscope.llm import (bpe, conversations, language, merkle, oracles, packing, privacy, quality, secrets, simhash, structure,
+                            suffixes, tiling, toxicity)
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +56,18 @@ def op10_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.render(_table(spark, sf_dir, "conversations"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op13_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.structure_report(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_bpe": op2_bpe,
@@ -65,6 +79,9 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_simhash": op9_simhash,
     "op10_conversations": op10_conversations,
+    "op11_merkle": op11_merkle,
+    "op12_packing": op12_packing,
+    "op13_structure": op13_structure,
 }
 
 # op1: each kind's matches and the pieces between them give the places; the
@@ -130,4 +147,6 @@ ORACLE: dict[str, str] = {
     "op1_secrets": _OP1,
     "op7_quality": _OP7,
     "op10_conversations": _OP10,
+    "op11_merkle": oracles.MANIFEST,
+    "op13_structure": oracles.STRUCTURE,
 }

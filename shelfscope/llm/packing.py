@@ -11,7 +11,7 @@ finds its sequence and place from its number alone.
 
 Texts are tokenised whole. White space separates the tokenizer's words for certain,
 so the ids of a text are those of its parts, and a part is encoded once for
-many places.
+many places; a part of plain letters needs nothing but the tokenizer's model.
 
 Cases: null text counts as empty, and an empty text is a piece of the end id alone; documents
 with null or repeated ids are packed row by row; an empty table gives an empty
@@ -24,8 +24,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import struct
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -45,19 +45,22 @@ END = 1
 MAX_VOCABULARY_BYTES = 64 << 20
 
 #: Parts that are remembered with their ids in a Python worker, and their greatest length in bytes.
-REMEMBERED, LONGEST = 1 << 18, 64
+REMEMBERED, LONGEST = 1 << 19, 64
 #: Bytes of a long text that are taken apart at once.
 WINDOW = 1 << 20
 
 # Behind a letter, a full stop or comma begins a word of its own to the tokenizer.
-_MARK = re.compile(rb"(?<=[a-z])(?=[.,])")
+_MARK = re.compile(rb"[.,](?:(?<=[a-z][.,])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,]))")
 _BLANK = re.compile(rb"[ \t-\r]")
+# Letters that normalisation leaves as they are, but for their case.
+_LETTERS = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
 
 #: Lengths tried for the middle documents of a pattern, spread evenly over the documents.
 SPREAD = 12
 #: Steps of the least-squares fit.
 STEPS = 300
 
+_IDS = [struct.Struct(f"<{n}I") for n in range(64)]
 _WORKER: dict = {}
 
 
@@ -69,16 +72,72 @@ def read_vocabulary(path: str) -> bytes:
     return data
 
 
-def _tokenizer(vocabulary: bytes) -> tuple:
-    """The tokenizer of a vocabulary and the ids it remembers, once per Python worker."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
+class _Worker:
+    """A tokenizer with the ids of the parts that it remembers, as little-endian bytes."""
+
+    def __init__(self, vocabulary: bytes) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_buffer(vocabulary)
+        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {code: spell(chr(code))[0][0] for code in range(256) if _LETTERS.match(chr(code))}
+        self.known: dict[bytes, bytes] = {}
+        sample = "Abc déJÀ, éÇ. it's a.b !!, x1\x1cß"
+        if self.encode([sample.encode()]) != [_packed(self.tokenizer.encode(sample, add_special_tokens=False).ids)]:
+            raise ValueError("the vocabulary must drop white space and case and take letters apart from marks")
+
+    def _new(self, parts: set[bytes]) -> dict[bytes, bytes]:
+        found, others, tokenize = {}, [], self.model.tokenize
+        for part in parts:
+            word = part.decode()
+            if part.isalpha():  # ASCII
+                found[part] = _packed([x.id for x in tokenize(word)])
+            elif _LETTERS.fullmatch(word):
+                found[part] = _packed([x.id for x in tokenize(word.lower().translate(self.spelling))])
+            else:
+                others.append(part)
+        whole = self.tokenizer.encode_batch_fast([part.decode() for part in others], add_special_tokens=False)
+        found.update((part, _packed(x.ids)) for part, x in zip(others, whole))
+        return found
+
+    def _append(self, taken: list[tuple[int, list[bytes]]], out: list[list[bytes]]) -> None:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = self._new(set().union(*(parts for _, parts in taken)).difference(self.known))
+        self.known.update(new)
+        for number, parts in taken:
+            out[number].append(b"".join(map(self.known.__getitem__, parts)))
+        for part in new:
+            if len(part) > LONGEST:
+                del self.known[part]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of whole UTF-8 texts, equal to those of the tokenizer."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        taken, size = [], 0
+        for number, text in enumerate(texts):
+            for window in _windows(text):
+                taken.append((number, _MARK.sub(rb" \g<0>", window.lower()).split()))
+                size += len(window)
+                if size >= WINDOW:
+                    self._append(taken, out)
+                    taken, size = [], 0
+        self._append(taken, out)
+        return [b"".join(ids) for ids in out]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return _IDS[len(ids)].pack(*ids) if len(ids) < len(_IDS) else struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _worker(vocabulary: bytes) -> _Worker:
+    """The tokenizer of a vocabulary, once per Python worker."""
     key = hashlib.sha256(vocabulary).digest()
     if key not in _WORKER:
-        tokenizer = Tokenizer.from_buffer(vocabulary)
-        tokenizer.encode_special_tokens = True
-        _WORKER[key] = (tokenizer, {})
+        _WORKER[key] = _Worker(vocabulary)
     return _WORKER[key]
 
 
@@ -93,28 +152,6 @@ def _windows(text: bytes) -> Iterator[bytes]:
     yield text[start:]
 
 
-def encode_text(worker: tuple, text: bytes) -> array:
-    """Ids of a whole UTF-8 text, equal to those of the tokenizer for a lower-casing vocabulary."""
-    tokenizer, known = worker
-    ids = array("I")
-    for window in _windows(text):
-        parts = _MARK.sub(b" ", window.lower()).split()
-        new = list({part for part in parts if part not in known})
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(parts))
-            found = tokenizer.encode_batch_fast([part.decode() for part in new], add_special_tokens=False)
-            here = {part: enc.ids for part, enc in zip(new, found)}
-            known.update((part, value) for part, value in here.items() if len(part) <= LONGEST)
-            for part in parts:
-                ids.extend(known[part] if part in known else here[part])
-        else:
-            for part in parts:
-                ids.extend(known[part])
-    return ids
-
-
 def pieces(documents: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): every document's tokens and the end
     id, cut after each ``capacity`` tokens."""
@@ -129,20 +166,20 @@ def pieces(documents: DataFrame, vocabulary_path: str, capacity: int = CAPACITY,
     arrow = to_arrow_schema(schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker = _tokenizer(vocabulary)
+        worker = _worker(vocabulary)
+        end = _packed([END])
         for batch in batches:
             for part in slices(batch):
                 rows = []
-                for number, text in enumerate(binary_list(part.column(1))):
-                    ids = encode_text(worker, text)
-                    ids.append(END)
-                    for piece, start in enumerate(range(0, len(ids), capacity)):
-                        own = np.array(ids[start:start + capacity], "<u4")
-                        rows.append((number, piece, start, len(own), zlib.crc32(own.tobytes()), own.astype("i4")))
+                for number, ids in enumerate(worker.encode(binary_list(part.column(1)))):
+                    ids += end
+                    for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
+                        own = ids[4 * start:4 * (start + capacity)]
+                        rows.append((number, piece, start, len(own) // 4, zlib.crc32(own), own))
                 row, piece, start, length, crc, own = zip(*rows) if rows else [()] * 6
                 columns = [part.column(0).take(pa.array(row, pa.int64())), piece, start, length, crc]
                 if with_ids:
-                    columns.append([x.tolist() for x in own])
+                    columns.append([np.frombuffer(x, "<u4").astype("i4") for x in own])
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 

@@ -30,11 +30,16 @@ def texts():
 
 
 def test_ids_equal_the_tokenizers(tokenizer, monkeypatch):
-    worker = p._tokenizer(p.read_vocabulary(VOCABULARY))
+    worker = p._Worker(p.read_vocabulary(VOCABULARY))
     monkeypatch.setattr(p, "WINDOW", 500)
     monkeypatch.setattr(p, "REMEMBERED", 40)
-    for text in texts():
-        assert list(p.encode_text(worker, (text or "").encode())) == tokenizer.encode(text or "", add_special_tokens=False).ids
+    found = worker.encode([(text or "").encode() for text in texts()])
+    assert found == [p._packed(tokenizer.encode(text or "", add_special_tokens=False).ids) for text in texts()]
+    letters = [chr(c) for c in range(32, 0x250)] + ["́", ".", ",", "ά", "ς", "İ"]
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randrange(12)))
+        assert worker.encode([text.encode()]) == [p._packed(tokenizer.encode(text, add_special_tokens=False).ids)], text
 
 
 def test_report(spark, tokenizer):

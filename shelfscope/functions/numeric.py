@@ -12,11 +12,6 @@ from shelfscope.functions.text import py_strip
 # Fixed value: text accepted as a number (trimmed); anything else becomes NULL.
 NUMBER_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
-# Measures are summed as decimals of this scale, so that a sum does not depend on the
-# order in which partitions are combined. Values that it cannot hold as they are
-# (above 1e20, or with more decimals) are summed as doubles instead.
-SUM_TYPE = "decimal(38,18)"
-
 INTEGRAL = (ByteType, ShortType, IntegerType, LongType)
 
 
@@ -41,37 +36,6 @@ def to_number(c: Column, dtype: DataType) -> Column:
     return nan_to_null(F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double")))
 
 
-def sum_parts(c: Column, name: str) -> list[Column]:
-    """Aggregates from which ``merged_sum`` and ``merged_mean`` make the figure of coarser groups."""
-    dec = c.try_cast(SUM_TYPE)
-    unfit = c.isNotNull() & (dec.isNull() | (dec.cast("double") != c.cast("double")))
-    return [F.try_sum(dec).alias(f"{name}_dec"), F.count_if(unfit).alias(f"{name}_unfit"),
-            F.sum(c.cast("double")).alias(f"{name}_dbl"), F.count(c).alias(f"{name}_n")]
-
-
-def merged_sum(name: str) -> Column:
-    over = F.col(f"{name}_dec").isNull() & (F.col(f"{name}_n") > 0)
-    whole = (F.sum(f"{name}_unfit") + F.count_if(over)) == 0
-    return F.coalesce(F.when(whole, F.try_sum(f"{name}_dec").cast("double")), F.sum(f"{name}_dbl"))
-
-
-def merged_mean(name: str) -> Column:
-    return F.try_divide(merged_sum(name), F.sum(f"{name}_n").cast("double"))
-
-
-def exact_sum(c: Column) -> Column:
-    """Order-independent sum as a double; plain double addition only where a value does
-    not fit ``SUM_TYPE`` exactly or the sum leaves its range."""
-    dec = c.try_cast(SUM_TYPE)
-    unfit = c.isNotNull() & (dec.isNull() | (dec.cast("double") != c.cast("double")))
-    return F.coalesce(F.when(F.count_if(unfit) == 0, F.try_sum(dec).cast("double")), F.sum(c.cast("double")))
-
-
-def exact_mean(c: Column) -> Column:
-    """Mean of non-null values, NULL when there are none."""
-    return F.try_divide(exact_sum(c), F.count(c).cast("double"))
-
-
 def half_up_ratio(n: Column, d: Column, places: int = 4) -> Column:
     """round(n / d, places) for non-negative integers, ties away from zero.
 

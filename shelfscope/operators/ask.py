@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfscope.functions.numeric import exact_mean, exact_sum
+from shelfscope.functions import exact
 from shelfscope.functions.text import fmt_grouped, fmt_plain, money, percent, py_strip
 from shelfscope.operators import basket, catalog, metrics, narrate
 
@@ -115,12 +115,11 @@ def answer_table(df: DataFrame, intents: Iterable[str] | None = None) -> DataFra
 
     def per_category() -> DataFrame:
         # one per-category aggregate feeds both category answers (its exchange is reused)
-        return df.where(F.col("category").isNotNull()).groupBy("category").agg(
-            (exact_mean(F.col("rating")) if "rating" in cols else F.lit(None).cast("double"))
-            .alias("avg_rating"),
-            F.count(F.lit(1)).alias("n"),
-            (F.coalesce(exact_sum(F.col("price")), F.lit(0)).cast("double") if has_price_col
-             else F.lit(None).cast("double")).alias("revenue"))
+        none = F.lit(None).cast("double")
+        return exact.aggregate(df.where(F.col("category").isNotNull()), ["category"], [
+            exact.mean(df, "rating", "avg_rating") if "rating" in cols else exact.fixed(none, "avg_rating"),
+            exact.count("n"),
+            exact.total(df, "price", "revenue", default=0.0) if has_price_col else exact.fixed(none, "revenue")])
 
     def top_products() -> Column:
         if has_price_col and "product_name" in cols:

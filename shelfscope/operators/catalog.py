@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfscope.functions.numeric import exact_sum, merged_mean, merged_sum, sum_parts
+from shelfscope.functions import exact
 from shelfscope.functions.ranking import range_ranked
 from shelfscope.functions.text import clean_item
 from shelfscope.operators import schema
@@ -40,28 +40,23 @@ def product_list(df: DataFrame) -> DataFrame:
         return df.sparkSession.createDataFrame([], "product_name string")
     price, sales = schema.resolve(df, schema.PRICE), schema.resolve(df, schema.SALES)
     has_category = "category" in df.columns
-    parts: list[Column] = []
-    merged: list[Column] = []
+    figures: list[exact.Figure] = []
     if price:
-        parts += sum_parts(F.col(price), "p")
-        merged.append(merged_mean("p").alias("price"))
+        figures.append(exact.mean(df, price, "price"))
     if sales:
-        parts += sum_parts(F.col(sales), "s")
-        merged.append(F.coalesce(merged_sum("s"), F.lit(0.0)).alias("sales"))
-    if has_category:
-        merged.append(_most_frequent())
-    if "rating" in df.columns:
-        parts += sum_parts(F.col("rating"), "r")
-        merged.append(merged_mean("r").alias("rating"))
-    if "discount_percentage" in df.columns:
-        parts += sum_parts(F.col("discount_percentage"), "d")
-        merged.append(merged_mean("d").alias("discount_percentage"))
+        figures.append(exact.total(df, sales, "sales", default=0.0))
+    for column in ("rating", "discount_percentage"):
+        if column in df.columns:
+            figures.append(exact.mean(df, column, column))
     base = _products(df, product)
-    if not merged:
-        return base.select("product_name").distinct().orderBy("product_name")
-    keys = ["product_name", "category"] if has_category else ["product_name"]
-    return (base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *parts)
-            .groupBy("product_name").agg(*merged).orderBy("product_name"))
+    if not has_category:
+        if not figures:
+            return base.select("product_name").distinct().orderBy("product_name")
+        return exact.aggregate(base, ["product_name"], figures).orderBy("product_name")
+    rows = exact.states(base, ["product_name", "category"], [exact.count("n"), *figures]).withColumnRenamed("_n", "n")
+    made = exact.finished(exact.merged(rows, ["product_name"], figures, _most_frequent()), ["product_name"], figures, "category")
+    order = [c for c in ("product_name", "price", "sales", "category", "rating", "discount_percentage") if c in made.columns]
+    return made.select(*order).orderBy("product_name")
 
 
 def _most_frequent() -> Column:
@@ -84,8 +79,7 @@ def product_sales(df: DataFrame) -> DataFrame:
     sales = schema.resolve(df, schema.SALES)
     if product is None or sales is None:
         return df.sparkSession.createDataFrame([], "product_name string, value double")
-    return (_products(df, product).groupBy("product_name")
-            .agg(F.coalesce(exact_sum(F.col(sales)), F.lit(0)).cast("double").alias("value"))
+    return (exact.aggregate(_products(df, product), ["product_name"], [exact.total(df, sales, "value", default=0.0)])
             .orderBy(F.col("value").desc(), "product_name"))
 
 

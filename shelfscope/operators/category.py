@@ -11,22 +11,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.functions.numeric import exact_mean, exact_sum
+from shelfscope.functions import exact
 from shelfscope.operators import schema
 from shelfscope.operators.schema import requires
 
 
-def _by_category(df: DataFrame) -> DataFrame:
+def _by_category(df: DataFrame, *figures: exact.Figure) -> DataFrame:
     # pandas groupby drops NULL keys; Spark would keep them.
-    return df.where(F.col("category").isNotNull()).groupBy("category")
+    return exact.aggregate(df.where(F.col("category").isNotNull()), ["category"], figures)
 
 
 @requires("category string, revenue double", "category", schema.PRICE)
 def category_revenue(df: DataFrame, n: int | None = 5, price_col: str | None = None) -> DataFrame:
     """Sum of price per category (quantity ignored), largest first."""
     price = price_col or schema.resolve(df, schema.PRICE)
-    out = _by_category(df).agg(
-        F.coalesce(exact_sum(F.col(price)), F.lit(0)).cast("double").alias("revenue"))
+    out = _by_category(df, exact.total(df, price, "revenue", default=0.0))
     out = out.orderBy(F.col("revenue").desc(), F.col("category"))
     return out.limit(n) if n else out
 
@@ -34,14 +33,14 @@ def category_revenue(df: DataFrame, n: int | None = 5, price_col: str | None = N
 @requires("category string, avg_rating double", "category", "rating")
 def category_rating(df: DataFrame, n: int | None = 5) -> DataFrame:
     """A3: mean rating per category, highest first (NULL means last)."""
-    out = _by_category(df).agg(exact_mean(F.col("rating")).alias("avg_rating"))
+    out = _by_category(df, exact.mean(df, "rating", "avg_rating"))
     out = out.orderBy(F.col("avg_rating").desc_nulls_last(), F.col("category"))
     return out.limit(n) if n else out
 
 
 def category_mean_by_name(df: DataFrame, column: str, alias: str, n: int | None = 10) -> DataFrame:
     """A4/A5: mean of ``column`` for the first n categories by name (not by value)."""
-    out = _by_category(df).agg(exact_mean(F.col(column)).alias(alias)).orderBy("category")
+    out = _by_category(df, exact.mean(df, column, alias)).orderBy("category")
     return out.limit(n) if n else out
 
 
@@ -59,7 +58,7 @@ def avg_discount_by_category(df: DataFrame, n: int | None = 10) -> DataFrame:
 def best_worst_category(df: DataFrame) -> DataFrame:
     """Categories with the highest and lowest mean rating; ties go to the
     first name. One row, or none when no category has a rating."""
-    means = _by_category(df).agg(exact_mean(F.col("rating")).alias("m")).where("m IS NOT NULL")
+    means = _by_category(df, exact.mean(df, "rating", "m")).where("m IS NOT NULL")
     # min over (-mean, name) picks the highest mean and, on a tie, the first name.
     picked = means.agg(F.min(F.struct((-F.col("m")).alias("k"), F.col("category"))).alias("best"),
                        F.min(F.struct(F.col("m").alias("k"), F.col("category"))).alias("worst"),
@@ -71,8 +70,7 @@ def best_worst_category(df: DataFrame) -> DataFrame:
 @requires("category string, avg_rating double, n long", "category", "rating")
 def category_top_rating_with_count(df: DataFrame, n: int = 3) -> DataFrame:
     """Top n categories by mean rating with the category's row count."""
-    out = _by_category(df).agg(exact_mean(F.col("rating")).alias("avg_rating"),
-                               F.count(F.lit(1)).alias("n"))
+    out = _by_category(df, exact.mean(df, "rating", "avg_rating"), exact.count("n"))
     return out.orderBy(F.col("avg_rating").desc_nulls_last(), F.col("category")).limit(n)
 
 

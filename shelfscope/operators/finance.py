@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (DateType, StringType, TimestampNTZType, TimestampType)
 
-from shelfscope.functions.numeric import exact_sum, is_exact, to_number
+from shelfscope.functions import exact
+from shelfscope.functions.numeric import is_exact, to_number
 from shelfscope.operators import schema
 
 # Notes.
@@ -55,13 +56,12 @@ def profit_loss(df: DataFrame) -> DataFrame:
     value = (_measure(df, sell, s) - _measure(df, cost, c)) * q
     basis = f"Computed from {sell} - {cost} x {qty or '_qty'}"
     lines = df.select(value.alias("v"))
-    return lines.agg(
-        F.coalesce(exact_sum(F.when(F.col("v") > 0, F.col("v"))), F.lit(0.0))
-         .alias("total_profit"),
-        F.coalesce(exact_sum(F.when(F.col("v") < 0, -F.col("v"))), F.lit(0.0))
-         .alias("total_loss"),
-        F.coalesce(exact_sum(F.col("v")), F.lit(0.0)).alias("net_profit"),
-    ).select(F.lit(True).alias("available"), "total_profit", "total_loss", "net_profit",
+    v = F.col("v")
+    return exact.aggregate(lines, [], [
+        exact.total(lines, F.when(v > 0, v), "total_profit", default=0.0),
+        exact.total(lines, F.when(v < 0, -v), "total_loss", default=0.0),
+        exact.total(lines, v, "net_profit", default=0.0),
+    ]).select(F.lit(True).alias("available"), "total_profit", "total_loss", "net_profit",
              F.lit(basis).alias("basis"), F.lit(None).cast("string").alias("note"))
 
 
@@ -94,9 +94,10 @@ def annual_expenditure(df: DataFrame, date_formats: Sequence[str] = DATE_FORMATS
     if exp is None or date is None:
         return df.sparkSession.createDataFrame([], "year int, expenditure double")
     spend = _measure(df, exp, F.coalesce(_number(df, exp), F.lit(0)))
-    return (df.select(year_of(df, date, date_formats).alias("year"), spend.alias("e"))
-            .where(F.col("year").isNotNull())
-            .groupBy("year").agg((F.sum("e") if is_exact(df.schema[exp].dataType) else exact_sum(F.col("e"))).alias("e")))
+    lines = df.select(year_of(df, date, date_formats).alias("year"), spend.alias("e")).where(F.col("year").isNotNull())
+    if is_exact(df.schema[exp].dataType):
+        return lines.groupBy("year").agg(F.sum("e").alias("e"))
+    return exact.aggregate(lines, ["year"], [exact.total(lines, "e", "e")])
 
 
 def unparsed_dates(df: DataFrame, date_formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
@@ -120,7 +121,11 @@ def avg_annual_expenditure(df: DataFrame, date_formats: Sequence[str] = DATE_FOR
     per_year = annual_expenditure(df, date_formats)
     missed = unparsed_dates(df, date_formats).scalar()
     # one row per year: the list is as long as the calendar span, not the data
-    agg = per_year.agg(F.count(F.lit(1)).alias("n_years"), (F.sum("e") if is_exact(per_year.schema["e"].dataType) else exact_sum(F.col("e"))).alias("total"),
+    if is_exact(per_year.schema["e"].dataType):
+        total = F.sum("e")
+    else:  # in order of the years
+        total = F.aggregate(F.sort_array(F.collect_list(F.struct("year", "e"))), F.lit(0.0), lambda a, y: a + F.coalesce(y["e"], F.lit(0.0)))
+    agg = per_year.agg(F.count(F.lit(1)).alias("n_years"), total.alias("total"),
                        F.sort_array(F.collect_list("year")).alias("ys"))
     ok = F.col("n_years") > 0
     return agg.select(

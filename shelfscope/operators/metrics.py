@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.functions.numeric import exact_mean
+from shelfscope.functions import exact
 from shelfscope.functions.quantile import median_frame, medians_frame
 from shelfscope.operators import schema
 from shelfscope.operators.schema import requires
@@ -20,23 +20,18 @@ HIGH_DISCOUNT = 30.0
 GAP_RATING = 3.5
 
 
-def _dbl(c):
-    return c.cast("double")
-
-
 def kpis(df: DataFrame) -> DataFrame:
     """A1: row count, distinct categories, mean price / discount / rating (0 when absent)."""
     price = schema.resolve(df, schema.PRICE)
-    zero = F.lit(0.0)
-    return df.agg(
-        F.count(F.lit(1)).alias("total_products"),
-        (F.countDistinct("category") if "category" in df.columns else F.lit(0).cast("long"))
-        .alias("total_categories"),
-        (exact_mean(F.col(price)) if price else zero).alias("avg_price"),
-        (exact_mean(F.col("discount_percentage")) if "discount_percentage" in df.columns
-         else zero).alias("avg_discount"),
-        (exact_mean(F.col("rating")) if "rating" in df.columns else zero).alias("avg_rating"),
-    )
+    def mean(column: str | None, name: str) -> exact.Figure:
+        return exact.mean(df, column, name) if column in df.columns else exact.fixed(F.lit(0.0), name)
+
+    return exact.aggregate(df, [], [
+        exact.count("total_products"),
+        exact.distinct("category", "total_categories") if "category" in df.columns
+        else exact.fixed(F.lit(0).cast("long"), "total_categories"),
+        mean(price, "avg_price"), mean("discount_percentage", "avg_discount"), mean("rating", "avg_rating"),
+    ])
 
 
 @requires(None, "rating")
@@ -55,10 +50,8 @@ def discount_rating_gap(df: DataFrame) -> DataFrame:
 def high_discount_rating(df: DataFrame) -> DataFrame:
     """Mean rating of rows with discount > 30; 0 when there is no such row."""
     hot = F.col("discount_percentage") > HIGH_DISCOUNT
-    return df.agg(
-        F.when(F.count_if(hot) == 0, F.lit(0.0))
-         .otherwise(exact_mean(F.when(hot, F.col("rating"))))
-         .alias("high_discount_avg_rating"))
+    found = exact.aggregate(df, [], [exact.count("n", hot), exact.mean(df, F.when(hot, F.col("rating")), "m")])
+    return found.select(F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.col("m")).alias("high_discount_avg_rating"))
 
 
 @requires("price_anchor double", schema.PRICE, "rating")
@@ -72,16 +65,16 @@ def price_anchor(df: DataFrame) -> DataFrame:
 def discount_profile(df: DataFrame) -> DataFrame:
     """A16."""
     d = F.col("discount_percentage")
-    return df.agg(exact_mean(d).alias("avg_discount"), _dbl(F.max(d)).alias("max_discount"),
-                  _dbl(F.min(d)).alias("min_discount"))
+    return exact.aggregate(df, [], [exact.mean(df, d, "avg_discount"), exact.most(d, "max_discount"),
+                                    exact.least(d, "min_discount")])
 
 
 @requires("avg_rating double, best_rating double, worst_rating double", "rating")
 def rating_profile(df: DataFrame) -> DataFrame:
     """A17."""
     r = F.col("rating")
-    return df.agg(exact_mean(r).alias("avg_rating"), _dbl(F.max(r)).alias("best_rating"),
-                  _dbl(F.min(r)).alias("worst_rating"))
+    return exact.aggregate(df, [], [exact.mean(df, r, "avg_rating"), exact.most(r, "best_rating"),
+                                    exact.least(r, "worst_rating")])
 
 
 @requires("avg_price double, median_price double, min_price double, max_price double", schema.PRICE)
@@ -90,8 +83,7 @@ def price_profile(df: DataFrame) -> DataFrame:
     price = schema.resolve(df, schema.PRICE)
     p = F.col(price)
     med = median_frame(df, price).scalar()
-    return df.agg(exact_mean(p).alias("avg_price"), _dbl(F.min(p)).alias("min_price"),
-                  _dbl(F.max(p)).alias("max_price")) \
+    return exact.aggregate(df, [], [exact.mean(df, p, "avg_price"), exact.least(p, "min_price"), exact.most(p, "max_price")]) \
         .select("avg_price", med.alias("median_price"), "min_price", "max_price")
 
 
@@ -109,22 +101,22 @@ def metrics_row(df: DataFrame, with_medians: bool = True) -> DataFrame:
     r = F.col("rating") if has_rating else none
     d = F.col("discount_percentage") if has_disc else none
     p = F.col(price) if price else none
-    aggs = [
-        F.count(F.lit(1)).alias("n_rows"),
-        (F.countDistinct("category") if has_cat else F.lit(None).cast("long")).alias("n_categories"),
-        exact_mean(p).alias("avg_price"), _dbl(F.min(p)).alias("min_price"),
-        _dbl(F.max(p)).alias("max_price"),
-        exact_mean(r).alias("avg_rating"), _dbl(F.min(r)).alias("min_rating"),
-        _dbl(F.max(r)).alias("max_rating"),
-        exact_mean(d).alias("avg_discount"), _dbl(F.min(d)).alias("min_discount"),
-        _dbl(F.max(d)).alias("max_discount"),
-        F.count_if(r < LOW_RATING).alias("n_low_rated"),
-        F.count_if((d > HIGH_DISCOUNT) & (r < GAP_RATING)).alias("n_discount_gap"),
-        F.count_if(r >= HIGH_RATING).alias("n_high_rated"),
+    def profile(c, there: bool, name: str) -> list[exact.Figure]:
+        names = [f"{k}_{name}" for k in ("avg", "min", "max")]
+        if not there:
+            return [exact.fixed(none, n) for n in names]
+        return [exact.mean(df, c, names[0]), exact.least(c, names[1]), exact.most(c, names[2])]
+
+    row = exact.aggregate(df, [], [
+        exact.count("n_rows"),
+        exact.distinct("category", "n_categories") if has_cat else exact.fixed(F.lit(None).cast("long"), "n_categories"),
+        *profile(p, price is not None, "price"), *profile(r, has_rating, "rating"), *profile(d, has_disc, "discount"),
+        exact.count("n_low_rated", r < LOW_RATING),
+        exact.count("n_discount_gap", (d > HIGH_DISCOUNT) & (r < GAP_RATING)),
+        exact.count("n_high_rated", r >= HIGH_RATING),
         # rows that stop the synthetic sales volume (decides the sales basis)
-        F.count_if(r.isNull() | d.isNull()).alias("n_incomplete"),
-    ]
-    row = df.agg(*aggs)
+        exact.count("n_incomplete", r.isNull() | d.isNull()),
+    ])
     flags = {"has_price": F.lit(price is not None), "has_rating": F.lit(has_rating),
              "has_discount": F.lit(has_disc), "has_category": F.lit(has_cat),
              "price_is_price": F.lit(price == "price")}

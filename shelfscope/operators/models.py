@@ -16,7 +16,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfscope.functions.numeric import exact_mean, unit_draw
+from shelfscope.functions import exact
+from shelfscope.functions.numeric import unit_draw
 from shelfscope.functions.ranking import dense_codes
 from shelfscope.operators import schema
 
@@ -103,7 +104,7 @@ def with_synthetic_sales(df: DataFrame, key_cols: list[str] | None = None,
 
 def _mean_filled(df: DataFrame, cols: list[str]) -> DataFrame:
     """M2: NULL features take the column mean (one-row aggregate, scalar subqueries)."""
-    means = df.agg(*[exact_mean(F.col(c)).alias(c) for c in cols])
+    means = exact.aggregate(df, [], [exact.mean(df, c, c) for c in cols])
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), means.select(c).scalar())
                            for c in cols})
 

@@ -104,14 +104,57 @@ def test_payload_columns_do_not_disturb_positions(spark):
         assert [s for *_, s in sorted(got)] == list(range(len(got))) and len(got) == 20000
 
 
+def _sum_and_mean(df):
+    from shelfscope.functions import exact
+    return tuple(exact.aggregate(df, [], [exact.total(df, "x", "s"), exact.mean(df, "x", "m")]).first())
+
+
 def test_sums_keep_small_and_large_doubles(spark):
-    from pyspark.sql import functions as F
-    from shelfscope.functions.numeric import exact_mean, exact_sum
     small = spark.createDataFrame([(4e-7,), (2e-7,), (None,)], "x double")
-    assert abs(small.agg(exact_mean(F.col("x"))).first()[0] - 3e-7) < 1e-20
+    assert abs(_sum_and_mean(small)[1] - 3e-7) < 1e-20
     large = spark.createDataFrame([(1e33,), (2.0,)], "x double")
-    assert large.agg(exact_sum(F.col("x"))).first()[0] == 1e33
+    assert _sum_and_mean(large)[0] == 1e33
     whole = spark.createDataFrame([(3,), (4,)], "x long")
-    assert whole.agg(exact_sum(F.col("x"))).first()[0] == 7.0
+    assert _sum_and_mean(whole)[0] == 7.0
     none = spark.createDataFrame([(None,)], "x double")
-    assert none.agg(exact_sum(F.col("x")), exact_mean(F.col("x"))).first() == (None, None)
+    assert _sum_and_mean(none) == (None, None)
+    assert _sum_and_mean(none.limit(0)) == (None, None)
+    longs = spark.createDataFrame([(2 ** 62,)] * 5 + [(-3,)], "x long")
+    assert _sum_and_mean(longs)[0] == float(5 * 2 ** 62 - 3)
+    endless = spark.createDataFrame([(float("inf"),), (1.0,)], "x double")
+    assert _sum_and_mean(endless) == (float("inf"), float("inf"))
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.floats(allow_nan=False, allow_infinity=False, width=64).filter(lambda x: abs(x) < 1e300),
+                          st.integers(-10 ** 9, 10 ** 9).map(lambda x: x / 100), st.none()), max_size=80))
+def test_sums_do_not_depend_on_the_order(spark, xs):
+    import math
+    from fractions import Fraction
+    schema = "g int, x double"
+    rows_ = [(i % 2, x) for i, x in enumerate(xs)]
+    from shelfscope.functions import exact
+
+    def sums(rows_, n):
+        df = spark.createDataFrame(rows_ or [(0, None)], schema).repartition(n)
+        return {r.g: r.s for r in exact.aggregate(df, ["g"], [exact.total(df, "x", "s")]).collect()}
+
+    first = sums(rows_, 1)
+    assert first == sums(rows_[::-1], 4) == sums(sorted(rows_, key=str), 3)
+    for g, total in first.items():
+        own = [x for h, x in rows_ if h == g and x is not None]
+        if not own:
+            assert total is None
+            continue
+        size = sum(abs(Fraction(x)) for x in own)
+        assert abs(Fraction(total) - sum(map(Fraction, own))) <= size * Fraction(1, 2 ** 44)
+        assert math.isfinite(total)
+
+
+def test_decimal_figures_sum_as_decimals(spark):
+    from pyspark.sql import functions as F
+    from shelfscope.functions import exact
+    df = spark.range(0, 100000, 1, 5).select((F.col("id") % 7).alias("g"), ((F.col("id") * 37 % 41) / 10 + 1.0).alias("x"))
+    got = {r.g: (r.s, r.n) for r in exact.aggregate(df, ["g"], [exact.total(df, "x", "s"), exact.count("n")]).collect()}
+    want = {r.g: (float(r.s), r.n) for r in df.groupBy("g").agg(F.sum(F.col("x").cast("decimal(20,6)")).alias("s"), F.count("*").alias("n")).collect()}
+    assert got == want

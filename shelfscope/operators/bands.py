@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.functions.quantile import median_frame
+from shelfscope.functions.quantile import median_column
 from shelfscope.operators import schema
 from shelfscope.operators.schema import requires
 
@@ -78,10 +78,9 @@ def segmentation(df: DataFrame) -> DataFrame:
     median (> high, <= low). Always four rows."""
     price = schema.resolve(df, schema.PRICE)
     p, r = F.col(price).cast("double"), F.col("rating")
-    med = median_frame(df, price).scalar()
+    med = median_column(df, price)
     hi_r, lo_r = r >= 4.0, r < 3.0
     hi_p, lo_p = p > med, p <= med
-    # Flags are projected first: the median subquery may not sit inside an aggregate.
     flags = df.select((hi_r & hi_p).alias("star"), (hi_r & lo_p).alias("gem"),
                       (lo_r & hi_p).alias("declining"), (lo_r & lo_p).alias("dead"))
     counts = flags.agg(*[F.count_if(F.col(k)).alias(k)

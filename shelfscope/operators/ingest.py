@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from shelfscope.functions.numeric import to_number
-from shelfscope.functions.quantile import median_frame
+from shelfscope.functions.quantile import median_column
 from shelfscope.operators import schema
 
 # Columns typed as numbers when present (by role). Others keep their input type.
@@ -29,8 +29,8 @@ def impute_median(df: DataFrame, columns: list[str],
                   all_null_fill: float | None = None) -> DataFrame:
     """NULLs of each column become the column's exact median.
 
-    The median is a one-row scalar subquery (computed once, shipped as a
-    value), so the table itself is never shuffled for it. With
+    The median is one number, found when this is called (``functions.quantile``), so the
+    table itself is never shuffled for it. With
     ``all_null_fill`` set, an all-NULL column is filled with that value.
     """
     present = [c for c in columns if c in df.columns]
@@ -38,7 +38,7 @@ def impute_median(df: DataFrame, columns: list[str],
         return df
     fills = {}
     for c in present:
-        med = median_frame(df, c).scalar()
+        med = median_column(df, c)
         if all_null_fill is not None:
             med = F.coalesce(med, F.lit(float(all_null_fill)))
         fills[c] = F.coalesce(F.col(c), med)

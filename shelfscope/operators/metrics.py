@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.functions import exact
-from shelfscope.functions.quantile import median_frame, medians_frame
+from shelfscope.functions.quantile import median_column, median_frame, medians
 from shelfscope.operators import schema
 from shelfscope.operators.schema import requires
 
@@ -82,7 +82,7 @@ def price_profile(df: DataFrame) -> DataFrame:
     """Mean, exact median, min and max of the price role."""
     price = schema.resolve(df, schema.PRICE)
     p = F.col(price)
-    med = median_frame(df, price).scalar()
+    med = median_column(df, price)
     return exact.aggregate(df, [], [exact.mean(df, p, "avg_price"), exact.least(p, "min_price"), exact.most(p, "max_price")]) \
         .select("avg_price", med.alias("median_price"), "min_price", "max_price")
 
@@ -121,13 +121,13 @@ def metrics_row(df: DataFrame, with_medians: bool = True) -> DataFrame:
              "has_discount": F.lit(has_disc), "has_category": F.lit(has_cat),
              "price_is_price": F.lit(price == "price")}
     if price and with_medians:
-        # both medians come from one count-and-rank pass over the price values
+        # both medians come from the same passes over the price values
         subsets = {"median_price": F.lit(True)}
         if has_rating:
             subsets["price_anchor"] = F.col("rating") >= HIGH_RATING
-        meds = medians_frame(df, price, subsets)
-        flags["median_price"] = meds.select("median_price").scalar()
-        flags["price_anchor"] = meds.select("price_anchor").scalar() if has_rating else none
+        found = medians(df, price, subsets)
+        flags["median_price"] = F.lit(found["median_price"]).cast("double")
+        flags["price_anchor"] = F.lit(found.get("price_anchor")).cast("double")
     else:
         flags["median_price"] = none
         flags["price_anchor"] = none

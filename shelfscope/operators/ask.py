@@ -198,7 +198,7 @@ def _association_answer(df: DataFrame) -> Column:
         basket.basket_roles(df)
     except basket.BasketRolesMissing as missing:
         return F.lit(f"Product Associations:\n\n{missing.note}")
-    rules = basket.rules_table(df)
+    rules = basket.top_rules(df, 10)
     line = F.concat(F.lit("• "), F.col("product_a"), F.lit(" + "), F.col("product_b"),
                     F.lit(" (Count: "), F.col("count").cast("string"), F.lit(", Support: "),
                     percent(F.col("support"), 2), F.lit(")\n"))

@@ -14,7 +14,11 @@ Plan shape (all DataFrame operators, no arrays of pairs, no Python):
    bucket_a, bucket_b). Every pair still meets exactly once; its work is spread
    over buckets^2 tasks, with no upper bound on the number of buckets. The table
    of factors is joined without a hint, so its size does not matter.
-3. ``association_rules``: pair counts joined with item counts (AQE picks
+3. ``top_rules``: the n largest rules without counting all pairs. A pair is in no more
+   baskets than either of its items, so the n-th best count among the most frequent
+   items is a threshold that both items of any better pair must reach; only those are paired.
+4. ``partner_counts``: pairs of some products only, formed from their baskets.
+5. ``association_rules``: pair counts joined with item counts (AQE picks
    broadcast only if the measured item table is small), total transactions as
    a scalar subquery, ratios rounded half-up in integer arithmetic.
 """
@@ -84,19 +88,58 @@ def item_pairs(df: DataFrame, chunk: int = 2000, min_count: int = 1) -> DataFram
     is split, so that a task pairs at most about chunk x chunk of its items; the
     result does not depend on it. ``min_count`` (off by default) leaves out rarer pairs.
     """
-    b = baskets(df)
+    pairs = pair_counts(baskets(df), chunk)
+    return pairs.where(F.col("count") >= min_count) if min_count > 1 else pairs
+
+
+def _sides(b: DataFrame, chunk: int, a: str, other: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a self join of baskets on (txn, ba, bb); large baskets are split."""
     salted = (b.join(split_factors(b, chunk), "txn", "left")
               .withColumn("s", F.coalesce(F.col("s"), F.lit(1)))
               .withColumn("own", F.pmod(F.xxhash64("item"), F.col("s")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1))))
-    left = salted.select("txn", F.col("item").alias("product_a"),
-                         F.col("own").alias("ba"), F.col("other").alias("bb"))
-    right = salted.select("txn", F.col("item").alias("product_b"),
-                          F.col("other").alias("ba"), F.col("own").alias("bb"))
-    pairs = (left.join(right, ["txn", "ba", "bb"])
-             .where(F.col("product_a") < F.col("product_b"))
-             .groupBy("product_a", "product_b").agg(F.count(F.lit(1)).alias("count")))
-    return pairs.where(F.col("count") >= min_count) if min_count > 1 else pairs
+    return (salted.select("txn", F.col("item").alias(a), F.col("own").alias("ba"), F.col("other").alias("bb")),
+            salted.select("txn", F.col("item").alias(other), F.col("other").alias("ba"), F.col("own").alias("bb")))
+
+
+def pair_counts(b: DataFrame, chunk: int = 2000) -> DataFrame:
+    """(product_a, product_b, count) of the baskets ``b``, a < b."""
+    left, right = _sides(b, chunk, "product_a", "product_b")
+    return (left.join(right, ["txn", "ba", "bb"])
+            .where(F.col("product_a") < F.col("product_b"))
+            .groupBy("product_a", "product_b").agg(F.count(F.lit(1)).alias("count")))
+
+
+def partner_counts(b: DataFrame, products: DataFrame, chunk: int = 2000) -> DataFrame:
+    """(product, partner, count) for the items in ``products`` (column product) only."""
+    left, right = _sides(b, chunk, "product", "partner")
+    return (left.join(products, "product", "left_semi").join(right, ["txn", "ba", "bb"])
+            .where(F.col("product") != F.col("partner"))
+            .groupBy("product", "partner").agg(F.count(F.lit(1)).alias("count")))
+
+
+def _item_counts(b: DataFrame) -> DataFrame:
+    return b.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+
+
+def frequent_enough(b: DataFrame, n: int, chunk: int = 2000) -> DataFrame:
+    """(item) of all items that one of the n most frequent pairs may hold.
+
+    The most frequent items are paired first. The n-th best of their counts is reached by n pairs at
+    least, so an item in fewer baskets is in none of the n best; equal counts stay.
+    """
+    counts = _item_counts(b)
+    seeds = counts.orderBy(F.col("n").desc(), "item").limit(max(2 * n, 32)).select("item")
+    best = pair_counts(b.join(seeds, "item", "left_semi"), chunk).orderBy(F.col("count").desc()).limit(n)
+    threshold = best.agg(F.when(F.count(F.lit(1)) == n, F.min("count")).otherwise(0)).scalar()
+    return counts.where(F.col("n") >= threshold).select("item")
+
+
+def top_rules(df: DataFrame, n: int, chunk: int = 2000) -> DataFrame:
+    """The first n rows of ``association_rules``, in their order."""
+    b = baskets(df)
+    pairs = pair_counts(b.join(frequent_enough(b, n, chunk), "item", "left_semi"), chunk)
+    return _rules(b, pairs.orderBy(F.col("count").desc(), "product_a", "product_b").limit(n)).orderBy(*rule_order())
 
 
 def total_transactions(b: DataFrame) -> DataFrame:
@@ -107,12 +150,14 @@ def rules_table(df: DataFrame, **split) -> DataFrame:
     """B4 (+J3): support and both confidences, rounded to 4 places; no minimum
     support and no lift. Unordered: consumers that rank or take the top rows
     order it themselves, so no global sort is paid for nothing."""
-    b = baskets(df)
-    counts = b.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    return _rules(baskets(df), item_pairs(df, **split))
+
+
+def _rules(b: DataFrame, pairs: DataFrame) -> DataFrame:
+    counts = _item_counts(b)
     total = total_transactions(b).scalar()
     ca = counts.select(F.col("item").alias("product_a"), F.col("n").alias("n_a"))
     cb = counts.select(F.col("item").alias("product_b"), F.col("n").alias("n_b"))
-    pairs = item_pairs(df, **split)
     return (pairs.join(ca, "product_a").join(cb, "product_b")
             .select("product_a", "product_b", "count",
                     half_up_ratio(F.col("count"), total).alias("support"),
@@ -163,13 +208,14 @@ def bought_together_cards(df: DataFrame, n_rules: int = 8, n_products: int = 12,
                           n_partners: int = 3) -> DataFrame:
     """B8 (+T6): plain-text cards. ``rule`` cards for the first n_rules rules;
     ``product`` cards for the first n_products products by name, each with its
-    top n_partners partners and the number of partners."""
-    rules = rules_table(df)
-    total = total_transactions(baskets(df)).scalar()
-    top_rules = rules.orderBy(*rule_order()).limit(n_rules)  # top-k per task, then merged
+    top n_partners partners and the number of partners. No other pairs are counted than
+    those that these cards may hold."""
+    b = baskets(df)
+    total = total_transactions(b).scalar()
+    best = top_rules(df, n_rules)
     conf = fmt_plain(F.col("confidence_a_to_b") * 100, 1)
     supp = fmt_plain(F.col("support") * 100, 1)
-    rule_cards = top_rules.select(
+    rule_cards = best.select(
         F.lit("rule").alias("kind"),
         # numbered after the limit: the window sees at most n_rules rows
         F.row_number().over(Window.orderBy(*rule_order())).alias("position"),
@@ -180,12 +226,17 @@ def bought_together_cards(df: DataFrame, n_rules: int = 8, n_products: int = 12,
                  F.lit(" transactions. This happens "), conf, F.lit("% of the time.")).alias("body"),
         F.concat(F.lit("Support: "), supp, F.lit("% | Confidence: "), conf, F.lit("%"))
          .alias("stats"))
-    partners = partners_by_product(df, rules)
-    per_product = partners.groupBy("product").agg(
+    # a product has partners if one of its baskets holds something else
+    paired = b.join(b.groupBy("txn").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("txn"), "txn", "left_semi")
+    listed_products = paired.select(F.col("item").alias("product")).distinct().orderBy("product").limit(n_products)
+    counted = partner_counts(b, listed_products)
+    # at most n_products groups, each with one row for every other product
+    ranked = counted.withColumn("rank", F.row_number().over(
+        Window.partitionBy("product").orderBy(F.col("count").desc(), "partner")))
+    firsts = ranked.groupBy("product").agg(
         F.count(F.lit(1)).alias("n_partners"),
         F.sort_array(F.collect_list(F.when(F.col("rank") <= n_partners,
                                            F.struct("rank", "partner", "count")))).alias("top"))
-    firsts = per_product.orderBy("product").limit(n_products)  # window below sees <= n rows
     listed = F.array_join(F.transform(
         "top", lambda e: F.concat(e["partner"], F.lit(" ("), e["count"].cast("string"), F.lit("x)"))),
         ", ")

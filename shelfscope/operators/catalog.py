@@ -164,25 +164,17 @@ def catalog_page(products: DataFrame, mode: str = "name", n: int = 20, nulls: st
 def catalog_positions(products: DataFrame, mode: str = "name", nulls: str = "last") -> DataFrame:
     """Every product with its place (from 1) in the order of a mode.
 
-    Names are distinct, so (key, name) is a total order. Rows are ranked over ranges
-    of one sortable text, not in one task.
+    Rows are ranked over ranges of (value, name), so the products of one value, or all
+    without one, spread over as many tasks as their names need. Names are distinct, so
+    the order is total.
     """
     column, desc = SORTS.get(mode, SORTS["name"])
-    if column not in products.columns:
-        column, desc = "product_name", False
-    if column == "product_name":
-        ranked = range_ranked(products, "product_name")
-    else:
-        # per distinct value: how many products have it; the place inside is by name
-        sizes = products.groupBy(column).agg(F.count(F.lit(1)).alias("_size"))
-        known = sizes.where(F.col(column).isNotNull()).withColumn("_k", -F.col(column) if desc else F.col(column))
-        places = range_ranked(known, "_k", F.col("_size")).select(column, F.col("start").alias("_before"))
-        unknown = F.coalesce(sizes.where(F.col(column).isNull()).agg(F.sum("_size")).scalar(), F.lit(0))
-        first = nulls == "js" and not desc
-        total = known.agg(F.coalesce(F.sum("_size"), F.lit(0))).scalar()
-        before = F.when(F.col(column).isNull(), F.lit(0) if first else total).otherwise(
-            F.col("_before") + (unknown if first else F.lit(0)))
-        inside = F.row_number().over(Window.partitionBy(column).orderBy("product_name"))
-        return (products.join(places, column, "left").withColumn("position", (before + inside).cast("long"))
-                .drop("_before"))
-    return ranked.withColumn("position", (F.col("start") + 1).cast("long")).drop("start", "end", "n")
+    order: list[Column] = [F.col("product_name")]
+    if column in products.columns and column != "product_name":
+        value = F.col(column)
+        missing_first = nulls == "js" and not desc
+        order = [value.isNotNull() if missing_first else value.isNull(), -value if desc else value, *order]
+    # the whole row is part of the key, after what orders it
+    key = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)], F.struct(*products.columns).alias("row"))
+    ranked = range_ranked(products.select(key.alias("key")), "key")
+    return ranked.select("key.row.*", (F.col("start") + 1).cast("long").alias("position"))

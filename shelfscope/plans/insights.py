@@ -14,8 +14,8 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from shelfscope.operators import (bands, basket, catalog, category, charts, finance, metrics,
-                                  models, narrate, schema)
+from shelfscope.operators import basket, catalog, charts, finance, models, narrate, schema
+from shelfscope.plans.fused import FusedFigures
 
 
 def _shared_base(df: DataFrame, mode: str) -> DataFrame:
@@ -42,24 +42,16 @@ def insights(df: DataFrame, key_cols: list[str] | None = None, persist: bool = T
     ``persist`` is true), ``checkpoint`` or ``none``."""
     keep = (base or ("persist" if persist else "none")) != "none"
     base = _shared_base(df, base or ("persist" if persist else "none"))
-    out: dict[str, DataFrame] = {"kpis": metrics.kpis(base)}
-    price = schema.resolve(base, schema.PRICE)
-    cols = base.columns
-    if "category" in cols and price:
-        out["top_categories_by_revenue"] = category.category_revenue(base, 5)
-        if "rating" in cols:
-            out["top_categories_by_rating"] = category.category_rating(base, 5)
-    if price:
-        out["price_band_distribution"] = bands.price_bands(base)
-        if "category" in cols:
-            out["avg_price_by_category"] = category.avg_price_by_category(base, 10)
-    if "discount_percentage" in cols:
-        if "category" in cols:
-            out["avg_discount_by_category"] = category.avg_discount_by_category(base, 10)
-        if "rating" in cols:
-            out["high_discount_avg_rating"] = metrics.high_discount_rating(base)
-    if "rating" in cols and price:
-        out["segmentation"] = bands.segmentation(base)
+    grouped = FusedFigures(base, keep).insights()
+    if "price_bands" not in grouped:  # as in the original flow, the rating list comes with the revenue list
+        grouped.pop("top_categories_by_rating", None)
+    out: dict[str, DataFrame] = {"kpis": grouped["kpis"]}
+    for name, made in (("top_categories_by_revenue",) * 2, ("top_categories_by_rating",) * 2,
+                       ("price_band_distribution", "price_bands"), ("avg_price_by_category",) * 2,
+                       ("avg_discount_by_category",) * 2, ("high_discount_avg_rating", "high_discount_rating"),
+                       ("segmentation",) * 2):
+        if made in grouped:
+            out[name] = grouped[made]
     if fit_models:
         rating = models.rating_model(base, num_trees, max_depth, key_cols)
         if rating is not None:

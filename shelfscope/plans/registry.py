@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfscope.operators import (ask, bands, basket, catalog, category, charts, finance,
                                   ingest, metrics, models, narrate)
+from shelfscope.plans import fused
 from shelfscope.sources.retail_view import RETAIL_SQL, retail_view, table, with_expenditure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -720,10 +721,18 @@ _TEST_ROWS = f"SELECT COUNT(*) FROM retail WHERE {_U} < 0.2"
 @register("rating_model_bounds", f"""
 SELECT TRUE AS rmse_ok, TRUE AS mae_ok, TRUE AS r2_ok, ({_TEST_ROWS}) AS test_rows""")
 def q_rating_model_bounds(spark, sf):
-    """M3, M4: size of the test part, and bounds that the scores keep."""
-    data = _v(spark, sf)
-    rows = models.with_split(data, KEY).where("split = 'test'").agg(F.count(F.lit(1))).scalar()
-    return _checked(models.rating_model(data, 20, 5, KEY).metrics).withColumn("test_rows", rows)
+    """M3, M4: size of the test part, and bounds that the scores of the registered forest keep."""
+    rows = models.with_split(_v(spark, sf), KEY).where("split = 'test'").agg(F.count(F.lit(1))).scalar()
+    return _checked(q_rating_model(spark, sf)).withColumn("test_rows", rows)
+
+
+@register("sales_model_bounds", f"""
+SELECT TRUE AS rmse_ok, TRUE AS mae_ok, TRUE AS r2_ok, ({_TEST_ROWS}) AS test_rows""")
+def q_sales_model_bounds(spark, sf):
+    """M3, M6: size of the test part, and bounds that the scores of the registered forest keep."""
+    data = models.with_synthetic_sales(_imputed(spark, sf), KEY)
+    rows = models.with_split(data, KEY).where("split = 'test' AND sales_volume IS NOT NULL").agg(F.count(F.lit(1))).scalar()
+    return _checked(q_sales_model(spark, sf)).withColumn("test_rows", rows)
 
 
 # Text ---------------------------------------------------------------------------
@@ -905,6 +914,59 @@ def q_answer_table(spark, sf):
     return ask.answer_table(_v(spark, sf))
 
 
+# Whole analysis and corner cases ------------------------------------------------
+
+_LONG = " UNION ALL ".join(
+    f"SELECT '{name}' AS insight, {label} AS label, '{figure}' AS figure, CAST({figure} AS DOUBLE) AS value FROM ({ORACLE[name]})"
+    for name, label, figures in (
+        ("avg_discount_by_category", "category", ["avg_discount"]), ("avg_price_by_category", "category", ["avg_price"]),
+        ("category_top3_rating", "category", ["avg_rating", "n"]), ("category_top3_revenue", "category", ["revenue"]),
+        ("discount_profile", "''", ["avg_discount", "max_discount", "min_discount"]),
+        ("high_discount_rating", "''", ["high_discount_avg_rating"]),
+        ("kpis", "''", ["total_products", "total_categories", "avg_price", "avg_discount", "avg_rating"]),
+        ("price_bands", "price_band", ["n"]), ("price_profile", "''", ["avg_price", "median_price", "min_price", "max_price"]),
+        ("rating_profile", "''", ["avg_rating", "best_rating", "worst_rating"]), ("segmentation", "segment", ["n"]),
+        ("top_categories_by_rating", "category", ["avg_rating"]), ("top_categories_by_revenue", "category", ["revenue"]))
+    for figure in figures)
+
+
+@register("fused_analysis", _LONG)
+def q_fused_analysis(spark, sf):
+    """A1-A8 and A16-A20 of the whole view from one aggregate by category and band."""
+    return fused.long_table(fused.FusedFigures(_v(spark, sf)).insights())
+
+
+@register("impute_median_or_zero", f"""
+SELECT order_id, line_no, COALESCE(CAST(rating AS DOUBLE), {_median('rating')}) AS rating, 0.0e0 AS empty FROM retail""")
+def q_impute_median_or_zero(spark, sf):
+    """A column without any value takes zero, another one its median."""
+    data = _v(spark, sf).withColumn("empty", F.when(F.col("rating") < 0, F.col("rating")))
+    return ingest.impute_median(data, ["rating", "empty"], all_null_fill=0.0).select("order_id", "line_no", "rating", "empty")
+
+
+@register("association_notes", f"""
+SELECT 'all' AS lines, COUNT(DISTINCT order_id) AS total_transactions, COUNT(DISTINCT TRIM(product_name)) AS unique_products, '' AS note FROM retail
+UNION ALL SELECT 'no order', 0, 0, '{basket.NO_DATA}'
+UNION ALL SELECT 'no product column', 0, 0, '{basket.NO_PRODUCT}'""")
+def q_association_notes(spark, sf):
+    """The note on all lines, on lines without an order, and without a product column."""
+    view = _v(spark, sf)
+    unknown = view.withColumn("order_id", F.when(F.col("line_no") < 0, F.col("order_id")))
+    parts = [basket.association_meta(df).withColumn("lines", F.lit(name)) for name, df in (
+        ("all", view), ("no order", unknown), ("no product column", view.drop("product_name")))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("blank_questions", f"""
+SELECT conv_id, turn, 'empty' AS intent, '{ask.EMPTY_ANSWER}' AS answer FROM conversations WHERE role = 'user'""")
+def q_blank_questions(spark, sf):
+    """Q3: every user turn with white space in place of its characters."""
+    blank = _user_turns(spark, sf).withColumn("question", F.regexp_replace("question", r"\S", " "))
+    routed = blank.withColumn("intent", ask.intent_of(F.col("question")))
+    answers = ask.answer_table(_v(spark, sf), ask.asked_intents(routed))
+    return routed.join(F.broadcast(answers), "intent", "left").select("conv_id", "turn", "intent", "answer")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

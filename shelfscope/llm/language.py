@@ -1,14 +1,16 @@
-"""Language identification in two levels: family first, then languages within it.
+"""Language identification by levels: family first, then languages within it.
 
 Texts are described by hashed character n-grams (one to three characters, over
 the whole text, scaled to length one). One-versus-one linear support vector
 machines tell families apart, and inside the winning family others tell its
 languages apart; each level goes to the class with most votes, then the larger
-sum of margins. A family or language that is alone needs no machine.
+sum of margins. A family or language that is alone needs no machine. More than
+``WIDTH`` classes of a level are grouped by name, under further levels, so the number of
+machines grows with the number of languages and not with its square.
 
 The machines are fitted in parallel, each in a task of its own, on at most
-``PER_LANGUAGE`` labelled rows of each of the ``LANGUAGES`` most frequent languages
-(for families about ``PER_FAMILY`` of each), taken by a hash of the id. Every
+``PER_LANGUAGE`` labelled rows of each language that has any
+(for families and groups about ``PER_FAMILY`` of each), taken by a hash of the id. Every
 document is predicted from its whole text alone.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; without
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 from shelfscope.llm.common import map_batches, string_list, whole_text
 
 UNKNOWN = "und"
-PER_LANGUAGE, PER_FAMILY, LANGUAGES = 400, 1200, 200
+PER_LANGUAGE, PER_FAMILY = 400, 1200
+#: Classes that a level tells apart.
+WIDTH = 16
 BITS, ROUNDS, COST = 12, 30, 10.0
 
 # Families of language codes (fixed values).
@@ -102,18 +106,46 @@ class Level:
         return self.classes[best], sum(1 / (1 + math.exp(-max(-50.0, min(50.0, 2 * m)))) for m in own) / len(own)
 
 
+@dataclass
+class Node:
+    """A group of languages: a level over its members, or a single language."""
+
+    name: str
+    members: list[Node] = field(default_factory=list)
+    level: Level | None = None
+
+    def languages(self) -> list[str]:
+        return [k for m in self.members for k in m.languages()] if self.members else [self.name]
+
+
+def _grouped(nodes: list[Node]) -> list[Node]:
+    """At most ``WIDTH`` nodes that hold the given ones, in order of their names."""
+    while len(nodes) > WIDTH:
+        nodes = [Node(f"{nodes[i].name}..", nodes[i:i + WIDTH]) for i in range(0, len(nodes), WIDTH)]
+    return nodes
+
+
+def grouping(languages: list[str]) -> Node:
+    """The tree of families, groups and languages."""
+    members: dict[str, list[Node]] = {}
+    for language in sorted(languages):
+        members.setdefault(family_of(language), []).append(Node(language))
+    return Node("", _grouped([Node(f, _grouped(members[f])) for f in sorted(members)]))
+
+
 @dataclass(frozen=True)
 class Model:
-    families: Level | None
-    languages: dict[str, Level]
+    root: Node | None
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if self.families is None or text is None or not has_letter(text):
+        if self.root is None or text is None or not has_letter(text):
             return UNKNOWN, 0.0
-        x = features(text)
-        family, sure = self.families.decide(x)
-        language, within = self.languages[family].decide(x)
-        return language, sure * within
+        x, node, sure = features(text), self.root, 1.0
+        while node.members:
+            name, own = node.level.decide(x)
+            node = node.members[node.level.classes.index(name)]
+            sure *= own
+        return node.name, sure
 
 
 def held_out() -> Column:
@@ -121,18 +153,18 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def _sample(docs: DataFrame, per_language: int, languages: int) -> DataFrame:
-    """At most ``per_language`` labelled texts of each frequent language, with their features."""
+def _sample(docs: DataFrame, per_language: int) -> DataFrame:
+    """At most ``per_language`` labelled texts of each language, with their features."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
     ids = labelled.select("doc_id", "lang").distinct()
-    sizes = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
     # by the hash about a quarter more than needed is left of a language; the exact number follows
     place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    few = ids.join(F.broadcast(sizes), "lang").where(place * F.col("n") <= 1.25 * per_language + 20)
+    few = ids.join(sizes, "lang").where(place * F.col("n") <= 1.25 * per_language + 20)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id"))
     chosen = few.withColumn("rank", rank).where(F.col("rank") <= per_language)
     chosen = chosen.select("doc_id", "lang", "rank")
-    texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
+    texts = labelled.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"])
     texts = texts.groupBy("doc_id", "lang", "rank").agg(F.min("text").alias("text"))
 
     def per_batch(batch: pa.RecordBatch) -> dict:
@@ -179,43 +211,39 @@ def _machines(rows: DataFrame, plan: list[tuple[int, str, float, int]]) -> dict[
         for k, (at, value) in enumerate(zip(group["at"], group["value"], strict=True)):
             x[k, at] = value
         weights = support_vectors(x, group["side"].to_numpy())
-        return pd.DataFrame({"machine": [int(group["machine"].iloc[0])], "weights": [weights.tolist()]})
+        return pd.DataFrame({"machine": [int(group["machine"].iloc[0])], "weights": [weights.tobytes()]})
 
     schema = "machine int, lang string, side double, most int"
     sides = rows.sparkSession.createDataFrame(plan, schema)
     dealt = rows.join(F.broadcast(sides), "lang").where(F.col("rank") <= F.col("most"))
     found = dealt.select("machine", "side", "lang", "rank", "at", "value").groupBy("machine").applyInPandas(
-        train, "machine int, weights array<double>")
-    return {r.machine: np.array(r.weights) for r in found.collect()}
+        train, "machine int, weights binary")
+    return {r.machine: np.frombuffer(r.weights) for r in found.collect()}
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on labelled documents that are not held out."""
-    rows = _sample(docs, per_language, languages).persist()
+    rows = _sample(docs, per_language).persist()
     try:
         found = sorted(r.lang for r in rows.select("lang").distinct().collect())
         if not found:
-            return Model(None, {})
-        members: dict[str, list[str]] = {}
-        for language in found:
-            members.setdefault(family_of(language), []).append(language)
-        families = sorted(members)
-        # each level: its classes, the languages of a class, the most rows of each language
-        levels = [(families, members, {f: max(20, PER_FAMILY // len(members[f])) for f in families})]
-        levels += [(members[f], {k: [k] for k in members[f]}, {k: per_language for k in members[f]}) for f in families]
-        plan, places, count = [], [], 0
-        for classes, languages_of, most in levels:
-            pairs = list(combinations(range(len(classes)), 2))
+            return Model(None)
+        root = grouping(found)
+        levels, plan, places, count = [root], [], [], 0
+        for node in levels:
+            levels += [m for m in node.members if m.members]
+            of = [m.languages() for m in node.members]
+            single = node is not root and not any(m.members for m in node.members)
+            most = [per_language if single else max(1, 20 if len(k) <= PER_FAMILY // 20 else 1, PER_FAMILY // len(k)) for k in of]
+            pairs = list(combinations(range(len(of)), 2))
             places.append(range(count, count := count + len(pairs)))
             for machine, (a, b) in zip(places[-1], pairs, strict=True):
-                plan += [(machine, k, side, most[classes[c]]) for c, side in ((a, -1.0), (b, 1.0))
-                         for k in languages_of[classes[c]]]
+                plan += [(machine, k, side, most[c]) for c, side in ((a, -1.0), (b, 1.0)) for k in of[c]]
         weights = _machines(rows, plan) if plan else {}
-        made = []
-        for (classes, *_), place in zip(levels, places, strict=True):
+        for node, place in zip(levels, places, strict=True):
             w = np.array([weights[m] for m in place]).reshape(len(place), (1 << BITS) + 1)
-            made.append(Level(tuple(classes), tuple(combinations(range(len(classes)), 2)), w[:, :-1], w[:, -1]))
-        return Model(made[0], dict(zip(families, made[1:], strict=True)))
+            node.level = Level(tuple(m.name for m in node.members), tuple(combinations(range(len(node.members)), 2)), w[:, :-1], w[:, -1])
+        return Model(root)
     finally:
         rows.unpersist()
 

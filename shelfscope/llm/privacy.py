@@ -74,13 +74,14 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def _hits(kind: str) -> Column:
-    """Matches of a kind in order, each with the length of the text since the one before."""
+    """Matches of a kind in order, each with the length of the text since the one before, in characters and bytes."""
     text = F.col("text")
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     gaps = F.slice(F.split(text, PATTERNS[kind], -1), 1, F.size(found))
     hits = F.transform(F.arrays_zip(found.alias("value"), gaps.alias("gap")), lambda x, i: F.struct(
-        F.lit(kind).alias("kind"), i.alias("number"), x["value"].alias("value"), F.length(x["gap"]).alias("gap")))
-    none = F.array().cast("array<struct<kind:string,number:int,value:string,gap:int>>")
+        F.lit(kind).alias("kind"), i.alias("number"), x["value"].alias("value"), F.length(x["gap"]).alias("gap"),
+        F.octet_length(x["gap"]).alias("wide")))
+    none = F.array().cast("array<struct<kind:string,number:int,value:string,gap:int,wide:int>>")
     # a search without success is cheaper than taking the text apart
     return F.when(text.contains(MARK[kind]) & text.rlike(PATTERNS[kind]), hits).otherwise(none)
 
@@ -98,12 +99,15 @@ def _occurrences(found: DataFrame) -> DataFrame:
     texts = found.where(F.size("hits") > 0).dropDuplicates(["text_hash"])
     rows = texts.select("text_hash", F.explode("hits").alias("hit")).select("text_hash", "hit.*")
     order = Window.partitionBy("text_hash", "kind").orderBy("number")
-    passed = F.sum(F.col("gap") + F.length("value")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    before = order.rowsBetween(Window.unboundedPreceding, 0)
+    passed = F.sum(F.col("gap") + F.length("value")).over(before)
+    bytes_passed = F.sum(F.col("wide") + F.octet_length("value")).over(before)
     placed = rows.withColumn("end", passed.cast("int")).withColumn("start", F.col("end") - F.length("value"))
+    placed = placed.withColumn("last", bytes_passed.cast("int")).withColumn("first", F.col("last") - F.octet_length("value"))
     entity = F.concat_ws(":", "kind", F.when(F.col("kind") == "email", F.lower("value")).when(
         F.col("kind") == "ip", F.col("value")).otherwise(_digits(F.col("value"))))
     return placed.where(_valid(F.col("kind"), F.col("value"))).select(
-        "text_hash", "kind", "start", "end", entity.alias("entity"))
+        "text_hash", "kind", "start", "end", "first", "last", entity.alias("entity"))
 
 
 # Terms -------------------------------------------------------------------------
@@ -132,16 +136,18 @@ def _terms(found: DataFrame, holders: DataFrame) -> DataFrame:
 
 
 def _places(found: DataFrame, marked: DataFrame) -> DataFrame:
-    """(text_hash, start, end) of every place of the terms in ``marked`` (text_hash, term)."""
+    """(text_hash, start, end, first, last) of every place of the terms in ``marked`` (text_hash, term)."""
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     each = _held(found, marked).select("text_hash", F.posexplode(F.transform(
         F.arrays_zip(words.alias("word"), F.slice(F.split("text", WORD, -1), 1, F.size(words)).alias("gap")),
-        lambda x: F.struct(F.lower(x["word"]).alias("term"), F.length(x["word"]).alias("size"), F.length(x["gap"]).alias("gap")))
+        lambda x: F.struct(F.lower(x["word"]).alias("term"), F.length(x["word"]).alias("size"), F.length(x["gap"]).alias("gap"),
+                           F.octet_length(x["word"]).alias("bytes"), F.octet_length(x["gap"]).alias("wide")))
     ).alias("number", "word")).select("text_hash", "number", "word.*")
     order = Window.partitionBy("text_hash").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-    placed = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(order).cast("int"))
+    placed = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(order).cast("int")).withColumn(
+        "last", F.sum(F.col("wide") + F.col("bytes")).over(order).cast("int"))
     return placed.join(marked, ["text_hash", "term"], "left_semi").select(
-        "text_hash", (F.col("end") - F.col("size")).alias("start"), "end")
+        "text_hash", (F.col("end") - F.col("size")).alias("start"), "end", (F.col("last") - F.col("bytes")).alias("first"), "last")
 
 
 def _corpus_counts(docs: DataFrame) -> DataFrame:
@@ -174,9 +180,9 @@ def revealing_terms(docs: DataFrame, found: DataFrame, holders: DataFrame, terms
 
 
 def find_spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
-    """(found, spans): all documents with their text's hash, and the spans of each text that has any.
+    """(found, spans): all documents with their text's hash, and a row for each span of a distinct text.
 
-    spans: text_hash, spans (array of start, rank of the kind, kind, end; in order).
+    spans: text_hash, start, rank of the kind, kind, end, and first, last: the same in bytes.
     """
     found = identifiers(docs)
     occurrences = materialise(_occurrences(found), "occurrences")
@@ -187,18 +193,26 @@ def find_spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISC
     likely = terms.join(revealed.select("term").distinct(), "term", "left_semi")
     marked = materialise(likely.join(holders, "text_hash").join(revealed, ["entity", "term"], "left_semi").select(
         "text_hash", "term").distinct(), "marked")
-    added = _places(found, marked)
+    ranks = F.array(*(F.lit(k) for k in (*KINDS, TERM)))
+    columns = ["text_hash", "start", F.array_position(ranks, F.col("kind")).cast("int").alias("rank"), "kind", "end", "first", "last"]
+    base = occurrences.select(*columns)
+    added = _places(found, marked).withColumn("kind", F.lit(TERM)).select(*columns)
+    return found, _apart(base.union(added))
 
-    def span(kind: Column) -> Column:
-        rank = F.array_position(F.array(*(F.lit(k) for k in (*KINDS, TERM))), kind).cast("int")
-        return F.struct("start", rank.alias("rank"), kind.alias("kind"), "end")
 
-    base = occurrences.groupBy("text_hash").agg(F.sort_array(F.collect_list(span(F.col("kind")))).alias("base"))
-    extra = added.groupBy("text_hash").agg(F.sort_array(F.collect_list(span(F.lit(TERM)))).alias("extra"))
-    apart = F.filter("extra", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    spans = base.join(extra, "text_hash", "left").select("text_hash", F.when(
-        F.col("extra").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", apart))).alias("spans"))
-    return found, spans
+def _apart(spans: DataFrame) -> DataFrame:
+    """The spans without the terms that an identifier overlaps.
+
+    In order of their places, an earlier identifier must not end behind a term's start, nor the
+    next one start before its end; two passes over a text's spans tell.
+    """
+    forth = Window.partitionBy("text_hash").orderBy("start", "rank", "end").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("text_hash").orderBy(F.desc("start"), F.desc("rank"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    term = F.col("kind") == TERM
+    marked = spans.withColumn("ended", F.max(F.when(~term, F.col("end"))).over(forth)).withColumn(
+        "begins", F.min(F.when(~term, F.col("start"))).over(back))
+    clear = (F.coalesce("ended", F.lit(0)) <= F.col("start")) & (F.col("begins").isNull() | (F.col("begins") >= F.col("end")))
+    return marked.where(~term | clear).drop("ended", "begins")
 
 
 def _joined(spans: Column) -> Column:
@@ -209,7 +223,8 @@ def _joined(spans: Column) -> Column:
 def privacy_report(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """Per document the counts and digest of the identifiers, and all spans."""
     found, spans = find_spans(docs, support, disclosure)
-    rows = found.select("doc_id", "text_hash").join(spans, "text_hash", "left")
+    listed = spans.groupBy("text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("spans"))
+    rows = found.select("doc_id", "text_hash").join(listed, "text_hash", "left")
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     every = F.coalesce("spans", empty)
     base = F.filter(every, lambda s: s["kind"] != TERM)
@@ -223,21 +238,25 @@ def privacy_report(docs: DataFrame, support: int = SUPPORT, disclosure: float =
 
 
 def sanitise(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """``docs`` with each span of their text replaced by its kind in brackets."""
+    """``docs`` with each span of their text replaced by its kind in brackets.
+
+    A text is cut by bytes, where a place is found without reading what is before it, and its
+    pieces are joined once, so the work grows with the text and its spans.
+    """
     _, spans = find_spans(docs, support, disclosure)
-    texts = spans.select(F.col("text_hash").alias("_p_hash"), F.col("spans").alias("_p_spans"))
+    # a span that begins inside an earlier one goes with it
+    order = Window.partitionBy("text_hash").orderBy("first", "rank", "last").rowsBetween(Window.unboundedPreceding, -1)
+    opened = spans.withColumn("since", F.coalesce(F.max("last").over(order), F.lit(0)))
+    texts = opened.groupBy(F.col("text_hash").alias("_p_hash")).agg(
+        F.sort_array(F.collect_list(F.when(F.col("first") >= F.col("since"), F.struct("first", "since", "kind")))).alias("_p_cuts"),
+        F.max("last").alias("_p_last"))
     joined = docs.join(texts, F.md5(whole_text()) == F.col("_p_hash"), "left")
-    text = F.col("text")
+    raw = F.col("text").cast("binary")
 
     def part(begin: Column, end: Column) -> Column:
-        return F.substring(text, begin + 1, end - begin)
+        return F.substring(raw, begin + 1, end - begin).cast("string")
 
-    # a span that begins inside an earlier one goes with it
-    pieces = F.aggregate(
-        "_p_spans", F.struct(F.lit(0).alias("done"), F.lit("").alias("out")),
-        lambda a, s: F.when(s["start"] >= a["done"], F.struct(s["end"].alias("done"), F.concat(
-            a["out"], part(a["done"], s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out")))
-        .otherwise(F.struct(F.greatest(a["done"], s["end"]).alias("done"), a["out"].alias("out"))),
-        lambda a: F.concat(a["out"], part(a["done"], F.length(text))))
-    clean = F.when(F.col("_p_spans").isNull(), text).otherwise(pieces)
+    pieces = F.transform("_p_cuts", lambda c: F.concat(part(c["since"], c["first"]), F.lit("["), F.upper(c["kind"]), F.lit("]")))
+    rest = part(F.col("_p_last"), F.octet_length("text"))
+    clean = F.when(F.col("_p_last").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), rest))
     return joined.select(*(clean.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))

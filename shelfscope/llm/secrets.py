@@ -38,12 +38,13 @@ _ALL = ("all",)
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret; a match counts if ``group`` has ``least`` characters."""
+    """A kind of secret; a match counts if ``group`` has ``least`` characters. The span is ``span``'s."""
 
     kind: str
     pattern: str
     least: int = 0
     group: int = 0
+    span: int = 0
 
 
 #: Fixed by the query's contract.
@@ -57,7 +58,8 @@ EXTRA_RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    # only the first eyJ of a run of its characters can begin a token, and a run is read once
+    Rule("jwt", r"(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+(eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)", span=1),
 )
 RULES = BASE_RULES + EXTRA_RULES
 
@@ -225,7 +227,7 @@ def _scanner(rules: tuple[Rule, ...]) -> Callable[[list[bytes]], list[list[tuple
                     text = segment[k].decode()
                     for m in regex.finditer(text):
                         if len(m[rule.group]) >= rule.least:
-                            spans[low + int(k)].append((m.start(), number, rule.kind, m.end(), m[0]))
+                            spans[low + int(k)].append((m.start(rule.span), number, rule.kind, m.end(rule.span), m[rule.span]))
         return [sorted(s) for s in spans]
 
     return scan

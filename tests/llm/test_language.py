@@ -59,6 +59,47 @@ def test_families():
 
 
 def test_sample_is_bounded(make_docs):
-    sample = language._sample(make_docs(rows(200) + rows(200)), 7, 3)
+    sample = language._sample(make_docs(rows(200) + rows(200)), 7)
     counts = [r["count"] for r in sample.groupBy("lang").count().collect()]
-    assert len(counts) == 3 and all(c == 7 for c in counts)
+    assert len(counts) == 5 and all(c == 7 for c in counts)  # every language, bounded rows
+
+
+def test_levels_grow_with_the_number_of_languages(monkeypatch):
+    names = [f"q{i:03d}" for i in range(700)] + ["en", "de", "fr", "es"]
+    root, nodes, machines = language.grouping(names), [], 0
+    nodes.append(root)
+    for node in nodes:
+        assert len(node.members) <= language.WIDTH
+        machines += len(node.members) * (len(node.members) - 1) // 2
+        nodes += node.members
+    assert sorted(root.languages()) == sorted(names)
+    assert machines <= language.WIDTH / 2 * len(names) * 1.2
+
+
+def test_every_language_is_learned_over_nested_levels(make_docs, monkeypatch):
+    import random
+    monkeypatch.setattr(language, "WIDTH", 3)
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzßàéèêöüñçåøæ"
+    alphabets = {f"x{i}": letters[2 * i:2 * i + 9] for i in range(11)}
+    rows = []
+    for i in range(11 * 36):
+        lang = f"x{i % 11}"
+        rows.append((i, " ".join("".join(rng.choice(alphabets[lang]) for _ in range(5)) for _ in range(60)), lang))
+    found = {r.doc_id: r for r in language.language_report(make_docs(rows)).collect()}
+    assert {r.lang_pred for r in found.values()} == set(alphabets)
+    right = sum(found[i].lang_pred == lang for i, _, lang in rows if found[i].held_out)
+    assert right >= 0.95 * sum(r.held_out for r in found.values())
+    model = language.fit(make_docs(rows))
+    for i, text, _ in rows[:60]:  # a plain walk of the levels
+        x, node = language.features(text), model.root
+        while node.members:
+            votes = [0] * len(node.members)
+            margins = [0.0] * len(node.members)
+            for (a, b), w, c in zip(node.level.pairs, node.level.weights, node.level.biases):
+                m = float(w @ x + c)
+                votes[b if m > 0 else a] += 1
+                margins[a] -= m
+                margins[b] += m
+            node = node.members[max(range(len(votes)), key=lambda k: (votes[k], margins[k]))]
+        assert found[i].lang_pred == node.name

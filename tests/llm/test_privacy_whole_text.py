@@ -90,3 +90,16 @@ def test_numbers_do_not_end_the_surroundings(make_docs):
     assert sorted((tuple(r) for r in privacy.privacy_report(make_docs(every)).collect()), key=str) == report(every)
     got = cleaned(make_docs(every))
     assert all("Zorblatt" not in got[i] and "Quixley" not in got[i] and "[CARD]" in got[i] for i, _ in letters)
+
+
+def test_long_text_of_many_identifiers(make_docs):
+    import time
+    words = "é nam{0} wrote to a{0}@b.org and 10.{1}.{2}.9, "
+    text = "".join(words.format(i, i % 250, i // 250 % 250) for i in range(50000)) + "end é"
+    assert len(text) > 1 << 21
+    began = time.perf_counter()
+    docs = make_docs([(1, text), (2, "nothing here"), (3, "x a7@b.org é c8@d.org")])
+    clean = {r.doc_id: r.text for r in privacy.sanitise(docs).collect()}
+    assert time.perf_counter() - began < 60
+    assert clean[1] == "".join(f"é nam{i} wrote to [EMAIL] and [IP], " for i in range(50000)) + "end é"
+    assert clean[2] == "nothing here" and clean[3] == "x [EMAIL] é [EMAIL]"

@@ -57,3 +57,15 @@ def test_candidates_hold_every_match(pattern, texts):
     assert {i for i, t in enumerate(texts) if re.search(pattern, t)} <= found
     for trigram, numbers in index.items():
         assert numbers.tolist() == [i for i, t in enumerate(texts) if trigram in t.lower()]
+
+
+def test_long_runs_are_read_once():
+    import time
+    from shelfscope.llm import secrets
+    scan = secrets._scanner(secrets.RULES)
+    token = "eyJabcdefghij.klmnopqrstuv.wxyz0123456789"
+    began = time.perf_counter()
+    found = scan([b"eyJ" * 700000, b"eyJ" * 300000 + b"." + b"eyJ" * 300000, (f"xx{token} -{token}").encode(), b"eyJabc.d"])
+    assert time.perf_counter() - began < 10
+    assert found[0] == found[1] == found[3] == []
+    assert [(k, s, e) for s, _, k, e, _ in found[2]] == [("jwt", 2, 2 + len(token)), ("jwt", 4 + len(token), 4 + 2 * len(token))]

@@ -251,12 +251,14 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLO
         F.sort_array(F.collect_list(F.when(F.col("first") >= F.col("since"), F.struct("first", "since", "kind")))).alias("_p_cuts"),
         F.max("last").alias("_p_last"))
     joined = docs.join(texts, F.md5(whole_text()) == F.col("_p_hash"), "left")
-    raw = F.col("text").cast("binary")
 
-    def part(begin: Column, end: Column) -> Column:
+    def part(raw: Column, begin: Column, end: Column) -> Column:
         return F.substring(raw, begin + 1, end - begin).cast("string")
 
-    pieces = F.transform("_p_cuts", lambda c: F.concat(part(c["since"], c["first"]), F.lit("["), F.upper(c["kind"]), F.lit("]")))
-    rest = part(F.col("_p_last"), F.octet_length("text"))
-    clean = F.when(F.col("_p_last").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), rest))
+    def rewritten(raw: Column) -> Column:
+        pieces = F.transform("_p_cuts", lambda c: F.concat(part(raw, c["since"], c["first"]), F.lit("["), F.upper(c["kind"]), F.lit("]")))
+        return F.concat(F.array_join(pieces, ""), part(raw, F.col("_p_last"), F.length(raw)))
+
+    # as an element of an array the bytes are made once, not for every piece
+    clean = F.when(F.col("_p_last").isNull(), F.col("text")).otherwise(F.transform(F.array(F.col("text").cast("binary")), rewritten)[0])
     return joined.select(*(clean.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))

@@ -3,14 +3,15 @@
 A benchmark item is covered by a document as far as disjoint runs of its tokens,
 each at least ``LEAST`` long, also stand in the document, in any order. The runs
 (tiles) are found greedily: of all maximal matches of unmarked tokens the longest
-is marked first, until none is left. Matches start from shared seeds: a rolling
+is marked first, until none is left. Items are found by shared seeds: a rolling
 Karp-Rabin value of every ``LEAST`` tokens, looked up in the seeds of a block of
-the benchmark, and compared token by token. An item with at least ``COVERAGE`` of its
+the benchmark. Their matches are found by Karp-Rabin values of falling lengths and compared token by token. An item with at least ``COVERAGE`` of its
 tokens in tiles is a leak, also if its passages were put in another order.
 
 The benchmark goes to the tasks in blocks of at most ``BLOCK_TOKENS`` tokens, and
 the documents are read once per block, so what is sent is bounded whatever the
-benchmark's size. Documents are never shuffled.
+benchmark's size. Documents are never shuffled. A task holds the tokens of one document and of one item, also where
+a token repeats without end, as no pairs of places are listed.
 
 Tokens are runs of letters and digits, lower-cased.
 
@@ -23,7 +24,6 @@ other columns of the inputs do not matter.
 
 from __future__ import annotations
 
-import heapq
 import re
 import uuid
 from collections import defaultdict
@@ -41,6 +41,7 @@ BLOCK_TOKENS = 2_000_000
 
 _TOKEN = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def tokens_of(text: str) -> list[str]:
@@ -55,48 +56,95 @@ def rolling(ids: np.ndarray, least: int) -> np.ndarray:
     return value ^ (value >> np.uint64(29))
 
 
-def tiles(pairs: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling of an item from its seed matches: (place in item, place in document, length).
+class _Side:
+    """One of the two token sequences: window values of any length, and which tokens are in a tile."""
 
-    ``pairs`` are the places (item, document) of equal windows of ``least`` tokens.
-    Seeds that follow each other on a diagonal make up a maximal match.
+    def __init__(self, ids: np.ndarray, used: np.ndarray):
+        self.ids, self.used = ids, used
+        up = np.cumprod(np.full(len(ids), _BASE, dtype=np.uint64))
+        self.down = np.cumprod(np.full(len(ids), _INVERSE, dtype=np.uint64))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids.astype(np.uint64) * up, dtype=np.uint64)])
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, values) of the windows without a used token."""
+        if size > len(self.ids):
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        gone = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.used)])
+        places = np.flatnonzero(gone[size:] == gone[:-size])
+        return places, (self.sums[places + size] - self.sums[places]) * self.down[places]
+
+    def longest(self) -> int:
+        """Length of the longest run of unused tokens."""
+        edges = np.flatnonzero(np.concatenate([[True], self.used, [True]]))
+        return int(np.diff(edges).max()) - 1
+
+
+def _meet(a: _Side, b: _Side, size: int) -> bool:
+    return bool(np.isin(a.windows(size)[1], b.windows(size)[1]).any())
+
+
+def tiles(item: np.ndarray, document: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling of an item: (place in item, place in document, length), by place.
+
+    Each round finds the greatest length of which unused windows of both sides have equal
+    Karp-Rabin values (halving, as a match holds shorter ones), and marks all matches
+    of that length that are equal token by token, by place in the item and in the document. Only
+    the two sequences are held, never the pairs of their places; there are no more rounds than different lengths
+    of tiles.
     """
-    matches = []
-    start = last = None
-    for q, p in sorted((q - p, p) for p, q in pairs):
-        if last is not None and q == last[0] and p == last[1] + 1:
-            last = (q, p)
-            continue
-        if last is not None:
-            matches.append((start, last))
-        start = last = (q, p)
-    if last is not None:
-        matches.append((start, last))
-    # longest first, then the earlier place in the item and in the document
-    heap = [(-(b[1] - a[1] + least), a[1], a[0] + a[1]) for a, b in matches]
-    heapq.heapify(heap)
-    in_item: set[int] = set()
-    in_document: set[int] = set()
+    if min(len(item), len(document)) < least:
+        return []
+    # tokens outside of every shared window of the least length are in no tile
+    own, other = rolling(item, least), rolling(document, least)
+    a = _Side(item, ~_spread(np.isin(own, other), least))
+    b = _Side(document, ~_spread(np.isin(other, own), least))
     found = []
-    while heap:
-        size, p, q = heapq.heappop(heap)
-        size = -size
-        free = [k for k in range(size) if p + k not in in_item and q + k not in in_document]
-        if len(free) == size:
-            found.append((p, q, size))
-            in_item.update(range(p, p + size))
-            in_document.update(range(q, q + size))
-            continue
-        # what earlier tiles have left of it, if long enough, waits for its turn
-        begin = 0
-        for k in range(1, len(free) + 1):
-            if k == len(free) or free[k] != free[k - 1] + 1:
-                if k - begin >= least:
-                    heapq.heappush(heap, (-(k - begin), p + free[begin], q + free[begin]))
-                begin = k
+    most = min(a.longest(), b.longest())
+    while most >= least:
+        low, high = least - 1, most
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if _meet(a, b, middle) else (low, middle - 1)
+        if low < least:
+            break
+        found += _mark(a, b, low)
+        most = min(low - 1, a.longest(), b.longest())
     return sorted(found)
 
 
+def _spread(starts: np.ndarray, least: int) -> np.ndarray:
+    """Tokens that lie in a window whose start is set."""
+    change = np.zeros(len(starts) + least, dtype=np.int64)
+    change[:len(starts)] += starts
+    change[least:] -= starts
+    return np.cumsum(change)[:len(starts) + least - 1] > 0
+
+
+def _mark(a: _Side, b: _Side, size: int) -> list[tuple[int, int, int]]:
+    """Mark the matches of this length, the earliest first. A place of the document that was
+    passed over stays used, so each value's places are walked once."""
+    places, values = a.windows(size)
+    others, theirs = b.windows(size)
+    order = np.argsort(theirs, kind="stable")
+    others, theirs = others[order], theirs[order]
+    low, high = np.searchsorted(theirs, values), np.searchsorted(theirs, values, side="right")
+    reached: dict[int, int] = {}
+    found = []
+    for p, first, end in zip(places.tolist(), low.tolist(), high.tolist(), strict=True):
+        if first == end or a.used[p:p + size].any():
+            continue
+        at = reached.get(first, first)
+        while at < end and b.used[others[at]:others[at] + size].any():
+            at += 1
+        reached[first] = at
+        for q in others[at:end].tolist():  # the first one, unless values of different windows are equal
+            if not b.used[q:q + size].any() and np.array_equal(a.ids[p:p + size], b.ids[q:q + size]):
+                a.used[p:p + size] = b.used[q:q + size] = True
+                found.append((p, q, size))
+                break
+    return found
+
+
 class Block:
     """Seeds of some benchmark items."""
 
@@ -121,33 +169,35 @@ class Block:
         self.owner = np.concatenate(owners)[order] if seeds else seed
         self.place = np.concatenate(places)[order] if seeds else seed
 
-    def _seed_pairs(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        if not len(self.seed):
-            return found
-        value = rolling(ids, self.least)
-        low = np.searchsorted(self.seed, value)
-        hit = np.flatnonzero(self.seed[np.minimum(low, len(self.seed) - 1)] == value)
-        if not len(hit):
-            return found
-        high = np.searchsorted(self.seed, value[hit], side="right")
-        for q, a, b in zip(hit.tolist(), low[hit].tolist(), high.tolist(), strict=True):
-            window = ids[q:q + self.least]
-            for number, p in zip(self.owner[a:b].tolist(), self.place[a:b].tolist(), strict=True):
-                if np.array_equal(self.items[number][1][p:p + self.least], window):
-                    found[number].append((p, q))
-        return found
+    def _candidates(self, ids: np.ndarray, coverage: float) -> list[int]:
+        """Items of which the windows that also stand in the text cover enough tokens."""
+        value = np.unique(rolling(ids, self.least))
+        shared = np.flatnonzero(np.isin(self.seed, value)) if len(value) * 8 > len(self.seed) else self._shared(value)
+        if not len(shared):
+            return []
+        order = np.lexsort((self.place[shared], self.owner[shared]))
+        owner, place = self.owner[shared][order], self.place[shared][order]
+        same = np.concatenate([[False], owner[1:] == owner[:-1]])
+        # a window adds the tokens that the one before it in the item does not hold
+        adds = np.where(same, np.minimum(np.diff(place, prepend=0), self.least), self.least)
+        first = np.flatnonzero(~same)
+        sums = np.add.reduceat(adds, first)
+        return [n for n, k in zip(owner[first].tolist(), sums.tolist(), strict=True) if k >= coverage * len(self.items[n][1])]
+
+    def _shared(self, value: np.ndarray) -> np.ndarray:
+        """Places in the seed table that hold one of the sorted values."""
+        low, high = np.searchsorted(self.seed, value), np.searchsorted(self.seed, value, side="right")
+        counts = high - low
+        return np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
 
     def covered(self, text: str, coverage: float) -> list[tuple[int, int, int, int]]:
         """(item, its tokens, tokens covered, tiles) of the items that the text covers enough."""
         known = self.vocabulary.get
         ids = np.array([known(t, 0) for t in tokens_of(text)], dtype=np.int64)
         out = []
-        for number, pairs in self._seed_pairs(ids).items():
+        for number in self._candidates(ids, coverage):
             item, own = self.items[number]
-            if len({p + k for p, _ in pairs for k in range(self.least)}) < coverage * len(own):
-                continue  # even all its seeds cover too little
-            found = tiles(pairs, self.least)
+            found = tiles(own, ids, self.least)
             sum_of = sum(size for *_, size in found)
             if sum_of >= coverage * len(own):
                 out.append((item, len(own), sum_of, len(found)))

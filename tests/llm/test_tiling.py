@@ -1,4 +1,6 @@
 import random
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -37,8 +39,21 @@ def test_tiles_equal_the_definition(seed):
         item += doc[a:a + rng.randint(2, 12)]
         item.append(rng.choice(letters))
     least = rng.choice([2, 3, 5])
-    pairs = [(p, q) for p in range(len(item) - least + 1) for q in range(len(doc) - least + 1) if item[p:p + least] == doc[q:q + least]]
-    assert tiling.tiles(pairs, least) == plain_tiles(item, doc, least)
+    number = {t: k for k, t in enumerate("abcdefghij", 1)}
+    ids = [np.array([number[t] for t in side], dtype=np.int64) for side in (item, doc)]
+    assert tiling.tiles(*ids, least) == plain_tiles(item, doc, least)
+
+
+def test_a_repeated_word_needs_no_pairs():
+    # 400,000 equal words against an item of 2,000: 8 * 10**8 pairs of places, if they were listed
+    block = tiling.Block([(1, "la " * 2000), (2, "la lu " * 300)])
+    tracemalloc.start()
+    start = time.perf_counter()
+    assert block.covered("la " * 400_000, 0.8) == [(1, 2000, 2000, 1)]
+    assert block.covered("lu la " * 100_000 + "end", 0.8) == [(2, 600, 600, 1)]
+    spent, (_, peak) = time.perf_counter() - start, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert spent < 30 and peak < 500_000_000
 
 
 def test_rolling_windows():

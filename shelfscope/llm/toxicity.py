@@ -8,10 +8,9 @@ beginnings, of a vocabulary a text holds. The expected severity is the sum over
 of P(grade > k).
 
 The fit takes a bounded sample of labelled rows (``SAMPLE_ROWS``, by a hash of the
-id). Spark counts their features and keeps the ``VOCABULARY`` that differ most
-between grades; the rows, cut to that vocabulary, are few and short, and the
-likelihood is maximised by a single process. Every document is scored over its
-whole text.
+id). Spark counts their features; every one that ``LEAST_TEXTS`` of them hold is
+used, however many there are, and the penalty leaves most weights at zero. The likelihood of the sampled rows
+is maximised by a single process. Every document is scored over its whole text.
 
 Cases: null text counts as empty and, like a text without known words, gets the
 thresholds' own severity; without labelled rows, or with one grade only, all
@@ -29,15 +28,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.llm.common import map_batches, string_list, whole_text
 
-#: Bounds of the fit: labelled rows, features of the vocabulary.
-SAMPLE_ROWS, VOCABULARY = 20_000, 4096
+#: Bound of the fit: labelled rows.
+SAMPLE_ROWS = 20_000
+#: A feature of fewer sampled texts says nothing about others.
 LEAST_TEXTS = 5
 PENALTY, STEPS = 3e-4, 500
+#: Steps end early once no parameter moves further than this.
+SETTLED = 1e-5
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are features beside the words.
@@ -76,9 +79,10 @@ def _sample(docs: DataFrame, grades: DataFrame, rows: int) -> DataFrame:
     texts = texts.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))  # one text of an id
 
     def per_batch(batch: pa.RecordBatch) -> dict:
-        return {"grade": batch.column("grade"), "words": [sorted(words_of(t)) for t in string_list(batch.column("text"))]}
+        return {"doc_id": batch.column("doc_id"), "grade": batch.column("grade"),
+                "words": [sorted(words_of(t)) for t in string_list(batch.column("text"))]}
 
-    return map_batches(texts.select("grade", "text"), per_batch, "grade int, words array<string>")
+    return map_batches(texts.select("doc_id", "grade", "text"), per_batch, "doc_id long, grade int, words array<string>")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -125,7 +129,10 @@ def cumulative_link(starts: np.ndarray, at: np.ndarray, grades: np.ndarray, widt
             momentum = 1.0  # the momentum points uphill: start it anew
         longer = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
         ahead = following + (momentum - 1) / longer * (following - value)
+        moved = np.abs(following - value).max()
         value, momentum = following, longer
+        if moved < SETTLED:
+            break
     gaps = np.exp(value[width + 1:])
     return value[:width], value[width] + np.concatenate([[0.0], np.cumsum(gaps)])
 
@@ -139,28 +146,22 @@ def fit(docs: DataFrame, grades: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         if len(present) < 2:
             return Model({}, (-500.0,) * (present[0] if present else 0))
         rank = {g: k for k, g in enumerate(present)}  # a grade that no row has gets no threshold of its own
-        total = sum(counts.values())
-        mean = sum(rank[g] * c for g, c in counts.items()) / total
-        ranked = F.create_map(*(F.lit(x) for pair in rank.items() for x in pair))[F.col("grade")]
-        # how far the mean grade of the texts with a feature is from the mean of all, in standard errors
-        strength = F.abs(F.col("sum") - mean * F.col("n")) / F.sqrt(F.col("n"))
-        known = sample.select(ranked.alias("rank"), F.explode("words").alias("word")).groupBy("word").agg(
-            F.count("*").alias("n"), F.sum("rank").alias("sum")).where(F.col("n") >= min(LEAST_TEXTS, total)).orderBy(
-            strength.desc(), "word").limit(VOCABULARY).select("word")
-        words = [r.word for r in known.collect()]
+        known = sample.select(F.explode("words").alias("word")).groupBy("word").count().where(
+            F.col("count") >= min(LEAST_TEXTS, sum(counts.values()))).select("word").orderBy("word")
+        words = known.toArrow().column("word").to_pylist()
         place = sample.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(words)})
 
         def per_batch(batch: pa.RecordBatch) -> dict:
             find = place.value
-            return {"grade": batch.column("grade"),
+            return {"doc_id": batch.column("doc_id"), "grade": batch.column("grade"),
                     "at": [[find[w] for w in x if w in find] for x in batch.column("words").to_pylist()]}
 
-        short = map_batches(sample, per_batch, "grade int, at array<int>").toArrow().combine_chunks()
-        lists = sorted(zip(short.column("grade").to_pylist(), short.column("at").to_pylist(), strict=True))
-        starts = np.concatenate([[0], np.cumsum([len(x) for _, x in lists])])
-        at = np.array([k for _, x in lists for k in x], dtype=np.int64)
-        w, cuts = cumulative_link(starts, at, np.array([rank[g] for g, _ in lists]), len(words), len(present) - 1)
-        weights = {word: float(c) for word, c in zip(words, w, strict=True)}
+        short = map_batches(sample, per_batch, "doc_id long, grade int, at array<int>").toArrow().sort_by("doc_id").combine_chunks()
+        lists = pa.concat_arrays(short.column("at").chunks)
+        starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        grades_at = np.array([rank[g] for g in short.column("grade").to_pylist()])
+        w, cuts = cumulative_link(starts, lists.flatten().to_numpy().astype(np.int64), grades_at, len(words), len(present) - 1)
+        weights = {words[k]: float(w[k]) for k in np.flatnonzero(w)}
         by_grade = dict(zip(present[:-1], cuts.tolist(), strict=True))
         thresholds, last = [], -500.0
         for k in range(present[-1]):  # grades below the least one, or missing in between, share a bound
@@ -177,15 +178,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def per_batch(batch: pa.RecordBatch) -> dict:
         above = [sent.value.above(words_of(t)) for t in string_list(batch.column("text"))]
-        return {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"),
-                "expected_severity": [sum(a) for a in above], "grade": [sum(p >= 0.5 for p in a) for a in above]}
+        return {"doc_id": batch.column("doc_id"), "expected_severity": [sum(a) for a in above], "grade": [sum(p >= 0.5 for p in a) for a in above]}
 
-    rows = docs.select("doc_id", _text_hash().alias("text_hash"), whole_text().alias("text"))
-    return map_batches(rows, per_batch, "doc_id long, text_hash long, expected_severity double, grade int")
-
-
-def _text_hash() -> Column:
-    return F.xxhash64(F.lit("toxicity"), whole_text())
+    rows = docs.select("doc_id", whole_text().alias("text"))
+    return map_batches(rows, per_batch, "doc_id long, expected_severity double, grade int")
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -52,6 +54,30 @@ def test_query_form_and_stage(spark, make_docs):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if not r.rejected)
 
 
+def test_every_feature_counts_and_rows_equal_a_plain_score(spark, make_docs):
+    # 5,000 words that each stand in many texts; the ones that tell the grades are a few of them
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choice(letters) for _ in range(4)) for _ in range(5000)]
+    rows, grades = [], []
+    for i in range(120):
+        grade = i % 3
+        text = rng.sample(words, 2500) + (RUDE if grade == 1 else VILE if grade == 2 else [])
+        rows.append((i, " ".join(text)))
+        grades.append((i, grade))
+    model = toxicity.fit(make_docs(rows), spark.createDataFrame(grades, "doc_id long, grade int"))
+    held = set.intersection(*[toxicity.words_of(t) for _, t in rows[1::3]]) | set.intersection(*[toxicity.words_of(t) for _, t in rows[2::3]])
+    assert {*RUDE, *VILE} <= held & set(model.weights) and all(model.weights.values())
+    got = {r.doc_id: r for r in toxicity.score(make_docs(rows), model).collect()}
+    for i, text in rows:  # the scored rows by their definition
+        known = set(re.findall(r"[^\W\d_]+", text.lower()))
+        known |= {w[:n] + "-" for w in known for n in (5, 6, 7, 8) if len(w) > n}
+        total = sum(c for w, c in model.weights.items() if w in known)
+        above = [1 / (1 + math.exp(t - total)) for t in model.thresholds]
+        assert abs(got[i].expected_severity - sum(above)) < 1e-9
+        assert got[i].grade == sum(p >= 0.5 for p in above) == grades[i][1]
+
+
 def test_no_labels_one_grade_and_no_documents(spark, make_docs):
     docs = make_docs([(1, "a b"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -135,12 +135,27 @@ def fixed(value: Column, name: str) -> Figure:
     return Figure(name, [], value)
 
 
-def states(df: DataFrame, keys: Sequence[str], figures: Sequence[Figure]) -> DataFrame:
-    """The running state of every group, one row for each: what ``merged`` and ``finished`` take."""
+def binned(df: DataFrame, keys: Sequence[str], figures: Sequence[Figure]) -> DataFrame:
+    """The first aggregation: whole numbers for every group and bin, which add up exactly with those of other rows."""
     further = {name: c for f in figures for name, c in f.keys.items()}
     first = [p.first.alias(p.name) for f in figures for p in f.parts if p.first is not None]
-    rows = df.withColumns(further).groupBy(*keys, *further).agg(*(first or [F.lit(0).alias("_none")]))
-    if not further:
+    return df.withColumns(further).groupBy(*keys, *further).agg(*(first or [F.lit(0).alias("_none")]))
+
+
+def rebinned(rows: DataFrame, keys: Sequence[str], figures: Sequence[Figure]) -> DataFrame:
+    """Rows of several ``binned`` tables as those of one."""
+    further = [name for f in figures for name in f.keys]
+    return rows.groupBy(*keys, *further).agg(*[p.merge(p.name).alias(p.name) for f in figures for p in f.parts if p.first is not None])
+
+
+def states(df: DataFrame, keys: Sequence[str], figures: Sequence[Figure]) -> DataFrame:
+    """The running state of every group, one row for each: what ``merged`` and ``finished`` take."""
+    return lifted(binned(df, keys, figures), keys, figures)
+
+
+def lifted(rows: DataFrame, keys: Sequence[str], figures: Sequence[Figure]) -> DataFrame:
+    """States of ``binned`` rows."""
+    if not any(f.keys for f in figures):
         return rows
     return merged(rows.withColumns({name: c for f in figures for name, c in f.lift.items()}), keys, figures)
 

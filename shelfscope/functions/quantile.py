@@ -69,11 +69,13 @@ class _Target:
         return self.prefix is None or self.low != self.high
 
 
-def medians(df: DataFrame, value: Column | str, subsets: dict[str, Column], digit: int = DIGIT) -> dict[str, float | None]:
-    """The exact median of the non-null values over each row subset, all from the same passes."""
+def medians(df: DataFrame, value: Column | str, subsets: dict[str, Column], digit: int = DIGIT,
+            weight: str | None = None) -> dict[str, float | None]:
+    """The exact median of the non-null values over each row subset, all from the same passes.
+    A row counts ``weight`` times (a column of whole numbers above zero), or once."""
     col = F.col(value) if isinstance(value, str) else value
     flags = {f"_in{i}": F.coalesce(c, F.lit(False)) for i, c in enumerate(subsets.values())}
-    rows = df.select(nan_to_null(col.cast("double")).alias("v"), *[c.alias(k) for k, c in flags.items()]).where("v IS NOT NULL")
+    rows = df.select(nan_to_null(col.cast("double")).alias("v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w"), *[c.alias(k) for k, c in flags.items()]).where("v IS NOT NULL")
     targets: list[_Target] = []
     depth = 0
     while depth < 64 and (not depth or any(t.open() for t in targets)):
@@ -90,8 +92,8 @@ def medians(df: DataFrame, value: Column | str, subsets: dict[str, Column], digi
                 within = within | F.col("v").between(low, high)
             near = rows.where(within)
         counted = with_ordered_bits(near, "v", "bits").groupBy(F.shiftright("bits", 64 - depth).alias("prefix")).agg(
-            F.count(F.lit(1)).alias("rows"),
-            *[c for k in flags for c in (F.count_if(F.col(k)).alias(f"n{k}"), F.min(F.when(F.col(k), F.col("v"))).alias(f"low{k}"),
+            F.sum("w").alias("rows"),
+            *[c for k in flags for c in (F.sum(F.when(F.col(k), F.col("w")).otherwise(0)).alias(f"n{k}"), F.min(F.when(F.col(k), F.col("v"))).alias(f"low{k}"),
                                                F.max(F.when(F.col(k), F.col("v"))).alias(f"high{k}"))])
         histogram = sorted(counted.collect(), key=lambda r: r.prefix)  # at most 2**DIGIT rows for every open rank
         if not targets:
@@ -115,9 +117,9 @@ def medians(df: DataFrame, value: Column | str, subsets: dict[str, Column], digi
     return found
 
 
-def median(df: DataFrame, value: Column | str) -> float | None:
+def median(df: DataFrame, value: Column | str, weight: str | None = None) -> float | None:
     """The exact median of the non-null values, None if there are none."""
-    return medians(df, value, {"median": F.lit(True)})["median"]
+    return medians(df, value, {"median": F.lit(True)}, weight=weight)["median"]
 
 
 def median_column(df: DataFrame, value: Column | str) -> Column:

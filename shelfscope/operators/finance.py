@@ -17,12 +17,12 @@ NO_COST_SELL = "Cost and selling price columns not found."
 NO_EXPENDITURE = "No expenditure column found."
 NO_DATE = "No date/year column found."
 NO_YEARS = "No valid yearly expenditure data found."
-#: Date formats tried in order: ISO forms first, then month before day, then day before
-#: month (so 05/12/2021 is in May and 25/12/2021 in December), then month names.
+#: Date formats; ``elected_formats`` orders them for a column. ISO forms first, then month before day, then day before
+#: month, then month names.
 DATE_FORMATS = (
     "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]", "yyyy-MM-dd HH:mm",
     "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S][XXX]", "yyyy/M/d", "yyyy/M/d HH:mm:ss",
-    "M/d/yyyy", "M/d/yyyy HH:mm:ss", "M/d/yyyy HH:mm", "d/M/yyyy", "d/M/yyyy HH:mm:ss", "d-M-yyyy", "M-d-yyyy", "d.M.yyyy",
+    "M/d/yyyy", "M/d/yyyy HH:mm:ss", "M/d/yyyy HH:mm", "d/M/yyyy", "d/M/yyyy HH:mm:ss", "d/M/yyyy HH:mm", "d-M-yyyy", "M-d-yyyy", "d.M.yyyy",
     "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d-MMM-yyyy", "yyyyMMdd",
 )
 
@@ -65,10 +65,29 @@ def profit_loss(df: DataFrame) -> DataFrame:
              F.lit(basis).alias("basis"), F.lit(None).cast("string").alias("note"))
 
 
+def elected_formats(df: DataFrame, name: str, date_formats: Sequence[str] = DATE_FORMATS) -> list[str]:
+    """The formats that dates of a text column have, the commonest first, from one pass that counts what fits.
+
+    Whether day or month comes first is settled for the column: a date such as 25/12/2021 fits one
+    order only, and the order that more dates fit is tried before the other one (month first in a tie). A
+    mixed column keeps its further formats behind; a column of one form is parsed once a row.
+    """
+    text = F.trim(F.col(name))
+    fits = df.agg(*[F.count(F.try_to_timestamp(text, F.lit(f))).alias(f"f{i}") for i, f in enumerate(date_formats)]).first()
+    number = dict(zip(date_formats, fits))
+    # beside each format that has a twin of the other order
+    twin = {f: f.replace("d", "\0").replace("M", "d").replace("\0", "M") for f in date_formats if "MMM" not in f}
+    paired = [f for f in date_formats if twin.get(f, f) != f and twin[f] in number and not f.startswith("y")]
+    day_first = sum(number[f] for f in paired if f.startswith("d")) > sum(number[f] for f in paired if f.startswith("M"))
+    behind = {f for f in paired if f.startswith("M" if day_first else "d")}
+    order = sorted((f in behind, -number[f], i) for i, f in enumerate(date_formats) if number[f])
+    return [date_formats[i] for *_, i in order]
+
+
 def year_of(df: DataFrame, name: str, date_formats: Sequence[str] = DATE_FORMATS) -> Column:
     """Year of a date role: numeric coercion for ``year``, parsing otherwise.
 
-    Numbers in a date column are no dates here (a reader would have to guess their
+    Text is parsed by ``date_formats`` in their order (see ``elected_formats``). Numbers in a date column are no dates here (a reader would have to guess their
     unit), so they raise ``NumericDates``.
     """
     dtype = df.schema[name].dataType
@@ -80,36 +99,44 @@ def year_of(df: DataFrame, name: str, date_formats: Sequence[str] = DATE_FORMATS
     if not isinstance(dtype, StringType):
         raise NumericDates(f"{name} holds {dtype.simpleString()}, not dates; rename it to year or convert it")
     text = F.trim(c)
-    return F.year(F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in date_formats]))
+    return F.year(F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in date_formats], F.lit(None).cast("timestamp")))
+
+
+def _elected(df: DataFrame, name: str, date_formats: Sequence[str] | None) -> Sequence[str]:
+    """The formats that a caller names, in that order; else those of the column, if it is text."""
+    if date_formats is not None or name == "year" or not isinstance(df.schema[name].dataType, StringType):
+        return date_formats or ()
+    return elected_formats(df, name)
 
 
 class NumericDates(ValueError):
     pass
 
 
-def annual_expenditure(df: DataFrame, date_formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
-    """A13 first level: expenditure summed per year (NULL spend counts 0)."""
+def annual_expenditure(df: DataFrame, date_formats: Sequence[str] | None = None) -> DataFrame:
+    """A13 first level: expenditure summed per year (NULL spend counts 0). Without
+    ``date_formats``, those of a text column are elected when this is called."""
     exp = schema.resolve(df, schema.EXPENDITURE)
     date = schema.resolve(df, schema.DATE)
     if exp is None or date is None:
         return df.sparkSession.createDataFrame([], "year int, expenditure double")
     spend = _measure(df, exp, F.coalesce(_number(df, exp), F.lit(0)))
-    lines = df.select(year_of(df, date, date_formats).alias("year"), spend.alias("e")).where(F.col("year").isNotNull())
+    lines = df.select(year_of(df, date, _elected(df, date, date_formats)).alias("year"), spend.alias("e")).where(F.col("year").isNotNull())
     if is_exact(df.schema[exp].dataType):
         return lines.groupBy("year").agg(F.sum("e").alias("e"))
     return exact.aggregate(lines, ["year"], [exact.total(lines, "e", "e")])
 
 
-def unparsed_dates(df: DataFrame, date_formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+def unparsed_dates(df: DataFrame, date_formats: Sequence[str] | None = None) -> DataFrame:
     """One row: dates that are there but fit none of the formats (their spend is in no year)."""
     date = schema.resolve(df, schema.DATE)
     if date is None:
         return df.sparkSession.createDataFrame([(0,)], "unparsed_dates long")
-    missed = F.col(date).isNotNull() & year_of(df, date, date_formats).isNull()
+    missed = F.col(date).isNotNull() & year_of(df, date, _elected(df, date, date_formats)).isNull()
     return df.agg(F.count_if(missed).alias("unparsed_dates"))
 
 
-def avg_annual_expenditure(df: DataFrame, date_formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+def avg_annual_expenditure(df: DataFrame, date_formats: Sequence[str] | None = None) -> DataFrame:
     """Mean of the per-year sums, with the ascending year list as text. The note
     counts dates that fit none of the formats."""
     spark = df.sparkSession
@@ -118,6 +145,7 @@ def avg_annual_expenditure(df: DataFrame, date_formats: Sequence[str] = DATE_FOR
         return spark.createDataFrame([(False, None, None, NO_EXPENDITURE)], out_schema)
     if schema.resolve(df, schema.DATE) is None:
         return spark.createDataFrame([(False, None, None, NO_DATE)], out_schema)
+    date_formats = _elected(df, schema.resolve(df, schema.DATE), date_formats)
     per_year = annual_expenditure(df, date_formats)
     missed = unparsed_dates(df, date_formats).scalar()
     # one row per year: the list is as long as the calendar span, not the data
@@ -136,5 +164,5 @@ def avg_annual_expenditure(df: DataFrame, date_formats: Sequence[str] = DATE_FOR
             missed.cast("string"), F.lit(" dates could not be read."))).alias("note"))
 
 
-def annual_expenditure_table(df: DataFrame, date_formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+def annual_expenditure_table(df: DataFrame, date_formats: Sequence[str] | None = None) -> DataFrame:
     return annual_expenditure(df, date_formats).select("year", F.col("e").cast("double").alias("expenditure"))

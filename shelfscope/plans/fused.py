@@ -20,10 +20,12 @@ class FusedFigures:
     """The grouped states of a table, and every insight that is made from them.
 
     A column that the table lacks leaves out the insights that need it, as the
-    single operators do.
+    single operators do. ``with_median=False`` leaves out what needs the median price.
     """
 
-    def __init__(self, df: DataFrame, keep: bool = True) -> None:
+    KEYS = ["category", "band"]
+
+    def __init__(self, df: DataFrame, keep: bool = True, with_median: bool = True) -> None:
         self.spark = df.sparkSession
         price = schema.resolve(df, schema.PRICE)
         self.has = {"price": price is not None, "rating": "rating" in df.columns,
@@ -36,18 +38,21 @@ class FusedFigures:
             (F.col(price) if price else none.cast("double")).alias("price"),
             (F.col("rating") if self.has["rating"] else none.cast("double")).alias("rating"),
             (F.col("discount_percentage") if self.has["discount"] else none.cast("double")).alias("discount"))
-        self.median_price = median(df, price) if price else None
+        self.median_price = median(df, price) if price and with_median else None
         p, r, d = F.col("price").cast("double"), F.col("rating"), F.col("discount")
         hot = d > metrics.HIGH_DISCOUNT
         self.figures = {f.name: f for f in (
             exact.count("n"), exact.count("n_hot", hot), exact.mean(base, F.when(hot, r), "hot_rating"),
             exact.total(base, "price", "revenue", default=0.0),
             *(f(base, c, f"avg_{c}") for c in ("price", "rating", "discount") for f in (exact.mean,)),
-            *(f(F.col(c), f"{k}_{c}") for c in ("price", "rating", "discount") for k, f in (("min", exact.least), ("max", exact.most))),
-            *(exact.count(name, rated & priced) for name, rated, priced in (
-                ("star", r >= 4.0, p > F.lit(self.median_price)), ("gem", r >= 4.0, p <= F.lit(self.median_price)),
-                ("declining", r < 3.0, p > F.lit(self.median_price)), ("dead", r < 3.0, p <= F.lit(self.median_price)))))}
-        rows = exact.states(base, ["category", "band"], list(self.figures.values()))
+            *(f(F.col(c), f"{k}_{c}") for c in ("price", "rating", "discount") for k, f in (("min", exact.least), ("max", exact.most))),)}
+        if with_median:
+            dear, well, badly = p > F.lit(self.median_price), r >= 4.0, r < 3.0
+            self.figures |= {f.name: f for f in (
+                exact.count("star", well & dear), exact.count("gem", well & (p <= F.lit(self.median_price))),
+                exact.count("declining", badly & dear), exact.count("dead", badly & (p <= F.lit(self.median_price))))}
+        self.base = base
+        rows = exact.states(base, self.KEYS, list(self.figures.values()))
         self.rows = rows.persist(StorageLevel.MEMORY_AND_DISK) if keep else rows
 
     def _of(self, keys: list[str], *names: str, rows: DataFrame | None = None) -> DataFrame:

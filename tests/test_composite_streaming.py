@@ -76,7 +76,7 @@ def test_command_line(spark, capsys):
     assert "• cup + tea (Count: 1, Support: 50.00%)" in printed
     out_dir = os.path.join(folder, "out")
     assert main(["analyze", path, out_dir, "--no-models"]) == 0
-    assert spark.read.json(os.path.join(out_dir, "kpis")).first().total_products == 3
+    assert files.read_insights(spark, out_dir)["kpis"].first().total_products == 3
 
 
 def test_insights_with_checkpointed_base(spark):

@@ -96,26 +96,7 @@ def cumulative_link(starts: np.ndarray, at: np.ndarray, grades: np.ndarray, widt
     Accelerated proximal gradient steps, so most weights end at zero. Row i has the features ``at[starts[i]:starts[i + 1]]`` and a grade from 0 to ``top``.
     """
     n = len(grades)
-    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))
-    # the rows of each feature, one after the other: sums over runs need no wider copies
-    by_feature = np.argsort(at, kind="stable")
-    held, first = np.unique(at[by_feature], return_index=True)
-    row_of = row[by_feature]
-    del by_feature, row
-    full = np.flatnonzero(np.diff(starts))
-
-    def over_features(weights: np.ndarray) -> np.ndarray:  # for each row
-        out = np.zeros(n)
-        if len(full):
-            out[full] = np.add.reduceat(weights[at], starts[full])
-        return out
-
-    def over_rows(weights: np.ndarray) -> np.ndarray:  # for each feature
-        out = np.zeros(width)
-        if len(held):
-            out[held] = np.add.reduceat(weights[row_of], first)
-        return out
-
+    row = np.repeat(np.arange(n), np.diff(starts))
     share = np.bincount(grades, minlength=top + 1).cumsum()[:-1] / n
     begin = np.log(share) - np.log1p(-share)
     # parameters: weights, first threshold, logarithms of the distances to the next ones
@@ -123,8 +104,8 @@ def cumulative_link(starts: np.ndarray, at: np.ndarray, grades: np.ndarray, widt
     # the largest curvature bounds the step
     v = np.ones(width + 1)
     for _ in range(20):
-        product = over_features(v) + v[width]
-        v = np.append(over_rows(product), product.sum()) / n
+        product = np.bincount(row, weights=v[at], minlength=n) + v[width]
+        v = np.append(np.bincount(at, weights=product[row], minlength=width), product.sum()) / n
         curve = np.linalg.norm(v)
         v /= curve
     rate = 1 / (0.3 * curve + 0.5)
@@ -132,11 +113,11 @@ def cumulative_link(starts: np.ndarray, at: np.ndarray, grades: np.ndarray, widt
     for _ in range(steps):
         w, gaps = ahead[:width], np.exp(ahead[width + 1:])
         cuts = np.concatenate([[-np.inf], ahead[width] + np.concatenate([[0.0], np.cumsum(gaps)]), [np.inf]])
-        s = over_features(w)
+        s = np.bincount(row, weights=w[at], minlength=n)
         low, high = _sigmoid(cuts[grades] - s), _sigmoid(cuts[grades + 1] - s)
         p = np.maximum(high - low, 1e-12)
         down = np.zeros_like(value)  # gradient of the mean negative log likelihood
-        down[:width] = over_rows((1 - high - low) / n)
+        down[:width] = np.bincount(at, weights=((1 - high - low) / n)[row], minlength=width)
         by_cut = (np.bincount(grades, weights=-high * (1 - high) / p, minlength=top + 1)[:top]
                   + np.bincount(grades, weights=low * (1 - low) / p, minlength=top + 1)[1:]) / n
         from_here = by_cut[::-1].cumsum()[::-1]  # a distance moves all later thresholds
@@ -179,7 +160,7 @@ def fit(docs: DataFrame, grades: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         lists = pa.concat_arrays(short.column("at").chunks)
         starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
         grades_at = np.array([rank[g] for g in short.column("grade").to_pylist()])
-        at = lists.flatten().to_numpy()
+        at = lists.flatten().to_numpy().astype(np.int64)
         del short, lists
         w, cuts = cumulative_link(starts, at, grades_at, len(words), len(present) - 1)
         weights = {words[k]: float(w[k]) for k in np.flatnonzero(w)}

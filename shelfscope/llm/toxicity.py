@@ -8,9 +8,13 @@ beginnings, of a vocabulary a text holds. The expected severity is the sum over
 of P(grade > k).
 
 The fit takes a bounded sample of labelled rows (``SAMPLE_ROWS``, by a hash of the
-id). Spark counts their features; every one that ``LEAST_TEXTS`` of them hold is
-used, however many there are, and the penalty leaves most weights at zero. The likelihood of the sampled rows
-is maximised by a single process. Every document is scored over its whole text.
+id). Every feature that ``LEAST_TEXTS`` of them hold takes part, however many there
+are, and the penalty leaves most weights at zero. So the fit grows its set of features: Spark
+sums each feature's slope of the likelihood over the sampled rows, the steepest
+``AT_ONCE`` of those beyond the penalty join, the driver fits the weights of the joined
+ones, and this is repeated until no feature outside is beyond the penalty, which is where
+the optimum over all features lies. The driver never holds the other features. Every
+document is scored over its whole text.
 
 Cases: null text counts as empty and, like a text without known words, gets the
 thresholds' own severity; without labelled rows, or with one grade only, all
@@ -28,7 +32,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,12 @@ SAMPLE_ROWS = 20_000
 #: A feature of fewer sampled texts says nothing about others.
 LEAST_TEXTS = 5
 PENALTY, STEPS = 3e-4, 500
+#: Features that join the fit in one round; the rounds go on until none is left to join.
+AT_ONCE = 500
+#: A feature outside is left there if its slope is beyond the penalty by no more than the steps' own error.
+SLACK = 1.01
+#: Slopes are summed as integers, so that they do not depend on the order of rows.
+UNIT = 1 << 40
 #: Steps end early once no parameter moves further than this.
 SETTLED = 1e-5
 
@@ -89,18 +98,42 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
+def _thresholds_alone(grades: np.ndarray, top: int) -> np.ndarray:
+    """Thresholds that give each grade its share of the rows."""
+    share = np.bincount(grades, minlength=top + 1).cumsum()[:-1] / len(grades)
+    return np.log(share) - np.log1p(-share)
+
+
+def _slopes(sample: DataFrame, ids: np.ndarray, scores: np.ndarray, cuts: np.ndarray, grades: np.ndarray, least: int) -> DataFrame:
+    """(word, slope): n times the likelihood's slope along each feature that ``least`` rows hold, in parts of ``UNIT``."""
+    edges = np.concatenate([[-np.inf], cuts, [np.inf]])
+    by_row = 1 - _sigmoid(edges[grades] - scores) - _sigmoid(edges[grades + 1] - scores)
+    table = pa.table({"doc_id": ids, "part": np.rint(by_row * UNIT).astype(np.int64)})
+    parts = sample.sparkSession.createDataFrame(table)  # as many rows as the sample, which is bounded
+    return (sample.join(F.broadcast(parts), "doc_id").select("part", F.explode("words").alias("word"))
+            .groupBy("word").agg(F.count("*").alias("texts"), F.sum("part").alias("slope"))
+            .where(F.col("texts") >= least).select("word", "slope"))
+
+
+def _holders(sample: DataFrame, words: list[str], after: int) -> pa.Table:
+    """(doc_id, place) of every sampled row and each of ``words`` it holds; places count from ``after``."""
+    places = sample.sparkSession.createDataFrame(pa.table({"word": words, "place": np.arange(after, after + len(words))}))
+    pairs = sample.select("doc_id", F.explode("words").alias("word")).join(F.broadcast(places), "word")
+    return pairs.select("doc_id", F.col("place").cast("int").alias("place")).toArrow()
+
+
 def cumulative_link(starts: np.ndarray, at: np.ndarray, grades: np.ndarray, width: int, top: int,
-                    steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+                    steps: int = STEPS, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the most likely model with an absolute penalty on the weights.
 
-    Accelerated proximal gradient steps, so most weights end at zero. Row i has the features ``at[starts[i]:starts[i + 1]]`` and a grade from 0 to ``top``.
+    Accelerated proximal gradient steps, so most weights end at zero. Row i has the features ``at[starts[i]:starts[i + 1]]`` and a
+    grade from 0 to ``top``. ``known`` holds the weights of the first features and the thresholds to begin with.
     """
     n = len(grades)
     row = np.repeat(np.arange(n), np.diff(starts))
-    share = np.bincount(grades, minlength=top + 1).cumsum()[:-1] / n
-    begin = np.log(share) - np.log1p(-share)
+    first, begin = known if known else (np.zeros(0), _thresholds_alone(grades, top))
     # parameters: weights, first threshold, logarithms of the distances to the next ones
-    value = np.concatenate([np.zeros(width), begin[:1], np.log(np.diff(begin) + 1e-3)])
+    value = np.concatenate([first, np.zeros(width - len(first)), begin[:1], np.log(np.diff(begin) + 1e-3)])
     # the largest curvature bounds the step
     v = np.ones(width + 1)
     for _ in range(20):
@@ -141,28 +174,33 @@ def fit(docs: DataFrame, grades: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Fit on the documents that ``grades`` (doc_id, grade from 0 up) names."""
     sample = _sample(docs, grades, rows).persist()
     try:
-        counts = {r["grade"]: r["count"] for r in sample.groupBy("grade").count().collect()}
-        present = sorted(counts)
+        table = sample.select("doc_id", "grade").toArrow().sort_by("doc_id")
+        ids, own = table.column("doc_id").to_numpy(), table.column("grade").to_numpy()
+        present = np.unique(own).tolist()
         if len(present) < 2:
             return Model({}, (-500.0,) * (present[0] if present else 0))
-        rank = {g: k for k, g in enumerate(present)}  # a grade that no row has gets no threshold of its own
-        known = sample.select(F.explode("words").alias("word")).groupBy("word").count().where(
-            F.col("count") >= min(LEAST_TEXTS, sum(counts.values()))).select("word").orderBy("word")
-        words = known.toArrow().column("word").to_pylist()
-        place = sample.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(words)})
-
-        def per_batch(batch: pa.RecordBatch) -> dict:
-            find = place.value
-            return {"doc_id": batch.column("doc_id"), "grade": batch.column("grade"),
-                    "at": [[find[w] for w in x if w in find] for x in batch.column("words").to_pylist()]}
-
-        short = map_batches(sample, per_batch, "doc_id long, grade int, at array<int>").toArrow().sort_by("doc_id").combine_chunks()
-        lists = pa.concat_arrays(short.column("at").chunks)
-        starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
-        grades_at = np.array([rank[g] for g in short.column("grade").to_pylist()])
-        at = lists.flatten().to_numpy().astype(np.int64)
-        del short, lists
-        w, cuts = cumulative_link(starts, at, grades_at, len(words), len(present) - 1)
+        grades_at = np.searchsorted(present, own)  # a grade that no row has gets no threshold of its own
+        n, top = len(ids), len(present) - 1
+        words, row, at = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        w, cuts, scores = np.zeros(0), _thresholds_alone(grades_at, top), np.zeros(n)
+        while True:
+            slopes = _slopes(sample, ids, scores, cuts, grades_at, min(LEAST_TEXTS, n))
+            size = F.abs("slope")
+            steep = slopes.where(size > int(PENALTY * SLACK * n * UNIT)).orderBy(size.desc(), "word").limit(AT_ONCE + len(words))
+            found = steep.toArrow().column("word").to_pylist()
+            held = set(words)
+            joining = [x for x in found if x not in held][:AT_ONCE]
+            if not joining:
+                break
+            pairs = _holders(sample, joining, len(words))
+            words += joining
+            row = np.concatenate([row, np.searchsorted(ids, pairs.column("doc_id").to_numpy())])
+            at = np.concatenate([at, pairs.column("place").to_numpy()])
+            order = np.lexsort((at, row))  # the same sums, in whatever order the pairs came
+            row, at = row[order], at[order]
+            starts = np.searchsorted(row, np.arange(n + 1))
+            w, cuts = cumulative_link(starts, at, grades_at, len(words), top, known=(w, cuts))
+            scores = np.bincount(row, weights=w[at], minlength=n)
         weights = {words[k]: float(w[k]) for k in np.flatnonzero(w)}
         by_grade = dict(zip(present[:-1], cuts.tolist(), strict=True))
         thresholds, last = [], -500.0

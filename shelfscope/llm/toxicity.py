@@ -28,7 +28,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +54,7 @@ UNIT = 1 << 40
 SETTLED = 1e-5
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: Lengths of word beginnings that are features beside the words.
+#: Lengths of word beginnings that are features beside the words, the shortest first.
 BEGINNINGS = (5, 6, 7, 8)
 
 
@@ -61,8 +63,15 @@ class Model:
     weights: dict[str, float]
     thresholds: tuple[float, ...]  # t_k, in order
 
-    def above(self, words: set[str]) -> list[float]:
+    @cached_property
+    def heads(self) -> frozenset[str]:
+        """What a word must begin with to have a beginning with a weight."""
+        return frozenset(w[:BEGINNINGS[0]] for w in self.weights if w.endswith("-"))
+
+    def above(self, text: str) -> list[float]:
         """P(grade > k) for each k."""
+        words = set(_WORD.findall(text.lower()))
+        words |= beginnings([w for w in words if w[:BEGINNINGS[0]] in self.heads])
         score = sum(self.weights[w] for w in sorted(words & self.weights.keys()))
         return [1 / (1 + math.exp(max(-500.0, min(500.0, t - score)))) for t in self.thresholds]
 
@@ -70,7 +79,11 @@ class Model:
 def words_of(text: str) -> set[str]:
     """Words of a text and, marked by a dash, the beginnings of the longer ones."""
     words = set(_WORD.findall(text.lower()))
-    return words.union(*({w[:n] + "-" for w in words if len(w) > n} for n in BEGINNINGS))
+    return words | beginnings(words)
+
+
+def beginnings(words: Iterable[str]) -> set[str]:
+    return set().union(*({w[:n] + "-" for w in words if len(w) > n} for n in BEGINNINGS))
 
 
 def grade_of_labels(labels: DataFrame) -> DataFrame:
@@ -217,7 +230,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def per_batch(batch: pa.RecordBatch) -> dict:
-        above = [sent.value.above(words_of(t)) for t in string_list(batch.column("text"))]
+        above = [sent.value.above(t) for t in string_list(batch.column("text"))]
         return {"doc_id": batch.column("doc_id"), "expected_severity": [sum(a) for a in above], "grade": [sum(p >= 0.5 for p in a) for a in above]}
 
     rows = docs.select("doc_id", whole_text().alias("text"))
@@ -237,6 +250,6 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
 
     @F.pandas_udf("boolean")
     def clean(texts):
-        return texts.map(lambda t: not sum(p >= 0.5 for p in sent.value.above(words_of(t or ""))[:1]))
+        return texts.map(lambda t: not sum(p >= 0.5 for p in sent.value.above(t or "")[:1]))
 
     return docs.where(clean(whole_text()))

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ByteType, DataType, DecimalType, DoubleType, FloatType,
                                IntegerType, LongType, ShortType, StringType)
 
-from shelfscope.functions.text import py_strip
+from shelfscope.functions.text import WHITESPACE
 
 # Fixed value: text accepted as a number (trimmed); anything else becomes NULL.
-NUMBER_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER_PATTERN = r"[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?"
+_SPACES = "".join(f"\\u{ord(c):04x}" for c in WHITESPACE)
+#: The number as group 1, in one match of the whole text.
+_TRIMMED_NUMBER = rf"\A[{_SPACES}]*({NUMBER_PATTERN})[{_SPACES}]*\z"
 
 INTEGRAL = (ByteType, ShortType, IntegerType, LongType)
 
@@ -26,14 +29,15 @@ def nan_to_null(c: Column) -> Column:
 def to_number(c: Column, dtype: DataType) -> Column:
     """``to_numeric(errors='coerce')``: text must match NUMBER_PATTERN, NaN is NULL.
 
-    Exact types (integers, decimals) are returned unchanged.
+    Exact types (integers, decimals) are returned unchanged. The column is named once in the
+    expression, so that a text is matched once a row; a match is never NaN.
     """
     if is_exact(dtype):
         return c
     if isinstance(dtype, (DoubleType, FloatType)):
         return nan_to_null(c.cast("double"))
-    text = py_strip(c.cast("string")) if not isinstance(dtype, StringType) else py_strip(c)
-    return nan_to_null(F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double")))
+    text = c if isinstance(dtype, StringType) else c.cast("string")
+    return F.regexp_extract(text, _TRIMMED_NUMBER, 1).try_cast("double")
 
 
 def half_up_ratio(n: Column, d: Column, places: int = 4) -> Column:

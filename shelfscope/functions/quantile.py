@@ -9,7 +9,8 @@ wanted rank, and the next pass reads only the rows within the least and greatest
 digit, a range that is pushed to the scan. A digit with a single value ends the search, at
 the latest after 64 bits; once no more than 2**DIGIT rows are left, a pass
 counts their values instead of digits, and is the last. The passes run when a median is
-asked for; the driver receives at most 2**DIGIT counts for each open rank.
+asked for; the driver receives at most 2**DIGIT counts for each open rank. What is above them (joins, parsed
+text) is run once: the values are kept on the executors, in memory or on disk, until the median is found.
 
 The result equals the interpolated median (pandas ``median``, Spark ``percentile(x, 0.5)``):
 lo + (hi - lo) * 0.5 over the two middle values.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,12 +72,24 @@ class _Target:
 
 
 def medians(df: DataFrame, value: Column | str, subsets: dict[str, Column], digit: int = DIGIT,
-            weight: str | None = None) -> dict[str, float | None]:
+            weight: str | None = None, keep: bool = True) -> dict[str, float | None]:
     """The exact median of the non-null values over each row subset, all from the same passes.
-    A row counts ``weight`` times (a column of whole numbers above zero), or once."""
+    A row counts ``weight`` times (a column of whole numbers above zero), or once. ``keep=False``:
+    ``df`` is kept already."""
     col = F.col(value) if isinstance(value, str) else value
     flags = {f"_in{i}": F.coalesce(c, F.lit(False)) for i, c in enumerate(subsets.values())}
-    rows = df.select(nan_to_null(col.cast("double")).alias("v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w"), *[c.alias(k) for k, c in flags.items()]).where("v IS NOT NULL")
+    values = df.select(col.cast("double").alias("v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w"), *[c.alias(k) for k, c in flags.items()])
+    if not keep:
+        return _medians(values, subsets, list(flags), digit)
+    values = values.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _medians(values, subsets, list(flags), digit)
+    finally:
+        values.unpersist()
+
+
+def _medians(values: DataFrame, subsets: dict[str, Column], flags: list[str], digit: int) -> dict[str, float | None]:
+    rows = values.where("v IS NOT NULL AND NOT isnan(v)")
     targets: list[_Target] = []
     depth = 0
     while depth < 64 and (not depth or any(t.open() for t in targets)):
@@ -117,9 +131,9 @@ def medians(df: DataFrame, value: Column | str, subsets: dict[str, Column], digi
     return found
 
 
-def median(df: DataFrame, value: Column | str, weight: str | None = None) -> float | None:
+def median(df: DataFrame, value: Column | str, weight: str | None = None, keep: bool = True) -> float | None:
     """The exact median of the non-null values, None if there are none."""
-    return medians(df, value, {"median": F.lit(True)}, weight=weight)["median"]
+    return medians(df, value, {"median": F.lit(True)}, weight=weight, keep=keep)["median"]
 
 
 def median_column(df: DataFrame, value: Column | str) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from shelfscope.functions.numeric import to_number
-from shelfscope.functions.quantile import median_column
+from shelfscope.functions.quantile import median
 from shelfscope.operators import schema
 
 # Columns typed as numbers when present (by role). Others keep their input type.
@@ -30,15 +31,20 @@ def impute_median(df: DataFrame, columns: list[str],
     """NULLs of each column become the column's exact median.
 
     The median is one number, found when this is called (``functions.quantile``), so the
-    table itself is never shuffled for it. With
+    table itself is never shuffled for it. The columns are made once for all their medians. With
     ``all_null_fill`` set, an all-NULL column is filled with that value.
     """
     present = [c for c in columns if c in df.columns]
     if not present:
         return df
+    kept = df.select(*[F.col(c).cast("double").alias(c) for c in present]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        found = {c: median(kept, c, keep=False) for c in present}
+    finally:
+        kept.unpersist()
     fills = {}
     for c in present:
-        med = median_column(df, c)
+        med = F.lit(found[c]).cast("double")
         if all_null_fill is not None:
             med = F.coalesce(med, F.lit(float(all_null_fill)))
         fills[c] = F.coalesce(F.col(c), med)

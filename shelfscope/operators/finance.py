@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -65,6 +66,39 @@ def profit_loss(df: DataFrame) -> DataFrame:
              F.lit(basis).alias("basis"), F.lit(None).cast("string").alias("note"))
 
 
+#: What a field of a date format may read, for ``_shape``: every text that Spark's parser takes, in range, and few others.
+_MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
+_FIELDS = {"yyyy": "[+-]?[0-9]{4,}", "M": "0*(?:1[0-2]|[1-9])", "MM": "(?:1[0-2]|0[1-9])", "d": "0*(?:[12][0-9]|3[01]|[1-9])",
+           "dd": "(?:[0-2][0-9]|3[01])", "HH": "[0-2][0-9]", "mm": "[0-5][0-9]", "ss": "[0-5][0-9]", "MMM": "[^0-9]{3,5}",
+           "MMMM": f"(?:{_MONTHS})", "XXX": "[^0-9]?[0-9:]*"} | {"S" * n: f"[0-9]{{{n}}}" for n in range(1, 7)}
+_TOKEN = re.compile(r"'([^']+)'|([A-Za-z])\2*|[\[\]]|[^A-Za-z']")
+
+
+def _shape(date_format: str) -> str | None:
+    """A pattern that every text of the format matches (and others too), None for formats that hold fields unknown here."""
+    parts, end = [], 0
+    for m in _TOKEN.finditer(date_format):
+        if m.start() != end:
+            return None
+        end, token = m.end(), m.group()
+        if m.group(1):
+            parts.append(re.escape(m.group(1)))
+        elif m.group(2):
+            if token not in _FIELDS:
+                return None
+            parts.append(_FIELDS[token])
+        else:
+            parts.append({"[": "(?:", "]": ")?"}.get(token) or re.escape(token))
+    return f"(?i)\\A{''.join(parts)}\\z" if end == len(date_format) else None
+
+
+def _parsed(text: Column, date_format: str) -> Column:
+    """The text as a timestamp, null if it has another format. Only a text of the format's shape is parsed:
+    a failed parse costs many times a match."""
+    parsed, shape = F.try_to_timestamp(text, F.lit(date_format)), _shape(date_format)
+    return parsed if shape is None else F.when(text.rlike(shape), parsed)
+
+
 def elected_formats(df: DataFrame, name: str, date_formats: Sequence[str] = DATE_FORMATS) -> list[str]:
     """The formats that dates of a text column have, the commonest first, from one pass that counts what fits.
 
@@ -73,7 +107,7 @@ def elected_formats(df: DataFrame, name: str, date_formats: Sequence[str] = DATE
     mixed column keeps its further formats behind; a column of one form is parsed once a row.
     """
     text = F.trim(F.col(name))
-    fits = df.agg(*[F.count(F.try_to_timestamp(text, F.lit(f))).alias(f"f{i}") for i, f in enumerate(date_formats)]).first()
+    fits = df.agg(*[F.count(_parsed(text, f)).alias(f"f{i}") for i, f in enumerate(date_formats)]).first()
     number = dict(zip(date_formats, fits))
     # beside each format that has a twin of the other order
     twin = {f: f.replace("d", "\0").replace("M", "d").replace("\0", "M") for f in date_formats if "MMM" not in f}
@@ -99,7 +133,7 @@ def year_of(df: DataFrame, name: str, date_formats: Sequence[str] = DATE_FORMATS
     if not isinstance(dtype, StringType):
         raise NumericDates(f"{name} holds {dtype.simpleString()}, not dates; rename it to year or convert it")
     text = F.trim(c)
-    return F.year(F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in date_formats], F.lit(None).cast("timestamp")))
+    return F.year(F.coalesce(*[_parsed(text, f) for f in date_formats], F.lit(None).cast("timestamp")))
 
 
 def _elected(df: DataFrame, name: str, date_formats: Sequence[str] | None) -> Sequence[str]:

@@ -100,8 +100,8 @@ def _told(answer: Column, intent: str) -> Column:
     return F.coalesce(answer, F.lit(NOT_AVAILABLE.get(intent, NO_VALUES)))
 
 
-def answer_table(df: DataFrame, intents: Iterable[str] | None = None) -> DataFrame:
-    """Q2: one row per intent with its answer text, computed from ``df``.
+def answer_table(df: DataFrame, intents: Iterable[str] | None = None, tasks: int | None = None) -> DataFrame:
+    """Q2: one row per intent with its answer text, computed from ``df``; ``tasks`` as in ``basket``.
 
     With ``intents`` only those answers are built (and only the scans they need
     run), as each question is answered on demand in the original."""
@@ -184,7 +184,7 @@ def answer_table(df: DataFrame, intents: Iterable[str] | None = None) -> DataFra
             ("Lowest Rating", "min_rating", "/5")]),
         "count": lambda: F.concat(F.lit("Total Products: "), fmt_grouped(F.col("n_rows"), 0)),
         "price": price,
-        "associations": lambda: _association_answer(df),
+        "associations": lambda: _association_answer(df, tasks),
         "overview": lambda: narrate.overview_column(cols),  # same metrics row, no rescan
         "empty": lambda: F.lit(EMPTY_ANSWER),
     })
@@ -193,12 +193,12 @@ def answer_table(df: DataFrame, intents: Iterable[str] | None = None) -> DataFra
     return m.select(F.explode(packed).alias("a")).select("a.intent", "a.answer")
 
 
-def _association_answer(df: DataFrame) -> Column:
+def _association_answer(df: DataFrame, tasks: int | None = None) -> Column:
     try:
         basket.basket_roles(df)
     except basket.BasketRolesMissing as missing:
         return F.lit(f"Product Associations:\n\n{missing.note}")
-    rules = basket.top_rules(df, 10)
+    rules = basket.top_rules(df, 10, tasks=tasks)
     line = F.concat(F.lit("• "), F.col("product_a"), F.lit(" + "), F.col("product_b"),
                     F.lit(" (Count: "), F.col("count").cast("string"), F.lit(", Support: "),
                     percent(F.col("support"), 2), F.lit(")\n"))

@@ -18,7 +18,9 @@ Plan shape (all DataFrame operators, no arrays of pairs, no Python):
    baskets than either of its items, so the n-th best count among the most frequent
    items is a threshold that both items of any better pair must reach; only those are paired.
 4. ``partner_counts``: pairs of some products only, formed from their baskets.
-5. ``association_rules``: pair counts joined with item counts (AQE picks
+5. ``tasks`` (for large tables) deals baskets, and parts of baskets, into that many tasks, so that
+   what a task sorts does not grow with the table; without it the session's settings decide.
+6. ``association_rules``: pair counts joined with item counts (AQE picks
    broadcast only if the measured item table is small), total transactions as
    a scalar subquery, ratios rounded half-up in integer arithmetic.
 """
@@ -81,38 +83,41 @@ def split_factors(b: DataFrame, chunk: int) -> DataFrame:
     return sizes.where(F.col("n") > chunk).select("txn", F.ceil(F.col("n") / F.lit(chunk)).cast("int").alias("s"))
 
 
-def item_pairs(df: DataFrame, chunk: int = 2000, min_count: int = 1) -> DataFrame:
+def item_pairs(df: DataFrame, chunk: int = 2000, min_count: int = 1, tasks: int | None = None) -> DataFrame:
     """Baskets holding both a and b, for every a < b (code-point order).
 
     Baskets under two items produce nothing. A basket of more than ``chunk`` items
     is split, so that a task pairs at most about chunk x chunk of its items; the
     result does not depend on it. ``min_count`` (off by default) leaves out rarer pairs.
     """
-    pairs = pair_counts(baskets(df), chunk)
+    pairs = pair_counts(baskets(df), chunk, tasks)
     return pairs.where(F.col("count") >= min_count) if min_count > 1 else pairs
 
 
-def _sides(b: DataFrame, chunk: int, a: str, other: str) -> tuple[DataFrame, DataFrame]:
+def _sides(b: DataFrame, chunk: int, a: str, other: str, tasks: int | None) -> tuple[DataFrame, DataFrame]:
     """Both sides of a self join of baskets on (txn, ba, bb); large baskets are split."""
+    if tasks:
+        b = b.repartition(tasks, "txn")
     salted = (b.join(split_factors(b, chunk), "txn", "left")
               .withColumn("s", F.coalesce(F.col("s"), F.lit(1)))
               .withColumn("own", F.pmod(F.xxhash64("item"), F.col("s")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1))))
-    return (salted.select("txn", F.col("item").alias(a), F.col("own").alias("ba"), F.col("other").alias("bb")),
-            salted.select("txn", F.col("item").alias(other), F.col("other").alias("ba"), F.col("own").alias("bb")))
+    sides = (salted.select("txn", F.col("item").alias(a), F.col("own").alias("ba"), F.col("other").alias("bb")),
+             salted.select("txn", F.col("item").alias(other), F.col("other").alias("ba"), F.col("own").alias("bb")))
+    return tuple(side.repartition(tasks, "txn", "ba", "bb") for side in sides) if tasks else sides
 
 
-def pair_counts(b: DataFrame, chunk: int = 2000) -> DataFrame:
+def pair_counts(b: DataFrame, chunk: int = 2000, tasks: int | None = None) -> DataFrame:
     """(product_a, product_b, count) of the baskets ``b``, a < b."""
-    left, right = _sides(b, chunk, "product_a", "product_b")
+    left, right = _sides(b, chunk, "product_a", "product_b", tasks)
     return (left.join(right, ["txn", "ba", "bb"])
             .where(F.col("product_a") < F.col("product_b"))
             .groupBy("product_a", "product_b").agg(F.count(F.lit(1)).alias("count")))
 
 
-def partner_counts(b: DataFrame, products: DataFrame, chunk: int = 2000) -> DataFrame:
+def partner_counts(b: DataFrame, products: DataFrame, chunk: int = 2000, tasks: int | None = None) -> DataFrame:
     """(product, partner, count) for the items in ``products`` (column product) only."""
-    left, right = _sides(b, chunk, "product", "partner")
+    left, right = _sides(b, chunk, "product", "partner", tasks)
     return (left.join(products, "product", "left_semi").join(right, ["txn", "ba", "bb"])
             .where(F.col("product") != F.col("partner"))
             .groupBy("product", "partner").agg(F.count(F.lit(1)).alias("count")))
@@ -122,7 +127,7 @@ def _item_counts(b: DataFrame) -> DataFrame:
     return b.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
 
 
-def frequent_enough(b: DataFrame, n: int, chunk: int = 2000) -> DataFrame:
+def frequent_enough(b: DataFrame, n: int, chunk: int = 2000, tasks: int | None = None) -> DataFrame:
     """(item) of all items that one of the n most frequent pairs may hold.
 
     The most frequent items are paired first. The n-th best of their counts is reached by n pairs at
@@ -130,15 +135,15 @@ def frequent_enough(b: DataFrame, n: int, chunk: int = 2000) -> DataFrame:
     """
     counts = _item_counts(b)
     seeds = counts.orderBy(F.col("n").desc(), "item").limit(max(2 * n, 32)).select("item")
-    best = pair_counts(b.join(seeds, "item", "left_semi"), chunk).orderBy(F.col("count").desc()).limit(n)
+    best = pair_counts(b.join(F.broadcast(seeds), "item", "left_semi"), chunk, tasks).orderBy(F.col("count").desc()).limit(n)
     threshold = best.agg(F.when(F.count(F.lit(1)) == n, F.min("count")).otherwise(0)).scalar()
     return counts.where(F.col("n") >= threshold).select("item")
 
 
-def top_rules(df: DataFrame, n: int, chunk: int = 2000) -> DataFrame:
+def top_rules(df: DataFrame, n: int, chunk: int = 2000, tasks: int | None = None) -> DataFrame:
     """The first n rows of ``association_rules``, in their order."""
     b = baskets(df)
-    pairs = pair_counts(b.join(frequent_enough(b, n, chunk), "item", "left_semi"), chunk)
+    pairs = pair_counts(b.join(frequent_enough(b, n, chunk, tasks), "item", "left_semi"), chunk, tasks)
     return _rules(b, pairs.orderBy(F.col("count").desc(), "product_a", "product_b").limit(n)).orderBy(*rule_order())
 
 
@@ -175,11 +180,11 @@ def association_rules(df: DataFrame, **split) -> DataFrame:
     return rules_table(df, **split).orderBy(*rule_order())
 
 
-def partners_by_product(df: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+def partners_by_product(df: DataFrame, rules: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """B5 (+T5): every rule listed under both of its items, ranked per product by
     count desc, support desc, partner. Ranking is per product, so a window
     partition holds at most one row per other product."""
-    rules = rules if rules is not None else rules_table(df)
+    rules = rules if rules is not None else rules_table(df, tasks=tasks)
     both = rules.select(F.explode(F.array(
         F.struct(F.col("product_a").alias("product"), F.col("product_b").alias("partner"),
                  "count", "support"),
@@ -205,14 +210,14 @@ def association_meta(df: DataFrame) -> DataFrame:
 
 
 def bought_together_cards(df: DataFrame, n_rules: int = 8, n_products: int = 12,
-                          n_partners: int = 3) -> DataFrame:
+                          n_partners: int = 3, tasks: int | None = None) -> DataFrame:
     """B8 (+T6): plain-text cards. ``rule`` cards for the first n_rules rules;
     ``product`` cards for the first n_products products by name, each with its
     top n_partners partners and the number of partners. No other pairs are counted than
     those that these cards may hold."""
     b = baskets(df)
     total = total_transactions(b).scalar()
-    best = top_rules(df, n_rules)
+    best = top_rules(df, n_rules, tasks=tasks)
     conf = fmt_plain(F.col("confidence_a_to_b") * 100, 1)
     supp = fmt_plain(F.col("support") * 100, 1)
     rule_cards = best.select(
@@ -229,7 +234,7 @@ def bought_together_cards(df: DataFrame, n_rules: int = 8, n_products: int = 12,
     # a product has partners if one of its baskets holds something else
     paired = b.join(b.groupBy("txn").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("txn"), "txn", "left_semi")
     listed_products = paired.select(F.col("item").alias("product")).distinct().orderBy("product").limit(n_products)
-    counted = partner_counts(b, listed_products)
+    counted = partner_counts(b, listed_products, tasks=tasks)
     # at most n_products groups, each with one row for every other product
     ranked = counted.withColumn("rank", F.row_number().over(
         Window.partitionBy("product").orderBy(F.col("count").desc(), "partner")))

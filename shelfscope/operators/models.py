@@ -1,8 +1,9 @@
 """M1-M7: category codes, split, synthetic sales volume and forest models.
 
 Training uses MLlib (distributed tree growing over binned features); metrics
-are DataFrame aggregates over the test predictions, so they stay lazy after
-the fit. Trees are grown to ``max_depth`` with binned splits, unlike fully
+are DataFrame aggregates over the test predictions. The columns that a model uses
+are kept on the executors' disks while it is fitted and tested, so that its many
+passes do not join the input anew; they are freed when the call returns. Trees are grown to ``max_depth`` with binned splits, unlike fully
 grown exact trees, so scores are comparable in range, not digit for digit.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -154,9 +156,28 @@ def rating_features(df: DataFrame, key_cols: list[str] | None = None) -> DataFra
     return data
 
 
-def _fit(df: DataFrame, features: list[str], label: str, use_category: bool,
-         num_trees: int, max_depth: int, key_cols: list[str] | None):
-    data, names, codes = model_features(df, features, use_category, key_cols)
+def _fitted(df: DataFrame, features: list[str], label: str, num_trees: int, max_depth: int,
+            key_cols: list[str] | None, with_accuracy: bool, fill_label: bool = False) -> ModelResult:
+    """Fit and test on ``df``, of which only the columns needed are kept; ``fill_label``: NULL labels take the mean."""
+    use_category = "category" in df.columns
+    used = [*features, label, *(["category"] if use_category else []), *(key_cols or df.columns)]
+    kept = df.select(*dict.fromkeys(used)).persist(StorageLevel.DISK_ONLY)
+    try:
+        data, names, codes = model_features(_mean_filled(kept, [label]) if fill_label else kept, features, use_category, key_cols)
+        table = data.select(*names, label, "split").persist(StorageLevel.DISK_ONLY)
+        try:
+            pred, model = _fit(table, names, label, num_trees, max_depth)
+            scores = _regression_metrics(pred, label, with_accuracy)
+            metrics = df.sparkSession.createDataFrame(scores.collect(), scores.schema)  # one row
+        finally:
+            table.unpersist()
+        plain = df.select(*dict.fromkeys(used))
+        return ModelResult(metrics, model, names, category_codes(plain) if codes is not None else None)
+    finally:
+        kept.unpersist()
+
+
+def _fit(data: DataFrame, names: list[str], label: str, num_trees: int, max_depth: int):
     stages = [VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"),
               RandomForestRegressor(featuresCol="features", labelCol=label,
                                     numTrees=num_trees, maxDepth=max_depth,
@@ -164,7 +185,7 @@ def _fit(df: DataFrame, features: list[str], label: str, use_category: bool,
     train = data.where(F.col("split") == "train")
     test = data.where(F.col("split") == "test")
     model = Pipeline(stages=stages).fit(train)
-    return model.transform(test), model, names, codes
+    return model.transform(test), model
 
 
 def rating_model(df: DataFrame, num_trees: int = 100, max_depth: int = 10,
@@ -174,11 +195,7 @@ def rating_model(df: DataFrame, num_trees: int = 100, max_depth: int = 10,
     price = schema.resolve(df, schema.PRICE)
     if price is None or "discount_percentage" not in df.columns or "rating" not in df.columns:
         return None
-    use_cat = "category" in df.columns
-    cols = [price, "discount_percentage"]
-    data = _mean_filled(df, ["rating"])
-    pred, model, names, codes = _fit(data, cols, "rating", use_cat, num_trees, max_depth, key_cols)
-    return ModelResult(_regression_metrics(pred, "rating", True), model, names, codes)
+    return _fitted(df, [price, "discount_percentage"], "rating", num_trees, max_depth, key_cols, True, fill_label=True)
 
 
 def sales_model(df: DataFrame, num_trees: int = 100, max_depth: int = 10,
@@ -188,9 +205,6 @@ def sales_model(df: DataFrame, num_trees: int = 100, max_depth: int = 10,
     price = schema.resolve(df, schema.PRICE)
     if price is None or "sales_volume" not in df.columns:
         return None
-    use_cat = "category" in df.columns
     data = df.where(F.col("sales_volume").isNotNull()) \
         .withColumn("sales_volume", F.col("sales_volume").cast("double"))
-    pred, model, names, codes = _fit(data, [price, "discount_percentage", "rating"],
-                                     "sales_volume", use_cat, num_trees, max_depth, key_cols)
-    return ModelResult(_regression_metrics(pred, "sales_volume", False), model, names, codes)
+    return _fitted(data, [price, "discount_percentage", "rating"], "sales_volume", num_trees, max_depth, key_cols, False)

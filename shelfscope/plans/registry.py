@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from shelfscope.operators import (ask, bands, basket, catalog, category, charts, finance,
                                   ingest, metrics, models, narrate)
 from shelfscope.plans import fused
-from shelfscope.sources.retail_view import RETAIL_SQL, retail_view, table, with_expenditure
+from shelfscope.sources.retail_view import RETAIL_SQL, line_tasks, retail_view, table, with_expenditure
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -397,13 +397,13 @@ def q_item_counts(spark, sf):
 @register("item_pairs", _PAIRS)
 def q_item_pairs(spark, sf):
     """B3 + J2: baskets holding both items of each pair."""
-    return basket.item_pairs(_v(spark, sf))
+    return basket.item_pairs(_v(spark, sf), tasks=line_tasks(spark, sf))
 
 
 @register("association_rules", _RULES)
 def q_association_rules(spark, sf):
     """B4 + J3 + T4: support and confidences of every pair."""
-    return basket.association_rules(_v(spark, sf))
+    return basket.association_rules(_v(spark, sf), tasks=line_tasks(spark, sf))
 
 
 @register("partners_by_product", f"""
@@ -415,7 +415,7 @@ SELECT product, partner, count, support,
   AS rank FROM b""")
 def q_partners_by_product(spark, sf):
     """B5 + T5: ranked partners of each product."""
-    return basket.partners_by_product(_v(spark, sf))
+    return basket.partners_by_product(_v(spark, sf), tasks=line_tasks(spark, sf))
 
 
 @register("association_meta", f"""
@@ -578,7 +578,7 @@ pc AS (SELECT 'product' AS kind, CAST(ROW_NUMBER() OVER (ORDER BY product) AS IN
 SELECT * FROM rc UNION ALL SELECT * FROM pc""")
 def q_bought_together_cards(spark, sf):
     """B8 + T6: rule cards and product cards as text."""
-    return basket.bought_together_cards(_v(spark, sf))
+    return basket.bought_together_cards(_v(spark, sf), tasks=line_tasks(spark, sf))
 
 
 # Models -----------------------------------------------------------------------
@@ -704,7 +704,10 @@ def q_rating_model(spark, sf):
 @register("sales_model")
 def q_sales_model(spark, sf):
     """M6 on the synthetic volume of every line (rows-only check)."""
-    data = models.with_synthetic_sales(_imputed(spark, sf), KEY)
+    return _sales_scores(models.with_synthetic_sales(_imputed(spark, sf), KEY))
+
+
+def _sales_scores(data):
     return models.sales_model(data, MODEL_TREES, MODEL_DEPTH, KEY).metrics
 
 
@@ -732,7 +735,7 @@ def q_sales_model_bounds(spark, sf):
     """M3, M6: size of the test part, and bounds that the scores of the registered forest keep."""
     data = models.with_synthetic_sales(_imputed(spark, sf), KEY)
     rows = models.with_split(data, KEY).where("split = 'test' AND sales_volume IS NOT NULL").agg(F.count(F.lit(1))).scalar()
-    return _checked(q_sales_model(spark, sf)).withColumn("test_rows", rows)
+    return _checked(_sales_scores(data)).withColumn("test_rows", rows)
 
 
 # Text ---------------------------------------------------------------------------
@@ -901,7 +904,7 @@ SELECT conv_id, turn, q.intent, answers.answer FROM
 def q_answer_questions(spark, sf):
     """Q2: each user turn answered from the retail view."""
     routed = _user_turns(spark, sf).withColumn("intent", ask.intent_of(F.col("question")))
-    answers = ask.answer_table(_v(spark, sf), ask.asked_intents(routed))
+    answers = ask.answer_table(_v(spark, sf), ask.asked_intents(routed), line_tasks(spark, sf))
     return (routed.join(F.broadcast(answers), "intent", "left")
             .select("conv_id", "turn", "intent", "answer"))
 
@@ -911,7 +914,7 @@ WITH {_answers_sql().strip()}
 SELECT intent, answer FROM answers""")
 def q_answer_table(spark, sf):
     """Q2: the answer of every intent, from the whole retail view."""
-    return ask.answer_table(_v(spark, sf))
+    return ask.answer_table(_v(spark, sf), tasks=line_tasks(spark, sf))
 
 
 # Whole analysis and corner cases ------------------------------------------------
@@ -963,7 +966,7 @@ def q_blank_questions(spark, sf):
     """Q3: every user turn with white space in place of its characters."""
     blank = _user_turns(spark, sf).withColumn("question", F.regexp_replace("question", r"\S", " "))
     routed = blank.withColumn("intent", ask.intent_of(F.col("question")))
-    answers = ask.answer_table(_v(spark, sf), ask.asked_intents(routed))
+    answers = ask.answer_table(_v(spark, sf), ask.asked_intents(routed), line_tasks(spark, sf))
     return routed.join(F.broadcast(answers), "intent", "left").select("conv_id", "turn", "intent", "answer")
 
 

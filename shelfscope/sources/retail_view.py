@@ -10,6 +10,8 @@ the join key.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,19 +25,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Lines of an order that a task joins and groups.
+LINES_A_TASK = 250_000
+
+
+def line_tasks(spark: SparkSession, sf_dir: str) -> int | None:
+    """Tasks among which the lines are dealt by order, so that a task's memory does not grow with the
+    table (the count comes from the file footers). None: few enough for the session's own dealing."""
+    tasks = math.ceil(table(spark, sf_dir, "lineitem").count() / LINES_A_TASK)
+    return tasks if tasks > spark.sparkContext.defaultParallelism else None
+
+
 def retail_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical retail columns derived from lineitem x part x orders.
 
     Join strategy is left to Catalyst/AQE: ``orders`` is as large as a quarter
     of ``lineitem`` and ``part`` grows with scale too, so neither is forced to
     broadcast; AQE turns a join into a broadcast only when the measured side
-    is under ``spark.sql.autoBroadcastJoinThreshold``.
+    is under ``spark.sql.autoBroadcastJoinThreshold``. A large table is dealt by order
+    into ``line_tasks``, which the join and whatever groups by order then share.
     """
     li = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    joined = (li.join(part, li.l_partkey == part.p_partkey)
-              .join(orders, li.l_orderkey == orders.o_orderkey))
+    lines, tasks = li.join(part, li.l_partkey == part.p_partkey), line_tasks(spark, sf_dir)
+    if tasks:
+        lines, orders = lines.repartition(tasks, "l_orderkey"), orders.repartition(tasks, "o_orderkey")
+    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
     price = (F.col("l_extendedprice") / F.lit(10.0)).cast("decimal(18,3)")
     cost = (price * (F.lit(6) + F.col("l_suppkey") % 7).cast("decimal(3,0)") / F.lit(10)) \
         .cast("decimal(18,4)")

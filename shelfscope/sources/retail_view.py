@@ -43,12 +43,17 @@ def retail_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     of ``lineitem`` and ``part`` grows with scale too, so neither is forced to
     broadcast; AQE turns a join into a broadcast only when the measured side
     is under ``spark.sql.autoBroadcastJoinThreshold``. A large table is dealt by order
-    into ``line_tasks``, which the join and whatever groups by order then share.
+    into ``line_tasks``, which the join and whatever groups by order then share. Where the
+    session has fewer partitions than these, parts are dealt into as many, and the lines follow
+    them if that join is no broadcast.
     """
     li = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    lines, tasks = li.join(part, li.l_partkey == part.p_partkey), line_tasks(spark, sf_dir)
+    tasks = line_tasks(spark, sf_dir)
+    if tasks and tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        part = part.repartition(tasks, "p_partkey")
+    lines = li.join(part, li.l_partkey == part.p_partkey)
     if tasks:
         lines, orders = lines.repartition(tasks, "l_orderkey"), orders.repartition(tasks, "o_orderkey")
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)

@@ -1,6 +1,7 @@
 """What large tables need: input made once for several passes, cheap parsing, tasks of bounded size."""
 
 import datetime
+import re
 
 import pytest
 from conftest import SF_SMALL, rows
@@ -87,3 +88,21 @@ def test_large_lines_are_dealt_by_order(spark, monkeypatch):
     assert sorted(rows(basket.basket_sizes(dealt))) == want["sizes"]
     assert sorted(rows(basket.item_counts(dealt))) == want["counts"]
     assert sorted(rows(basket.bought_together_cards(dealt, tasks=tasks))) == cards
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_large_lines_meet_their_parts_in_as_many_tasks(spark, monkeypatch, broadcast):
+    want = sorted(rows(view.retail_view(spark, SF_SMALL)), key=str)
+    monkeypatch.setattr(view, "LINES_A_TASK", 500)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        dealt = view.retail_view(spark, SF_SMALL)
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+        dealings = re.findall(r"hashpartitioning\((\w+)#\d+L?, (\d+)\)", plan)
+        assert ("p_partkey", "12") in dealings
+        assert (("l_partkey", "12") in dealings) == (broadcast == "-1")
+        assert {n for _, n in dealings} == {"12"}
+        assert sorted(rows(dealt), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -20,6 +20,8 @@ Plan shape (all DataFrame operators, no arrays of pairs, no Python):
 4. ``partner_counts``: pairs of some products only, formed from their baskets.
 5. ``tasks`` (for large tables) deals baskets, and parts of baskets, into that many tasks, so that
    what a task sorts does not grow with the table; without it the session's settings decide.
+   Where the session has fewer partitions, rules are joined and sorted in as many tasks: the more
+   products there are, the more rules.
 6. ``association_rules``: pair counts joined with item counts (AQE picks
    broadcast only if the measured item table is small), total transactions as
    a scalar subquery, ratios rounded half-up in integer arithmetic.
@@ -94,6 +96,11 @@ def item_pairs(df: DataFrame, chunk: int = 2000, min_count: int = 1, tasks: int
     return pairs.where(F.col("count") >= min_count) if min_count > 1 else pairs
 
 
+def _more_tasks(df: DataFrame, tasks: int | None) -> int | None:
+    """``tasks`` if the session's own partitions are fewer."""
+    return tasks if tasks and tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def _sides(b: DataFrame, chunk: int, a: str, other: str, tasks: int | None) -> tuple[DataFrame, DataFrame]:
     """Both sides of a self join of baskets on (txn, ba, bb); large baskets are split."""
     if tasks:
@@ -155,14 +162,16 @@ def rules_table(df: DataFrame, **split) -> DataFrame:
     """B4 (+J3): support and both confidences, rounded to 4 places; no minimum
     support and no lift. Unordered: consumers that rank or take the top rows
     order it themselves, so no global sort is paid for nothing."""
-    return _rules(baskets(df), item_pairs(df, **split))
+    return _rules(baskets(df), item_pairs(df, **split), split.get("tasks"))
 
 
-def _rules(b: DataFrame, pairs: DataFrame) -> DataFrame:
+def _rules(b: DataFrame, pairs: DataFrame, tasks: int | None = None) -> DataFrame:
     counts = _item_counts(b)
     total = total_transactions(b).scalar()
     ca = counts.select(F.col("item").alias("product_a"), F.col("n").alias("n_a"))
     cb = counts.select(F.col("item").alias("product_b"), F.col("n").alias("n_b"))
+    if more := _more_tasks(b, tasks):  # pairs follow unless the counts are broadcast
+        ca, cb = ca.repartition(more, "product_a"), cb.repartition(more, "product_b")
     return (pairs.join(ca, "product_a").join(cb, "product_b")
             .select("product_a", "product_b", "count",
                     half_up_ratio(F.col("count"), total).alias("support"),
@@ -177,7 +186,10 @@ def rule_order() -> list:
 
 def association_rules(df: DataFrame, **split) -> DataFrame:
     """B4 + T4: the rules in their reporting order."""
-    return rules_table(df, **split).orderBy(*rule_order())
+    rules = rules_table(df, **split)
+    if more := _more_tasks(df, split.get("tasks")):
+        return rules.repartitionByRange(more, *rule_order()).sortWithinPartitions(*rule_order())
+    return rules.orderBy(*rule_order())
 
 
 def partners_by_product(df: DataFrame, rules: DataFrame | None = None, tasks: int | None = None) -> DataFrame:

@@ -106,3 +106,21 @@ def test_large_lines_meet_their_parts_in_as_many_tasks(spark, monkeypatch, broad
         assert sorted(rows(dealt), key=str) == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_many_rules_are_joined_and_sorted_in_as_many_tasks(spark, broadcast):
+    n, tasks = 400, 12
+    lines = spark.range(5 * n).select((F.col("id") % n).alias("order_id"), F.concat(F.lit("p"), F.col("id") * F.col("id") % 97).alias("product_name"))
+    want = basket.association_rules(lines)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        rules = basket.association_rules(lines, tasks=tasks)
+        plan = rules._jdf.queryExecution().executedPlan().toString()
+        for product in ("product_a", "product_b"):
+            assert {m for m in re.findall(rf"hashpartitioning\({product}#\d+, (\d+)\)", plan)} == {str(tasks)}
+        assert rules.rdd.getNumPartitions() == tasks
+        assert rules.dtypes == want.dtypes and rows(rules) == rows(want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

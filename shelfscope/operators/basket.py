@@ -20,8 +20,10 @@ Plan shape (all DataFrame operators, no arrays of pairs, no Python):
 4. ``partner_counts``: pairs of some products only, formed from their baskets.
 5. ``tasks`` (for large tables) deals baskets, and parts of baskets, into that many tasks, so that
    what a task sorts does not grow with the table; without it the session's settings decide.
-   Where the session has fewer partitions, rules are joined and sorted in as many tasks: the more
-   products there are, the more rules.
+   Where the session has fewer partitions, pairs are summed, and rules joined and sorted, in as many
+   tasks: the more products there are, the more pairs. For that a task forms the pairs of its own
+   baskets from their items (``_dealt_pairs``: the join on the transaction, without a dealing by it)
+   and counts them before they are dealt by pair.
 6. ``association_rules``: pair counts joined with item counts (AQE picks
    broadcast only if the measured item table is small), total transactions as
    a scalar subquery, ratios rounded half-up in integer arithmetic.
@@ -101,21 +103,46 @@ def _more_tasks(df: DataFrame, tasks: int | None) -> int | None:
     return tasks if tasks and tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
 
 
-def _sides(b: DataFrame, chunk: int, a: str, other: str, tasks: int | None) -> tuple[DataFrame, DataFrame]:
-    """Both sides of a self join of baskets on (txn, ba, bb); large baskets are split."""
+def _salted(b: DataFrame, chunk: int, tasks: int | None) -> DataFrame:
+    """The baskets with each item's bucket (own), once for every bucket that it meets (other)."""
     if tasks:
         b = b.repartition(tasks, "txn")
-    salted = (b.join(split_factors(b, chunk), "txn", "left")
-              .withColumn("s", F.coalesce(F.col("s"), F.lit(1)))
-              .withColumn("own", F.pmod(F.xxhash64("item"), F.col("s")).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1))))
+    return (b.join(split_factors(b, chunk), "txn", "left")
+            .withColumn("s", F.coalesce(F.col("s"), F.lit(1)))
+            .withColumn("own", F.pmod(F.xxhash64("item"), F.col("s")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1))))
+
+
+def _sides(b: DataFrame, chunk: int, a: str, other: str, tasks: int | None) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a self join of baskets on (txn, ba, bb); large baskets are split."""
+    salted = _salted(b, chunk, tasks)
     sides = (salted.select("txn", F.col("item").alias(a), F.col("own").alias("ba"), F.col("other").alias("bb")),
              salted.select("txn", F.col("item").alias(other), F.col("other").alias("ba"), F.col("own").alias("bb")))
     return tuple(side.repartition(tasks, "txn", "ba", "bb") for side in sides) if tasks else sides
 
 
+def _dealt_pairs(b: DataFrame, chunk: int, tasks: int) -> DataFrame:
+    """(slot, product_a, product_b) for each basket and each of its pairs, a < b; a slot is a task.
+
+    A join would be dealt by all of its keys, and then no count by slot could precede the dealing by
+    pair. A part of a basket holds its items of two buckets, about ``chunk`` of each at most.
+    """
+    parts = _salted(b, chunk, tasks).select("txn", "item", "own", F.least("own", "other").alias("ba"), F.greatest("own", "other").alias("bb"))
+    slots = (parts.withColumn("slot", F.pmod(F.xxhash64("txn", "ba", "bb"), F.lit(tasks)).cast("int"))
+             .repartitionById(tasks, "slot").groupBy("slot", "txn", "ba", "bb")
+             .agg(F.collect_list(F.when(F.col("own") == F.col("ba"), F.col("item"))).alias("xs"),
+                  F.collect_list(F.when(F.col("own") == F.col("bb"), F.col("item"))).alias("ys")))
+    return (slots.select("slot", "ba", "bb", "ys", F.explode("xs").alias("x")).select("slot", "ba", "bb", "x", F.explode("ys").alias("y"))
+            .where((F.col("ba") < F.col("bb")) | (F.col("x") < F.col("y")))  # two buckets share no item
+            .select("slot", F.least("x", "y").alias("product_a"), F.greatest("x", "y").alias("product_b")))
+
+
 def pair_counts(b: DataFrame, chunk: int = 2000, tasks: int | None = None) -> DataFrame:
     """(product_a, product_b, count) of the baskets ``b``, a < b."""
+    if more := _more_tasks(b, tasks):
+        by_slot = _dealt_pairs(b, chunk, more).groupBy("slot", "product_a", "product_b").agg(F.count(F.lit(1)).alias("n"))
+        return (by_slot.repartition(more, "product_a", "product_b")
+                .groupBy("product_a", "product_b").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count")))
     left, right = _sides(b, chunk, "product_a", "product_b", tasks)
     return (left.join(right, ["txn", "ba", "bb"])
             .where(F.col("product_a") < F.col("product_b"))

@@ -124,3 +124,21 @@ def test_many_rules_are_joined_and_sorted_in_as_many_tasks(spark, broadcast):
         assert rules.dtypes == want.dtypes and rows(rules) == rows(want)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_pairs_are_summed_in_as_many_tasks(spark):
+    n, tasks = 400, 12
+    lines = spark.range(7 * n).select((F.col("id") % n).alias("order_id"), F.concat(F.lit("p"), F.col("id") * F.col("id") % 97).alias("product_name"))
+    odd = spark.createDataFrame([(None, "p1"), (1, None), (1, " p1 "), (1, "p1"), (-1, "alone"), *((-2, f"q{i}") for i in range(9))], lines.schema)
+    lines = lines.union(odd).union(odd)
+    plain = basket.item_pairs(lines)
+    want = sorted(rows(plain))
+    assert len([r for r in want if r[0].startswith("q")]) == 9 * 8 // 2
+    for chunk in (2, 2000):
+        pairs = basket.item_pairs(lines, chunk=chunk, tasks=tasks)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        # counted within each task first, then dealt by pair
+        assert re.findall(r"hashpartitioning\(product_a#\d+, product_b#\d+, (\d+)\)", plan) == [str(tasks)]
+        assert re.search(r"hashpartitioning\(product_a.*?HashAggregate\(keys=\[slot#\d+, product_a#\d+, product_b#\d+\], functions=\[count", plan, re.DOTALL)
+        assert pairs.rdd.getNumPartitions() == tasks
+        assert pairs.dtypes == plain.dtypes and sorted(rows(pairs)) == want

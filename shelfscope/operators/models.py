@@ -10,18 +10,17 @@ grown exact trees, so scores are comparable in range, not digit for digit.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope.functions import exact
 from shelfscope.functions.numeric import unit_draw
 from shelfscope.functions.ranking import dense_codes
-from shelfscope.operators import schema
+from shelfscope.operators import forest, schema
 
 TEST_FRACTION = 0.2
 #: Groups among which equal rows without a key are dealt, and names of the helper columns.
@@ -114,20 +113,23 @@ def _mean_filled(df: DataFrame, cols: list[str]) -> DataFrame:
 @dataclass
 class ModelResult:
     metrics: DataFrame
-    model: PipelineModel
+    forest: forest.Forest
     features: list[str]
     codes: DataFrame | None = None  # category -> code table used for the category feature
 
+    @cached_property
+    def model(self) -> PipelineModel:
+        return self.forest.model()
+
 
 def _regression_metrics(pred: DataFrame, label: str, with_accuracy: bool) -> DataFrame:
-    ybar = pred.agg(F.avg(label)).scalar()
+    ybar = exact.aggregate(pred, [], [exact.mean(pred, label, "ybar")]).scalar()
     # deviations are projected first: a subquery may not sit inside an aggregate
     dev = pred.select((F.col(label) - F.col("prediction")).alias("err"),
                       (F.col(label) - ybar).alias("dev"))
     err = F.col("err")
-    stats = dev.agg(F.avg(err * err).alias("mse"), F.avg(F.abs(err)).alias("mae"),
-                    F.sum(err * err).alias("ss_res"),
-                    F.sum(F.col("dev") * F.col("dev")).alias("ss_tot"))
+    stats = exact.aggregate(dev, [], [exact.mean(dev, err * err, "mse"), exact.mean(dev, F.abs(err), "mae"),
+                                      exact.total(dev, err * err, "ss_res"), exact.total(dev, F.col("dev") * F.col("dev"), "ss_tot")])
     r2 = F.lit(1.0) - F.try_divide(F.col("ss_res"), F.col("ss_tot"))
     if with_accuracy:
         return stats.select((r2 * 100).alias("accuracy"), F.sqrt("mse").alias("rmse"), r2.alias("r2"))
@@ -157,49 +159,65 @@ def rating_features(df: DataFrame, key_cols: list[str] | None = None) -> DataFra
 
 
 def _fitted(df: DataFrame, features: list[str], label: str, num_trees: int, max_depth: int,
-            key_cols: list[str] | None, with_accuracy: bool, fill_label: bool = False) -> ModelResult:
-    """Fit and test on ``df``, of which only the columns needed are kept; ``fill_label``: NULL labels take the mean."""
+            key_cols: list[str] | None, with_accuracy: bool, fill_label: bool = False, keep: bool = True) -> ModelResult:
+    """Fit and test on ``df``, of which only the columns needed are kept; ``fill_label``: NULL labels take the mean.
+    ``keep=False``: ``df`` is kept already."""
     use_category = "category" in df.columns
     used = [*features, label, *(["category"] if use_category else []), *(key_cols or df.columns)]
-    kept = df.select(*dict.fromkeys(used)).persist(StorageLevel.DISK_ONLY)
+    plain = df.select(*dict.fromkeys(used))
+    kept = plain.persist(StorageLevel.DISK_ONLY) if keep else plain
     try:
         data, names, codes = model_features(_mean_filled(kept, [label]) if fill_label else kept, features, use_category, key_cols)
-        table = data.select(*names, label, "split").persist(StorageLevel.DISK_ONLY)
+        pred, trees = _fit(data, names, label, num_trees, max_depth, key_cols)
         try:
-            pred, model = _fit(table, names, label, num_trees, max_depth)
             scores = _regression_metrics(pred, label, with_accuracy)
             metrics = df.sparkSession.createDataFrame(scores.collect(), scores.schema)  # one row
         finally:
-            table.unpersist()
-        plain = df.select(*dict.fromkeys(used))
-        return ModelResult(metrics, model, names, category_codes(plain) if codes is not None else None)
+            pred.unpersist()
     finally:
-        kept.unpersist()
-
-
-def _fit(data: DataFrame, names: list[str], label: str, num_trees: int, max_depth: int):
-    stages = [VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"),
-              RandomForestRegressor(featuresCol="features", labelCol=label,
-                                    numTrees=num_trees, maxDepth=max_depth,
-                                    featureSubsetStrategy="all", seed=SEED)]
-    train = data.where(F.col("split") == "train")
-    test = data.where(F.col("split") == "test")
-    model = Pipeline(stages=stages).fit(train)
-    return model.transform(test), model
+        if keep:
+            kept.unpersist()
+    plain = df.select(*dict.fromkeys(used))
+    return ModelResult(metrics, trees, names, category_codes(plain) if codes is not None else None)
+
+
+def _fit(data: DataFrame, names: list[str], label: str, num_trees: int, max_depth: int, key_cols: list[str] | None):
+    """The forest of the training rows (``forest``), and its predictions for the test rows, kept on disk.
+
+    Bootstrap counts are drawn from the key and the values of a row, without a key from its place in the table."""
+    train = F.col("split") == "train"
+    bad = reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in (*names, label)])
+    own = F.xxhash64(*[F.col(c) for c in dict.fromkeys([*key_cols, *names, label])]) if key_cols \
+        else F.xxhash64(F.monotonically_increasing_id())
+    cuts, labels = forest.edges(data, data.where(train), names, label)
+    wrong = F.raise_error(F.lit("Labels and features of the training rows must not be null or NaN"))
+    rows = forest.with_cells(data, names, cuts).select(
+        F.when(train & bad, wrong.cast("long")).otherwise(F.col(forest.CELL)).alias(forest.CELL), (~train).alias(forest.TEST),
+        F.col(label).cast("double").alias(label), own.alias(forest.DRAW)).persist(StorageLevel.DISK_ONLY)
+    try:
+        trees = forest.grown(rows.where(~F.col(forest.TEST)), names, cuts, label, labels, num_trees, max_depth, SEED)
+        test = rows.where(forest.TEST)
+        # at most BINS ** len(names) cells, so their predictions are broadcast
+        pred = test.join(F.broadcast(trees.predictions(test)), forest.CELL).select(label, "prediction")
+        pred = pred.persist(StorageLevel.DISK_ONLY)
+        pred.count()
+        return pred, trees
+    finally:
+        rows.unpersist()
 
 
 def rating_model(df: DataFrame, num_trees: int = 100, max_depth: int = 10,
-                 key_cols: list[str] | None = None) -> ModelResult | None:
+                 key_cols: list[str] | None = None, keep: bool = True) -> ModelResult | None:
     """M4: forest predicting rating from price, discount (+ category code).
     NULL targets take the mean rating. Returns None when a role is missing."""
     price = schema.resolve(df, schema.PRICE)
     if price is None or "discount_percentage" not in df.columns or "rating" not in df.columns:
         return None
-    return _fitted(df, [price, "discount_percentage"], "rating", num_trees, max_depth, key_cols, True, fill_label=True)
+    return _fitted(df, [price, "discount_percentage"], "rating", num_trees, max_depth, key_cols, True, fill_label=True, keep=keep)
 
 
 def sales_model(df: DataFrame, num_trees: int = 100, max_depth: int = 10,
-                key_cols: list[str] | None = None) -> ModelResult | None:
+                key_cols: list[str] | None = None, keep: bool = True) -> ModelResult | None:
     """M6: forest predicting ``sales_volume`` from price, discount, rating
     (+ category code). Rows without a volume are not used."""
     price = schema.resolve(df, schema.PRICE)
@@ -207,4 +225,4 @@ def sales_model(df: DataFrame, num_trees: int = 100, max_depth: int = 10,
         return None
     data = df.where(F.col("sales_volume").isNotNull()) \
         .withColumn("sales_volume", F.col("sales_volume").cast("double"))
-    return _fitted(data, [price, "discount_percentage", "rating"], "sales_volume", num_trees, max_depth, key_cols, False)
+    return _fitted(data, [price, "discount_percentage", "rating"], "sales_volume", num_trees, max_depth, key_cols, False, keep=keep)

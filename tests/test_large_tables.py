@@ -10,7 +10,8 @@ from pyspark.sql.types import StringType
 
 from shelfscope.functions.numeric import to_number
 from shelfscope.functions.quantile import medians
-from shelfscope.operators import basket, finance, ingest, models
+from shelfscope.operators import basket, finance, forest, ingest, models
+from shelfscope.plans import registry
 from shelfscope.sources import retail_view as view
 
 N = 60
@@ -142,3 +143,61 @@ def test_pairs_are_summed_in_as_many_tasks(spark):
         assert re.search(r"hashpartitioning\(product_a.*?HashAggregate\(keys=\[slot#\d+, product_a#\d+, product_b#\d+\], functions=\[count", plan, re.DOTALL)
         assert pairs.rdd.getNumPartitions() == tasks
         assert pairs.dtypes == plain.dtypes and sorted(rows(pairs)) == want
+
+
+def test_forest_keeps_cells_and_sums_not_rows(spark):
+    n = 4000
+    rows = spark.range(n).select((F.col("id") % 8).alias(forest.CELL), F.xxhash64("id").alias(forest.DRAW), (F.col("id") % 8 % 5 * 1.25).alias("y"))
+    labels = forest.Labels(2.0, 2.0 ** 40)
+    found = rows.withColumn("other", F.rand()).repartition(7, "other")
+    bags = [sorted(rows_of(forest._bags(x, "y", labels, 12, 7))) for x in (rows, found)]
+    assert bags[0] == bags[1] and len(bags[0]) == 12 * 8  # a row for each tree and cell, however many lines
+    drawn = [sum(w for t, _, w, _ in bags[0] if t == i) for i in range(12)]
+    assert all(abs(d - n) < 5 * n ** 0.5 for d in drawn) and len(set(drawn)) > 6
+    for _, c, w, y in bags[0]:
+        assert abs(y / w / labels.size + labels.center - c % 5 * 1.25) < 1e-9
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_forest_finds_the_best_splits(spark):
+    """Each split of a tree is the one that plain arithmetic over its rows finds, and MLlib's model of it predicts the same."""
+    n = 600
+    df = spark.range(n).select(F.col("id").alias("k"), (F.col("id") * 37 % 101 * 1.5).alias("price"), (F.col("id") % 7 * 5.0).alias("discount_percentage"),
+                               (F.col("id") * 37 % 101 % 40 / 10 + F.col("id") % 7).alias("rating"), F.lit("train").alias("split"))
+    names = ["price", "discount_percentage"]
+    cuts, labels = forest.edges(df, df, names, "rating")
+    assert len(cuts[0]) == 31 and len(cuts[1]) == 6
+    lines = forest.with_cells(df, names, cuts).select(forest.CELL, F.xxhash64("k").alias(forest.DRAW), "rating", *names)
+    grown = forest.grown(lines, names, cuts, "rating", labels, 3, 4, 42)
+    bags = rows_of(forest._bags(lines, "rating", labels, 3, 42))
+    for tree in range(3):
+        own = [(c >> 5, c & 31, w, y) for t, c, w, y in bags if t == tree]
+        splits = {r.node: r for level in grown.splits for r in level if r.tree == tree}
+
+        def check(node, part):
+            w, y = sum(p[2] for p in part), sum(p[3] for p in part)
+            assert abs(grown.means[tree, node][0] - labels.mean(y, w)) < 1e-9 and grown.means[tree, node][1] == w
+            gains = []
+            for f in (0, 1):
+                for b in range(32):
+                    left = [p for p in part if p[f] <= b]
+                    wl, yl = sum(p[2] for p in left), sum(p[3] for p in left)
+                    if 0 < wl < w:
+                        gains.append((yl * yl / wl + (y - yl) ** 2 / (w - wl) - y * y / w, f, b))
+            r = splits.get(node)
+            if r is None:
+                assert node >= 16 or not gains or max(gains)[0] <= 1e-9 * labels.size ** 2 * w
+                return
+            f, b = r.split >> 5, r.split & 31
+            gain = [g for g, *at in gains if at == [f, b]][0]
+            assert gain >= max(gains)[0] * (1 - 1e-9)
+            check(2 * node, [p for p in part if p[f] <= b])
+            check(2 * node + 1, [p for p in part if p[f] > b])
+
+        check(1, own)
+    known = {c: p for c, p in rows_of(grown.predictions(lines))}
+    for c, p in rows_of(grown.model().transform(lines).select(forest.CELL, "prediction")):
+        assert abs(p - known[c]) < 1e-9

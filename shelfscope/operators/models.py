@@ -27,6 +27,8 @@ TEST_FRACTION = 0.2
 DRAW_PARTS = 64
 PART, NUMBER, UNIT = "_draw_part", "_draw_number", "_draw_unit"
 SEED = 42
+#: So many categories are broadcast to the rows.
+FEW_CODES = 100_000
 
 
 def row_key(df: DataFrame, key_cols: list[str] | None = None) -> Column:
@@ -103,10 +105,12 @@ def with_synthetic_sales(df: DataFrame, key_cols: list[str] | None = None,
     return dealt.withColumn("sales_volume", synthetic_sales(dealt, keys)).drop(PART, NUMBER)
 
 
-def _mean_filled(df: DataFrame, cols: list[str]) -> DataFrame:
-    """M2: NULL features take the column mean (one-row aggregate, scalar subqueries)."""
+def _mean_filled(df: DataFrame, cols: list[str], now: bool = False) -> DataFrame:
+    """M2: NULL features take the column mean (one-row aggregate, scalar subqueries; ``now``: numbers,
+    found once for all the passes that follow)."""
     means = exact.aggregate(df, [], [exact.mean(df, c, c) for c in cols])
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), means.select(c).scalar())
+    found = means.first() if now else None
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(found[c]).cast("double") if now else means.select(c).scalar())
                            for c in cols})
 
 
@@ -137,14 +141,17 @@ def _regression_metrics(pred: DataFrame, label: str, with_accuracy: bool) -> Dat
 
 
 def model_features(df: DataFrame, features: list[str], use_category: bool,
-                   key_cols: list[str] | None):
+                   key_cols: list[str] | None, now: bool = False):
     """M1-M3 for a model: mean-filled features, the category code (when used)
-    and the train/test split. Returns (data, feature names, codes table)."""
-    data = _mean_filled(df, features)
+    and the train/test split. Returns (data, feature names, codes table). ``now``: what several passes
+    need of the whole table (means, few enough codes to broadcast) is found first."""
+    data = _mean_filled(df, features, now)
     names = list(features)
     codes = None
     if use_category:
         codes = category_codes(df)
+        if now and codes.limit(FEW_CODES + 1).count() <= FEW_CODES:
+            codes = F.broadcast(codes)
         data = with_category_code(data, codes)
         names.append("category_code")
     return with_split(data, key_cols), names, codes
@@ -167,7 +174,7 @@ def _fitted(df: DataFrame, features: list[str], label: str, num_trees: int, max_
     plain = df.select(*dict.fromkeys(used))
     kept = plain.persist(StorageLevel.DISK_ONLY) if keep else plain
     try:
-        data, names, codes = model_features(_mean_filled(kept, [label]) if fill_label else kept, features, use_category, key_cols)
+        data, names, codes = model_features(_mean_filled(kept, [label], True) if fill_label else kept, features, use_category, key_cols, True)
         pred, trees = _fit(data, names, label, num_trees, max_depth, key_cols)
         try:
             scores = _regression_metrics(pred, label, with_accuracy)

@@ -11,7 +11,10 @@ the join key.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +83,16 @@ def retail_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` on the executors' disks, for several passes over what is costly to join anew; freed at the end."""
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def materialize_view(spark: SparkSession, sf_dir: str, target: str,
                      files_per_partition: int | None = None) -> str:
     """Write the retail view once as Parquet under ``target`` (a shared folder,

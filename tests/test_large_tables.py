@@ -201,3 +201,16 @@ def test_forest_finds_the_best_splits(spark):
     known = {c: p for c, p in rows_of(grown.predictions(lines))}
     for c, p in rows_of(grown.model().transform(lines).select(forest.CELL, "prediction")):
         assert abs(p - known[c]) < 1e-9
+
+
+def test_registered_models_join_the_view_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(registry, "_v", lambda s, sf: made.append(sf) or view.retail_view(s, sf))
+    monkeypatch.setattr(registry, "MODEL_TREES", 2)
+    monkeypatch.setattr(registry, "MODEL_DEPTH", 2)
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    for name in ("rating_model", "sales_model", "rating_model_bounds", "sales_model_bounds"):
+        made.clear()
+        assert len(registry.QUERIES[name](spark, SF_SMALL).collect()) == 1
+        assert made == [SF_SMALL], name
+        assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before

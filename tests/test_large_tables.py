@@ -214,3 +214,17 @@ def test_registered_models_join_the_view_once(spark, monkeypatch):
         assert len(registry.QUERIES[name](spark, SF_SMALL).collect()) == 1
         assert made == [SF_SMALL], name
         assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+def test_answers_join_the_view_once(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(key):
+        made.add(1)
+        return key
+
+    monkeypatch.setattr(registry, "_v", lambda s, sf: view.retail_view(s, sf).withColumn("order_id", F.udf(seen, "long")("order_id")))
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    found = registry.QUERIES["answer_table"](spark, SF_SMALL)
+    assert found.count() == 19 and made.value == view.retail_view(spark, SF_SMALL).count()
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
